@@ -12,7 +12,9 @@ Defined cases: a null or empty text has 0 tokens; rows that repeat are counted o
 
 from __future__ import annotations
 
+import math
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,11 +26,25 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import documents
 
 #: Words that a task remembers; the memory is emptied when full, which changes no result.
-MEMORY = 250_000
+MEMORY = 300_000
 #: Fixed values of the unigram tokenizer.
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
 
+#: Words of one-byte letters, digits and signs without an apostrophe, and the parts that the splitter cuts them into.
+_PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF!-&(-@\[-`{-~]+")
+_PARTS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+def _byte_signs() -> dict[int, int]:
+    """Byte-level tokenizers show a byte as its own character if that prints, and the others, in order, from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
 
 class WordTokens:
     _loaded: dict[str, WordTokens] = {}
@@ -39,6 +55,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.numbers = list(range(self.tokenizer.get_vocab_size()))
 
     @classmethod
@@ -51,20 +68,34 @@ class WordTokens:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        """The ids of one word. A plain word's parts go to the model itself, since for them the tokenizer's normaliser only lower-cases, and its
+        splitter cuts runs of letters, single digits and runs of signs; any other word goes through the tokenizer."""
+        numbers = self.numbers
+        if not _PLAIN.fullmatch(word) or "<|" in word:
+            return tuple([numbers[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+        out: list[int] = []
+        for part in _PARTS.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                model = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                ids = self.parts[part] = tuple([numbers[t.id] for t in self.tokenizer.model.tokenize(model)])
+            out += ids
+        return tuple(out)
+
     def encode(self, texts: list[str | None], end: int | None = None) -> Iterator[np.ndarray]:
         """The ids of each text, then `end`. Words are split at blanks and line feeds alone, both white space to the tokenizer."""
         tail = () if end is None else (end,)
         for text in texts:
             words = (text or "").replace("\n", " ").split(" ")
-            new = set(words) - self.known.keys()
+            new = [w for w in set(words) if w not in self.known]
             if new:
                 if len(self.known) > MEMORY:
                     self.known.clear()
+                    self.parts.clear()
                     new = set(words)
-                new = list(new)
-                numbers = self.numbers
-                for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.known[word] = tuple([numbers[i] for i in found.ids])
+                for word in new:
+                    self.known[word] = self._word(word)
             yield np.fromiter(chain(chain.from_iterable(map(self.known.__getitem__, words)), tail), np.uint32)
 
 
@@ -83,35 +114,38 @@ def read_vocabulary(path: str | None = None) -> list[tuple[str, float]]:
 class PieceCounter:
     def __init__(self, vocabulary: list[tuple[str, float]], unknown: int = 0):
         self.automaton = ahocorasick.Automaton()
-        for i, (piece, score) in enumerate(vocabulary):
+        for piece, score in vocabulary:
             if piece:
-                self.automaton.add_word(piece, (len(piece), score, i == unknown))
+                self.automaton.add_word(piece, (len(piece), score))
+        self.unknown_piece = vocabulary[unknown][0]
         self.automaton.make_automaton()
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown_score = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.known: dict[str, int] = {}
 
     def count_word(self, word: str) -> int:
+        """Matches come by end, the longest first: so of equal scores the earliest start stays."""
         n = len(word)
-        score, pieces, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        ends: list[list] = [[] for _ in range(n + 1)]
+        score, pieces = [-math.inf] * (n + 1), [0] * (n + 1)
+        score[0] = 0.0
+        if self.single.issuperset(word) and self.unknown_piece not in word:
+            for last, (length, own) in self.automaton.iter(word):
+                at = last + 1 - length
+                if (s := own + score[at]) > score[last + 1]:
+                    score[last + 1], pieces[last + 1] = s, pieces[at] + 1
+            return pieces[n]
+        unknown = [False] * (n + 1)
+        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for last, match in self.automaton.iter(word):
             ends[last + 1].append(match)
         for end in range(1, n + 1):
-            best = None
-            for length, own, is_unknown in sorted(ends[end], reverse=True):
-                s = own + score[end - length]
-                if best is None or s > best:
-                    best, at, unk = s, end - length, is_unknown
+            options = [(end - length, own, word[end - length : end] == self.unknown_piece) for length, own in ends[end]]
             if word[end - 1] not in self.single:
-                s = self.unknown_score + score[end - 1]
-                if best is None or s > best:
-                    best, at, unk = s, end - 1, True
-            if best is None:  # no piece ends here and none may: the path never stops here
-                score[end], pieces[end] = -np.inf, 0
-                continue
-            score[end], unknown[end] = best, unk
-            pieces[end] = pieces[at] + (0 if unk and unknown[at] else 1)
+                options.append((end - 1, self.unknown_score, True))
+            for at, own, is_unknown in options:
+                if (s := own + score[at]) > score[end]:
+                    score[end], unknown[end] = s, is_unknown
+                    pieces[end] = pieces[at] + (0 if is_unknown and unknown[at] else 1)
         return pieces[n]
 
     def count(self, text: str | None) -> int:
@@ -120,7 +154,7 @@ class PieceCounter:
         text = text.replace(" ", SPACE)
         words = (text if text[0] == SPACE else SPACE + text)[1:].split(SPACE)
         known = self.known
-        new = set(words) - known.keys()
+        new = [w for w in set(words) if w not in known]
         if new:
             if len(known) > 2 * MEMORY:
                 known.clear()
