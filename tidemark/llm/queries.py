@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, quality
+from tidemark.llm import chat, exact_dedup, fingerprints, mixing, packing, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op2_token_counts": tokens.op2_token_counts,
+    "op3_packing": packing.op3_packing,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_chat_format": chat.op7_chat_format,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.SQL,
+    "op7_chat_format": chat.SQL,
 }
