@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact_dedup, fingerprints, mixing, packing, quality, tokens
+from tidemark.llm import chat, exact_dedup, fingerprints, language, mixing, packing, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_language_id": language.op8_language_id,
     "op10_mixing": mixing.op10_mixing,
 }
 
