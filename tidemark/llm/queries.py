@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact_dedup, fingerprints, language, mixing, packing, quality, tokens
+from tidemark.llm import chat, exact_dedup, fingerprints, jaccard, language, mixing, packing, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_packing": packing.op3_packing,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_chat_format": chat.op7_chat_format,
