@@ -48,7 +48,7 @@ class InvertedIndex:
         np.cumsum(df, out=self.at[1:])
         idf = np.log(1 + (len(pieces) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - BM25_B + BM25_B * size / max(size.mean(), 1))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[owner]))[order].astype(np.float32)
+        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[owner]))[order]
         self.pieces = len(pieces)
 
     def scores(self, piece: int) -> np.ndarray:

@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import documents
 
-#: Words that a task remembers; the memory is emptied when full, which changes no result.
-MEMORY = 300_000
+#: Words that a task remembers in each of two generations: when the new one is full it becomes the old one, and what is met again
+#: moves back. This changes no result.
+MEMORY = 250_000
 #: Fixed values of the unigram tokenizer.
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
@@ -56,6 +57,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.older, self.older_parts = self.known, self.parts
         self.numbers = list(range(self.tokenizer.get_vocab_size()))
 
     @classmethod
@@ -78,8 +80,11 @@ class WordTokens:
         for part in _PARTS.findall(word.lower()):
             ids = self.parts.get(part)
             if ids is None:
-                model = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_SIGNS)
-                ids = self.parts[part] = tuple([numbers[t.id] for t in self.tokenizer.model.tokenize(model)])
+                ids = self.older_parts.get(part)
+                if ids is None:
+                    model = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                    ids = tuple([numbers[t.id] for t in self.tokenizer.model.tokenize(model)])
+                self.parts[part] = ids
             out += ids
         return tuple(out)
 
@@ -88,15 +93,15 @@ class WordTokens:
         tail = () if end is None else (end,)
         for text in texts:
             words = (text or "").replace("\n", " ").split(" ")
-            new = [w for w in set(words) if w not in self.known]
-            if new:
-                if len(self.known) > MEMORY:
-                    self.known.clear()
-                    self.parts.clear()
-                    new = set(words)
-                for word in new:
-                    self.known[word] = self._word(word)
-            yield np.fromiter(chain(chain.from_iterable(map(self.known.__getitem__, words)), tail), np.uint32)
+            if len(self.known) > MEMORY:
+                self.older, self.known = self.known, {}
+            if len(self.parts) > MEMORY:
+                self.older_parts, self.parts = self.parts, {}
+            known, older = self.known, self.older
+            for word in set(words):
+                if word not in known:
+                    known[word] = older.get(word) or self._word(word)
+            yield np.fromiter(chain(chain.from_iterable(map(known.__getitem__, words)), tail), np.uint32)
 
 
 def read_vocabulary(path: str | None = None) -> list[tuple[str, float]]:
@@ -122,6 +127,7 @@ class PieceCounter:
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown_score = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.known: dict[str, int] = {}
+        self.older = self.known
 
     def count_word(self, word: str) -> int:
         """Matches come by end, the longest first: so of equal scores the earliest start stays."""
@@ -153,14 +159,12 @@ class PieceCounter:
             return 0
         text = text.replace(" ", SPACE)
         words = (text if text[0] == SPACE else SPACE + text)[1:].split(SPACE)
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > 2 * MEMORY:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = self.count_word(SPACE + w)
+        if len(self.known) > 2 * MEMORY:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        for word in set(words):
+            if word not in known:
+                known[word] = older.get(word) or self.count_word(SPACE + word)
         return sum(map(known.__getitem__, words))
 
 
