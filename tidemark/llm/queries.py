@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact_dedup, fingerprints, jaccard, language, mixing, packing, quality, tokens
+from tidemark.llm import chat, exact_dedup, fingerprints, jaccard, language, mixing, packing, passages, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_chat_format": chat.op7_chat_format,
     "op8_language_id": language.op8_language_id,
+    "op9_passages": passages.op9_passages,
     "op10_mixing": mixing.op10_mixing,
 }
 
