@@ -415,7 +415,7 @@ def _linked(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
     """id, component of the representatives with a link."""
     some = docs.select("doc_id", "text")
     shards = max(1, -(-count // SHARD_DOCS))
-    index = some.join(reps, "doc_id", "left_semi").mapInArrow(_indexed(shards), "shard int, apart long, ids binary, asked binary, spare binary, sig binary, slot binary")
+    index = some.join(reps.hint("merge"), "doc_id", "left_semi").mapInArrow(_indexed(shards), "shard int, apart long, ids binary, asked binary, spare binary, sig binary, slot binary")
     index = materialise(index)
     met = index.where("shard IS NOT NULL").drop("apart").repartitionById(shards, "shard").sortWithinPartitions("shard")
     met = materialise(met.mapInArrow(_candidates, "a long, b long, shared long, asked long, hot boolean"))
@@ -423,7 +423,7 @@ def _linked(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
     short = met.where("hot").groupBy("a").agg(F.sum("shared").alias("lost"), F.min("asked").alias("spare")).where("lost > spare").select(F.col("a").alias("doc_id"))
     apart = materialise(index.where("apart IS NOT NULL").select(F.col("apart").alias("doc_id")).union(short).distinct())
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(apart).distinct()
-    sets = materialise(some.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"))
+    sets = materialise(some.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"))
     n_apart = apart.count()
     edges = pairs
     if n_apart > 1:
