@@ -126,7 +126,7 @@ def drop_copies(docs: DataFrame, bucket_capacity: int = BUCKET_CAPACITY) -> Data
     keyed = docs.withColumns({"_keep": F.col("doc_id"), "_h": F.xxhash64(norm), "_sha": F.sha2(norm, 256)})
     same = [keyed[c].eqNullSafe(entries[c]) for c in ("_keep", "_h", "_sha")]
     one = Window.partitionBy("_keep", "_h", "_sha").orderBy("_keep")
-    stay = keyed.join(entries, same[0] & same[1] & same[2], "left_semi").withColumn("_row", F.row_number().over(one))
+    stay = keyed.join(entries.hint("merge"), same[0] & same[1] & same[2], "left_semi").withColumn("_row", F.row_number().over(one))
     return stay.where("_row = 1").select(*docs.columns)
 
 

@@ -442,7 +442,7 @@ def _linked(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the row with the smallest id stays, with all its columns; rows without id or shingles stay too."""
     found = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    return docs.join(found.hint("merge"), docs["doc_id"] == found["_gone"], "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,7 +150,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = M
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns."""
     times = mix(docs, **options).where("times > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times"))
-    chosen = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    chosen = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 
