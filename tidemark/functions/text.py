@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.schema import STOP_WORDS
 
@@ -69,7 +70,7 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks. Spark has no such function."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
@@ -97,7 +98,7 @@ def is_webhook(url: Column) -> Column:
 
 def ics_escape(text: Column) -> Column:
     out = text
-    for plain, escaped in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\n", "\\n")):
+    for plain, escaped in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")):
         out = F.replace(out, F.lit(plain), F.lit(escaped))
     return out
 

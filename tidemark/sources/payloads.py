@@ -8,17 +8,18 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.dates import parse
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzipped(text: pd.Series) -> pd.Series:
     """Spark has no gzip function."""
     return text.map(lambda t: None if t is None else gzip.compress(t.encode(), mtime=0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def gunzip(body: pd.Series) -> pd.Series:
     """The text of a gzipped body; null where it is none, so that one bad payload makes a row and not a failure."""
 
@@ -132,7 +133,7 @@ class _Tables(HTMLParser):
             self.stack[-1]["cell"][0].append(data)
 
 
-@F.pandas_udf("array<array<array<string>>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))))
 def tables(html: pd.Series) -> pd.Series:
     """All tables of a page, as grids. Spark has no HTML parser."""
 
