@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that separate words, in every operator that counts or shingles words.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -33,8 +34,18 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_fields(df: DataFrame, **types: T.DataType) -> T.StructType:
+    """The table's schema with further fields, for a function on its batches; a column of such a name must be dropped before."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in types.items())])
 
 
 def fold_mod(column: str, modulus: int) -> Column:

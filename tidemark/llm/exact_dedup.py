@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, documents, materialise
+from tidemark.llm.common import ascii_lower, documents, fresh, materialise
 
 #: Bits of the hash that the finest directory distinguishes; it has at most 2 ** 16 slots, whatever the input.
 MAX_DEPTH = 16
@@ -121,13 +121,13 @@ def dedup_report(docs: DataFrame, bucket_capacity: int = BUCKET_CAPACITY) -> Dat
 
 def drop_copies(docs: DataFrame, bucket_capacity: int = BUCKET_CAPACITY) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    entries = build_index(docs, bucket_capacity).entries.select(F.col("keep_id").alias("_keep"), F.col("hash").alias("_h"), F.col("sha256").alias("_sha"))
+    keep, h, sha, row = names = [fresh(docs, n) for n in ("keep", "hash", "sha", "row")]
+    entries = build_index(docs, bucket_capacity).entries.select(F.col("keep_id").alias(keep), F.col("hash").alias(h), F.col("sha256").alias(sha))
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    keyed = docs.withColumns({"_keep": F.col("doc_id"), "_h": F.xxhash64(norm), "_sha": F.sha2(norm, 256)})
-    same = [keyed[c].eqNullSafe(entries[c]) for c in ("_keep", "_h", "_sha")]
-    one = Window.partitionBy("_keep", "_h", "_sha").orderBy("_keep")
-    stay = keyed.join(entries.hint("merge"), same[0] & same[1] & same[2], "left_semi").withColumn("_row", F.row_number().over(one))
-    return stay.where("_row = 1").select(*docs.columns)
+    keyed = docs.withColumns({keep: F.col("doc_id"), h: F.xxhash64(norm), sha: F.sha2(norm, 256)})
+    same = [keyed[c].eqNullSafe(entries[c]) for c in names[:3]]
+    stay = keyed.join(entries.hint("merge"), same[0] & same[1] & same[2], "left_semi")
+    return stay.withColumn(row, F.row_number().over(Window.partitionBy(*names[:3]).orderBy(keep))).where(F.col(row) == 1).select(*docs.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,7 @@ def fingerprint_pairs(docs: DataFrame, bits: int = BITS) -> DataFrame:
     other; the first text and the last row of each range go on to a small table, which joins the ranges up.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 10_000).alias("c")).first()["c"] or []
     cuts = np.unique(np.array(cuts, np.int64))

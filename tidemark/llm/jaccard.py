@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, materialise
+from tidemark.llm.common import documents, fresh, materialise
 from tidemark.llm.graph import components
 
 WORDS = 5
@@ -399,7 +399,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
-    sizes = materialise(docs.select("doc_id", "text").mapInArrow(_keys, "doc_id long, n_shingles long, key binary"))
+    sizes = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_keys, "doc_id long, n_shingles long, key binary"))
     classes = materialise(sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")))
     count = classes.count()
     linked = _linked(docs, classes.select(F.col("rep").alias("doc_id")), count) if count > 1 else None
@@ -413,7 +413,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
     """id, component of the representatives with a link."""
-    some = docs.select("doc_id", "text")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = max(1, -(-count // SHARD_DOCS))
     index = some.join(reps.hint("merge"), "doc_id", "left_semi").mapInArrow(_indexed(shards), "shard int, apart long, ids binary, asked binary, spare binary, sig binary, slot binary")
     index = materialise(index)
@@ -441,8 +441,9 @@ def _linked(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the row with the smallest id stays, with all its columns; rows without id or shingles stay too."""
-    found = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found.hint("merge"), docs["doc_id"] == found["_gone"], "left_anti")
+    gone = fresh(docs, "gone")
+    found = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found.hint("merge"), docs["doc_id"] == found[gone], "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import documents, fold_mod
+from tidemark.llm.common import documents, fold_mod, with_fields
 
 #: At most so many labelled documents are used for training, those first in a seeded order for each language.
 MAX_TRAINING_ROWS = 1_500
@@ -223,8 +224,9 @@ def fit(docs: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Network:
 
 
 def identify(docs: DataFrame, net: Network) -> DataFrame:
-    """All columns of docs, lang_pred and lang_score. One pass, no shuffle."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double"
+    """All columns of docs, and lang_pred and lang_score, which replace columns of those names. One pass, no shuffle."""
+    docs = docs.drop("lang_pred", "lang_score")
+    schema = with_fields(docs, lang_pred=T.StringType(), lang_score=T.DoubleType())
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_GAP, documents, materialise
+from tidemark.llm.common import WORD_GAP, documents, fresh, materialise
 
 MAX_PASSES = 3
 WEIGHTS = (1, 2, 3)
@@ -148,10 +148,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = M
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns."""
-    times = mix(docs, **options).where("times > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times"))
-    chosen = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    """The mix itself: each document as often as it is taken, with all its columns; rows that share a doc_id alike."""
+    own, n, copy = (fresh(docs, x) for x in ("id", "times", "copy"))
+    times = mix(docs, **options).where("times > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max("times").alias(n))
+    chosen = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times[own]))
+    return chosen.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

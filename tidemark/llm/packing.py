@@ -124,8 +124,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         if ids:
             yield flush(shard, part, ids, tokens)
 
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    dealt = docs.select(shard.alias("shard"), "doc_id", "text").repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "text")
+    shard = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(shards)).cast("int")
+    dealt = docs.select(shard.alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "text")
     return dealt.mapInArrow(packed, SCHEMA)
 
 

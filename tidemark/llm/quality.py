@@ -5,7 +5,8 @@ trees for a whole batch of documents at once.
 
 Defined cases: a null or empty text has all-zero statistics and gets the score that the trees give those; labels
 other than 0 and 1 or without id are ignored; without labelled rows, or with one class alone, every score is the share
-of label 1 (0.5 without rows); rows that repeat are scored one by one; further columns are ignored.
+of label 1 (0.5 without rows); rows that repeat are scored one by one; further columns
+are kept by `score` and `keep_good` and are no input.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import documents, fold_mod, table
+from tidemark.llm.common import documents, fold_mod, fresh, table, with_fields
 
 #: At most so many labelled rows are used for training, those first in a seeded order.
 MAX_TRAINING_ROWS = 20_000
@@ -148,28 +150,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Trees:
     """Train on labelled rows outside the held-out fold. The sample is at most max_training_rows ids, so it may be broadcast."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_mod("doc_id", HELD_OUT_FOLDS) != 0))
-    sample = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_training_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(_features, "doc_id long, quality int, x array<float>").orderBy("doc_id", "quality").limit(max_training_rows).toArrow()
+    sample = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_training_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").mapInArrow(_features, "doc_id long, quality int, x array<float>").orderBy("doc_id", "quality").limit(max_training_rows).toArrow()
     if not rows.num_rows:
         return train(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))
     return train(np.array(rows["x"].to_pylist(), np.float32), rows["quality"].to_numpy().astype(np.float64))
 
 
-def score(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, quality_score and quality_predicted. One pass over the table, no shuffle."""
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{k}` {v}" for k, v in fields.items()) + ", quality_score double, quality_predicted int"
+def score(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, names: tuple[str, str] = ("quality_score", "quality_predicted")) -> DataFrame:
+    """All columns of docs, and two of the given names, which replace columns of that name. One pass over the table, no shuffle."""
+    docs = docs.drop(*names)
+    schema = with_fields(docs, **{names[0]: T.DoubleType(), names[1]: T.IntegerType()})
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = trees.score(statistics_of(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "quality_score", "quality_predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, *names])
 
     return docs.mapInArrow(scored, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, labels)).where("quality_predicted = 1").select(*docs.columns)
+    """The rows that the classifier predicts to be good, with all their columns."""
+    names = fresh(docs, "quality_score"), fresh(docs, "quality_predicted")
+    return score(docs, fit(docs, labels), names=names).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from tidemark.llm.common import documents
+from tidemark.llm.common import documents, with_fields
 
 #: Words that a task remembers in each of two generations: when the new one is full it becomes the old one, and what is met again
 #: moves back. This changes no result.
@@ -169,8 +170,9 @@ class PieceCounter:
 
 
 def count_pieces(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """All columns of docs and n_tokens. One pass, no shuffle."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_tokens long"
+    """All columns of docs and n_tokens, which replaces a column of that name. One pass, no shuffle."""
+    docs = docs.drop("n_tokens")
+    schema = with_fields(docs, n_tokens=T.LongType())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(read_vocabulary(model_path))
