@@ -53,7 +53,7 @@ def duplicate_filter(hashes: DataFrame) -> tuple[int, dict[int, bytes]]:
     repeated = materialise(hashes.groupBy("fingerprint").count().where("count > 1").select("fingerprint"))
     low, high = FILTER_BITS
     bits = min(high, max(low, (16 * repeated.count()).bit_length()))
-    place = F.crc32("fingerprint") % (1 << bits)
+    place = F.crc32("fingerprint") % (1 << bits) + 1  # bits and buckets count from 1
     parts = repeated.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     return bits, {int(r["b"]): bytes(r["bits"]) for r in parts.collect()}
 
@@ -73,7 +73,7 @@ def collisions(docs: DataFrame, hashes: DataFrame, bits: int = BITS) -> DataFram
                 form = canonical(text)
                 key = digest(form, bits)
                 place = zlib.crc32(key.encode()) % (1 << size)
-                part = shared.value.get(place // 32768 + 1)  # buckets count from 1
+                part = shared.value.get(place // 32768 + 1)
                 if part and part[place % 32768 // 8] >> place % 8 & 1:
                     rows.append((key, form))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["fingerprint", "form"])
@@ -163,18 +163,23 @@ def fingerprint_pairs(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def _discriminate(plain: DataFrame, docs: DataFrame, clashes: DataFrame, bits: int) -> DataFrame:
     """Give colliding forms their suffix. Only rows with a colliding hash fetch their texts again."""
     bad = clashes.select(F.col("fingerprint").alias("bad")).distinct()
-    rows = plain.withColumn("_row", F.sha2(F.concat_ws("|", "doc_id", "next_id", "edited_sha256"), 256))
+    rows = plain.withColumn("_row", F.sha2(F.concat_ws("|", "doc_id", F.lit("/"), "next_id", "n_chars", "edited_sha256", "fingerprint", "near_next"), 256))
     hit = rows.join(bad, F.col("bad").isin(F.col("fingerprint"), F.col("edited_fingerprint")), "left_semi")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
-    pairs = hit.alias("r").join(texts.alias("a"), F.expr("r.doc_id <=> a.doc_id")).join(texts.alias("b"), F.expr("r.next_id <=> b.doc_id")).select("r._row", F.col("a.text").alias("own"), F.col("b.text").alias("after"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    pairs = hit.distinct().alias("r").join(texts.alias("a"), F.expr("r.doc_id <=> a.doc_id AND r.n_chars = length(a.text)")).join(texts.alias("b"), F.expr("r.next_id <=> b.doc_id"))
+    pairs = pairs.select("r._row", "r.fingerprint", "r.edited_sha256", F.col("a.text").alias("own"), F.col("b.text").alias("after"))
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, after = batch.column("own").to_pylist(), batch.column("after").to_pylist()
-            made = [(canonical(a), canonical(edit(a, b)), canonical(b)) for a, b in zip(own, after, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(c, pa.binary()) for c in zip(*made, strict=True))], ["_row", "form", "form3", "form2"])
-
-    made = pairs.mapInArrow(forms, "_row string, form binary, form3 binary, form2 binary")
+            made = []
+            for r in batch.to_pylist():  # ids that repeat: keep the texts that the row was made of
+                form, edited = canonical(r["own"]), edit(r["own"], r["after"])
+                if digest(form, bits) == r["fingerprint"] and hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest() == r["edited_sha256"]:
+                    made.append((r["_row"], form, canonical(edited)))
+            columns = list(zip(*made, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["_row", "form", "form3"])
+
+    made = pairs.mapInArrow(forms, "_row string, form binary, form3 binary").dropDuplicates(["_row"])
     count = clashes.groupBy("fingerprint").agg((F.max("rank") + 1).alias("unlisted"))
     out = rows.join(made, "_row", "left")
     for key, form in (("fingerprint", "form"), ("edited_fingerprint", "form3")):
