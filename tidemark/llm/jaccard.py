@@ -272,38 +272,42 @@ def _pairs_of_runs(sig: np.ndarray, slot: np.ndarray, hot: int) -> tuple[np.ndar
     return np.concatenate(left) if left else none, np.concatenate(right) if right else none, slot[is_hot]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, shared, asked for pairs; a, spare, lost for a document's entries in hot segments."""
-    for rows in _grouped(batches, lambda r: r["shard"]):
-        ids, asked, spare, unit, sig, slot, base = [], [], [], [], [], [], 0
-        for r in rows:
-            own = np.frombuffer(r["ids"], np.int64)
-            ids.append(own)
-            asked.append(np.frombuffer(r["asked"], np.uint16))
-            both = np.frombuffer(r["spare"], np.int16)
-            spare.append(both[: len(own)])
-            unit.append(both[len(own) :])
-            sig.append(np.frombuffer(r["sig"], np.uint32))
-            slot.append(np.frombuffer(r["slot"], np.uint16).astype(np.int64) + base)
-            base += len(own)
-        rows.clear()
-        ids, asked, spare, unit = (np.concatenate(x) for x in (ids, asked, spare, unit))
-        left, right, lost = _pairs_of_runs(np.concatenate(sig), np.concatenate(slot), HOT)
-        a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
-        least = np.minimum(asked[left], asked[right])
-        real = a != b
-        a, b, least = a[real], b[real], least[real]
-        order = np.lexsort((b, a))
-        a, b, least = a[order], b[order], least[order]
-        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[new, len(a)])
-        at, times = np.unique(lost, return_counts=True)
-        columns = [
-            np.r_[a[new], ids[at]], np.r_[b[new], np.full(len(at), -1)], np.r_[count, times * unit[at]], np.r_[least[new], spare[at]],
-            np.r_[np.zeros(len(new), bool), np.ones(len(at), bool)],
-        ]
-        for k in range(0, len(columns[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "shared", "asked", "hot"])
+def _candidates(hot: int):
+    """a, b, shared, asked for pairs; a, spare, lost for a document's entries in segments of more than `hot` documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, lambda r: r["shard"]):
+            ids, asked, spare, unit, sig, slot, base = [], [], [], [], [], [], 0
+            for r in rows:
+                own = np.frombuffer(r["ids"], np.int64)
+                ids.append(own)
+                asked.append(np.frombuffer(r["asked"], np.uint16))
+                both = np.frombuffer(r["spare"], np.int16)
+                spare.append(both[: len(own)])
+                unit.append(both[len(own) :])
+                sig.append(np.frombuffer(r["sig"], np.uint32))
+                slot.append(np.frombuffer(r["slot"], np.uint16).astype(np.int64) + base)
+                base += len(own)
+            rows.clear()
+            ids, asked, spare, unit = (np.concatenate(x) for x in (ids, asked, spare, unit))
+            left, right, lost = _pairs_of_runs(np.concatenate(sig), np.concatenate(slot), hot)
+            a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
+            least = np.minimum(asked[left], asked[right])
+            real = a != b
+            a, b, least = a[real], b[real], least[real]
+            order = np.lexsort((b, a))
+            a, b, least = a[order], b[order], least[order]
+            new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+            count = np.diff(np.r_[new, len(a)])
+            at, times = np.unique(lost, return_counts=True)
+            columns = [
+                np.r_[a[new], ids[at]], np.r_[b[new], np.full(len(at), -1)], np.r_[count, times * unit[at]], np.r_[least[new], spare[at]],
+                np.r_[np.zeros(len(new), bool), np.ones(len(at), bool)],
+            ]
+            for k in range(0, len(columns[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "shared", "asked", "hot"])
+
+    return run
 
 
 def _regroup(shards: int):
@@ -397,12 +401,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[root[away]])], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
     sizes = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_keys, "doc_id long, n_shingles long, key binary"))
     classes = materialise(sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")))
     count = classes.count()
-    linked = _linked(docs, classes.select(F.col("rep").alias("doc_id")), count) if count > 1 else None
+    linked = _linked(docs, classes.select(F.col("rep").alias("doc_id")), count, hot, block) if count > 1 else None
     roots = classes.withColumn("component", F.col("rep"))
     if linked is not None:
         roots = classes.join(linked, classes["rep"] == linked["id"], "left").select("key", F.coalesce("component", "rep").alias("component"))
@@ -411,14 +415,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
-def _linked(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
+def _linked(docs: DataFrame, reps: DataFrame, count: int, hot: int, block: int) -> DataFrame:
     """id, component of the representatives with a link."""
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = max(1, -(-count // SHARD_DOCS))
     index = some.join(reps.hint("merge"), "doc_id", "left_semi").mapInArrow(_indexed(shards), "shard int, apart long, ids binary, asked binary, spare binary, sig binary, slot binary")
     index = materialise(index)
     met = index.where("shard IS NOT NULL").drop("apart").repartitionById(shards, "shard").sortWithinPartitions("shard")
-    met = materialise(met.mapInArrow(_candidates, "a long, b long, shared long, asked long, hot boolean"))
+    met = materialise(met.mapInArrow(_candidates(hot), "a long, b long, shared long, asked long, hot boolean"))
     pairs = materialise(met.where("NOT hot").groupBy("a", "b").agg(F.sum("shared").alias("n"), F.min("asked").alias("m")).where("n >= m").select("a", "b"))
     short = met.where("hot").groupBy("a").agg(F.sum("shared").alias("lost"), F.min("asked").alias("spare")).where("lost > spare").select(F.col("a").alias("doc_id"))
     apart = materialise(index.where("apart IS NOT NULL").select(F.col("apart").alias("doc_id")).union(short).distinct())
@@ -431,7 +435,7 @@ def _linked(docs: DataFrame, reps: DataFrame, count: int) -> DataFrame:
         regrouped = sets.join(apart, "doc_id", "left_semi").mapInArrow(_regroup(fine), "shard int, sig binary, who binary")
         edges = edges.union(regrouped.repartitionById(fine, "shard").sortWithinPartitions("shard").mapInArrow(_spanning, "a long, b long"))
     groups = components(edges)
-    blocks = groups.join(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), "component")
+    blocks = groups.join(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "component")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = blocks.select("component", F.col("id").alias("doc_id"), mine.alias("mine"), other.alias("other")).select("component", "doc_id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
