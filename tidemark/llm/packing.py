@@ -29,34 +29,42 @@ SHARD_ROWS = 1536
 #: A shard of very long documents is packed in parts of about so many tokens.
 SHARD_TOKENS = 6_000_000
 K1, BM25_B = 1.2, 0.75
+#: A term of more than this share of a shard's pieces has a row in the dense table.
+DENSE_SHARE = 0.08
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class InvertedIndex:
-    """BM25 over the pieces of a shard: postings by term, each with its finished weight."""
+    """BM25 over the pieces of a shard: postings by term, each with its finished weight. Terms of many pieces stand in a dense table instead."""
 
     def __init__(self, pieces: list[np.ndarray]):
         size = np.array([len(p) for p in pieces], np.float64)
         terms, counts = zip(*(np.unique(p, return_counts=True) for p in pieces), strict=True)
-        self.terms = terms
         owner = np.repeat(np.arange(len(pieces)), [len(t) for t in terms])
-        term, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
-        order = np.argsort(term, kind="stable")
-        self.owner = owner[order]
-        self.at = np.zeros(int(term.max()) + 2, np.int64)
-        df = np.bincount(term, minlength=len(self.at) - 1)
-        np.cumsum(df, out=self.at[1:])
+        term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
+        df = np.bincount(term)
         idf = np.log(1 + (len(pieces) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - BM25_B + BM25_B * size / max(size.mean(), 1))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[owner]))[order]
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[owner])
+        common = np.flatnonzero(df > DENSE_SHARE * len(pieces))
+        self.column = np.full(len(df), -1)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[term] >= 0
+        self.table = np.zeros((len(common), len(pieces)), np.float32)
+        self.table[self.column[term[dense]], owner[dense]] = weight[dense]
+        self.common = [self.column[t][self.column[t] >= 0] for t in terms]
+        self.rare = [t[self.column[t] < 0] for t in terms]
+        order = np.argsort(term[~dense], kind="stable")
+        self.owner, self.weight = owner[~dense][order], weight[~dense][order]
+        self.at = np.r_[0, np.cumsum(np.where(self.column < 0, df, 0))]
         self.pieces = len(pieces)
 
     def scores(self, piece: int) -> np.ndarray:
         """BM25 of every piece of the shard for the terms of this one."""
-        begin, end = self.at[self.terms[piece]], self.at[self.terms[piece] + 1]
+        begin, end = self.at[self.rare[piece]], self.at[self.rare[piece] + 1]
         length = end - begin
         spots = np.arange(length.sum()) + np.repeat(begin - np.cumsum(length) + length, length)
-        return np.bincount(self.owner[spots], self.weight[spots], minlength=self.pieces)
+        return np.bincount(self.owner[spots], self.weight[spots], minlength=self.pieces) + self.table[self.common[piece]].sum(axis=0)
 
 
 def pack(lengths: list[int], tokens: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:

@@ -15,8 +15,8 @@ from __future__ import annotations
 import math
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -28,7 +28,7 @@ from tidemark.llm.common import documents, with_fields
 
 #: Words that a task remembers in each of two generations: when the new one is full it becomes the old one, and what is met again
 #: moves back. This changes no result.
-MEMORY = 250_000
+MEMORY = 450_000
 #: Fixed values of the unigram tokenizer.
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
@@ -48,6 +48,28 @@ def _byte_signs() -> dict[int, int]:
 _BYTE_SIGNS = _byte_signs()
 
 
+class Memory(dict):
+    """A dict that makes what it lacks, unless the generation before has it."""
+
+    def __init__(self, make, older: dict | None = None):
+        super().__init__()
+        self.make, self.older = make, older or {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def renewed(self) -> Memory:
+        """This one, or when it is full the next generation."""
+        if len(self) <= MEMORY:
+            return self
+        self.older = {}
+        return Memory(self.make, self)
+
+
 class WordTokens:
     _loaded: dict[str, WordTokens] = {}
 
@@ -56,10 +78,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.older, self.older_parts = self.known, self.parts
-        self.numbers = list(range(self.tokenizer.get_vocab_size()))
+        self.known = Memory(self._word)
 
     @classmethod
     def load(cls, path: str | None = None) -> WordTokens:
@@ -71,38 +90,24 @@ class WordTokens:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """The ids of one word. A plain word's parts go to the model itself, since for them the tokenizer's normaliser only lower-cases, and its
-        splitter cuts runs of letters, single digits and runs of signs; any other word goes through the tokenizer."""
-        numbers = self.numbers
+    def _word(self, word: str) -> bytes:
+        """The ids of one word, as bytes. A plain word's parts go to the model itself, since for them the tokenizer's normaliser only
+        lower-cases, and its splitter cuts runs of letters, single digits and runs of signs; any other word goes through the tokenizer."""
         if not _PLAIN.fullmatch(word) or "<|" in word:
-            return tuple([numbers[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
-        out: list[int] = []
-        for part in _PARTS.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.older_parts.get(part)
-                if ids is None:
-                    model = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_SIGNS)
-                    ids = tuple([numbers[t.id] for t in self.tokenizer.model.tokenize(model)])
-                self.parts[part] = ids
-            out += ids
-        return tuple(out)
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        parts = _PARTS.findall(word.lower())
+        if parts != [word]:
+            return b"".join([self.known[part] for part in parts])
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def encode(self, texts: list[str | None], end: int | None = None) -> Iterator[np.ndarray]:
         """The ids of each text, then `end`. Words are split at blanks and line feeds alone, both white space to the tokenizer."""
-        tail = () if end is None else (end,)
+        tail = b"" if end is None else array("I", [end]).tobytes()
         for text in texts:
+            self.known = self.known.renewed()
             words = (text or "").replace("\n", " ").split(" ")
-            if len(self.known) > MEMORY:
-                self.older, self.known = self.known, {}
-            if len(self.parts) > MEMORY:
-                self.older_parts, self.parts = self.parts, {}
-            known, older = self.known, self.older
-            for word in set(words):
-                if word not in known:
-                    known[word] = older.get(word) or self._word(word)
-            yield np.fromiter(chain(chain.from_iterable(map(known.__getitem__, words)), tail), np.uint32)
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)) + tail, np.uint32)
 
 
 def read_vocabulary(path: str | None = None) -> list[tuple[str, float]]:
@@ -127,8 +132,7 @@ class PieceCounter:
         self.automaton.make_automaton()
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown_score = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
-        self.known: dict[str, int] = {}
-        self.older = self.known
+        self.known = Memory(lambda word: self.count_word(SPACE + word))
 
     def count_word(self, word: str) -> int:
         """Matches come by end, the longest first: so of equal scores the earliest start stays."""
@@ -160,13 +164,8 @@ class PieceCounter:
             return 0
         text = text.replace(" ", SPACE)
         words = (text if text[0] == SPACE else SPACE + text)[1:].split(SPACE)
-        if len(self.known) > 2 * MEMORY:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        for word in set(words):
-            if word not in known:
-                known[word] = older.get(word) or self.count_word(SPACE + word)
-        return sum(map(known.__getitem__, words))
+        self.known = self.known.renewed()
+        return sum(map(self.known.__getitem__, words))
 
 
 def count_pieces(docs: DataFrame, model_path: str | None = None) -> DataFrame:
