@@ -56,7 +56,8 @@ def without_trailing_code(name: Column) -> Column:
 
 
 def is_placeholder(name: Column) -> Column:
-    return F.trim(F.coalesce(name, F.lit(""))).rlike(r"(?i)^(?:|tbd|tba|unknown|untitled|unannounced|unnamed|to be (?:announced|determined)|\"[A-Za-z0-9]{1,4}\")\b.{0,12}$")
+    said = F.trim(F.coalesce(name, F.lit("")))
+    return (said == "") | said.rlike(r"(?i)^(?:tbd|tba|unknown|untitled|unannounced|unnamed|to be (?:announced|determined))\b.{0,12}$") | said.rlike(r'^"[A-Za-z0-9]{1,4}"$')
 
 
 def clean_name(name: Column) -> Column:
