@@ -127,8 +127,7 @@ def test_lineage_survives_a_cycle():
     ],
 )
 def test_written_dates(spark, said, kind, first, last):
-    parsed = dates.parse_range(F.col("t"))
-    row = spark.createDataFrame([(said,)], "t string").select(*[v.alias(k) for k, v in parsed.items()]).select("kind", dates.primary().alias("a"), dates.last_day_of().alias("b")).collect()[0]
+    row = dates.parsed_range(spark.createDataFrame([(said,)], "t string"), F.col("t")).select("kind", dates.primary().alias("a"), dates.last_day_of().alias("b")).collect()[0]
     assert (row.kind, row.a and row.a.isoformat(), row.b and row.b.isoformat()) == (kind, first, last)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.schema import MONTHS
+from tidemark.schema import DATE_COLUMNS, MONTHS
 
 
 def primary(prefix: str = "") -> Column:
@@ -68,39 +68,43 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
 
 
-def parse(text: Column) -> dict[str, Column]:
-    """Flat date columns of a written date: ISO, month first, day first, month and year, quarter and year, or year; else unknown."""
-    said = F.trim(F.regexp_replace(text, r"\s+", " "))
-    part = lambda pattern, k: F.nullif(F.regexp_extract(said, pattern, k), F.lit(""))
-    us, eu, my = r"^([A-Za-z]+)\.? (\d{1,2}),? (\d{4})$", r"^(\d{1,2}) ([A-Za-z]+)\.?,? (\d{4})$", r"^([A-Za-z]+)\.? (\d{4})$"
-    iso = F.when(said.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(said, "yyyy-MM-dd"))
-    exact = F.coalesce(iso, _day(part(us, 3), _month(part(us, 1)), part(us, 2)), _day(part(eu, 3), _month(part(eu, 2)), part(eu, 1)))
-    month = _day(part(my, 2), _month(part(my, 1)), F.lit("1"))
-    quarter = r"^[Qq]([1-4]) (\d{4})$"
-    from_quarter = _day(part(quarter, 2), part(quarter, 1).cast("int") * 3 - 2, F.lit("1"))
-    year = _day(part(r"^(\d{4})$", 1), F.lit(1), F.lit("1"))
-    start = F.coalesce(month, from_quarter, year)
-    granularity = F.when(month.isNotNull(), "MONTH").when(from_quarter.isNotNull(), "QUARTER").when(year.isNotNull(), "YEAR")
-    end = F.when(month.isNotNull(), F.last_day(month)).when(from_quarter.isNotNull(), F.last_day(F.add_months(from_quarter, 2))).when(year.isNotNull(), F.last_day(F.add_months(year, 11)))
-    kind = F.when(exact.isNotNull(), "EXACT").when(start.isNotNull(), "WINDOW").otherwise("TBD")
-    return encode(kind, exact, start, end, granularity)
-
+def parsed(df: DataFrame, text: Column, prefix: str = "") -> DataFrame:
+    """df with the flat date columns of a written date: ISO, month first, day first, month and year, quarter and year, or year; else unknown.
 
-def parse_range(text: Column) -> dict[str, Column]:
-    """Like parse, for text that may be a range with a dash or `to` between two dates. Without a later second date the first one stays."""
-    parts = F.split(text, r"\s+(?:-|–|—|to)\s+")
-    first, second = parse(F.element_at(parts, 1)), parse(F.try_element_at(parts, F.lit(2)))
-    spans = (F.size(parts) == 2) & (second["date_exact"] > first["date_exact"])
-    both = F.coalesce(spans, F.lit(False))
-    return {
-        "kind": F.when(both, "RANGE").otherwise(first["kind"]),
-        "date_exact": F.when(~both, first["date_exact"]),
-        "date_start": F.when(both, first["date_exact"]),
-        "date_end": F.when(both, second["date_exact"]),
-        "granularity": first["granularity"],
-        "window_start": first["window_start"],
-        "window_end": first["window_end"],
+    The steps are separate projections, so that each pattern runs once a row.
+    """
+    part = lambda pattern, k: F.nullif(F.regexp_extract("_said", pattern, k), F.lit(""))
+    us, eu, my, quarter = r"^([A-Za-z]+)\.? (\d{1,2}),? (\d{4})$", r"^(\d{1,2}) ([A-Za-z]+)\.?,? (\d{4})$", r"^([A-Za-z]+)\.? (\d{4})$", r"^[Qq]([1-4]) (\d{4})$"
+    iso = F.when(F.col("_said").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("_said", "yyyy-MM-dd"))
+    found = F.struct(
+        F.coalesce(iso, _day(part(us, 3), _month(part(us, 1)), part(us, 2)), _day(part(eu, 3), _month(part(eu, 2)), part(eu, 1))).alias("exact"),
+        _day(part(my, 2), _month(part(my, 1)), F.lit("1")).alias("month"),
+        _day(part(quarter, 2), part(quarter, 1).cast("int") * 3 - 2, F.lit("1")).alias("quarter"),
+        _day(part(r"^(\d{4})$", 1), F.lit(1), F.lit("1")).alias("year"),
+    )
+    exact, month, quart, year = (F.col(f"_found.{k}") for k in ("exact", "month", "quarter", "year"))
+    granularity = F.when(month.isNotNull(), "MONTH").when(quart.isNotNull(), "QUARTER").when(year.isNotNull(), "YEAR")
+    end = F.when(month.isNotNull(), F.last_day(month)).when(quart.isNotNull(), F.last_day(F.add_months(quart, 2))).otherwise(F.last_day(F.add_months(year, 11)))
+    start = F.coalesce(month, quart, year)
+    kind = F.when(exact.isNotNull(), "EXACT").when(start.isNotNull(), "WINDOW").otherwise("TBD")
+    flat = encode(kind, exact, start, end, granularity)
+    rows = df.withColumn("_said", F.trim(F.regexp_replace(text, r"\s+", " "))).withColumn("_found", found)
+    return rows.withColumns({f"{prefix}{k}": v for k, v in flat.items()}).drop("_said", "_found")
+
+
+def parsed_range(df: DataFrame, text: Column) -> DataFrame:
+    """Like parsed, for text that may be a range with a dash or `to` between two days. Without a later second day the first date stays."""
+    rows = df.withColumn("_parts", F.split(text, r"\s+(?:-|–|—|to)\s+"))
+    rows = parsed(parsed(rows, F.element_at("_parts", 1), "_a_"), F.try_element_at("_parts", F.lit(2)), "_b_")
+    rows = rows.withColumn("_both", F.coalesce((F.size("_parts") == 2) & (F.col("_b_date_exact") > F.col("_a_date_exact")), F.lit(False)))
+    both = F.col("_both")
+    out = {c: F.col(f"_a_{c}") for c in DATE_COLUMNS} | {
+        "kind": F.when(both, "RANGE").otherwise(F.col("_a_kind")),
+        "date_exact": F.when(~both, F.col("_a_date_exact")),
+        "date_start": F.when(both, F.col("_a_date_exact")),
+        "date_end": F.when(both, F.col("_b_date_exact")),
     }
+    return rows.withColumns(out).drop("_parts", "_both", *[f"_{s}_{c}" for s in "ab" for c in DATE_COLUMNS])
 
 
 def wording(prefix: str = "") -> Column:

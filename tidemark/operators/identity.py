@@ -52,15 +52,18 @@ def by_name(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """candidate_id, set_id, score: the best name of the game, the oldest of equals. Placeholders match nothing; both having
     codes that differ is a veto."""
     key = lambda df: df.where(~is_placeholder(F.col("name"))).withColumn("key", normal_name(F.col("name"))).where(F.length("key") >= MIN_NAME).withColumn("c", normal_code(F.col("code")))
-    a, b = key(candidates).alias("a"), key(sets).alias("b")
+    a, b = key(candidates), key(sets).groupBy("game", "name", "key", "c").agg(F.min(F.struct("created", "set_id")).alias("first"))
+    # Names repeat: each pair of different spellings is scored once, then candidates and sets join it.
+    na, nb = a.select("game", "name", "key").distinct(), b.select("game", "name", "key").distinct()
+    exact = na.alias("x").join(nb.alias("y"), ["game", "key"]).select("game", F.col("x.name").alias("x"), F.col("y.name").alias("y"), F.lit(1.0).alias("score"))
+    word = F.explode(tokens(F.col("name"))).alias("w")
+    shared = na.select("game", F.col("name").alias("x"), word).join(nb.select("game", F.col("name").alias("y"), word), ["game", "w"]).select("game", "x", "y").distinct()
+    fuzzy = shared.withColumn("score", similarity(F.col("x"), F.col("y"))).where(F.col("score") >= SIMILARITY_AT)
+    scored = exact.unionByName(fuzzy).groupBy("game", "x", "y").agg(F.max("score").alias("score"))
+    met = a.alias("a").join(scored.alias("s"), F.expr("a.game = s.game AND a.name = s.x")).join(b.alias("b"), F.expr("s.game = b.game AND s.y = b.name"))
     no_veto = F.col("a.c").isNull() | F.col("b.c").isNull() | (F.col("a.c") == F.col("b.c"))
-    exact = a.join(b, (F.col("a.game") == F.col("b.game")) & (F.col("a.key") == F.col("b.key"))).where(no_veto).select("a.candidate_id", "b.set_id", "b.created", F.lit(1.0).alias("score"))
-    wa = key(candidates).withColumn("w", F.explode(tokens(F.col("name")))).alias("a")
-    wb = key(sets).withColumn("w", F.explode(tokens(F.col("name")))).alias("b")
-    shared = wa.join(wb, (F.col("a.game") == F.col("b.game")) & (F.col("a.w") == F.col("b.w"))).where(no_veto).groupBy("a.candidate_id", "b.set_id").agg(F.first("a.name").alias("x"), F.first("b.name").alias("y"), F.first("b.created").alias("created"))
-    fuzzy = shared.withColumn("score", similarity(F.col("x"), F.col("y"))).where(F.col("score") >= SIMILARITY_AT).select("candidate_id", "set_id", "created", "score")
-    order = Window.partitionBy("candidate_id").orderBy(F.col("score").desc(), "created", "set_id")
-    return exact.union(fuzzy).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("candidate_id", "set_id", "score")
+    best = met.where(no_veto).groupBy("a.candidate_id").agg(F.min(F.struct(-F.col("s.score"), "b.first")).alias("m"))
+    return best.select("candidate_id", F.col("m.first.set_id").alias("set_id"), (-F.col("m")["col1"]).alias("score"))
 
 
 def resolve(candidates: DataFrame, sets: DataFrame, identities: DataFrame) -> DataFrame:

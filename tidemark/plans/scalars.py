@@ -31,8 +31,8 @@ def _written():
     days=("date_exact", "window_start", "window_end"),
 )
 def date_parsing(spark, sf_dir):
-    parsed = f.parse(_written())
-    return d.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), *[parsed[c].alias(c) for c in ("kind", "date_exact", "granularity", "window_start", "window_end")])
+    rows = d.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), _written().alias("text"))
+    return f.parsed(rows, F.col("text")).select("id", "kind", "date_exact", "granularity", "window_start", "window_end")
 
 
 @query(
@@ -44,8 +44,8 @@ def date_ranges(spark, sf_dir):
     """Forward ranges are ranges; reversed and open-ended ones keep their start."""
     day, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 3
     text = F.when(k == 0, F.concat(day.cast("string"), F.lit(" to "), F.date_add(day, 4).cast("string"))).when(k == 1, F.concat(day.cast("string"), F.lit(" – "), F.date_sub(day, 4).cast("string"))).otherwise(F.concat(day.cast("string"), F.lit(" to later")))
-    parsed = f.parse_range(text)
-    return d.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), *[parsed[c].alias(c) for c in ("kind", "date_exact", "date_start", "date_end")])
+    rows = d.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"))
+    return f.parsed_range(rows, F.col("text")).select("id", "kind", "date_exact", "date_start", "date_end")
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.dates import parse
+from tidemark.functions.dates import parsed
 
 
 @F.pandas_udf(T.BinaryType())
@@ -158,7 +158,7 @@ def table_rows(pages: DataFrame, html: str, name_headers: list[str], date_header
     cells = found.withColumn("row", F.explode(F.slice("grid", 2, F.greatest(F.size("grid") - 1, F.lit(1)))))
     real = cells.where((F.size(F.array_distinct("row")) > 1) & (F.transform("row", plain) != F.col("head")))
     rows = real.withColumns({"name": F.element_at("row", F.col("_n").cast("int")), "date_text": F.element_at("row", F.col("_d").cast("int"))})
-    return rows.select(*pages.columns, "name", "date_text", *[v.alias(k) for k, v in parse(F.col("date_text")).items()])
+    return parsed(rows.select(*pages.columns, "name", "date_text"), F.col("date_text"))
 
 
 def page_yield(rows: DataFrame, key: str) -> DataFrame:
