@@ -218,7 +218,7 @@ def fit(docs: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Network:
     for s in samples[1:]:
         sample = sample.unionByName(s)
     sample = F.broadcast(sample.withColumnRenamed("lang", "_lang"))
-    texts = usable.select("doc_id", "lang", F.substring("text", 1, 4000).alias("text")).join(sample, "doc_id").where("lang = _lang")
+    texts = usable.select("doc_id", "lang", "text").join(sample, "doc_id").where("lang = _lang")
     rows = texts.select("doc_id", "text", "lang").orderBy("doc_id", "lang", "text").limit(max_training_rows).toArrow()
     return train(rows["text"].to_pylist(), rows["lang"].to_pylist())
 
