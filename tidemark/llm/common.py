@@ -53,6 +53,12 @@ def fold_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def hash_bound(limit: int, rows: int) -> int:
+    """A bound on xxhash64 that several times `limit` of so many rows stay below: what is sorted for a sample then doesn't grow with the table."""
+    share = min(1.0, max(4 * limit, limit + 1000) / max(rows, 1))
+    return min(2**63 - 1, int(-(2**63) + share * 2**64))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. A text of one-byte characters has no other upper case, so lower() does there."""
     one_byte = F.octet_length(text) == F.char_length(text)

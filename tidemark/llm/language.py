@@ -15,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import documents, fold_mod, with_fields
+from tidemark.llm.common import documents, fold_mod, hash_bound, with_fields
 
 #: At most so many labelled documents are used for training, those first in a seeded order for each language.
 MAX_TRAINING_ROWS = 1_500
@@ -209,15 +209,15 @@ def fit(docs: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Network:
     """Train on labelled documents outside the held-out fold. From each language come its first documents in a seeded
     order; ids alone decide, so the sample is small before texts are fetched."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold_mod("doc_id", HELD_OUT_FOLDS) != HELD_OUT))
-    names = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
-    per_name = max(1, max_training_rows // max(1, len(names)))
-    samples = [usable.where(F.col("lang") == n).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_name) for n in names]
-    if not samples:
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not counts:
         return train([], [])
-    sample = samples[0]
-    for s in samples[1:]:
-        sample = sample.unionByName(s)
-    sample = F.broadcast(sample.withColumnRenamed("lang", "_lang"))
+    each = max(1, max_training_rows // len(counts))
+    bounds = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, hash_bound(each, n))])
+    near = usable.select("doc_id", "lang").where(F.xxhash64("doc_id") <= F.element_at(bounds, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("doc_id", F.col("lang").alias("_lang"))
+    sample = F.broadcast(sample.limit(max_training_rows + len(counts)))
     texts = usable.select("doc_id", "lang", "text").join(sample, "doc_id").where("lang = _lang")
     rows = texts.select("doc_id", "text", "lang").orderBy("doc_id", "lang", "text").limit(max_training_rows).toArrow()
     return train(rows["text"].to_pylist(), rows["lang"].to_pylist())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import documents, fold_mod, fresh, table, with_fields
+from tidemark.llm.common import documents, fold_mod, fresh, hash_bound, table, with_fields
 
 #: At most so many labelled rows are used for training, those first in a seeded order.
 MAX_TRAINING_ROWS = 20_000
@@ -150,7 +150,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Trees:
     """Train on labelled rows outside the held-out fold. The sample is at most max_training_rows ids, so it may be broadcast."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_mod("doc_id", HELD_OUT_FOLDS) != 0))
-    sample = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_training_rows)
+    below = F.xxhash64("doc_id") <= hash_bound(max_training_rows, usable.count())
+    sample = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(below).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_training_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").mapInArrow(_features, "doc_id long, quality int, x array<float>").orderBy("doc_id", "quality").limit(max_training_rows).toArrow()
     if not rows.num_rows:
         return train(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))
