@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.schema import STOP_WORDS
+from tidemark.schema import SEQUENCE_LABEL, STOP_WORDS, TRAILING_CODE
 
 
 def normal_name(name: Column) -> Column:
@@ -29,10 +29,6 @@ def code_in_name(name: Column) -> Column:
     return normal_code(F.coalesce(F.nullif(lead, F.lit("")), F.nullif(tail, F.lit(""))))
 
 
-SEQUENCE_LABEL = r"(?i)^(?:set|series|volume|vol|chapter|part)\s*#?(\d+)\s*[:\-–—]\s*"
-TRAILING_CODE = r"\s+(?=[A-Z0-9]*[A-Z])[A-Z0-9]{2,5}$"
-
-
 def words(name: Column) -> Column:
     """Lower-case words without brackets and without the label of a sequence."""
     plain = F.regexp_replace(F.regexp_replace(name, r"\([^)]*\)", " "), SEQUENCE_LABEL, " ")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import is_past, weekday_before
-from tidemark.schema import AGREEMENT_DAYS, MAX_LEAD_DAYS, SLOTS
+from tidemark.schema import AGREEMENT_DAYS, MAIN_EXPANSION, MAX_LEAD_DAYS, NOT_A_BOOSTER, SLOTS
 
 
 def slots(spark) -> DataFrame:
@@ -16,15 +16,13 @@ def slots(spark) -> DataFrame:
 
 def product_has_prerelease(game: Column, code: Column, name: Column, kind: Column) -> Column:
     """Positive evidence by game: a kind, a shape of code, or a shape of name."""
-    era = r"(?i)^(?:[A-Z]{2,3}\d{0,2}:\s*)?(?:mega evolution|scarlet\s*(?:&|and)\s*violet|sword\s*(?:&|and)\s*shield|sun\s*(?:&|and)\s*moon|xy)\s*[—–:-]"
-    other = r"(?i)\b(?:decks?|packs?|tins?|collections?|collaborations?|starter|structure|duelist|battle|tournament|winner'?s|celebration|promo)\b"
     code, name = F.trim(F.coalesce(code, F.lit(""))), F.trim(F.coalesce(name, F.lit("")))
     return (
         F.when(game == "magic-the-gathering", F.coalesce(kind.isin("expansion", "core"), F.lit(False)))
         .when(game == "disney-lorcana", code.rlike(r"^\d{1,2}$"))
         .when(game == "one-piece-tcg", code.rlike(r"(?i)^OP-?\d{1,2}$"))
-        .when(game == "pokemon-tcg", name.rlike(era))
-        .when(game == "yugioh-tcg", code.rlike("^[A-Z]{4}$") & ~name.rlike(other))
+        .when(game == "pokemon-tcg", name.rlike(MAIN_EXPANSION))
+        .when(game == "yugioh-tcg", code.rlike("^[A-Z]{4}$") & ~name.rlike(NOT_A_BOOSTER))
         .otherwise(False)
     )
 

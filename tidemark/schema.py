@@ -40,6 +40,12 @@ SLOTS = [
 ]
 GAMES = ["magic-the-gathering", "pokemon-tcg", "yugioh-tcg", "one-piece-tcg", "disney-lorcana"]
 
+# Patterns of names, in Java's syntax.
+SEQUENCE_LABEL = r"(?i)^(?:set|series|volume|vol|chapter|part)\s*#?(\d+)\s*[:\-–—]\s*"
+TRAILING_CODE = r"\s+(?=[A-Z0-9]*[A-Z])[A-Z0-9]{2,5}$"
+MAIN_EXPANSION = r"(?i)^(?:[A-Z]{2,3}\d{0,2}:\s*)?(?:mega evolution|scarlet\s*(?:&|and)\s*violet|sword\s*(?:&|and)\s*shield|sun\s*(?:&|and)\s*moon|xy)\s*[—–:-]"
+NOT_A_BOOSTER = r"(?i)\b(?:decks?|packs?|tins?|collections?|collaborations?|starter|structure|duelist|battle|tournament|winner'?s|celebration|promo)\b"
+
 #: A date is a day, a range, a window (month, quarter, year) or unknown; these columns hold it flat.
 DATE_COLUMNS = ["kind", "date_exact", "date_start", "date_end", "granularity", "window_start", "window_end"]
 
