@@ -13,6 +13,7 @@ further columns are ignored by `dedup_report` and kept by `drop_copies`.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ def _slot(hashed: Column, depth: int = MAX_DEPTH) -> Column:
 def directory(slot_counts: dict[int, int], capacity: int) -> list[int]:
     """First finest slot of each bucket. Start with one bucket; double the directory while a bucket overflows, and
     split the overfull ones in halves."""
-    buckets, depth = {0: sum(slot_counts.values())}, 0
-    width = 1 << MAX_DEPTH
+    before = list(accumulate((slot_counts.get(s, 0) for s in range(1 << MAX_DEPTH)), initial=0))
+    buckets, depth = {0: before[-1]}, 0
     while depth < MAX_DEPTH and any(n > capacity for n in buckets.values()):
         depth, halves = depth + 1, {}
         half = 1 << (MAX_DEPTH - depth)
@@ -53,14 +54,15 @@ def directory(slot_counts: dict[int, int], capacity: int) -> list[int]:
             if n <= capacity:
                 halves[start] = n
                 continue
-            upper = sum(n for s, n in slot_counts.items() if start + half <= s < min(width, start + 2 * half))
+            upper = before[start + 2 * half] - before[start + half]
             halves |= {start: n - upper, start + half: upper}
         buckets = halves
     return sorted(buckets)
 
 
 def _bucket(hashed: Column, starts: list[int]) -> Column:
-    """The number of the bucket whose range holds the hash: an array of at most 2 ** 16 numbers, one per slot, in a tree of ranges."""
+    """The number of the bucket whose range holds the hash: a tree of ranges, or for many buckets an array of 2 ** 16 numbers, one per
+    slot, which is written as one text so that it folds to one literal."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -75,7 +77,7 @@ def _bucket(hashed: Column, starts: list[int]) -> Column:
     for s in range(1 << MAX_DEPTH):
         at += at + 1 < len(starts) and starts[at + 1] <= s
         by_slot.append(at)
-    return F.element_at(F.lit(by_slot), slot.cast("int") + 1)
+    return F.element_at(F.split(F.lit(",".join(map(str, by_slot))), ",").cast("array<int>"), slot.cast("int") + 1)
 
 
 def build_index(docs: DataFrame, bucket_capacity: int = BUCKET_CAPACITY) -> ExactIndex:
