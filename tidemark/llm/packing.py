@@ -1,6 +1,6 @@
 """Lexical retrieval packing.
 
-Documents are dealt to shards by a hash of their id. Each shard holds its documents' tokens in a BM25 inverted index.
+Documents are dealt to shards by a hash of id and text, so rows without an id spread out too. Each shard holds its documents' tokens in a BM25 inverted index.
 The longest unused piece seeds a window; the index returns its unused neighbours by score, and they fill the window
 greedily, whole if they fit. When none fits, the best neighbour is cut to fill the window exactly, and its rest stays
 in the shard as a piece of its own. So a shard pads its last window and what is less than MIN_CUT elsewhere.
@@ -116,7 +116,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
             for k, sequence in enumerate(pack([len(t) for t in tokens], tokens, window)):
                 offset = 0
                 for d, start, n in sequence:
-                    rows.append((ids[d], start, n, zlib.crc32(tokens[d][start : start + n].astype("<u4").tobytes()), len(tokens[d]), (shard << 32) + (part << 24) + k, offset))
+                    rows.append((ids[d], start, n, zlib.crc32(tokens[d][start : start + n].astype("<u4").tobytes()), len(tokens[d]), (shard << 40) + (part << 20) + k, offset))
                     offset += n
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
@@ -132,7 +132,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         if ids:
             yield flush(shard, part, ids, tokens)
 
-    shard = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(shards)).cast("int")
     dealt = docs.select(shard.alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "text")
     return dealt.mapInArrow(packed, SCHEMA)
 
