@@ -85,7 +85,7 @@ def pack(lengths: list[int], tokens: list[np.ndarray], window: int = WINDOW) ->
         if room:
             score = index.scores(int(seed))
             near = np.flatnonzero(left)
-            near = near[np.lexsort((near, -score[near]))]
+            near = near[np.argsort(-score[near], kind="stable")]
         while room and len(near):
             fits = left[near] <= room
             best = int(fits.argmax())
