@@ -167,6 +167,34 @@ def test_planted_passages(make, odd, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [1, 12])
+def test_passage_whose_seeds_have_other_leaders(make, crowd):
+    """Each half of the passage is led by older documents that have 40 words of it only; with a crowd, every short seed is hot."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    own = lambda: [word() for _ in range(50)]
+    passage = own() + own()[:10]
+    texts = [own() + passage[:40] + own() for _ in range(crowd)] + [own() + passage[20:] + own() for _ in range(crowd)]
+    b, c = len(texts), len(texts) + 1
+    texts += [own() + passage + own() for _ in range(2)]
+    found = passages.repeated_passages(make(*[" ".join(t) for t in texts])).collect()
+    assert [(r.doc_id, r.first_doc_id, r.start, r.end) for r in found] == [(c, b, 50, 110)]
+
+
+def test_passage_of_frequent_lines(make):
+    """Ten lines are in all documents, in two documents in one order."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    lines = [[word() for _ in range(8)] for _ in range(10)]
+    texts = []
+    for _ in range(30):
+        texts.append([w for line in rnd.sample(lines, 10) for w in [*line, word()]])
+    shared = [w for line in lines for w in line]
+    texts += [[word() for _ in range(50)] + shared + [word() for _ in range(50)] for _ in range(2)]
+    found = passages.repeated_passages(make(*[" ".join(t) for t in texts])).collect()
+    assert (31, 30) in {(r.doc_id, r.first_doc_id) for r in found}
+
+
 def test_components(spark):
     from tidemark.llm.graph import components
 
