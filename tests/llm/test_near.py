@@ -167,6 +167,31 @@ def test_planted_passages(make, odd, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_passages_with_changed_words(make):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    texts, wanted = [], set()
+    for n in (60, 80, 100):
+        for changed in [range(0, n, 6), range(4, n, 5), *(sorted(rnd.sample(range(n), n * share // 100)) for share in (5, 10, 10, 15, 15) for _ in range(2))]:
+            passage = [word() for _ in range(n)]
+            copy = [word() if k in changed else w for k, w in enumerate(passage)]
+            wanted.add((len(texts) + 1, len(texts)))
+            texts += [[word() for _ in range(40)] + p + [word() for _ in range(40)] for p in (passage, copy)]
+    found = passages.repeated_passages(make(*[" ".join(t) for t in texts])).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in found} == wanted
+    for r in found:
+        assert r.words >= 45 and r.identity >= 0.8
+
+
+def test_stretches_of_a_long_chain():
+    rnd = np.random.default_rng(2)
+    x = rnd.integers(0, 2**32, 300, dtype=np.uint32)
+    y = x.copy()
+    y[[*range(0, 100, 2), *range(160, 300, 2)]] = 0
+    low, high, *_, length, equal = passages.stretches(x, y, np.array([[101, 120, 150], [101, 120, 150]], np.int32))[0]
+    assert low <= 100 and high >= 160 and length == high - low and equal >= 0.8 * length
+
+
 @pytest.mark.parametrize("crowd", [1, 12])
 def test_passage_whose_seeds_have_other_leaders(make, crowd):
     """Each half of the passage is led by older documents that have 40 words of it only; with a crowd, every short seed is hot."""
