@@ -11,6 +11,7 @@ from tidemark.functions import dates, text
 from tidemark.operators import derive, gate, identity, snapshots
 from tidemark.operators.delivery import add_to_calendar, digest_text, ics_calendars
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
+from tidemark.sources import domain
 from tidemark.schema import ORIGINS
 from tidemark.sources import payloads
 
@@ -214,3 +215,14 @@ def test_text_edges(spark):
     row = spark.createDataFrame([("Été — Pokémon!", None, "  \"Foo_bar\" ")], "a string, b string, c string").select(text.slug(text.folded(F.col("a"))).alias("s"), text.normal_code(F.lit("x")).alias("c"), text.clean_name(F.col("c")).alias("n"), text.is_placeholder(F.lit("TBA")).alias("p"), text.is_placeholder(F.lit("Untamed Seas")).alias("q")).collect()[0]
     assert (row.s, row.c, row.n, row.p, row.q) == ("ete-pokemon", None, "Foo bar", True, False)
     assert datetime(2024, 1, 1) and text.host(F.lit("x")) is not None
+
+
+@pytest.mark.parametrize("name,column", [("live_claim_places", "event_id"), ("lead_time_reminders_all", "user_id")])
+def test_whole_tables_are_covered(spark, sf, name, column):
+    """No fixed range or remainder of ids."""
+    got = {r[0] for r in QUERIES[name](spark, sf).select(column).collect()}
+    assert len({i % 50 for i in got}) > 1 and max(got) - min(got) > 0
+    if name != "lead_time_reminders_all":
+        claims = domain.claims(spark, sf)
+        claims = claims.where("live") if name == "live_claim_places" else claims
+        assert got == {r[0] for r in claims.select(column).distinct().collect()}

@@ -192,6 +192,17 @@ def reminders(spark, sf_dir):
     return d.subscriptions(spark, sf_dir).where("alerts AND user_id % 50 = 3").join(due, "install_id").select("user_id", "event_id")
 
 
+@query(
+    "lead_time_reminders_all",
+    "SELECT user_id, event_id FROM subscriptions JOIN product_sets USING (install_id) JOIN release_events USING (set_id) WHERE premium AND alerts AND date_exact = DATE '1998-04-01' + CAST(user_id % 14 + 1 AS INTEGER)",
+)
+def all_reminders(spark, sf_dir):
+    """Every premium subscriber with alerts, each with their own number of days, 1 to 14."""
+    due = d.release_events(spark, sf_dir).join(d.product_sets(spark, sf_dir), "set_id").select("install_id", "event_id", "date_exact")
+    users = d.subscriptions(spark, sf_dir).where("premium AND alerts").select("install_id", "user_id", F.expr("date_add(DATE '1998-04-01', CAST(user_id % 14 + 1 AS INT))").alias("date_exact"))
+    return users.join(due, ["install_id", "date_exact"]).select("user_id", "event_id")
+
+
 @query(
     "notification_fan_out",
     """SELECT event_id, count(*) AS recipients FROM (

@@ -16,6 +16,13 @@ def review_queue(spark, sf_dir):
     return rows.select("event_id", F.posexplode("claims").alias("place", "c")).select("event_id", "place", "c.origin", "c.claim_date")
 
 
+@query("live_claim_places", "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY origin, run, ref, claim_date) - 1 AS INTEGER) AS place, origin, claim_date FROM claims WHERE live", days=("claim_date",))
+def live_claim_places(spark, sf_dir):
+    """Each live claim of all events with its index."""
+    rows = d.claims(spark, sf_dir).where("live").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("origin", "run", "ref", "claim_date"))).alias("claims"))
+    return rows.select("event_id", F.posexplode("claims").alias("place", "c")).select("event_id", "place", "c.origin", "c.claim_date")
+
+
 @query("nested_set", "SELECT set_id, name, slug, count(*) AS events, min(event_id) AS first_event FROM release_events JOIN product_sets USING (set_id) JOIN installs USING (install_id) GROUP BY set_id, name, slug")
 def nested_set(spark, sf_dir):
     """Sets with their events and install nested, then read through the nesting."""
