@@ -217,7 +217,7 @@ def test_text_edges(spark):
     assert datetime(2024, 1, 1) and text.host(F.lit("x")) is not None
 
 
-@pytest.mark.parametrize("name,column", [("live_claim_places", "event_id"), ("lead_time_reminders_all", "user_id")])
+@pytest.mark.parametrize("name,column", [("first_pin_wins_all", "ref"), ("live_claim_places", "event_id"), ("lead_time_reminders_all", "user_id")])
 def test_whole_tables_are_covered(spark, sf, name, column):
     """No fixed range or remainder of ids."""
     got = {r[0] for r in QUERIES[name](spark, sf).select(column).collect()}

@@ -27,6 +27,15 @@ def first_pin_wins(spark, sf_dir):
     return snapshots.insert_absent(old, pins.where("event_id BETWEEN 100 AND 400"), ["origin", "ref"], ["event_id"])
 
 
+@query("first_pin_wins_all", "SELECT origin, ref, event_id FROM (SELECT *, row_number() OVER (PARTITION BY origin, ref ORDER BY later, event_id) AS r FROM (SELECT DISTINCT origin, ref, event_id, run > 1 AS later FROM claims)) WHERE r = 1")
+def first_pin_wins_all(spark, sf_dir):
+    """All claims: those of the first run are the old pins, all later runs bring new ones."""
+    pins = d.claims(spark, sf_dir).select("origin", "ref", "event_id", "run")
+    old = pins.where("run = 1").drop("run").distinct()
+    first = snapshots.insert_absent(old.where("false"), old, ["origin", "ref"], ["event_id"])
+    return snapshots.insert_absent(first, pins.where("run > 1").drop("run").distinct(), ["origin", "ref"], ["event_id"])
+
+
 @query("claims_idempotent", "SELECT event_id, origin, run, claim_date, weight FROM (SELECT *, row_number() OVER (PARTITION BY event_id, origin, run ORDER BY ref DESC, claim_date DESC, weight DESC) AS r FROM claims) WHERE r = 1", days=("claim_date",))
 def claims_idempotent(spark, sf_dir):
     """The same run written twice is written once; of an origin's two claims in a run the last stays."""
