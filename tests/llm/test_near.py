@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -12,22 +12,27 @@ def shingles(text):
     return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def brute(rows):
-    """doc_id -> (size, smallest id that links reach)."""
+def brute_rows(rows):
+    """Of each row (id, size, smallest id that links reach); rows that share an id are rows of their own."""
     rows = [(i, shingles(t)) for i, t in rows]
-    root = {i: i for i, _ in rows}
+    root = list(range(len(rows)))
 
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
 
     for k, (i, a) in enumerate(rows):
-        for j, b in rows[:k]:
-            if a and b and 100 * len(a & b) >= 75 * len(a | b):
-                x, y = sorted((top(i), top(j)))
+        for m, (j, b) in enumerate(rows[:k]):
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((top(k), top(m)), key=lambda n: (rows[n][0], n))
                 root[y] = x
-    return {i: (len(s), top(i)) for i, s in rows}
+    return [(i, len(s), rows[top(k)][0]) for k, (i, s) in enumerate(rows)]
+
+
+def brute(rows):
+    """doc_id -> (size, smallest id that links reach)."""
+    return {i: (n, top) for i, n, top in brute_rows(rows)}
 
 
 def corpus(seed, groups=12, size=60):
@@ -101,13 +106,55 @@ def test_layouts_use_neighbourhoods_where_they_are_cheaper():
 
 
 def test_odd_and_empty(odd, none):
-    got = jaccard.near_duplicates(odd.where("doc_id IS NOT NULL")).collect()
-    want = brute([(r.doc_id, r.text) for r in odd.where("doc_id IS NOT NULL").collect()])
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == odd.where("doc_id IS NOT NULL").count()
-    assert {r.component_id for r in jaccard.near_duplicates(odd).where("doc_id IS NULL").collect()} == {None}
+    got = jaccard.near_duplicates(odd).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_rows([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]))
+    assert jaccard.near_duplicates(none).count() == 0 and jaccard.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("hot", [48, 1])
+def test_ids_that_repeat_with_different_texts(spark, hot):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    bases = [[word() for _ in range(80)] for _ in range(6)]
+    rows = []
+    for k in range(60):
+        new = list(rnd.choice(bases))
+        for _ in range(rnd.randint(0, 4)):
+            new[rnd.randrange(80)] = word()
+        rows.append((rnd.randrange(12), " ".join(new)))
+    rows += rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.near_duplicates(docs, hot=hot, block=4).collect())) == Counter(brute_rows(rows))
+
+
+def test_keep_one_keeps_one_row_of_each_component(spark, odd):
+    z, other, changed = (" ".join(f"{c}{k}" for k in range(40)) for c in "zab")
+    near = changed.replace("b39", "b40")
+    rows = [(1, z, "x"), (5, z, "x"), (5, other, "y"), (7, changed, "z"), (7, near, "z"), (7, near, "z"), (8, "", "e"), (8, "", "e"), (None, z, "n"), (None, None, "n")]
+    left = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, own string"))
+    got = Counter(map(tuple, left.collect()))
+    (seven,) = [r for r in got if r[0] == 7]
+    assert got == Counter([(1, z, "x"), (5, other, "y"), seven, (8, "", "e"), (8, "", "e"), (None, z, "n"), (None, None, "n")])
     left = jaccard.keep_one(odd)
     assert left.columns == odd.columns
-    assert jaccard.near_duplicates(none).count() == 0 and jaccard.keep_one(none).count() == 0
+    tops = [(i, n, top) for i, n, top in brute_rows([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()])]
+    assert left.count() == sum(1 for i, n, _ in tops if not n or i is None) + _components_of(odd)
+
+
+def _components_of(odd):
+    """Components of rows with shingles and id, by their texts."""
+    texts = sorted({(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect() if r.doc_id is not None and shingles(r.text)})
+    sets, found = [shingles(t) for _, t in texts], 0
+    seen = set()
+    for k in range(len(sets)):
+        if k not in seen:
+            found, stack = found + 1, [k]
+            while stack:
+                x = stack.pop()
+                if x not in seen:
+                    seen.add(x)
+                    stack += [y for y in range(len(sets)) if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])]
+    return found
 
 
 def naive_chain_score(a, b):

@@ -7,15 +7,17 @@ layout of its own band and of the lower bands that hold possible partners, and a
 layout's count asks. Where that is cheaper, some segments of a layout also index their one-deletion neighbourhood, and
 then stand for two units of difference. `layout` chooses both numbers by a model of the cost.
 
-A segment that more than HOT documents share is not paired up. A document that misses too many of its segments so, or has too many
-empty ones, is set apart; only pairs of two such documents are still open. They meet under finer layouts in groups, and
-a group is verified whole, in blocks: its members are compared until all are known to be linked, or not, to the group's largest component.
+A segment that more than HOT documents share is not paired up; a task that sees it more often sends on HOT + 1 of its entries and counts the rest. A
+document that misses too many of its segments so, or has too many empty ones, is set apart; only pairs of two such documents are still open. They
+meet under finer layouts in groups, and a group is verified whole, in blocks: members are dealt to blocks twice, which ties near copies
+together, and what is then outside the group's largest component is compared with all of the group.
 
-Every link is verified on the sets themselves. Documents with equal sets are one class, represented by the smallest id.
+Every link is verified on the sets themselves. Rows with equal sets are one class. A class has a number of its own, in the order of its
+smallest doc_id, and its text is that of one row; ids need not be unique.
 
 Defined cases: a null text, or one without words, has no shingles and links with nothing; fewer words than five are one shingle; a
-null doc_id keeps its size and has component null; rows that repeat a doc_id give that id's rows each; an empty table gives an empty
-result; further columns are ignored by `near_duplicates` and kept by `keep_one`.
+null doc_id keeps its size and has component null; rows that share a doc_id are documents of their own, which link by their own texts; an
+empty table gives an empty result; further columns are ignored by `near_duplicates` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ WORDS = 5
 #: A segment shared by more documents than this is hot.
 HOT = 48
 #: Documents with different sets for each shard of the index, in a group of work inside a task, and in a block of the verification.
-SHARD_DOCS, CHUNK_DOCS, CHUNK_TOKENS, BLOCK = 8192, 4096, 3_000_000, 1024
+SHARD_DOCS, CHUNK_DOCS, CHUNK_TOKENS, BLOCK, BLOCK_TOKENS = 8192, 4096, 3_000_000, 1024, 2_000_000
 BAND_RATIO = 1.5
 #: Odd multipliers, one for each word of a shingle.
 _MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(bytes([k])) | 1 for k in range(WORDS)], np.uint64)
@@ -168,11 +170,49 @@ def bands_for(n: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield band, some
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    make = Shingles()
+def blobs(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The bytes of each stretch of values, given where the stretches begin."""
+    ends = (np.r_[begin, len(values)] * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def places(shard: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For entries sorted by shard: the slots that each shard uses, where a shard's used slots begin, and each entry's place among them."""
+    pair = shard.astype(np.int64) * (int(slot.max()) + 1) + slot
+    used, of = np.unique(pair, return_inverse=True)
+    first = starts_of(used // (int(slot.max()) + 1))
+    each = np.searchsorted(first, np.arange(len(used)), side="right") - 1
+    return used % (int(slot.max()) + 1), first, of - first[each[of]]
+
+
+def shard_of(sig: np.ndarray, shards: int) -> np.ndarray:
+    return (((sig >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, str]]:
+    """Number and text of the rows of a sorted stream; rows that repeat a number come once."""
+    last = None
     for batch in batches:
-        sets = [make.of(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+        for i, text in zip(batch.column(column).to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if i != last:
+                yield i, text
+            last = i
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make, rows = Shingles(), []
+    for i, text in _distinct(batches, "cls"):
+        rows.append((i, make.of(text).tobytes()))
+        if len(rows) >= 2000:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cls", "shingles"])
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cls", "shingles"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +220,23 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [make.of(t) for t in batch.column("text").to_pylist()]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "key"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "th", "n_shingles", "key"])
+
+
+INDEX = "shard int, who long, lost long, spare_left long, ids binary, asked binary, spare binary, unit binary, sig binary, slot binary"
 
 
-def _indexed(shards: int):
-    """Rows of a shard: slots (a document under a layout: id, units asked, spare units) and the signatures with their slots."""
+def _indexed(shards: int, hot: int):
+    """Rows of a shard: slots (a class under a layout: its number, units asked, spare units, units of an entry) and the signatures with their slots. Rows without a
+    shard: a class that is set apart, or with `lost` the units that it has in signatures which this task knows to be hot."""
+    names = [x.split()[0] for x in INDEX.split(", ")]
 
-    def emit(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
+    def alone(who: np.ndarray, lost: np.ndarray | None, spare: np.ndarray | None) -> pa.RecordBatch:
+        n = len(who)
+        some = [pa.nulls(n, pa.int64()) if x is None else pa.array(x.astype(np.int64)) for x in (lost, spare)]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(who), *some, *[pa.nulls(n, pa.binary())] * 6], names)
+
+    def emit(ids: list[int], sets: list[np.ndarray], known: set[int]) -> Iterator[pa.RecordBatch]:
         n = np.array([len(s) for s in sets])
         asked = np.array([layout(int(b))[2] for b in range(int(band_of(n).max()) + 1)])
         ids = np.array(ids, np.int64)
@@ -195,44 +245,48 @@ def _indexed(shards: int):
         for band, some in bands_for(n):
             sig, of, room = signatures([sets[i] for i in some], band)
             spare = room - differences(n[some], band) - layout(band)[2]
-            yield from ((None, int(ids[i]), None, None, None, None, None) for i in some[spare < 0])
+            if (spare < 0).any():
+                yield alone(ids[some[spare < 0]], None, None)
             slots.append((ids[some], asked[band_of(n[some])], spare, np.full(len(some), 1 + (layout(band)[1] > 0))))
             found.append(sig)
             whose.append(of + base)
             base += len(some)
-        slots = [np.concatenate(x) for x in zip(*slots, strict=True)]
+        ids, asked, spare, unit = [np.concatenate(x) for x in zip(*slots, strict=True)]
         sig, of = np.concatenate(found), np.concatenate(whose)
-        shard = ((sig >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-        order = np.argsort(shard, kind="stable")
-        sig, of, shard = sig[order].astype(np.uint32), of[order], shard[order]
-        ends = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-        for k in range(shards):
-            if ends[k] < ends[k + 1]:
-                s, o = sig[ends[k] : ends[k + 1]], of[ends[k] : ends[k + 1]]
-                used, o = np.unique(o, return_inverse=True)
-                yield (k, None, slots[0][used].tobytes(), slots[1][used].astype(np.uint16).tobytes(), np.clip(slots[2][used], -1, 30000).astype(np.int16).tobytes() + slots[3][used].astype(np.int16).tobytes(), s.tobytes(), o.astype(np.uint16).tobytes())
-
-    names = ["shard", "apart", "ids", "asked", "spare", "sig", "slot"]
-    types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        order = np.argsort(sig, kind="stable")
+        sig, of = sig[order], of[order]
+        begin = starts_of(sig)
+        width = np.diff(np.r_[begin, len(sig)])
+        rank = np.arange(len(sig)) - np.repeat(begin, width)
+        counted = np.repeat(width > hot, width) & (rank > hot)
+        if known:
+            counted |= np.isin(sig, np.fromiter(known, np.uint64, len(known)))
+        known.update(sig[begin[width > hot]].tolist())
+        if counted.any():
+            at, times = np.unique(of[counted], return_counts=True)
+            yield alone(ids[at], times * unit[at], spare[at])
+            sig, of = sig[~counted], of[~counted]
+        if not len(sig):
+            return
+        shard = shard_of(sig, shards)
+        used, first, place = places(shard, of)
+        begin = starts_of(shard)
+        none = pa.nulls(len(begin), pa.int64())
+        per_slot = [blobs(x, first) for x in (ids[used], asked[used].astype(np.uint16), np.clip(spare[used], -1, 30000).astype(np.int16), unit[used].astype(np.int16))]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), none, none, none, *per_slot, blobs(sig.astype(np.uint32), begin), blobs(place.astype(np.uint16), begin)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, ids, sets, held = Shingles(), [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(emit(ids, sets)) if ids else []
-            for a in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64], strict=True), types, strict=True)], names)
-
-        for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                s = make.of(text)
-                ids.append(i)
-                sets.append(s)
-                held += len(s)
-                if len(ids) >= CHUNK_DOCS or held >= CHUNK_TOKENS:
-                    yield from flush()
-                    ids, sets, held = [], [], 0
-        yield from flush()
+        make, ids, sets, held, known = Shingles(), [], [], 0, set()
+        for i, text in _distinct(batches, "cls"):
+            s = make.of(text)
+            ids.append(i)
+            sets.append(s)
+            held += len(s)
+            if len(ids) >= CHUNK_DOCS or held >= CHUNK_TOKENS:
+                yield from emit(ids, sets, known)
+                ids, sets, held = [], [], 0
+        if ids:
+            yield from emit(ids, sets, known)
 
     return run
 
@@ -255,7 +309,7 @@ def _pairs_of_runs(sig: np.ndarray, slot: np.ndarray, hot: int) -> tuple[np.ndar
     """Pairs of slots with equal signatures, and the slots of each entry in a run of more than `hot`."""
     order = np.argsort(sig, kind="stable")
     sig, slot = sig[order], slot[order]
-    begin = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+    begin = starts_of(sig)
     width = np.diff(np.r_[begin, len(sig)])
     each = np.repeat(width, width)
     is_hot = each > hot
@@ -282,9 +336,8 @@ def _candidates(hot: int):
                 own = np.frombuffer(r["ids"], np.int64)
                 ids.append(own)
                 asked.append(np.frombuffer(r["asked"], np.uint16))
-                both = np.frombuffer(r["spare"], np.int16)
-                spare.append(both[: len(own)])
-                unit.append(both[len(own) :])
+                spare.append(np.frombuffer(r["spare"], np.int16))
+                unit.append(np.frombuffer(r["unit"], np.int16))
                 sig.append(np.frombuffer(r["sig"], np.uint32))
                 slot.append(np.frombuffer(r["slot"], np.uint16).astype(np.int64) + base)
                 base += len(own)
@@ -310,12 +363,25 @@ def _candidates(hot: int):
     return run
 
 
+def _led(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, the first document of each, and edges from it to the others."""
+    order = np.lexsort((who, sig))
+    sig, who = sig[order], who[order]
+    first = starts_of(sig)
+    leader = np.repeat(who[first], np.diff(np.r_[first, len(sig)]))
+    return sig[first], who[first], np.unique(np.stack([leader, who], axis=1)[leader != who], axis=0)
+
+
 def _regroup(shards: int):
-    """The documents set apart, under finer layouts whose capacity does suffice: (shard, signature, document)."""
+    """The documents set apart, under finer layouts whose capacity does suffice: edges (a, b) to the first document of each signature in the batch, and for a
+    shard the signatures with that document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shard", "sig", "who", "a", "b"]
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            if not batch.num_rows:
+                continue
+            ids = batch.column("cls").to_numpy()
             sets = [np.frombuffer(b, np.uint64) for b in batch.column("shingles").to_pylist()]
             n = np.array([len(s) for s in sets])
             out_sig, out_id = [], []
@@ -327,14 +393,12 @@ def _regroup(shards: int):
                     out_id.append(ids[left][of])
                     left = left[room <= differences(n[left], band)]
                     attempt += 1
-            if not out_sig:
-                continue
-            sig, who = np.concatenate(out_sig), np.concatenate(out_id)
-            shard = (((sig >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(k, sig[order][ends[k] : ends[k + 1]].tobytes(), who[order][ends[k] : ends[k + 1]].tobytes()) for k in range(shards) if ends[k] < ends[k + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "sig", "who"])
+            sig, who, edges = _led(np.concatenate(out_sig), np.concatenate(out_id))
+            shard = shard_of(sig, shards)
+            begin, n = starts_of(shard), len(edges)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(edges[:, 0]), pa.array(edges[:, 1])], names)
+            none = pa.nulls(len(begin), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), blobs(sig, begin), blobs(who, begin), none, none], names)
 
     return run
 
@@ -350,23 +414,19 @@ class Union:
 
 
 def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that span what meets in a signature of a shard. A document is tied to the first one of each of its signatures."""
+    """Edges that span what meets in a signature of a shard."""
     for rows in _grouped(batches, lambda r: r["shard"]):
         sig = np.concatenate([np.frombuffer(r["sig"], np.uint64) for r in rows])
         who = np.concatenate([np.frombuffer(r["who"], np.int64) for r in rows])
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
-        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        leader = np.repeat(who[first], np.diff(np.r_[first, len(sig)]))
-        edges = np.unique(np.stack([leader, who], axis=1)[leader != who], axis=0)
+        _, _, edges = _led(sig, who)
         for k in range(0, len(edges), 50_000):
             part = edges[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["a", "b"])
 
 
-def links_in(sets: list[np.ndarray]) -> np.ndarray:
-    """The component of each set, by number, under links of similarity 3/4 or more: exact. Sets outside the largest
-    component are compared with all others; those in it need not be, as what they link to is in it or has been compared."""
+def links_in(sets: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
+    """The component of each set, by number, under links of similarity 3/4 or more: exact. `known` has equal labels for sets of one component. Sets outside the
+    largest component are compared with all others; those in it need not be, as what they link to is in it or has been compared."""
     n = np.array([len(s) for s in sets])
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     _, code = np.unique(tokens, return_inverse=True)
@@ -374,6 +434,9 @@ def links_in(sets: list[np.ndarray]) -> np.ndarray:
     postings, at = owner[order], np.r_[0, np.cumsum(np.bincount(code))]
     start = np.r_[0, np.cumsum(n)]
     union, done = Union(len(sets)), np.zeros(len(sets), bool)
+    if known is not None:
+        _, first, of = np.unique(known, return_index=True, return_inverse=True)
+        union.root = first[of]
     while not done.all():
         roots, of, count = np.unique(union.root, return_inverse=True, return_counts=True)
         outside = np.flatnonzero(~done & ((of != count.argmax()) if count.max() > 1 else True))
@@ -392,62 +455,111 @@ def links_in(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that tie the members of a cell to their components, as far as their labels do not tell them yet."""
     for rows in _grouped(batches, lambda r: (r["component"], r["i"], r["j"])):
         if len(rows) < 2:
             continue
-        ids = np.array([r["doc_id"] for r in rows], np.int64)
-        root = links_in([np.frombuffer(r["shingles"], np.uint64) for r in rows])
-        away = root != np.arange(len(root))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[root[away]])], ["a", "b"])
+        ids, labels = (np.array([r[c] for r in rows], np.int64) for c in ("cls", "label"))
+        root = links_in([np.frombuffer(r["shingles"], np.uint64) for r in rows], labels)
+        new = (root != np.arange(len(root))) & (labels != labels[root])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(ids[root[new]])], ["a", "b"])
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows: doc_id, th (a hash of the text), n_shingles, key; and the classes: cls, key, n_shingles, and doc_id and th of the row that stands for it. Numbers
+    follow the order of doc_id, so the smallest number of a component has its smallest id."""
+    sizes = materialise(_rows(docs).mapInArrow(_keys, "doc_id long, th long, n_shingles long, key binary"))
+    firsts = sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key", "n_shingles").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    return sizes, materialise(firsts.orderBy("first", "key").select(F.monotonically_increasing_id().alias("cls"), "key", "n_shingles", "first.doc_id", "first.th"))
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
-    sizes = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_keys, "doc_id long, n_shingles long, key binary"))
-    classes = materialise(sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    count = classes.count()
-    linked = _linked(docs, classes.select(F.col("rep").alias("doc_id")), count, hot, block) if count > 1 else None
-    roots = classes.withColumn("component", F.col("rep"))
-    if linked is not None:
-        roots = classes.join(linked, classes["rep"] == linked["id"], "left").select("key", F.coalesce("component", "rep").alias("component"))
-    whole = sizes.join(roots.select("key", "component"), "key", "left")
+    sizes, classes = _classes(docs)
+    linked = _linked(docs, classes, hot, block)
+    tops = classes.select(F.col("cls").alias("component"), F.col("doc_id").alias("least"))
+    roots = classes.join(linked.join(tops.hint("merge"), "component"), "cls", "left").select("key", F.coalesce("least", "doc_id").alias("component"))
+    whole = sizes.join(roots, "key", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return whole.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
-def _linked(docs: DataFrame, reps: DataFrame, count: int, hot: int, block: int) -> DataFrame:
-    """id, component of the representatives with a link."""
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _linked(docs: DataFrame, classes: DataFrame, hot: int, block: int) -> DataFrame:
+    """cls, component of the classes with a link; the component is its smallest class."""
+    count = classes.count()
+    if count < 2:
+        return classes.where("false").select("cls", F.col("cls").alias("component"))
+
+    def texts(of: DataFrame | None = None) -> DataFrame:
+        """Class and text of all classes or of some, by one row's id and hash."""
+        wanted = classes.select("cls", "doc_id", "th")
+        wanted = wanted if of is None else wanted.join(of, "cls", "left_semi")
+        return _rows(docs).join(wanted.hint("merge"), ["doc_id", "th"]).select("cls", "text")
+
     shards = max(1, -(-count // SHARD_DOCS))
-    index = some.join(reps.hint("merge"), "doc_id", "left_semi").mapInArrow(_indexed(shards), "shard int, apart long, ids binary, asked binary, spare binary, sig binary, slot binary")
-    index = materialise(index)
-    met = index.where("shard IS NOT NULL").drop("apart").repartitionById(shards, "shard").sortWithinPartitions("shard")
+    index = materialise(texts().mapInArrow(_indexed(shards, hot), INDEX))
+    met = index.where("shard IS NOT NULL").drop("who", "lost", "spare_left").repartitionById(shards, "shard").sortWithinPartitions("shard")
     met = materialise(met.mapInArrow(_candidates(hot), "a long, b long, shared long, asked long, hot boolean"))
     pairs = materialise(met.where("NOT hot").groupBy("a", "b").agg(F.sum("shared").alias("n"), F.min("asked").alias("m")).where("n >= m").select("a", "b"))
-    short = met.where("hot").groupBy("a").agg(F.sum("shared").alias("lost"), F.min("asked").alias("spare")).where("lost > spare").select(F.col("a").alias("doc_id"))
-    apart = materialise(index.where("apart IS NOT NULL").select(F.col("apart").alias("doc_id")).union(short).distinct())
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(apart).distinct()
-    sets = materialise(some.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"))
+    lost = met.where("hot").select("a", "shared", "asked").union(index.where("shard IS NULL AND lost IS NOT NULL").select("who", "lost", "spare_left"))
+    short = lost.groupBy("a").agg(F.sum("shared").alias("lost"), F.min("asked").alias("spare")).where("lost > spare").select(F.col("a").alias("cls"))
+    apart = materialise(index.where("shard IS NULL AND lost IS NULL").select(F.col("who").alias("cls")).union(short).distinct())
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(apart).distinct()
+    sets = materialise(texts(wanted).mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
     n_apart = apart.count()
     edges = pairs
     if n_apart > 1:
         fine = max(1, -(-n_apart // (SHARD_DOCS // 4)))
-        regrouped = sets.join(apart, "doc_id", "left_semi").mapInArrow(_regroup(fine), "shard int, sig binary, who binary")
-        edges = edges.union(regrouped.repartitionById(fine, "shard").sortWithinPartitions("shard").mapInArrow(_spanning, "a long, b long"))
-    groups = components(edges)
-    blocks = groups.join(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "component")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = blocks.select("component", F.col("id").alias("doc_id"), mine.alias("mine"), other.alias("other")).select("component", "doc_id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    work = cells.join(sets.dropDuplicates(["doc_id"]), "doc_id").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
-    return components(work.mapInArrow(_verified, "a long, b long"))
+        regrouped = materialise(sets.join(apart, "cls", "left_semi").mapInArrow(_regroup(fine), "shard int, sig binary, who binary, a long, b long"))
+        led = regrouped.where("shard IS NOT NULL").repartitionById(fine, "shard").sortWithinPartitions("shard").mapInArrow(_spanning, "a long, b long")
+        edges = edges.union(regrouped.where("shard IS NULL").select("a", "b")).union(led)
+    groups = components(edges).select(F.col("id").alias("cls"), F.col("component").alias("group"))
+    return _verify(groups, sets, classes, block).select(F.col("id").alias("cls"), "component")
+
+
+def _verify(groups: DataFrame, sets: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """Components of the links inside the groups (cls, group): id, component."""
+    members = materialise(groups.join(classes.select("cls", "n_shingles"), "cls"))
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_TOKENS)))
+    large = materialise(members.groupBy("group").agg(size.cast("int").alias("blocks")).where("blocks > 1"))
+    dealt = members.join(large, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    part = lambda salt, n: F.pmod(F.xxhash64("cls", F.lit(salt)), n).cast("int")
+
+    def links(cells: DataFrame) -> DataFrame:
+        work = cells.join(sets.hint("merge"), "cls").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "cls")
+        return materialise(work.mapInArrow(_verified, "a long, b long"))
+
+    twice = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(part(0, F.col("blocks")), F.col("blocks") + part(1, F.col("blocks")))))
+    first = links(dealt.select("cls", F.col("group").alias("component"), twice.alias("i"), F.lit(0).alias("j"), F.col("cls").alias("label")))
+    known = components(first)
+    if large.isEmpty():
+        return known
+    many = members.join(large, "group").join(known.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "group", "blocks", F.coalesce("component", "cls").alias("label"))
+    many = materialise(many)
+    top = materialise(many.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("top")))
+    outside = materialise(many.join(top, "group").where("label <> top").drop("top"))
+    columns = materialise(outside.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("columns")))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = many.join(columns, "group").select("cls", "group", "label", part(0, F.col("blocks")).alias("i"), numbers(F.col("columns")).alias("j"))
+    beside = outside.join(columns, "group").select("cls", "group", "label", numbers(F.col("blocks")).alias("i"), part(2, F.col("columns")).alias("j"))
+    cells = rows.union(beside).distinct().select("cls", F.col("group").alias("component"), "i", "j", "label")
+    return components(first.union(links(cells)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the row with the smallest id stays, with all its columns; rows without id or shingles stay too."""
-    gone = fresh(docs, "gone")
-    found = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(found.hint("merge"), docs["doc_id"] == found[gone], "left_anti")
+    """Of each component one row stays, one with the smallest id, with all its columns; rows without id or shingles stay too."""
+    own, th, row = (fresh(docs, x) for x in ("id", "th", "row"))
+    _, classes = _classes(docs)
+    gone = _linked(docs, classes, HOT, BLOCK).where("cls <> component").select("cls")
+    kept = classes.join(gone, "cls", "left_anti").select(F.col("doc_id").alias(own), F.col("th").alias(th))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
+    keyed = docs.where(worded).withColumns({own: F.col("doc_id").cast("long"), th: F.xxhash64("text")})
+    met = keyed.join(kept.hint("merge"), [own, th], "left_semi").withColumn(row, F.row_number().over(Window.partitionBy(own, th).orderBy(own)))
+    return met.where(F.col(row) == 1).select(*docs.columns).union(docs.where(~worded))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
