@@ -210,7 +210,7 @@ def test_planted_passages(make, odd, none):
         for doc, low, high in ((r.doc_id, r.start, r.end), (r.first_doc_id, r.first_start, r.first_end)):
             assert abs(low - spots[doc]) <= 3 and abs(high - spots[doc] - 60) <= 3
     got = passages.repeated_passages(odd).collect()
-    assert {(r.doc_id, r.first_doc_id) for r in got} == {(7, 6)}
+    assert {(r.doc_id, r.first_doc_id) for r in got} == {(7, 6), (50, 6), (50, 7)}
     assert passages.repeated_passages(none).count() == 0
 
 
@@ -287,3 +287,53 @@ def test_components(spark):
                 root[x] = start
                 stack += near[x]
     assert got == {k: v for k, v in root.items() if v is not None}
+
+
+def test_passages_of_ids_that_repeat(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    own = lambda n: [word() for _ in range(n)]
+    p, q = own(60), own(70)
+    rows = [(1, own(20) + p + own(9)), (1, own(30) + q), (2, own(7) + p), (3, q + own(40)), (3, q + own(40)), (None, q)]
+    rows = [(i, " ".join(t)) for i, t in rows] + [(4, " ".join(p)), (4, " ".join(p).upper()), (5, " ".join(p))]
+    got = passages.repeated_passages(spark.createDataFrame(rows + rows[:2], "doc_id long, text string")).collect()
+    assert {(2, 7, 67, 1, 20, 80), (4, 0, 60, 1, 20, 80), (3, 0, 70, 1, 30, 100), (3, 0, 70, 3, 0, 70), (5, 0, 60, 4, 0, 60)} <= {tuple(r[:6]) for r in got}
+    assert {(r.doc_id, r.first_doc_id) for r in got} == {(2, 1), (4, 1), (4, 2), (3, 1), (3, 3), (5, 4)}
+
+
+def covered_by_brute_force(texts):
+    """Of each document the words in a window of 45 that another document has, word by word, with 36 or more equal, of them three or more of the five at each end."""
+    n, need = passages.MIN_WORDS, round(passages.MIN_WORDS * passages.MIN_IDENTITY)
+    codes = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
+    texts = [np.array([codes[w] for w in t]) for t in texts]
+    covered = [np.zeros(len(t), bool) for t in texts]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            for shift in range(n - len(b), len(a) - n + 1):
+                low, high = max(0, shift), min(len(a), len(b) + shift)
+                total = np.r_[0, np.cumsum(a[low:high] == b[low - shift : high - shift])]
+                if len(total) > n:
+                    head, tail = total[5 : len(total) - n + 5] - total[:-n], total[n:] - total[n - 5 : -5]
+                    for at in np.flatnonzero((total[n:] - total[:-n] >= need) & (head >= 3) & (tail >= 3)) + low:
+                        covered[i][at : at + n] = True
+                        covered[j][at - shift : at - shift + n] = True
+    return covered
+
+
+def test_passages_cover_what_brute_force_finds(make):
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(3))
+    texts = [[word() for _ in range(rnd.randint(50, 140))] for _ in range(44)]
+    for _ in range(9):
+        passage = [word() for _ in range(rnd.randint(46, 90))]
+        for d in rnd.sample(range(44), rnd.choice([2, 2, 3, 12])):
+            at = rnd.randrange(len(texts[d]) + 1)
+            texts[d][at:at] = [word() if rnd.random() < 0.06 else w for w in passage]
+    want = covered_by_brute_force(texts)
+    got = [np.zeros(len(t), bool) for t in texts]
+    for r in passages.repeated_passages(make(*[" ".join(t) for t in texts])).collect():
+        got[r.doc_id][r.start : r.end] = True
+        got[r.first_doc_id][r.first_start : r.first_end] = True
+    both = sum((w & g).sum() for w, g in zip(want, got, strict=True))
+    print(both, sum(w.sum() for w in want), sum(g.sum() for g in got))
+    assert both >= 0.95 * sum(w.sum() for w in want) and both >= 0.95 * sum(g.sum() for g in got)
