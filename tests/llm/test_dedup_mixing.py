@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, mixing
 
@@ -11,8 +12,11 @@ def lower(t):
     return (t or "").translate({c: c + 32 for c in range(65, 91)})
 
 
-def test_report_against_brute_force(odd):
-    got = exact_dedup.dedup_report(odd).collect()
+@pytest.mark.parametrize(("bits", "piece"), [(64, 10_000), (2, 1)])
+def test_report_against_brute_force(odd, monkeypatch, bits, piece):
+    """Also with hashes of two bits, of which chains are made."""
+    monkeypatch.setattr(exact_dedup, "PIECE", piece)
+    got = exact_dedup.dedup_report(odd, bits=bits).collect()
     texts = [(r.doc_id, lower(r.text)) for r in odd.select("doc_id", "text").collect()]
     groups = defaultdict(list)
     for i, t in texts:
@@ -20,7 +24,9 @@ def test_report_against_brute_force(odd):
     assert len(got) == len(texts)
     want = Counter((i, max((x for x in groups[t] if x is not None), default=None), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts)
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
-    assert sum(r.kept for r in got) == len(groups)
+    kept = Counter(r.text_sha256 for r in got if r.kept)
+    assert len(kept) == len(groups) and set(kept.values()) == {1}
+    assert (max(r.chain for r in got) > 1) == (bits == 2)
 
 
 def test_small_buckets_give_the_same(odd):
@@ -30,10 +36,24 @@ def test_small_buckets_give_the_same(odd):
     assert sorted(map(key, a.collect())) == sorted(map(key, exact_dedup.dedup_report(odd).collect()))
 
 
-def test_drop_copies_keeps_columns_and_one_row_each(odd):
-    left = exact_dedup.drop_copies(odd)
+@pytest.mark.parametrize(("bits", "capacity"), [(64, 250_000), (64, 1), (2, 1)])
+def test_drop_copies_keeps_columns_and_one_row_each(odd, bits, capacity):
+    left = exact_dedup.drop_copies(odd, capacity, bits)
     assert left.columns == odd.columns
-    assert Counter(lower(r.text) for r in left.collect()) == Counter({lower(r.text): 1 for r in odd.collect()})
+    last = {}
+    for r in odd.collect():
+        last[lower(r.text)] = max(-1 if r.doc_id is None else r.doc_id, last.get(lower(r.text), -1))
+    assert Counter((lower(r.text), -1 if r.doc_id is None else r.doc_id) for r in left.collect()) == Counter({k: 1 for k in last.items()})
+
+
+def test_index_lies_on_files_by_bucket(odd):
+    index = exact_dedup.build_index(odd, bucket_capacity=2)
+    folders = {f.split("bucket=")[1].split("/")[0] for f in index.entries.inputFiles()}
+    assert {int(f) for f in folders} <= set(range(len(index.starts))) and len(folders) > 1
+    slots = {r.bucket: r for r in index.entries.groupBy("bucket").agg(F.min(F.shiftrightunsigned("hash", 48)).alias("low"), F.max(F.shiftrightunsigned("hash", 48)).alias("high"), F.count("hash").alias("n")).collect()}
+    for k, start in enumerate(index.starts):
+        end = (index.starts + [1 << 16])[k + 1]
+        assert k not in slots or start <= slots[k].low <= slots[k].high < end and slots[k].n <= 2
 
 
 def test_directory_doubles_where_it_overflows():
