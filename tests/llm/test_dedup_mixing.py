@@ -118,6 +118,17 @@ def test_mix_odd_rows(odd):
     assert mixing.apply_mix(odd).columns == odd.columns
 
 
+def test_rows_that_share_an_id_are_mixed_one_by_one(spark):
+    rows = [(1, " ".join(["w"] * n), "a") for n in (1, 2, 3, 5, 8, 13, 21, 34)] + [(1, "w w w", "a")] * 3 + [(None, "v " * n, "b") for n in (1, 2, 3, 4, 5, 6, 9)] + [(k, "x y z", None) for k in (7, 7, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix(docs).collect()
+    out = mixing.apply_mix(docs).collect()
+    assert sorted(words(r.text) for r in out if r.source == "a") == sorted(r.size for r in plan if r.source == "a" for _ in range(r.times))
+    for s in ("a", "b", None):
+        assert sum(words(r.text) for r in out if r.source == s) == sum(r.taken for r in plan if r.source == s)
+        assert abs(sum(r.taken for r in plan if r.source == s) - next(r.target for r in plan if r.source == s)) <= 3
+
+
 def test_knapsack_is_the_best_sum():
     rnd = np.random.default_rng(1)
     for _ in range(60):

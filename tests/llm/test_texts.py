@@ -1,7 +1,8 @@
 import hashlib
+import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -112,6 +113,47 @@ def test_quality_learns_and_keeps_columns(spark, sf, odd, none):
     assert quality.score(odd, quality.fit(none, labels)).select("quality_score").distinct().collect()[0][0] == 0.5
 
 
+def plain_statistics(text):
+    """The statistics one by one, without numpy."""
+    raw = (text or "").encode()
+    words, n = raw.split(), len(raw)
+    if not words:
+        return [math.log(1 + n)] + [0.0] * (len(quality.FEATURES) - 1)
+    m, lengths, seen, each = len(words), [len(w) for w in words], Counter(raw), Counter(words)
+    mean = sum(lengths) / m
+    top = [c for _, c in each.most_common()]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    share = lambda f: sum(c for b, c in seen.items() if f(b)) / n
+    return [
+        math.log(1 + n), math.log(1 + m), mean, math.sqrt(sum((x - mean) ** 2 for x in lengths) / m), share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(lambda b: b == 10),
+        share(lambda b: b > 127), share(lambda b: b in quality._PUNCTUATION), -sum(c / n * math.log2(c / n) for c in seen.values()), max([c for b, c in seen.items() if b != 32], default=0) / n,
+        len(each) / m, top[0] / m, sum(top[:5]) / m, top.count(1) / m, math.log(1 + m / len(lines)), 1 - len(set(lines)) / len(lines), sum(x <= 3 for x in lengths) / m, sum(x >= 12 for x in lengths) / m,
+        sum(w[-1] in b".,;:!?*&$%#|" for w in words) / m, *[seen[b] / n for b in quality._PUNCTUATION],
+    ]
+
+
+def test_quality_scores_by_brute_force(spark, sf, some, odd):
+    """All scores of the query from statistics and trees walked one by one; ties in every feature give equal scores."""
+    texts = some[:60] + [r.text for r in odd.select("text").collect()]
+    assert np.allclose(quality.statistics_of(texts), np.array([plain_statistics(t) for t in texts]), rtol=1e-4, atol=1e-5)
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    trees = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in quality.op1_quality(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert set(got) == {r.doc_id for r in rows}
+    for r in rows:
+        x = quality.statistics_of([r.text])[0]
+        total = trees.prior
+        for at in trees.roots:
+            for _ in range(trees.depth):
+                at = trees.child[at] + int(x[trees.feature[at]] > trees.threshold[at])
+            total += float(trees.value[at])
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-4)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+    same = quality.score(docs.limit(1).union(docs.limit(1)), trees).select("quality_score").distinct()
+    assert same.count() == 1
+
+
 def test_trees_equal_a_plain_walk():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(500, 6)).astype(np.float32)
@@ -140,6 +182,41 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in language.identify(odd, language.fit(none)).collect()} == {"und"}
 
 
+def test_pooled_labels_by_brute_force(odd):
+    """Every byte labelled by the training pass, window by window, and pooled."""
+    texts = [r.text for r in odd.select("text").collect()] + ["a", "é" * 40, "x" * 64, "ab " * 50, "z\x00y"]
+    rnd = np.random.default_rng(3)
+    direction = lambda: language.Direction(rnd.normal(0, 0.4, (3, 256, 8)).astype(np.float32), rnd.normal(0, 0.4, (3, 8, 8)).astype(np.float32))
+    net = language.Network(["de", "en", "fr"], direction(), direction(), rnd.normal(0, 0.5, (17, 3)).astype(np.float32))
+    names, scores = net.label(texts)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        if text is None or not any(map(str.isalpha, text)):
+            assert (name, score) == ("und", 0.0)
+            continue
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), language.WINDOW):
+            x = np.zeros((language.WINDOW, 1), np.uint8)
+            piece = np.frombuffer(raw[at : at + language.WINDOW], np.uint8)
+            x[: len(piece), 0] = piece
+            a, b = net.ahead.forward(x)[0], net.back.forward(x[::-1])[0][::-1]
+            p = np.exp(np.concatenate([a, b, np.ones((*x.shape, 1))], axis=2) @ net.out)[:, 0]
+            total += (p / p.sum(axis=1, keepdims=True))[: len(piece)][piece != 0].sum(axis=0) if len(piece) < language.WINDOW else (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
+        assert net.languages[total.argmax()] == name
+        assert score == pytest.approx((total / total.sum()).max(), abs=1e-3)
+
+
+def test_language_ties_and_samples(spark):
+    rows = [(k, f"text number {k} of a language", ["aa", "bb", "cc"][k % 3] if k % 7 else None) for k in range(120)] + [(3, "another text of an id", "aa"), (None, "no id", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.fit(docs, 12)
+    assert net.languages == ["aa", "bb", "cc"]
+    assert language.fit(docs, 2).languages == ["aa", "bb"] and language.fit(docs.where("lang = 'cc'")).languages == ["cc"]
+    net.out[:] = 0
+    assert net.label(["words", "1 2", None]) [0] == ["aa", "und", "und"]  # equal shares: the first language
+    assert {r.lang_pred for r in language.identify(docs.where("lang = 'cc'"), language.fit(docs.where("lang = 'cc'"))).collect()} == {"cc"}
+    assert language.cut("abc", 1) == [b"abc"] and len(language.cut("abc" * 900, 1)) == language.CUTS
+
+
 def test_gradients_by_differences():
     rnd = np.random.default_rng(0)
     d = language.Direction(rnd.normal(0, 0.5, (3, 256, 4)), rnd.normal(0, 0.5, (3, 4, 4)))
@@ -180,6 +257,7 @@ def fingerprint_z(t):
 def test_fingerprints_against_brute_force(odd, none, bits):
     got = fingerprints.fingerprint_pairs(odd.select("doc_id", "text"), bits).collect()
     key = lambda r: tuple((x is None, x) for x in r)
+    texts = {hashlib.sha256((r.text or "").encode()).hexdigest(): fingerprints.canonical(r.text) for r in odd.select("text").collect()}
     want = sorted(brute_fingerprints(odd), key=key)
     assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got], key=key) == want
     forms = {r.text: fingerprints.canonical(r.text) for r in odd.select("text").collect()}
@@ -189,6 +267,11 @@ def test_fingerprints_against_brute_force(odd, none, bits):
         if r.doc_id in by_id and list(x.doc_id for x in got).count(r.doc_id) == 1:
             prints[r.fingerprint].add(forms[by_id[r.doc_id]])
     assert all(len(x) <= 1 for x in prints.values())  # equal prints, equal forms, though four bits collide
+    for r in got:  # an edited text has a document's print if and only if it has its form
+        if r.edited_sha256 in texts:
+            assert prints.get(r.edited_fingerprint, {texts[r.edited_sha256]}) == {texts[r.edited_sha256]}
+        elif bits == 128:
+            assert r.near_edited == 1 or r.edited_fingerprint not in prints
     assert fingerprints.fingerprint_pairs(none, bits).count() == 0
 
 
@@ -223,3 +306,15 @@ def test_chat_round_trip(spark):
 def test_machine_validates_order(spark, roles, valid):
     frame = spark.createDataFrame([(1, k, r, "x") for k, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.segments(frame)).collect()[0].valid is valid
+
+
+def test_other_templates_and_long_texts(spark):
+    template = chat.Template(header="<|{role}|> ", footer="<|end|>\n", loss=frozenset({"user"}))
+    said = "a <|end|>\n \\<| <|User|> " * 20_000
+    frame = spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", "<|en"), (2, 0, "assistant", None), (2, 0, "assistant", None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.segments(frame, template), template).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n<|en\n".encode()).hexdigest()
+    assert (got[1].loss_chars, got[1].valid, got[2].n_turns, got[2].valid) == (len(said), True, 2, False)
+    for bad in ({"footer": "\\end"}, {"footer": "aba"}, {"header": "{role}:"}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)

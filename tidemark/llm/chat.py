@@ -30,7 +30,8 @@ START = "start"
 
 @dataclass(frozen=True)
 class Template:
-    """header holds {role}; a text's own control strings get a backslash before them, and so does a backslash."""
+    """header holds {role}; a text's own control strings (the visible part of what stands before a role and of the footer) get a backslash before them, and so
+    does a backslash. They must not be empty or begin with a backslash, and the footer's must not end as it begins."""
 
     header: str = "### {role}:\n"
     footer: str = "</turn>\n"
@@ -41,7 +42,17 @@ class Template:
         default_factory=lambda: {START: frozenset({"system", "user"}), "system": frozenset({"user"}), "user": frozenset({"assistant"}), "assistant": frozenset({"user"})}
     )
     ends: frozenset[str] = frozenset({"assistant"})
-    controls: tuple[str, ...] = ("\\", "###", "</turn>")
+
+    def __post_init__(self):
+        for mark in self.controls[1:]:
+            if not mark or mark[0] == "\\":
+                raise ValueError(f"no mark for turns: {mark!r}")
+        if self.footer[0].isspace() or any(mark.startswith(mark[-k:]) for k in range(1, len(mark))):
+            raise ValueError(f"a footer begins with its mark, which doesn't end as it begins: {self.footer!r}")
+
+    @property
+    def controls(self) -> tuple[str, ...]:
+        return ("\\", self.header.split("{role}")[0].strip(), self.footer.strip())
 
     def escape(self, text: str) -> str:
         return _pattern(self.controls).sub(lambda m: "\\" + m[0], text)
@@ -111,9 +122,11 @@ class Reader:
     def __init__(self, template: Template):
         label = "|".join(re.escape(v) for v in template.labels.values())
         head = template.header.split("{role}")
+        mark = re.escape(template.controls[2])
+        first = re.escape(template.controls[2][0])
         self.turn = re.compile(
             rf"{re.escape(head[0])}(?P<role>{label}|{re.escape(template.fallback)}(?:\((?P<other>(?:[^\\]|\\.)*?)\))?){re.escape(head[1])}"
-            rf"(?P<text>(?:[^\\<]|\\.|<(?!/turn>))*+){re.escape(template.footer)}",
+            rf"(?P<text>(?:[^\\{first}]|\\.|(?!{mark}){first})*+){re.escape(template.footer)}",
             re.S,
         )
         self.template, self.roles = template, {v: k for k, v in template.labels.items()}
@@ -183,7 +196,7 @@ def with_control_case(conversations: DataFrame) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(segments(with_control_case(table(spark, sf_dir, "conversations")))).drop("valid")
+    return read_back(segments(with_control_case(table(spark, sf_dir, "conversations"))))
 
 
 SQL = r"""
@@ -191,10 +204,10 @@ WITH c AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 )
-SELECT conv_id, count(*) AS n_turns,
+SELECT conv_id, count(*) AS n_turns, bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'user' THEN role = 'assistant' WHEN before IN ('system', 'assistant') THEN role = 'user' ELSE FALSE END) AND arg_max(role = 'assistant', place) AS valid,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(role) + 14 + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'))) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+FROM (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS place FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) GROUP BY conv_id
 """

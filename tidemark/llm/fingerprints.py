@@ -3,7 +3,7 @@
 A text's canonical form is its Unicode compatibility composition, case-folded, with runs of white space as one blank.
 Its fingerprint is the 128-bit xxhash of that form. Texts with equal hashes meet in a bucket, where their bytes are
 compared: the first form in byte order keeps the plain hash, another form with the same hash gets a suffix. So documents
-have equal fingerprints if and only if they have equal canonical forms. An edited text is looked up in that index the same way.
+have equal fingerprints if and only if they have equal canonical forms. An edited text whose hash a document has is compared with that document's form the same way.
 
 Defined cases: a null text is empty; ids that repeat are ordered by text; a null id comes last in descending order; a table of one row is its own
 next; an empty table gives an empty result; further columns are ignored.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents, materialise
 
 BITS = 128
-#: The filter of hashes that occur more than once has 2 ** 22 bits to 2 ** 27 (16 MB), about 16 for each such hash.
+#: The filter of hashes that are compared by bytes has 2 ** 22 bits to 2 ** 27 (16 MB), about 16 for each such hash.
 FILTER_BITS = (22, 27)
 
 
@@ -48,20 +48,27 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def duplicate_filter(hashes: DataFrame) -> tuple[int, dict[int, bytes]]:
-    """Bits at the places of the hashes that occur more than once. Its size is bounded by FILTER_BITS; a full filter lets more pass."""
-    repeated = materialise(hashes.groupBy("fingerprint").count().where("count > 1").select("fingerprint"))
+def suspects(own: DataFrame, edited: DataFrame) -> DataFrame:
+    """fingerprint, foreign: the documents' hashes that occur more than once, or as the hash of an edited text of another document too (foreign)."""
+    both = own.select("fingerprint", F.lit(0).alias("e")).unionByName(edited.select("fingerprint", F.lit(1).alias("e")))
+    counted = both.groupBy("fingerprint").agg(F.count_if(F.col("e") == 0).alias("n"), F.max("e").alias("e"))
+    return materialise(counted.where("n > 0 AND n + e > 1").select("fingerprint", (F.col("e") == 1).alias("foreign")))
+
+
+def hash_filter(found: DataFrame) -> tuple[int, dict[int, bytes]]:
+    """Bits at the places of the hashes found. Its size is bounded by FILTER_BITS; a full filter lets more pass."""
     low, high = FILTER_BITS
-    bits = min(high, max(low, (16 * repeated.count()).bit_length()))
+    bits = min(high, max(low, (16 * found.count()).bit_length()))
     place = F.crc32("fingerprint") % (1 << bits) + 1  # bits and buckets count from 1
-    parts = repeated.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    parts = found.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     return bits, {int(r["b"]): bytes(r["bits"]) for r in parts.collect()}
 
 
-def collisions(docs: DataFrame, hashes: DataFrame, bits: int = BITS) -> DataFrame:
-    """fingerprint, form, rank for the hashes that different canonical forms share. Forms are made for the documents
-    whose hash occurs more than once, and grouped by hash and bytes."""
-    size, filled = duplicate_filter(hashes)
+def collisions(docs: DataFrame, own: DataFrame, edited: DataFrame, bits: int = BITS) -> DataFrame:
+    """fingerprint, form, rank for the hashes that different canonical forms share, or a document and another's edited text. Forms are made for the
+    documents with such a hash, and grouped by hash and bytes."""
+    found = suspects(own, edited)
+    size, filled = hash_filter(found)
     shared = docs.sparkSession.sparkContext.broadcast(filled)
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +88,8 @@ def collisions(docs: DataFrame, hashes: DataFrame, bits: int = BITS) -> DataFram
     distinct = docs.select("text").mapInArrow(forms, "fingerprint string, form binary").groupBy("fingerprint", "form").agg(F.count(F.lit(1)).alias("n"))
     several = Window.partitionBy("fingerprint")
     ranked = distinct.withColumn("_n", F.count(F.lit(1)).over(several)).withColumn("rank", F.row_number().over(several.orderBy("form")) - 1)
-    return materialise(ranked.where("_n > 1").select("fingerprint", "form", "rank"))
+    foreign = found.where("foreign").select("fingerprint", "foreign")
+    return materialise(ranked.join(foreign, "fingerprint", "left").where("_n > 1 OR foreign").select("fingerprint", "form", "rank"))
 
 
 def fingerprint_pairs(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -156,7 +164,8 @@ def fingerprint_pairs(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     whole = found.where("head IS NULL AND tail IS NULL").unionByName(joined.mapInArrow(finish, schema))
     plain = materialise(whole.select(*names[:8]))
-    clashes = collisions(docs, plain.select("fingerprint"), bits)
+    edited = plain.where("near_edited < 1").select(F.col("edited_fingerprint").alias("fingerprint"))
+    clashes = collisions(docs, plain.select("fingerprint"), edited, bits)
     return plain if clashes.isEmpty() else _discriminate(plain, docs, clashes, bits)
 
 
@@ -165,7 +174,8 @@ def _discriminate(plain: DataFrame, docs: DataFrame, clashes: DataFrame, bits: i
     bad = clashes.select(F.col("fingerprint").alias("bad")).distinct()
     rows = plain.withColumn("_row", F.sha2(F.concat_ws("|", "doc_id", F.lit("/"), "next_id", "n_chars", "edited_sha256", "fingerprint", "near_next"), 256))
     hit = rows.join(bad, F.col("bad").isin(F.col("fingerprint"), F.col("edited_fingerprint")), "left_semi")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    ids = hit.select(F.explode(F.array("doc_id", "next_id")).alias("id")).distinct()
+    texts = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     pairs = hit.distinct().alias("r").join(texts.alias("a"), F.expr("r.doc_id <=> a.doc_id AND r.n_chars = length(a.text)")).join(texts.alias("b"), F.expr("r.next_id <=> b.doc_id"))
     pairs = pairs.select("r._row", "r.fingerprint", "r.edited_sha256", F.col("a.text").alias("own"), F.col("b.text").alias("after"))
 

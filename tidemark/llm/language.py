@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import documents, fold_mod, hash_bound, with_fields
+from tidemark.llm.common import documents, fold_mod, materialise, with_fields
 
-#: At most so many labelled documents are used for training, those first in a seeded order for each language.
-MAX_TRAINING_ROWS = 1_500
+#: At most so many labelled documents are used for training, those first in a seeded order for each language, and at most as many languages, the most
+#: frequent. Of each document the tasks cut at most so many windows, at random places of the whole text.
+MAX_TRAINING_ROWS, CUTS = 1_500, 64
 HELD_OUT_FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
 WINDOW, HIDDEN = 64, 8
@@ -163,13 +164,20 @@ class Network:
                 pooled[:, k] += np.bincount(to, summed[:, k], minlength=len(pooled))
 
 
-def train(texts: list[str], languages: list[str], steps: int = 200, batch: int = 160, rate: float = 0.03, seed: int = 8) -> Network:
-    """Cross-entropy of every position, Adam, gradients by backpropagation through time over random windows of the sample."""
+def cut(text: str, seed: int, n: int = CUTS) -> list[bytes]:
+    """Windows at random places of a text: one for a text of a window or less, else n."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw) <= WINDOW:
+        return [raw]
+    return [raw[at : at + WINDOW] for at in np.random.default_rng(seed).integers(len(raw) - WINDOW + 1, size=n).tolist()]
+
+
+def train(pieces: list[list[bytes]], languages: list[str], steps: int = 200, batch: int = 160, rate: float = 0.03, seed: int = 8) -> Network:
+    """Cross-entropy of every position, Adam, gradients by backpropagation through time over random windows of the sample. pieces: each document's windows."""
     rng = np.random.default_rng(seed)
     names = sorted(set(languages))
     near = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
     net = Network(names, *(Direction(near(3, 256, HIDDEN), near(3, HIDDEN, HIDDEN)) for _ in range(2)), near(2 * HIDDEN + 1, len(names)))
-    raws = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
     of = np.array([names.index(x) for x in languages])
     by_name = [np.flatnonzero(of == k) for k in range(len(names))]
     if len(names) < 2:
@@ -180,9 +188,8 @@ def train(texts: list[str], languages: list[str], steps: int = 200, batch: int =
         kind = rng.integers(len(names), size=batch)
         x = np.zeros((batch, WINDOW), np.uint8)
         for i, k in enumerate(kind):
-            raw = raws[rng.choice(by_name[k])]
-            at = rng.integers(max(1, len(raw) - WINDOW + 1))
-            piece = raw[at : at + WINDOW]
+            own = pieces[rng.choice(by_name[k])]
+            piece = np.frombuffer(own[rng.integers(len(own))], np.uint8)
             x[i, : len(piece)] = piece
         x = np.ascontiguousarray(x.T)
         a, tape_a = net.ahead.forward(x)
@@ -205,22 +212,30 @@ def train(texts: list[str], languages: list[str], steps: int = 200, batch: int =
     return net
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [cut(t, i % 2**32) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "lang", "pieces"])
+
+
 def fit(docs: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Network:
     """Train on labelled documents outside the held-out fold. From each language come its first documents in a seeded
-    order; ids alone decide, so the sample is small before texts are fetched."""
+    order; ids alone decide, so the sample is small before texts are fetched, and of those only windows leave the tasks."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold_mod("doc_id", HELD_OUT_FOLDS) != HELD_OUT))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
+    counts = materialise(usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_training_rows))
+    languages = counts.count()
+    if not languages:
         return train([], [])
-    each = max(1, max_training_rows // len(counts))
-    bounds = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, hash_bound(each, n))])
-    near = usable.select("doc_id", "lang").where(F.xxhash64("doc_id") <= F.element_at(bounds, F.col("lang")))
+    each = max(1, max_training_rows // languages)
+    share = F.least(F.lit(1.0), F.lit(float(max(4 * each, each + 1000))) / F.col("count"))
+    low = F.xxhash64("doc_id").cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64)
+    near = usable.select("doc_id", "lang").join(counts, "lang").where(low).select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("doc_id", F.col("lang").alias("_lang"))
-    sample = F.broadcast(sample.limit(max_training_rows + len(counts)))
-    texts = usable.select("doc_id", "lang", "text").join(sample, "doc_id").where("lang = _lang")
-    rows = texts.select("doc_id", "text", "lang").orderBy("doc_id", "lang", "text").limit(max_training_rows).toArrow()
-    return train(rows["text"].to_pylist(), rows["lang"].to_pylist())
+    sample = F.broadcast(sample.limit(max_training_rows))
+    texts = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(sample, "doc_id").where("lang = _lang").select("doc_id", "lang", "text")
+    rows = texts.mapInArrow(_pieces, "doc_id long, lang string, pieces array<binary>").orderBy("doc_id", "lang", "pieces").limit(max_training_rows).toArrow()
+    return train(rows["pieces"].to_pylist(), rows["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, net: Network) -> DataFrame:

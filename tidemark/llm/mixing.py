@@ -26,10 +26,12 @@ SEED = 20
 ORDER_PARTS = 4096
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size."""
+def _measured(docs: DataFrame, seed: int, names: list[str]) -> DataFrame:
+    """docs with further columns: size, a hash of the text, part of the seeded order, and the source as two columns without nulls."""
+    size, th, part, missing, own = names
     words = F.filter(F.split(F.coalesce("text", F.lit("")), WORD_GAP), lambda w: w != "")
-    return docs.select("doc_id", "source", F.size(words).cast("long").alias("size"))
+    rows = docs.withColumns({size: F.size(words).cast("long"), th: F.xxhash64("text"), missing: F.col("source").isNull(), own: F.coalesce("source", F.lit(""))})
+    return rows.withColumn(part, F.pmod(F.xxhash64(F.lit(seed), "doc_id", th), F.lit(ORDER_PARTS)).cast("int"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -113,32 +115,42 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["source", "size", "passes", "more"]]
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, times (how often the mix takes it), taken."""
-    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(ORDER_PARTS)).cast("int")
-    sizes = materialise(sized(docs).withColumn("part", part))
-    goals = materialise(targets(sizes, weights, max_passes))
-    counts = materialise(sizes.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n")))
-    by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+NAMES = ["size", "th", "part", "missing", "own"]
+
+
+def _shares(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+    """missing, own, size, part, passes, quota: how often the mix takes all rows of a source, size and part, and how many of them once more."""
+    counts = materialise(sizes.groupBy("missing", "own", "size", "part").agg(F.count(F.lit(1)).alias("n")))
+    by_size = counts.groupBy("missing", "own", "size").agg(F.sum("n").alias("n")).withColumn("source", F.when(~F.col("missing"), F.col("own")))
     plan = (
-        by_size.join(goals, same(by_size, goals))
+        by_size.join(goals, by_size["source"].eqNullSafe(goals["source"]))
         .select(by_size["source"], "size", "n", "target")
         .groupBy("source")
         .applyInPandas(_fit_source, "source string, size long, passes int, more long")
     )
-    plan = materialise(plan)
+    plan = materialise(plan.select(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("own"), "size", "passes", "more"))
     # Each part's share of the count of its size: parts in order, until the count is met.
-    earlier = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shares = (
-        counts.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .alias("c")
-        .join(plan.alias("p"), F.expr("c.source <=> p.source AND c.size = p.size"))
-        .select("c.source", "c.size", "c.part", "passes", F.greatest(F.lit(0), F.least(F.col("n"), F.col("more") - F.col("_before"))).alias("quota"))
-    )
-    order = Window.partitionBy("source", "size", "part").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
-    ranked = sizes.withColumn("_rank", F.row_number().over(order))
-    taken = ranked.alias("d").join(shares.alias("s"), F.expr("d.source <=> s.source AND d.size = s.size AND d.part = s.part")).select("doc_id", "d.source", "d.size", (F.col("passes") + (F.col("_rank") <= F.col("quota")).cast("int")).alias("times"))
+    earlier = Window.partitionBy("missing", "own", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shares = counts.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(plan, ["missing", "own", "size"])
+    return shares.select("missing", "own", "size", "part", "passes", F.greatest(F.lit(0), F.least(F.col("n"), F.col("more") - F.col("_before"))).alias("quota"))
+
+
+def _timed(rows: DataFrame, shares: DataFrame, seed: int, names: list[str], times: str) -> DataFrame:
+    """rows with how often each is taken, by its place in the seeded order of its part. One shuffle serves the order and the join."""
+    size, th, part, missing, own = names
+    keys = {"missing": missing, "own": own, "size": size, "part": part}
+    passes, quota, rank = (fresh(rows, x) for x in ("passes", "quota", "rank"))
+    order = Window.partitionBy(*keys.values()).orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", th), "doc_id", th)
+    plan = shares.select(*[F.col(k).alias(v) for k, v in keys.items()], F.col("passes").alias(passes), F.col("quota").alias(quota))
+    met = rows.withColumn(rank, F.row_number().over(order)).join(plan.hint("merge"), list(keys.values()))
+    return met.withColumn(times, F.col(passes) + (F.col(rank) <= F.col(quota)).cast("int")).drop(passes, quota, rank)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, seed: int = SEED) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, times (how often the mix takes it), taken."""
+    sizes = materialise(_measured(docs.select("doc_id", "source", "text"), seed, NAMES).drop("text"))
+    goals = materialise(targets(sizes, weights, max_passes))
+    taken = _timed(sizes, _shares(sizes, goals), seed, NAMES, "times")
     goals = F.broadcast(goals) if goals.count() <= 100_000 else goals
     return (
         taken.alias("t")
@@ -147,11 +159,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = M
     )
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns; rows that share a doc_id alike."""
-    own, n, copy = (fresh(docs, x) for x in ("id", "times", "copy"))
-    times = mix(docs, **options).where("times > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max("times").alias(n))
-    chosen = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times[own]))
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row as often as it is taken, with all its columns; rows that share a doc_id are taken one by one."""
+    sizes = materialise(_measured(docs.select("doc_id", "source", "text"), seed, NAMES).drop("text"))
+    shares = _shares(sizes, materialise(targets(sizes, weights, max_passes)))
+    names = [fresh(docs, x) for x in NAMES]
+    n, copy = fresh(docs, "times"), fresh(docs, "copy")
+    chosen = _timed(_measured(docs, seed, names), shares, seed, names, n).where(F.col(n) > 0)
     return chosen.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
 
 
