@@ -82,6 +82,24 @@ def test_packing_round_trip(spark, sf, odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_neighbours_share_shards(spark, make):
+    """With shards of 40 rows, the best neighbours over all documents, by brute force, are mostly in a document's shard; statistics are those of all."""
+    rnd = random.Random(8)
+    topics = [[f"{rnd.choice('bcdfgklmnprstvz')}{rnd.choice('aeiou')}{rnd.choice('bdgklmnprst')}{rnd.randrange(1000)}" for _ in range(30)] for _ in range(40)]
+    texts = [" ".join(rnd.choice(topics[k % 40]) for _ in range(60)) for k in range(800)]
+    rows = packing.pack_documents(make(*texts), shard_rows=40).collect()
+    pieces = [np.array(x) for x in tokens.WordTokens.load().encode(texts, 1)]
+    index = packing.InvertedIndex(pieces)
+    shard = {r.doc_id: r.sequence_id >> 40 for r in rows}
+    assert len(set(shard.values())) >= 15
+    found = 0
+    for q in range(0, 800, 8):
+        score = index.scores(q)
+        score[q] = -1
+        found += sum(shard[int(k)] == shard[q] for k in np.argsort(-score, kind="stable")[:5])
+    assert found / 500 > 0.4  # a twentieth by chance
+
+
 def test_neighbours_are_by_bm25():
     rnd = np.random.default_rng(2)
     pieces = [np.concatenate([rnd.integers(100 * k, 100 * k + 40, 50) for _ in range(2)]).astype(np.uint32) for k in (0, 1, 2, 0, 1, 2)]

@@ -1,6 +1,9 @@
 """Lexical retrieval packing.
 
-Documents are dealt to shards by a hash of id and text, so rows without an id spread out too. Each shard holds its documents' tokens in a BM25 inverted index.
+Texts are tokenized once. The document frequencies of terms and the mean length are those of all pieces of all documents. Documents are
+dealt to shards by content: a document's key is its first term in a random order that favours rare terms (a min-hash weighted by inverse document
+frequency), then its second and third, and shards are cut from the documents in the order of their keys, a key of very many documents into several. So
+documents that share their telling terms mostly share a shard. Each shard holds its documents' tokens in a BM25 inverted index.
 The longest unused piece seeds a window; the index returns its unused neighbours by score, and they fill the window
 greedily, whole if they fit. When none fits, the best neighbour is cut to fill the window exactly, and its rest stays
 in the shard as a piece of its own. So a shard pads its last window and what is less than MIN_CUT elsewhere.
@@ -13,38 +16,61 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents
+from tidemark.llm.common import documents, materialise
+from tidemark.llm.jaccard import mix
 from tidemark.llm.tokens import WordTokens
 
 WINDOW = 2048
 END = 1
 MIN_CUT = 8
 SHARD_ROWS = 1536
-#: A shard of very long documents is packed in parts of about so many tokens.
-SHARD_TOKENS = 6_000_000
+#: A shard of very long documents, or of more rows than this share of its own, is packed in parts of about so many tokens.
+SHARD_TOKENS, SHARD_EXCESS = 6_000_000, 4
+#: Terms of a document's key, and the part of a first term's shards over which one key is spread.
+KEY, SPREAD = 3, 0.05
 K1, BM25_B = 1.2, 0.75
 #: A term of more than this share of a shard's pieces has a row in the dense table.
 DENSE_SHARE = 0.08
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all pieces: how many there are, their mean length, and how many hold each term."""
+
+    pieces: int
+    mean: float
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: list[np.ndarray]) -> Statistics:
+        df = np.bincount(np.concatenate([np.unique(p) for p in pieces]).astype(np.int64)) if pieces else np.zeros(0, np.int64)
+        return cls(len(pieces), float(np.mean([len(p) for p in pieces])) if pieces else 0.0, df)
+
+    @property
+    def idf(self) -> np.ndarray:
+        return np.log(1 + (self.pieces - self.df + 0.5) / (self.df + 0.5))
+
+
 class InvertedIndex:
     """BM25 over the pieces of a shard: postings by term, each with its finished weight. Terms of many pieces stand in a dense table instead."""
 
-    def __init__(self, pieces: list[np.ndarray]):
+    def __init__(self, pieces: list[np.ndarray], statistics: Statistics | None = None):
         size = np.array([len(p) for p in pieces], np.float64)
         terms, counts = zip(*(np.unique(p, return_counts=True) for p in pieces), strict=True)
         owner = np.repeat(np.arange(len(pieces)), [len(t) for t in terms])
         term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
         df = np.bincount(term)
-        idf = np.log(1 + (len(pieces) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - BM25_B + BM25_B * size / max(size.mean(), 1))
+        statistics = statistics or Statistics(len(pieces), size.mean(), df)
+        idf = statistics.idf
+        norm = K1 * (1 - BM25_B + BM25_B * size / max(statistics.mean, 1))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[owner])
         common = np.flatnonzero(df > DENSE_SHARE * len(pieces))
         self.column = np.full(len(df), -1)
@@ -67,7 +93,7 @@ class InvertedIndex:
         return np.bincount(self.owner[spots], self.weight[spots], minlength=self.pieces) + self.table[self.common[piece]].sum(axis=0)
 
 
-def pack(lengths: list[int], tokens: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack(lengths: list[int], tokens: list[np.ndarray], window: int = WINDOW, statistics: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length)."""
     full = [(d, s) for d, n in enumerate(lengths) for s in range(0, n - window + 1, window)]
     out = [[(d, s, window)] for d, s in full]
@@ -75,7 +101,7 @@ def pack(lengths: list[int], tokens: list[np.ndarray], window: int = WINDOW) ->
     if not rest:
         return out
     doc, start, left = (np.array(x, np.int64) for x in zip(*rest, strict=True))
-    index = InvertedIndex([tokens[d][s : s + n] for d, s, n in rest])
+    index = InvertedIndex([tokens[d][s : s + n] for d, s, n in rest], statistics)
     for seed in np.argsort(-left, kind="stable"):
         if not left[seed]:
             continue
@@ -104,16 +130,85 @@ def pack(lengths: list[int], tokens: list[np.ndarray], window: int = WINDOW) ->
     return out
 
 
+TOKENS = "doc_id long, th long, n int, ids binary, term int, pieces long"
+#: Rows of the terms' counts that hold the number of pieces and of their tokens.
+ALL, LENGTH = -1, -2
+
+
+def _unpacked(n: int, ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
+
+
+def _tokenized(tokenizer_path: str | None, window: int):
+    """Each document's ids, and at a task's end in how many of its pieces each term is."""
+    names = [x.split()[0] for x in TOKENS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordTokens.load(tokenizer_path)
+        kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        df, pieces, length = np.zeros(max(encoder.tokenizer.get_vocab_size(), END + 1), np.int64), 0, 0
+        for batch in batches:
+            n, packed = [], []
+            for ids in encoder.encode(batch.column("text").to_pylist(), END):
+                n.append(len(ids))
+                packed.append(ids.astype(kind).tobytes())
+                if rest := len(ids) % window:
+                    df[np.unique(ids[-rest:])] += 1
+                    pieces, length = pieces + 1, length + rest
+            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int32()), pa.array(packed, pa.binary()), *none], names)
+        term = np.flatnonzero(df)
+        rows = np.r_[term, ALL, LENGTH], np.r_[df[term], pieces, length]
+        long, some = pa.nulls(len(rows[0]), pa.int64()), pa.nulls(len(rows[0]), pa.int32())
+        yield pa.RecordBatch.from_arrays([long, long, some, pa.nulls(len(rows[0]), pa.binary()), pa.array(rows[0].astype(np.int32)), pa.array(rows[1])], names)
+
+    return run
+
+
+def _keyed(statistics: Statistics, window: int):
+    """The tokens of a document with the first term of its key, and a place between 0 and 1 among the documents of that term by the other terms."""
+    share = lambda x: mix(x).astype(np.float64) / 2.0**64
+    idf = np.maximum(statistics.idf, 1e-9)
+    order = -np.log(share(np.arange(len(idf), dtype=np.uint64)) + 1e-300) / idf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, rest = [], []
+            for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                terms = np.unique(_unpacked(n, ids)[n - n % window :])
+                terms = terms[statistics.df[terms] > 1]
+                key = terms[np.argsort(order[terms], kind="stable")[:KEY]].tolist()
+                first.append(key[0] if key else ALL)
+                rest.append(sum((x + 1) << 20 * k for k, x in enumerate(key[1:])))
+            th = batch.column("th").to_numpy().view(np.uint64)
+            place = (1 - SPREAD) * share(np.array(rest, np.uint64)) + SPREAD * share(th)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("n"), batch.column("ids"), pa.array(first, pa.int32()), pa.array(place)], ["doc_id", "th", "n", "ids", "first", "place"])
+
+    return run
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    shards = max(1, -(-docs.count() // shard_rows))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("th"), "text")
+    tokens = materialise(texts.mapInArrow(_tokenized(tokenizer_path, window), TOKENS))
+    counts = {r["term"]: r["pieces"] for r in tokens.where("term IS NOT NULL").groupBy("term").agg(F.sum("pieces").alias("pieces")).collect()}  # the vocabulary at most
+    df = np.zeros(max([END, *counts]) + 1, np.int64)
+    for term, n in counts.items():
+        if term >= 0:
+            df[term] = n
+    statistics = Statistics(counts.get(ALL, 0), counts.get(LENGTH, 0) / max(1, counts.get(ALL, 0)), df)
+    keyed = tokens.where("ids IS NOT NULL").select("doc_id", "th", "n", "ids").mapInArrow(_keyed(statistics, window), "doc_id long, th long, n int, ids binary, first int, place double")
+    firsts = materialise(keyed.groupBy("first").agg(F.count(F.lit(1)).alias("rows")))  # one row for each term at most
+    starts = firsts.withColumn("before", F.sum("rows").over(Window.orderBy("first")) - F.col("rows"))
+    total = firsts.agg(F.sum("rows")).first()[0] or 0
+    shards = max(1, -(-total // shard_rows))
+    at = F.least(F.lit(shards - 1), F.floor((F.col("before") + F.col("place") * F.col("rows")) * F.lit(shards) / F.lit(max(1, total)))).cast("int")
+    dealt = keyed.join(F.broadcast(starts), "first").select(at.alias("shard"), "first", "place", "doc_id", "th", "n", "ids").repartitionById(shards, "shard").sortWithinPartitions("shard", "first", "place", "doc_id", "th")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokens.load(tokenizer_path)
-
         def flush(shard: int, part: int, ids: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
             rows = []
-            for k, sequence in enumerate(pack([len(t) for t in tokens], tokens, window)):
+            for k, sequence in enumerate(pack([len(t) for t in tokens], tokens, window, statistics)):
                 offset = 0
                 for d, start, n in sequence:
                     rows.append((ids[d], start, n, zlib.crc32(tokens[d][start : start + n].astype("<u4").tobytes()), len(tokens[d]), (shard << 40) + (part << 20) + k, offset))
@@ -122,18 +217,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
 
         shard, part, ids, tokens, held = None, 0, [], [], 0
         for batch in batches:
-            for s, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode(batch.column(2).to_pylist(), END), strict=True):
-                if ids and (s != shard or held > SHARD_TOKENS):
+            for s, d, n, t in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "ids")), strict=True):
+                if ids and (s != shard or held > SHARD_TOKENS or len(ids) >= SHARD_EXCESS * shard_rows):
                     yield flush(shard, part, ids, tokens)
                     part, ids, tokens, held = (part + 1 if s == shard else 0), [], [], 0
-                shard, held = s, held + len(t)
+                shard, held = s, held + n
                 ids.append(d)
-                tokens.append(t)
+                tokens.append(_unpacked(n, t))
         if ids:
             yield flush(shard, part, ids, tokens)
 
-    shard = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(shards)).cast("int")
-    dealt = docs.select(shard.alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "text")
     return dealt.mapInArrow(packed, SCHEMA)
 
 
