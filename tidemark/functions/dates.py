@@ -68,28 +68,40 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
 
 
+def day_of(year: Column, month: Column, day: Column) -> Column:
+    """The day of a year, a month's name and a number, as text; null if there is none."""
+    return _day(year, _month(month), day)
+
+
 def parsed(df: DataFrame, text: Column, prefix: str = "") -> DataFrame:
     """df with the flat date columns of a written date: ISO, month first, day first, month and year, quarter and year, or year; else unknown.
 
-    The steps are separate projections, so that each pattern runs once a row.
+    The text is split once, and its number of words tells which form it can have; no pattern is tried. What later steps use more than once comes out of a
+    one-row explode, which the optimizer doesn't fold into them.
     """
-    part = lambda pattern, k: F.nullif(F.regexp_extract("_said", pattern, k), F.lit(""))
-    us, eu, my, quarter = r"^([A-Za-z]+)\.? (\d{1,2}),? (\d{4})$", r"^(\d{1,2}) ([A-Za-z]+)\.?,? (\d{4})$", r"^([A-Za-z]+)\.? (\d{4})$", r"^[Qq]([1-4]) (\d{4})$"
-    iso = F.when(F.col("_said").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("_said", "yyyy-MM-dd"))
-    found = F.struct(
-        F.coalesce(iso, _day(part(us, 3), _month(part(us, 1)), part(us, 2)), _day(part(eu, 3), _month(part(eu, 2)), part(eu, 1))).alias("exact"),
-        _day(part(my, 2), _month(part(my, 1)), F.lit("1")).alias("month"),
-        _day(part(quarter, 2), part(quarter, 1).cast("int") * 3 - 2, F.lit("1")).alias("quarter"),
-        _day(part(r"^(\d{4})$", 1), F.lit(1), F.lit("1")).alias("year"),
-    )
-    exact, month, quart, year = (F.col(f"_found.{k}") for k in ("exact", "month", "quarter", "year"))
-    granularity = F.when(month.isNotNull(), "MONTH").when(quart.isNotNull(), "QUARTER").when(year.isNotNull(), "YEAR")
-    end = F.when(month.isNotNull(), F.last_day(month)).when(quart.isNotNull(), F.last_day(F.add_months(quart, 2))).otherwise(F.last_day(F.add_months(year, 11)))
-    start = F.coalesce(month, quart, year)
-    kind = F.when(exact.isNotNull(), "EXACT").when(start.isNotNull(), "WINDOW").otherwise("TBD")
-    flat = encode(kind, exact, start, end, granularity)
-    rows = df.withColumn("_said", F.trim(F.regexp_replace(text, r"\s+", " "))).withColumn("_found", found)
-    return rows.withColumns({f"{prefix}{k}": v for k, v in flat.items()}).drop("_said", "_found")
+    once = lambda c: F.explode(F.array(c))
+    last = lambda x, c: F.when(x.endswith(c), F.left(x, F.length(x) - 1)).otherwise(x)
+    digits = lambda x, low, high: F.length(x).between(low, high) & (F.translate(x, "0123456789", "") == "")
+    n = F.size("_words")
+    w = [F.get(F.col("_words"), F.lit(k)) for k in range(3)]
+    second = last(w[1], ",")
+    us = (n == 3) & digits(second, 1, 2) & digits(w[2], 4, 4)
+    eu = (n == 3) & digits(w[0], 1, 2) & digits(w[2], 4, 4)
+    my = (n == 2) & digits(w[1], 4, 4)
+    quarter = my & (F.length(w[0]) == 2) & F.lower(w[0]).isin("q1", "q2", "q3", "q4")
+    month_first = us | (my & ~quarter)
+    named = _month(F.when(month_first, last(w[0], ".")).when(eu, last(second, ".")))
+    year = F.when(us | eu, w[2]).when(my, w[1]).when((n == 1) & digits(w[0], 4, 4), w[0])
+    month = F.when(us | eu | (my & ~quarter), named).when(quarter, F.substring(w[0], 2, 1).cast("int") * 3 - 2).otherwise(1)
+    day = F.when(us, second).when(eu, w[0]).otherwise("1")
+    exact, iso = us | eu, (n == 1) & (F.length(w[0]) == 10)
+    found = F.struct(F.when(iso, F.try_to_date(w[0], "yyyy-MM-dd")).when(year.isNotNull() & month.isNotNull(), _day(year, month, day)).alias("on"), F.when(exact | iso, "EXACT").when(quarter, "QUARTER").when(my, "MONTH").otherwise("YEAR").alias("form"))
+    on, form = F.col("_found.on"), F.col("_found.form")
+    kind = F.when(on.isNull(), "TBD").when(form == "EXACT", "EXACT").otherwise("WINDOW")
+    end = F.last_day(F.add_months(on, F.when(form == "QUARTER", 2).when(form == "YEAR", 11).otherwise(0)))
+    flat = encode(kind, on, on, end, form)
+    rows = df.withColumn("_words", once(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " "))).withColumn("_found", once(found))
+    return rows.withColumns({f"{prefix}{k}": v for k, v in flat.items()}).drop("_words", "_found")
 
 
 def parsed_range(df: DataFrame, text: Column) -> DataFrame:

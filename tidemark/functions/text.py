@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.schema import SEQUENCE_LABEL, STOP_WORDS, TRAILING_CODE
+from tidemark.schema import LEADING_CODE, NAMESPACES, NO_CODE, SEQUENCE_LABEL, STOP_WORDS, TRAILING_CODE
 
 
 def normal_name(name: Column) -> Column:
@@ -19,12 +19,12 @@ def normal_name(name: Column) -> Column:
 def normal_code(code: Column) -> Column:
     """Upper case without separators; placeholders, blanks and single characters are no code."""
     plain = F.regexp_replace(F.upper(code), r"[^A-Z0-9]+", "")
-    return F.when((F.length(plain) >= 2) & ~plain.isin("TBD", "TBA", "NA", "NONE", "UNKNOWN"), plain)
+    return F.when((F.length(plain) >= 2) & ~plain.isin("TBD", "TBA", "TBC", "NA", "NONE", "UNKNOWN"), plain)
 
 
 def code_in_name(name: Column) -> Column:
     """A leading code such as `ME06:` or `OP-13`, or a bracket at the end that holds one."""
-    lead = F.regexp_extract(name, r"^([A-Z]{2,4}-?\d{1,3})(?:[:\s]|$)", 1)
+    lead = F.regexp_extract(name, LEADING_CODE, 1)
     tail = F.regexp_extract(name, r"[\[(]([A-Z]{2,4}-?\d{1,3})[\])]\s*$", 1)
     return normal_code(F.coalesce(F.nullif(lead, F.lit("")), F.nullif(tail, F.lit(""))))
 
@@ -62,6 +62,34 @@ def clean_name(name: Column) -> Column:
     return F.regexp_replace(plain, r"^[\"“'](.*)[\"”']$", "$1")
 
 
+def folded_space(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def clean_code(cell: Column) -> Column:
+    """A code cell: leading dashes dropped, upper case; placeholders and what is longer than 16 characters are no code."""
+    said = F.regexp_replace(F.trim(cell), r"^[—–-]+\s*", "")
+    return F.when((said != "") & ~said.rlike(NO_CODE) & (F.length(said) <= 16), F.upper(said))
+
+
+def article_id(href: Column) -> Column:
+    """The title of a wiki link, decoded; pages of other namespaces and edit links are no articles."""
+    title = F.nullif(F.regexp_extract(F.trim(href), r"^(?:https?://[^/]+)?/wiki/([^?#]+)$", 1), F.lit(""))
+    plain = F.coalesce(F.try_url_decode(F.replace(title, F.lit("+"), F.lit("%2B"))), title)
+    return F.when(~plain.rlike(r"(?i)^(?:" + "|".join(NAMESPACES) + r")\s*:"), plain)
+
+
+def cleaned_naming(name: Column, code: Column) -> tuple[Column, Column]:
+    """Name and code of a candidate: syntax of sources removed, a leading code dropped from the name where the code column says the same, or moved there if that is empty."""
+    plain = folded_space(F.regexp_replace(F.regexp_replace(F.trim(name), "_", " "), "^[\"'‘’“”«»]+|[\"'‘’“”«»]+$", ""))
+    own = F.nullif(F.trim(code), F.lit(""))
+    lead = F.nullif(F.regexp_extract(plain, LEADING_CODE, 1), F.lit(""))
+    rest = F.nullif(F.trim(F.regexp_replace(F.substr(plain, F.length(lead) + 1), r"^\s*[:\-–—]\s*", "")), F.lit(""))
+    shorter = lead.isNotNull() & rest.isNotNull() & (own.isNull() | (normal_code(lead) == normal_code(own)))
+    found = F.when(plain == "", F.trim(name)).when(F.coalesce(shorter, F.lit(False)), rest).otherwise(plain)
+    return found, F.when(plain == "", code).when(F.coalesce(shorter & own.isNull(), F.lit(False)), lead).otherwise(own)
+
+
 def slug(text: Column) -> Column:
     """Kebab case of ASCII text; accents need `folded` first."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")

@@ -40,7 +40,21 @@ SLOTS = [
 ]
 GAMES = ["magic-the-gathering", "pokemon-tcg", "yugioh-tcg", "one-piece-tcg", "disney-lorcana"]
 
+# What sources list that is no product of its own.
+COMPANION_TYPES = ["token", "memorabilia", "minigame", "alchemy", "treasure_chest", "vanguard"]
+CARD_POOL_GAMES = ["flesh-and-blood", "digimon-card-game", "one-piece-tcg", "union-arena-tcg"]
+CARD_GENRES = ["pack", "deck"]
+EVENT_TABS = ["calendar", "list", "upcoming", "unconfirmed"]
+NAMESPACES = ["file", "image", "media", "category", "template", "help", "special", "talk", "user", "portal", "project", "mediawiki", "module"]
+REGION_LABELS = {"NA": "NA", "EU": "EU", "APAC": "APAC", "JP": "JP", "OTHER": "Regional"}
+TYPE_LABELS = {"PRERELEASE": "Prerelease", "PROMO": "Promo", "SPECIAL": "Special"}
+
 # Patterns of names, in Java's syntax.
+CARD_POOL_NAME = r"(?i)\b(?:release event|pre-?release) cards$"
+NUMBERED_SET = r"^\d{1,2}$"
+PARENTED_NAME = r"(?i)^Art Series:\s*(.+)$"
+LEADING_CODE = r"^([A-Z]{2,4}-?\d{1,3}[A-Z]{0,3})(?:[:\s]|$)"
+NO_CODE = r"(?i)^(?:[—–\-?]+|n/?a|tba|tbd|tbc|unknown|none)$"
 SEQUENCE_LABEL = r"(?i)^(?:set|series|volume|vol|chapter|part)\s*#?(\d+)\s*[:\-–—]\s*"
 TRAILING_CODE = r"\s+(?=[A-Z0-9]*[A-Z])[A-Z0-9]{2,5}$"
 MAIN_EXPANSION = r"(?i)^(?:[A-Z]{2,3}\d{0,2}:\s*)?(?:mega evolution|scarlet\s*(?:&|and)\s*violet|sword\s*(?:&|and)\s*shield|sun\s*(?:&|and)\s*moon|xy)\s*[—–:-]"

@@ -175,6 +175,10 @@ def register_parser(key: str, parser) -> None:
     _PARSERS[key] = parser
 
 
+def unregister_parser(key: str) -> None:
+    _PARSERS.pop(key, None)
+
+
 def parsers(games: list[str] | None = None) -> dict:
     """Registered parsers, all of them or those whose `games` meet the wanted ones."""
     return {k: p for k, p in _PARSERS.items() if not games or set(getattr(p, "games", games)) & set(games)}
