@@ -3,7 +3,8 @@
 Texts are tokenized once. The document frequencies of terms and the mean length are those of all pieces of all documents. Documents are
 dealt to shards by content: a document's key is its first term in a random order that favours rare terms (a min-hash weighted by inverse document
 frequency), then its second and third, and shards are cut from the documents in the order of their keys, a key of very many documents into several. So
-documents that share their telling terms mostly share a shard. Each shard holds its documents' tokens in a BM25 inverted index.
+documents that share their telling terms mostly share a shard. How many documents have a term first is told by a sample of at most SAMPLE documents and, as every term needs
+some room, by the terms' frequencies; a shard may be larger or smaller for that, nothing else depends on it. Each shard holds its documents' tokens in a BM25 inverted index.
 The longest unused piece seeds a window; the index returns its unused neighbours by score, and they fill the window
 greedily, whole if they fit. When none fits, the best neighbour is cut to fill the window exactly, and its rest stays
 in the shard as a piece of its own. So a shard pads its last window and what is less than MIN_CUT elsewhere.
@@ -20,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, materialise
+from tidemark.llm.common import documents, hash_bound, materialise
 from tidemark.llm.jaccard import mix
 from tidemark.llm.tokens import WordTokens
 
@@ -33,8 +34,9 @@ MIN_CUT = 8
 SHARD_ROWS = 1536
 #: A shard of very long documents, or of more rows than this share of its own, is packed in parts of about so many tokens.
 SHARD_TOKENS, SHARD_EXCESS = 6_000_000, 4
-#: Terms of a document's key, and the part of a first term's shards over which one key is spread.
-KEY, SPREAD = 3, 0.05
+#: The part of a first term's shards over which documents of one key are spread.
+SPREAD = 0.3
+SAMPLE = 20_000
 K1, BM25_B = 1.2, 0.75
 #: A term of more than this share of a shard's pieces has a row in the dense table.
 DENSE_SHARE = 0.08
@@ -165,24 +167,60 @@ def _tokenized(tokenizer_path: str | None, window: int):
     return run
 
 
-def _keyed(statistics: Statistics, window: int):
-    """The tokens of a document with the first term of its key, and a place between 0 and 1 among the documents of that term by the other terms."""
+class Keys:
+    """The terms' random order, and each document's first three terms in it; terms of a single piece are none."""
+
+    def __init__(self, statistics: Statistics, window: int):
+        self.window = window
+        draws = mix(np.arange(len(statistics.df), dtype=np.uint64)).astype(np.float64) / 2.0**64
+        cost = np.where(statistics.df > 1, -np.log(draws + 1e-300) / np.maximum(statistics.idf, 1e-9), np.inf)
+        order = np.argsort(cost, kind="stable")
+        self.rank = np.empty(len(order), np.int32)
+        self.rank[order] = np.arange(len(order))
+        self.none = int((statistics.df > 1).sum())
+        self.weight = np.r_[statistics.df[order][: self.none].astype(np.float64), 1.0]
+
+    def of(self, n: list[int], ids: list[bytes]) -> np.ndarray:
+        key = np.full((len(n), 3), self.none, np.int64)
+        for k, (m, packed) in enumerate(zip(n, ids, strict=True)):
+            r = self.rank[_unpacked(m, packed)[m - m % self.window :]]
+            for c in range(3):
+                if not len(r) or (low := r.min()) >= self.none:
+                    break
+                key[k, c] = low
+                r = r[r > low]
+        return key
+
+    def begins(self, sampled: dict[int, int]) -> np.ndarray:
+        """Where the documents of each first term begin, as a share of all: nine tenths by the sample, a tenth by the terms' frequencies."""
+        share = self.weight / self.weight.sum()
+        if sampled:
+            seen = np.zeros(len(share))
+            seen[list(sampled)] = list(sampled.values())
+            share = 0.1 * share + 0.9 * seen / seen.sum()
+        return np.r_[0.0, np.cumsum(share)]
+
+
+def _firsts(keys: Keys):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(keys.of(batch.column("n").to_pylist(), batch.column("ids").to_pylist())[:, 0])], ["first"])
+
+    return run
+
+
+def _keyed(keys: Keys, begins: np.ndarray, shards: int):
+    """The tokens of a document with its shard and its place. Documents that share all their key, or have less than two terms in it, are spread by a hash."""
     share = lambda x: mix(x).astype(np.float64) / 2.0**64
-    idf = np.maximum(statistics.idf, 1e-9)
-    order = -np.log(share(np.arange(len(idf), dtype=np.uint64)) + 1e-300) / idf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, rest = [], []
-            for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                terms = np.unique(_unpacked(n, ids)[n - n % window :])
-                terms = terms[statistics.df[terms] > 1]
-                key = terms[np.argsort(order[terms], kind="stable")[:KEY]].tolist()
-                first.append(key[0] if key else ALL)
-                rest.append(sum((x + 1) << 20 * k for k, x in enumerate(key[1:])))
-            th = batch.column("th").to_numpy().view(np.uint64)
-            place = (1 - SPREAD) * share(np.array(rest, np.uint64)) + SPREAD * share(th)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("n"), batch.column("ids"), pa.array(first, pa.int32()), pa.array(place)], ["doc_id", "th", "n", "ids", "first", "place"])
+            key = keys.of(batch.column("n").to_pylist(), batch.column("ids").to_pylist())
+            own = share(batch.column("th").to_numpy().view(np.uint64))
+            place = np.where(key[:, 1] == keys.none, own, (1 - SPREAD) * share((key[:, 1] << 20 | key[:, 2]).astype(np.uint64)) + SPREAD * own)
+            at = begins[key[:, 0]] + place * (begins[key[:, 0] + 1] - begins[key[:, 0]])
+            shard = np.minimum((at * shards).astype(np.int32), shards - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(at), *(batch.column(c) for c in ("doc_id", "th", "n", "ids"))], ["shard", "at", "doc_id", "th", "n", "ids"])
 
     return run
 
@@ -197,13 +235,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         if term >= 0:
             df[term] = n
     statistics = Statistics(counts.get(ALL, 0), counts.get(LENGTH, 0) / max(1, counts.get(ALL, 0)), df)
-    keyed = tokens.where("ids IS NOT NULL").select("doc_id", "th", "n", "ids").mapInArrow(_keyed(statistics, window), "doc_id long, th long, n int, ids binary, first int, place double")
-    firsts = materialise(keyed.groupBy("first").agg(F.count(F.lit(1)).alias("rows")))  # one row for each term at most
-    starts = firsts.withColumn("before", F.sum("rows").over(Window.orderBy("first")) - F.col("rows"))
-    total = firsts.agg(F.sum("rows")).first()[0] or 0
-    shards = max(1, -(-total // shard_rows))
-    at = F.least(F.lit(shards - 1), F.floor((F.col("before") + F.col("place") * F.col("rows")) * F.lit(shards) / F.lit(max(1, total)))).cast("int")
-    dealt = keyed.join(F.broadcast(starts), "first").select(at.alias("shard"), "first", "place", "doc_id", "th", "n", "ids").repartitionById(shards, "shard").sortWithinPartitions("shard", "first", "place", "doc_id", "th")
+    some = tokens.where("ids IS NOT NULL").select("doc_id", "th", "n", "ids")
+    total = some.count()
+    shards, keys = max(1, -(-total // shard_rows)), Keys(statistics, window)
+    sample = some.where(F.col("th") <= hash_bound(SAMPLE // 5, total)).limit(SAMPLE).mapInArrow(_firsts(keys), "first long")
+    sampled = {r["first"]: r["count"] for r in sample.groupBy("first").count().collect()}  # the vocabulary at most
+    keyed = some.mapInArrow(_keyed(keys, keys.begins(sampled), shards), "shard int, at double, doc_id long, th long, n int, ids binary")
+    dealt = keyed.repartitionById(shards, "shard").sortWithinPartitions("shard", "at", "doc_id", "th")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(shard: int, part: int, ids: list, tokens: list[np.ndarray]) -> pa.RecordBatch:

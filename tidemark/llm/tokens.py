@@ -35,6 +35,7 @@ SPACE = "▁"
 
 #: Words of one-byte letters, digits and signs without an apostrophe, and the parts that the splitter cuts them into.
 _PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF!-&(-@\[-`{-~]+")
+_LETTERS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+")
 _PARTS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
@@ -95,7 +96,10 @@ class WordTokens:
         lower-cases, and its splitter cuts runs of letters, single digits and runs of signs; any other word goes through the tokenizer."""
         if not _PLAIN.fullmatch(word) or "<|" in word:
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        parts = _PARTS.findall(word.lower())
+        low = word.lower()
+        run = _LETTERS.match(low)
+        rest = len(low) - (run.end() if run else 0)
+        parts = [low] if not rest else [low[:-1], low[-1]] if run and rest == 1 else _PARTS.findall(low)
         if parts != [word]:
             return b"".join([self.known[part] for part in parts])
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
