@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.schema import LEADING_CODE, NAMESPACES, NO_CODE, SEQUENCE_LABEL, STOP_WORDS, TRAILING_CODE
+from tidemark.schema import LEADING_CODE, NAMESPACES, NO_CODE, SEQUENCE_LABEL, STOP_WORDS, TRAILING_BRACKET, TRAILING_CODE
 
 
 def normal_name(name: Column) -> Column:
@@ -25,10 +25,18 @@ def normal_code(code: Column) -> Column:
 def code_in_name(name: Column) -> Column:
     """A leading code such as `ME06:` or `OP-13`, or a bracket at the end that holds one."""
     lead = F.regexp_extract(name, LEADING_CODE, 1)
-    tail = F.regexp_extract(name, r"[\[(]([A-Z]{2,4}-?\d{1,3})[\])]\s*$", 1)
+    tail = F.regexp_extract(name, TRAILING_BRACKET, 1)
     return normal_code(F.coalesce(F.nullif(lead, F.lit("")), F.nullif(tail, F.lit(""))))
 
 
+def without_codes(name: Column) -> Column:
+    """A name without a leading code and its separator, and without a code in brackets at its end; one that is only a code stays."""
+    lead = F.regexp_extract(name, LEADING_CODE, 1)
+    rest = F.when(lead == "", name).otherwise(F.regexp_replace(F.substr(name, F.length(lead) + 1), r"^\s*[:\-–—]?\s*", ""))
+    plain = F.trim(F.regexp_replace(rest, TRAILING_BRACKET, ""))
+    return F.when(plain == "", name).otherwise(plain)
+
+
 def words(name: Column) -> Column:
     """Lower-case words without brackets and without the label of a sequence."""
     plain = F.regexp_replace(F.regexp_replace(name, r"\([^)]*\)", " "), SEQUENCE_LABEL, " ")

@@ -1,17 +1,18 @@
 """Identity of products: by external id, by code, by name, else new.
 
-The id and code tiers are joins. Names meet by equal normal form, or through a shared word and the Dice coefficient of their words. What is
-left is resolved one after the other within a game, since a set that one candidate creates is there for the next.
+All tiers are joins. Names meet by equal forms (whole, without code tokens, or the part after a separator where one side leads with a code), or by the Dice
+coefficient of their words, for which names meet in their rarest words alone. What is left is resolved in the order of candidates: one that matches an
+earlier product joins its set. That runs in rounds of joins over the pairs that match; a candidate is decided when all earlier ones it matches are.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import code_in_name, is_placeholder, normal_code, normal_name, numbers, sequence_number, tokens, without_trailing_code
-from tidemark.schema import MIN_NAME, SIMILARITY_AT
+from tidemark.functions.text import code_in_name, is_placeholder, normal_code, normal_name, numbers, sequence_number, tokens, without_codes, without_trailing_code
+from tidemark.operators.snapshots import settled
+from tidemark.schema import CODED_HEAD, MIN_NAME, SIMILARITY_AT, TAIL
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -26,9 +27,16 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(veto, 0.0).when(same, 1.0).otherwise(dice)
 
 
+def code_key(name: Column, code: Column, synthetic: Column | None = None) -> Column:
+    """The normal code: of the code column, which then is all that counts, else of the name. A made-up code is none."""
+    own = normal_code(code) if synthetic is None else F.when(~synthetic, normal_code(code))
+    return F.coalesce(own, code_in_name(name))
+
+
 def ambiguous_codes(candidates: DataFrame) -> DataFrame:
-    """(origin, code) that one origin gives to several products: never a key."""
-    return candidates.where("code IS NOT NULL").groupBy("origin", "code").agg(F.countDistinct("name").alias("names")).where("names > 1").select("origin", "code")
+    """game, origin, key: codes that one origin gives to several products of a game, and which so are no key for it."""
+    rows = candidates.select("game", "origin", code_key(F.col("name"), F.col("code")).alias("key"), normal_name(F.col("name")).alias("n")).where("key IS NOT NULL")
+    return rows.groupBy("game", "origin", "key").agg(F.countDistinct("n").alias("names")).where("names > 1").select("game", "origin", "key")
 
 
 def by_id(candidates: DataFrame, identities: DataFrame) -> DataFrame:
@@ -40,26 +48,60 @@ def by_id(candidates: DataFrame, identities: DataFrame) -> DataFrame:
 
 
 def by_code(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """candidate_id, set_id where exactly one set of the game has the candidate's code, and the code is no ambiguous one."""
-    code = F.coalesce(normal_code(F.col("code")), code_in_name(F.col("name")))
-    wanted = candidates.withColumn("key", code).where("key IS NOT NULL")
-    clear = wanted.join(ambiguous_codes(candidates), ["origin", "code"], "left_anti")
-    known = sets.where("NOT synthetic").withColumn("key", code).where("key IS NOT NULL").groupBy("game", "key").agg(F.min("set_id").alias("set_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    return clear.join(known, ["game", "key"]).select("candidate_id", "set_id")
+    """candidate_id, set_id where exactly one set of the game has the candidate's code, and the code is no ambiguous one. A set with a made-up code has the one in its name."""
+    wanted = candidates.select("candidate_id", "game", "origin", code_key(F.col("name"), F.col("code")).alias("key")).where("key IS NOT NULL")
+    clear = wanted.join(ambiguous_codes(candidates), ["game", "origin", "key"], "left_anti")
+    known = sets.select("game", "set_id", code_key(F.col("name"), F.col("code"), F.col("synthetic")).alias("key")).where("key IS NOT NULL")
+    single = known.groupBy("game", "key").agg(F.min("set_id").alias("set_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    return clear.join(single, ["game", "key"]).select("candidate_id", "set_id")
+
+
+def _forms(names: DataFrame) -> DataFrame:
+    """game, name, key, tail, coded: the forms under which a name may equal another."""
+    name = F.col("name")
+    whole = F.array(*[F.struct(k.alias("key"), F.lit(False).alias("tail")) for k in (normal_name(name), normal_name(without_codes(name)), F.concat(F.lit("="), F.array_join(F.array_sort(tokens(without_trailing_code(name))), " ")))])
+    tail = F.array(F.struct(normal_name(F.regexp_extract(name, TAIL, 1)).alias("key"), F.lit(True).alias("tail")))
+    rows = names.select("game", "name", name.rlike(CODED_HEAD).alias("coded"), F.explode(F.array_distinct(F.concat(whole, tail))).alias("f"))
+    return rows.select("game", "name", "coded", "f.key", "f.tail").where(F.length("key") >= MIN_NAME)
+
+
+def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """game, x, y, score for the names (game, name) of either side that match, SIMILARITY_AT or better.
+
+    Words are ordered by how few names have them. Names of Dice 0.75 or more share at least 0.6 of either one's words, so one of the first n - 0.6 n + 1 words of each is the same.
+    """
+    a, b = _forms(left).alias("a"), _forms(right).alias("b")
+    may = (~F.col("a.tail") & ~F.col("b.tail")) | F.col("a.coded") | F.col("b.coded")
+    veto = F.coalesce(sequence_number(F.col("a.name")) != sequence_number(F.col("b.name")), F.lit(False)) | (F.array_sort(numbers(without_codes(F.col("a.name")))) != F.array_sort(numbers(without_codes(F.col("b.name")))))
+    exact = a.join(b, F.expr("a.game = b.game AND a.key = b.key")).where(may & ((F.col("a.key") == F.col("b.key")) & (~veto | (F.col("a.tail") | F.col("b.tail"))))).select("a.game", F.col("a.name").alias("x"), F.col("b.name").alias("y"), F.lit(1.0).alias("score"))
+    words = lambda df: df.select("game", "name", tokens(F.col("name")).alias("words"))
+    both = words(left).unionByName(words(right))
+    counts = both.select("game", F.explode("words").alias("w")).groupBy("game", "w").agg(F.count(F.lit(1)).alias("df"))
+    share = SIMILARITY_AT / (2 - SIMILARITY_AT)
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        each = words(df).select("game", "name", F.size("words").alias("n"), F.explode("words").alias("w")).join(counts, ["game", "w"])
+        place = F.row_number().over(Window.partitionBy("game", "name").orderBy("df", "w"))
+        return each.withColumn("k", place).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1).select("game", "name", "n", "w")
+
+    p, q = prefixes(left).alias("p"), prefixes(right).alias("q")
+    lengths = (F.col("p.n") >= F.col("q.n") * F.lit(share - 1e-9)) & (F.col("q.n") >= F.col("p.n") * F.lit(share - 1e-9))
+    met = p.join(q, F.expr("p.game = q.game AND p.w = q.w")).where(lengths).select("p.game", F.col("p.name").alias("x"), F.col("q.name").alias("y")).distinct()
+    fuzzy = met.withColumn("score", similarity(F.col("x"), F.col("y"))).where(F.col("score") >= SIMILARITY_AT)
+    return exact.unionByName(fuzzy).groupBy("game", "x", "y").agg(F.max("score").alias("score"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.where(~is_placeholder(F.col("name")) & (F.length(normal_name(F.col("name"))) >= MIN_NAME))
 
 
 def by_name(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """candidate_id, set_id, score: the best name of the game, the oldest of equals. Placeholders match nothing; both having
     codes that differ is a veto."""
-    key = lambda df: df.where(~is_placeholder(F.col("name"))).withColumn("key", normal_name(F.col("name"))).where(F.length("key") >= MIN_NAME).withColumn("c", normal_code(F.col("code")))
-    a, b = key(candidates), key(sets).groupBy("game", "name", "key", "c").agg(F.min(F.struct("created", "set_id")).alias("first"))
+    a = _named(candidates).withColumn("c", code_key(F.col("name"), F.col("code")))
+    b = _named(sets).withColumn("c", code_key(F.col("name"), F.col("code"), F.col("synthetic"))).groupBy("game", "name", "c").agg(F.min(F.struct("created", "set_id")).alias("first"))
     # Names repeat: each pair of different spellings is scored once, then candidates and sets join it.
-    na, nb = a.select("game", "name", "key").distinct(), b.select("game", "name", "key").distinct()
-    exact = na.alias("x").join(nb.alias("y"), ["game", "key"]).select("game", F.col("x.name").alias("x"), F.col("y.name").alias("y"), F.lit(1.0).alias("score"))
-    word = F.explode(tokens(F.col("name"))).alias("w")
-    shared = na.select("game", F.col("name").alias("x"), word).join(nb.select("game", F.col("name").alias("y"), word), ["game", "w"]).select("game", "x", "y").distinct()
-    fuzzy = shared.withColumn("score", similarity(F.col("x"), F.col("y"))).where(F.col("score") >= SIMILARITY_AT)
-    scored = exact.unionByName(fuzzy).groupBy("game", "x", "y").agg(F.max("score").alias("score"))
+    scored = name_pairs(a.select("game", "name").distinct(), b.select("game", "name").distinct())
     met = a.alias("a").join(scored.alias("s"), F.expr("a.game = s.game AND a.name = s.x")).join(b.alias("b"), F.expr("s.game = b.game AND s.y = b.name"))
     no_veto = F.col("a.c").isNull() | F.col("b.c").isNull() | (F.col("a.c") == F.col("b.c"))
     best = met.where(no_veto).groupBy("a.candidate_id").agg(F.min(F.struct(-F.col("s.score"), "b.first")).alias("m"))
@@ -67,41 +109,50 @@ def by_name(candidates: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def resolve(candidates: DataFrame, sets: DataFrame, identities: DataFrame) -> DataFrame:
-    """candidate_id, set_id, matched_by (id, code, name or new). New products of a game with one normal name share a set."""
+    """The candidates with set_id and matched_by (id, code, name or new). New products have a set of their own here; `merge_new` joins them."""
     ids = by_id(candidates, identities).select("candidate_id", F.col("set_id").alias("s1"))
     codes = by_code(candidates, sets).select("candidate_id", F.col("set_id").alias("s2"))
     names = by_name(candidates, sets).select("candidate_id", F.col("set_id").alias("s3"))
     rows = candidates.join(ids, "candidate_id", "left").join(codes, "candidate_id", "left").join(names, "candidate_id", "left")
     by = F.when(F.col("s1").isNotNull(), "id").when(F.col("s2").isNotNull(), "code").when(F.col("s3").isNotNull(), "name").otherwise("new")
-    fresh = F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("|", "game", F.when(~is_placeholder(F.col("name")), normal_name(F.col("name"))).otherwise(F.col("candidate_id"))), 256), 1, 12))
-    return rows.select("candidate_id", "game", "name", F.coalesce("s1", "s2", "s3", fresh).alias("set_id"), by.alias("matched_by"))
+    fresh = F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("|", "game", "candidate_id"), 256), 1, 12))
+    return rows.select(*candidates.columns, F.coalesce("s1", "s2", "s3", fresh).alias("set_id"), by.alias("matched_by"))
+
+
+def _matches(new: DataFrame) -> DataFrame:
+    """i, j, tier, score: nodes (game, node, name, c, ids) of which the later one, j, matches the earlier one."""
+    first = lambda rows, tier: rows.join(rows.groupBy("game", "key").agg(F.min("node").alias("i")), ["game", "key"]).where("node > i").select("i", F.col("node").alias("j"), F.lit(tier).alias("tier"), F.lit(1.0).alias("score"))
+    ids = first(new.select("game", "node", F.explode("ids").alias("key")), 0)
+    codes = first(new.where("clear").select("game", "node", F.col("c").alias("key")), 1)
+    named = _named(new).select("game", "node", "name", "c")
+    scored = name_pairs(*[named.select("game", "name").distinct()] * 2)
+    a, b = named.alias("a"), named.alias("b")
+    met = a.join(scored.alias("s"), F.expr("a.game = s.game AND a.name = s.x")).join(b, F.expr("s.game = b.game AND s.y = b.name")).where("a.node < b.node AND (a.c IS NULL OR b.c IS NULL OR a.c = b.c)")
+    names = met.select(F.col("a.node").alias("i"), F.col("b.node").alias("j"), F.lit(2).alias("tier"), F.col("s.score").alias("score"))
+    return ids.unionByName(codes).unionByName(names).groupBy("i", "j").agg(F.min(F.struct("tier", -F.col("score"))).alias("rank"))
 
 
 def merge_new(resolved: DataFrame) -> DataFrame:
-    """Greedy pass over the new products of a game, in order of id: one whose words match an earlier one's joins its set. A game's new
-    products of one run are tens of rows."""
-
-    def words(name: str) -> tuple[frozenset, frozenset]:
-        import re
-
-        from tidemark.schema import STOP_WORDS
-
-        found = {w for w in re.split(r"[^a-z0-9]+", re.sub(r"\([^)]*\)", " ", name.lower())) if w}
-        return frozenset(found - set(STOP_WORDS)), frozenset(w for w in found if w.isdigit())
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        made: list[tuple] = []
-        rows = rows.sort_values("candidate_id", ignore_index=True)
-        out = []
-        for name, set_id in zip(rows["name"], rows["set_id"], strict=True):
-            t, n = words(name or "")
-            best = max(((2 * len(t & u) / max(1, len(t) + len(u)), -k) for k, (u, m, _) in enumerate(made) if n == m), default=(0, 0))
-            if best[0] >= SIMILARITY_AT:
-                set_id = made[-best[1]][2]
-            else:
-                made.append((t, n, set_id))
-            out.append(set_id)
-        return rows.assign(set_id=out)
-
-    new = resolved.where("matched_by = 'new'").groupBy("game").applyInPandas(walk, resolved.schema)
-    return resolved.where("matched_by <> 'new'").unionByName(new)
+    """The resolved candidates, new ones joined with earlier new ones in order of candidate_id: by id, by code, by the best name. A set has the name and code of the candidate that
+    made it. Candidates of one name and code, if not placeholders, are one node; rounds go on until every node leads a set or follows one."""
+    new = resolved.where("matched_by = 'new'").withColumn("c", code_key(F.col("name"), F.col("code")))
+    ids = F.transform(F.map_entries("external_ids"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    own = F.when(~is_placeholder(F.col("name")), normal_name(F.col("name"))).otherwise(F.concat(F.lit("?"), "candidate_id"))
+    alike = Window.partitionBy("game", "_own", F.coalesce("c", F.lit("")))
+    unclear = ambiguous_codes(resolved).select("game", "origin", F.col("key").alias("c"), F.lit(True).alias("_unclear"))
+    known = new.join(unclear, ["game", "origin", "c"], "left").withColumn("clear", F.col("c").isNotNull() & F.col("_unclear").isNull())
+    rows = settled(known.select("candidate_id", "game", "name", "c", "clear", ids.alias("ids"), own.alias("_own")).withColumn("node", F.min("candidate_id").over(alike)))
+    nodes = rows.groupBy("game", "node", "c").agg(F.min_by("name", "candidate_id").alias("name"), F.min("clear").alias("clear"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    edges = settled(_matches(settled(nodes)))
+    state = settled(edges.select(F.explode(F.array("i", "j")).alias("node")).distinct().withColumn("leader", F.lit(None).cast("string")))
+    while not (open_ := state.where("leader IS NULL").select("node")).isEmpty():
+        waiting = edges.join(open_.withColumnRenamed("node", "i"), "i", "left_semi").join(open_.withColumnRenamed("node", "j"), "j", "left_semi").select(F.col("j").alias("node")).distinct()
+        ready = open_.join(waiting, "node", "left_anti")
+        leaders = state.where("leader = node").select(F.col("node").alias("i"))
+        best = edges.join(leaders, "i", "left_semi").join(ready.withColumnRenamed("node", "j"), "j", "left_semi").groupBy(F.col("j").alias("node")).agg(F.min_by("i", F.struct("rank", "i")).alias("best"))
+        decided = ready.join(best, "node", "left").select("node", F.coalesce("best", "node").alias("decided"))
+        state = settled(state.join(decided, "node", "left").select("node", F.coalesce("leader", "decided").alias("leader")))
+    led = rows.join(state, "node", "left").select("candidate_id", "game", F.coalesce("leader", "node").alias("leader"))
+    made = F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("|", "game", "leader"), 256), 1, 12))
+    found = led.select("candidate_id", made.alias("_made"))
+    return resolved.join(found, "candidate_id", "left").withColumn("set_id", F.coalesce("_made", "set_id")).select(*resolved.columns)

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Written to the folder that the driver and all executors share (spark.checkpoint.dir, else the warehouse) and read again: steps that repeat start from a table."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    path = f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; struct comparison decides, so one pass without a sort."""
     rest = [c for c in rows.columns if c not in keys]

@@ -54,6 +54,9 @@ CARD_POOL_NAME = r"(?i)\b(?:release event|pre-?release) cards$"
 NUMBERED_SET = r"^\d{1,2}$"
 PARENTED_NAME = r"(?i)^Art Series:\s*(.+)$"
 LEADING_CODE = r"^([A-Z]{2,4}-?\d{1,3}[A-Z]{0,3})(?:[:\s]|$)"
+CODED_HEAD = r"^[A-Z]{2,4}-?\d{0,3}[A-Z]{0,3}\s*(?:[:—–]|-\s)|^[A-Z]{2,4}-?\d{1,3}[A-Z]{0,3}\s|[\[(][A-Z]{2,4}-?\d{1,3}[\])]\s*$"
+TAIL = r"(?:[:—–]|\s-\s)\s*([^:—–]+)$"
+TRAILING_BRACKET = r"[\[(]([A-Z]{2,4}-?\d{1,3})[\])]\s*$"
 NO_CODE = r"(?i)^(?:[—–\-?]+|n/?a|tba|tbd|tbc|unknown|none)$"
 SEQUENCE_LABEL = r"(?i)^(?:set|series|volume|vol|chapter|part)\s*#?(\d+)\s*[:\-–—]\s*"
 TRAILING_CODE = r"\s+(?=[A-Z0-9]*[A-Z])[A-Z0-9]{2,5}$"
