@@ -52,7 +52,7 @@ def lineage_sql() -> str:
     """Each origin with all it derives from, as SQL over a table `origins(key, parent)`; a cycle ends at depth 8."""
     return """
     WITH RECURSIVE up(origin, ancestor, depth) AS (
-      SELECT key, key, 0 FROM origins UNION ALL SELECT up.origin, o.parent, up.depth + 1 FROM up JOIN origins o ON o.key = up.ancestor WHERE o.parent IS NOT NULL AND up.depth < 8
+      SELECT key, key, 0 FROM {origins} UNION ALL SELECT up.origin, o.parent, up.depth + 1 FROM up JOIN {origins} o ON o.key = up.ancestor WHERE o.parent IS NOT NULL AND up.depth < 8
     )
     SELECT DISTINCT origin, ancestor FROM up"""
 
@@ -64,8 +64,7 @@ def origins(spark) -> DataFrame:
 def independent(spark, registry: DataFrame | None = None) -> DataFrame:
     """Pairs a < b of origins whose lineages share nothing. The registry is a handful of rows."""
     registry = registry if registry is not None else origins(spark)
-    registry.createOrReplaceTempView("origins")
-    up = spark.sql(lineage_sql())
+    up = spark.sql(lineage_sql(), origins=registry)
     keys = registry.select("key")
     pairs = keys.alias("a").join(keys.alias("b"), F.col("a.key") < F.col("b.key")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
     shared = up.alias("x").join(up.alias("y"), (F.col("x.ancestor") == F.col("y.ancestor")) & (F.col("x.origin") < F.col("y.origin"))).select(F.col("x.origin").alias("a"), F.col("y.origin").alias("b"))

@@ -100,9 +100,11 @@ def recent(spark, sf_dir):
     return last.join(gone, "event_id", "left_anti").select("event_id", "updated_on")
 
 
-@query("calendar_not_dismissed", "SELECT event_id FROM release_events WHERE type = 'SHELF' AND event_id NOT IN (SELECT target_id FROM reactions WHERE emoji = 'angry' AND user_id < 20)")
+@query("calendar_not_dismissed", "SELECT event_id FROM release_events WHERE type = 'SHELF' AND event_id NOT IN (SELECT target_id FROM (SELECT user_id, target_id, arg_max(emoji, (ts, event_id)) AS emoji FROM reactions GROUP BY ALL) WHERE emoji = 'angry')")
 def not_dismissed(spark, sf_dir):
-    gone = d.reactions(spark, sf_dir).where("emoji = 'angry' AND user_id < 20").select(F.col("target_id").alias("event_id"))
+    """Events that no user's last reaction dismisses."""
+    last = d.reactions(spark, sf_dir).groupBy("user_id", "target_id").agg(F.max_by("emoji", F.struct("ts", "event_id")).alias("emoji"))
+    gone = last.where("emoji = 'angry'").select(F.col("target_id").alias("event_id"))
     return d.release_events(spark, sf_dir).where("type = 'SHELF'").join(gone, "event_id", "left_anti").select("event_id")
 
 
@@ -184,12 +186,13 @@ def digest(spark, sf_dir):
 
 @query(
     "lead_time_reminders",
-    "SELECT user_id, event_id FROM subscriptions JOIN product_sets USING (install_id) JOIN release_events USING (set_id) WHERE alerts AND user_id % 50 = 3 AND date_exact = DATE '1998-04-01' + 7",
+    "SELECT user_id, event_id FROM subscriptions JOIN product_sets USING (install_id) JOIN release_events USING (set_id) WHERE alerts AND date_exact = DATE '1998-04-01' + CASE WHEN premium THEN 7 ELSE 3 END",
 )
 def reminders(spark, sf_dir):
-    """Here the ask itself names a fiftieth of the users: those who chose seven days."""
-    due = d.release_events(spark, sf_dir).where(F.col("date_exact") == F.date_add(F.lit("1998-04-01").cast("date"), 7)).join(d.product_sets(spark, sf_dir), "set_id")
-    return d.subscriptions(spark, sf_dir).where("alerts AND user_id % 50 = 3").join(due, "install_id").select("user_id", "event_id")
+    """Every subscriber with alerts: premium ones a week before, others three days."""
+    due = d.release_events(spark, sf_dir).join(d.product_sets(spark, sf_dir), "set_id").select("install_id", "event_id", "date_exact")
+    users = d.subscriptions(spark, sf_dir).where("alerts").select("install_id", "user_id", F.date_add(F.lit("1998-04-01").cast("date"), F.when(F.col("premium"), 7).otherwise(3)).alias("date_exact"))
+    return users.join(due, ["install_id", "date_exact"]).select("user_id", "event_id")
 
 
 @query(

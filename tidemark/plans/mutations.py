@@ -19,12 +19,13 @@ def upsert_runs(spark, sf_dir):
     return snapshots.upsert(last(f"NOT ({middle})"), last(middle), ["provider", "scan_id"]).select("provider", "scan_id", "run_id", "status")
 
 
-@query("first_pin_wins", "SELECT origin, ref, event_id FROM (SELECT *, row_number() OVER (PARTITION BY origin, ref ORDER BY event_id) AS r FROM (SELECT DISTINCT origin, ref, event_id FROM claims WHERE event_id < 100)) WHERE r = 1 UNION ALL SELECT origin, ref, event_id FROM (SELECT *, row_number() OVER (PARTITION BY origin, ref ORDER BY event_id) AS r FROM (SELECT DISTINCT origin, ref, event_id FROM claims WHERE event_id BETWEEN 100 AND 400 AND (origin, ref) NOT IN (SELECT origin, ref FROM claims WHERE event_id < 100))) WHERE r = 1")
+@query("first_pin_wins", "SELECT origin, ref, event_id FROM (SELECT *, row_number() OVER (PARTITION BY origin, ref ORDER BY live, event_id) AS r FROM (SELECT DISTINCT origin, ref, event_id, live FROM claims)) WHERE r = 1")
 def first_pin_wins(spark, sf_dir):
-    pins = d.claims(spark, sf_dir).select("origin", "ref", "event_id").distinct()
-    empty = pins.where("event_id < 0")
-    old = snapshots.insert_absent(empty, pins.where("event_id < 100"), ["origin", "ref"], ["event_id"])
-    return snapshots.insert_absent(old, pins.where("event_id BETWEEN 100 AND 400"), ["origin", "ref"], ["event_id"])
+    """All claims: those no longer seen are the old pins, the ones seen now come after them."""
+    pins = d.claims(spark, sf_dir).select("origin", "ref", "event_id", "live")
+    part = lambda where: pins.where(where).drop("live").distinct()
+    old = part("NOT live")
+    return snapshots.insert_absent(snapshots.insert_absent(old.where("false"), old, ["origin", "ref"], ["event_id"]), part("live"), ["origin", "ref"], ["event_id"])
 
 
 @query("first_pin_wins_all", "SELECT origin, ref, event_id FROM (SELECT *, row_number() OVER (PARTITION BY origin, ref ORDER BY later, event_id) AS r FROM (SELECT DISTINCT origin, ref, event_id, run > 1 AS later FROM claims)) WHERE r = 1")

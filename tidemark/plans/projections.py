@@ -9,10 +9,10 @@ from tidemark.plans.base import query
 from tidemark.sources import domain as d
 
 
-@query("review_queue", "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY origin, run, ref) - 1 AS INTEGER) AS place, origin, claim_date FROM claims WHERE live AND event_id % 50 = 1", days=("claim_date",))
+@query("review_queue", "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY origin, run, ref, claim_date) - 1 AS INTEGER) AS place, origin, claim_date FROM claims WHERE live AND tier <> 'SPECULATIVE'", days=("claim_date",))
 def review_queue(spark, sf_dir):
-    """Each claim of an event under review with its index; the ask names the events."""
-    rows = d.claims(spark, sf_dir).where("live AND event_id % 50 = 1").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("origin", "run", "ref", "claim_date"))).alias("claims"))
+    """Each claim that may decide, of all events, with its index."""
+    rows = d.claims(spark, sf_dir).where("live AND tier <> 'SPECULATIVE'").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("origin", "run", "ref", "claim_date"))).alias("claims"))
     return rows.select("event_id", F.posexplode("claims").alias("place", "c")).select("event_id", "place", "c.origin", "c.claim_date")
 
 

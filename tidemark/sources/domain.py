@@ -38,7 +38,7 @@ def product_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def release_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = read(spark, sf_dir, "part").count()
+    sets = read(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
     nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey")).select("n_nationkey", "r_name")
     who = read(spark, sf_dir, "customer").join(nation, F.expr("c_nationkey = n_nationkey")).select("c_custkey", "r_name")
     orders = read(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate")).withColumn("k", F.col("o_orderkey") % 4)
@@ -104,7 +104,7 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(
-        F.sha2("text", 256).alias("url_key"), F.col("source"), F.col("doc_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 200).cast("int")).alias("published_on"), F.substring("text", 1, 60).alias("title"), F.col("lang")
+        F.sha2("text", 256).alias("url_key"), F.col("source"), F.col("doc_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 200).cast("int")).alias("published_on"), F.split("text", "\n")[0].alias("title"), F.col("lang")
     )
 
 
@@ -135,7 +135,7 @@ SQL = {
     "reactions": """SELECT user_id, event_id % 500 AS target_id,
       CASE event_type WHEN 'view' THEN 'like' WHEN 'click' THEN 'love' WHEN 'signup' THEN 'wow' WHEN 'purchase' THEN 'sad' ELSE 'angry' END AS emoji, ts, event_id FROM events""",
     "subscriptions": "SELECT c_custkey AS user_id, CAST(c_nationkey % 5 AS INTEGER) AS install_id, c_acctbal > 0 AS premium, c_mktsegment <> 'MACHINERY' AS alerts FROM customer",
-    "news": "SELECT sha256(text) AS url_key, source, doc_id, DATE '2024-01-01' + CAST(doc_id % 200 AS INTEGER) AS published_on, substr(text, 1, 60) AS title, lang FROM documents",
+    "news": "SELECT sha256(text) AS url_key, source, doc_id, DATE '2024-01-01' + CAST(doc_id % 200 AS INTEGER) AS published_on, string_split(text, chr(10))[1] AS title, lang FROM documents",
 }
 
 
