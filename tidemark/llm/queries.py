@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": jaccard.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_chat_format": chat.SQL,
 }
