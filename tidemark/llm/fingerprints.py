@@ -27,6 +27,8 @@ from tidemark.llm.common import documents, materialise
 BITS = 128
 #: The filter of hashes that are compared by bytes has 2 ** 22 bits to 2 ** 27 (16 MB), about 16 for each such hash.
 FILTER_BITS = (22, 27)
+#: Rows that a task holds as Python objects at a time.
+STEP = 1000
 
 
 def canonical(text: str | None) -> bytes:
@@ -74,7 +76,7 @@ def collisions(docs: DataFrame, own: DataFrame, edited: DataFrame, bits: int = B
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        for batch in batches:
+        for batch in (b.slice(a, STEP) for b in batches for a in range(0, b.num_rows, STEP)):
             rows = []
             for text in batch.column("text").to_pylist():
                 form = canonical(text)
@@ -106,7 +108,7 @@ def fingerprint_pairs(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in (b.slice(a, STEP) for b in batches for a in range(0, b.num_rows, STEP)):
             ids = batch.column("doc_id")
             part = np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, np.searchsorted(cuts, ids.fill_null(0).to_numpy(), side="right"))
             texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
@@ -126,19 +128,20 @@ def fingerprint_pairs(docs: DataFrame, bits: int = BITS) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    def opened(i: int | None, z: bytes) -> tuple:
-        text = zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass")
+    def opened(unpack, i: int | None, z: bytes) -> tuple:
+        text = unpack(z).decode("utf-8", "surrogatepass")
         return i, text, canonical(text)
 
     def edge(part: int, i: int | None, **z: bytes) -> tuple:
         return (i, *[None] * 7, part, z.get("head"), z.get("tail"))
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         part, last, last_z = None, None, None
-        for batch in batches:
+        for batch in (b.slice(a, STEP) for b in batches for a in range(0, b.num_rows, STEP)):
             rows = []
             for p, i, z in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                doc = opened(i, z)
+                doc = opened(unpack, i, z)
                 if p != part:
                     if last is not None:
                         rows.append(edge(part, last[0], tail=last_z))
@@ -159,8 +162,9 @@ def fingerprint_pairs(docs: DataFrame, bits: int = BITS) -> DataFrame:
     joined = tails.alias("t").join(heads.alias("h"), F.expr("t.after = h.part")).select("t.doc_id", "t.tail", "next_id", "head")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            yield batch_of([row(opened(i, z), opened(j, y)) for i, z, j, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)])
+            yield batch_of([row(opened(unpack, i, z), opened(unpack, j, y)) for i, z, j, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)])
 
     whole = found.where("head IS NULL AND tail IS NULL").unionByName(joined.mapInArrow(finish, schema))
     plain = materialise(whole.select(*names[:8]))
