@@ -26,10 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, and a lost executor costs no recomputation."""
+def materialise(df: DataFrame, partition_by: list[str] | None = None, compressed: bool = True) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage, and a lost executor costs no recomputation. What is packed already need not be compressed."""
     path = shared_folder(df.sparkSession)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    if not compressed:
+        writer = writer.option("compression", "none").option("parquet.enable.dictionary", "false")
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,10 +1,10 @@
 """Lexical retrieval packing.
 
-Texts are tokenized once. The document frequencies of terms and the mean length are those of all pieces of all documents. Documents are
-dealt to shards by content: a document's key is its first term in a random order that favours rare terms (a min-hash weighted by inverse document
-frequency), then its second and third, and shards are cut from the documents in the order of their keys, a key of very many documents into several. So
-documents that share their telling terms mostly share a shard. How many documents have a term first is told by a sample of at most SAMPLE documents and, as every term needs
-some room, by the terms' frequencies; a shard may be larger or smaller for that, nothing else depends on it. Each shard holds its documents' tokens in a BM25 inverted index.
+Texts are tokenized once, and dealt to shards by content: a document's key is its first term in a random order that favours rare terms (a min-hash weighted by
+inverse document frequency), then its second and third, and shards are cut from the documents in the order of their keys, a key of very many documents into several. So
+documents that share their telling terms often share a shard. The order, and how much room a first term gets, come from a sample of about SAMPLE documents; a shard may be
+larger or smaller for that, nothing else depends on it. Each shard holds its documents' tokens in a BM25 inverted index, with
+the document frequencies and the mean length of all pieces of all documents.
 The longest unused piece seeds a window; the index returns its unused neighbours by score, and they fill the window
 greedily, whole if they fit. When none fits, the best neighbour is cut to fill the window exactly, and its rest stays
 in the shard as a piece of its own. So a shard pads its last window and what is less than MIN_CUT elsewhere.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, hash_bound, materialise
+from tidemark.llm.common import documents, materialise
 from tidemark.llm.jaccard import mix
 from tidemark.llm.tokens import WordTokens
 
@@ -36,7 +36,11 @@ SHARD_ROWS = 1536
 SHARD_TOKENS, SHARD_EXCESS = 6_000_000, 4
 #: The part of a first term's shards over which documents of one key are spread.
 SPREAD = 0.3
-SAMPLE = 20_000
+SAMPLE = 2_000
+#: Neighbours that are sorted before the others.
+BEST = 64
+#: Rows that a task holds as Python objects at a time.
+STEP = 2000
 K1, BM25_B = 1.2, 0.75
 #: A term of more than this share of a shard's pieces has a row in the dense table.
 DENSE_SHARE = 0.08
@@ -95,6 +99,17 @@ class InvertedIndex:
         return np.bincount(self.owner[spots], self.weight[spots], minlength=self.pieces) + self.table[self.common[piece]].sum(axis=0)
 
 
+def _split(score: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The BEST pieces in order of their score, and the others."""
+    part, n = near, len(near)
+    if n > 2 * BEST:
+        place = np.argpartition(score[near], n - BEST)
+        part, others = np.sort(near[place[-BEST:]]), np.sort(near[place[:-BEST]])
+    else:
+        others = near[:0]
+    return part[np.argsort(-score[part], kind="stable")], others
+
+
 def pack(lengths: list[int], tokens: list[np.ndarray], window: int = WINDOW, statistics: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length)."""
     full = [(d, s) for d, n in enumerate(lengths) for s in range(0, n - window + 1, window)]
@@ -113,26 +128,34 @@ def pack(lengths: list[int], tokens: list[np.ndarray], window: int = WINDOW, sta
         if room:
             score = index.scores(int(seed))
             near = np.flatnonzero(left)
-            near = near[np.argsort(-score[near], kind="stable")]
-        while room and len(near):
-            fits = left[near] <= room
-            best = int(fits.argmax())
-            if not fits[best]:
-                if room < MIN_CUT:
-                    break
-                best = 0
-            n = min(room, int(left[near[best]]))
-            at = near[best]
-            sequence.append((int(doc[at]), int(start[at]), n))
-            start[at] += n
-            left[at] -= n
-            room -= n
-            near = np.delete(near, best)
+            best, others = _split(score, near)
+            for some in (best, others):
+                if some is others:  # of these only what fits is put in order
+                    some = others[left[others] <= room]
+                    some = some[np.argsort(-score[some], kind="stable")]
+                left_of, at = left[some], 0  # what did not fit once does not fit later
+                while room and at < len(some):
+                    fits = left_of[at:] <= room
+                    step = int(fits.argmax())
+                    if not fits[step]:
+                        break
+                    at += step
+                    sequence.append((int(doc[some[at]]), int(start[some[at]]), int(left_of[at])))
+                    room -= int(left_of[at])
+                    left[some[at]] = 0
+                    at += 1
+            rest = best[left[best] > 0][:1] if room >= MIN_CUT else best[:0]
+            if room >= MIN_CUT and not len(rest) and len(others := others[left[others] > 0]):
+                rest = others[[score[others].argmax()]]
+            for best in rest:
+                sequence.append((int(doc[best]), int(start[best]), room))
+                start[best] += room
+                left[best] -= room
         out.append(sequence)
     return out
 
 
-TOKENS = "doc_id long, th long, n int, ids binary, term int, pieces long"
+TOKENS = "shard int, at double, doc_id long, th long, n int, ids binary, term int, pieces long"
 #: Rows of the terms' counts that hold the number of pieces and of their tokens.
 ALL, LENGTH = -1, -2
 
@@ -141,55 +164,63 @@ def _unpacked(n: int, ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
-def _tokenized(tokenizer_path: str | None, window: int):
-    """Each document's ids, and at a task's end in how many of its pieces each term is."""
+def _tokenized(tokenizer_path: str | None, window: int, keys: Keys | None, begins: np.ndarray | None, shards: int):
+    """Each document's ids, with its shard and place there if keys are given, and at a task's end in how many of its pieces each term is. Documents that share all
+    their key, or have less than two terms in it, are spread by a hash."""
     names = [x.split()[0] for x in TOKENS.split(", ")]
+    share = lambda x: mix(x).astype(np.float64) / 2.0**64
+
+    def dealt(key: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = share(th)
+        place = np.where(key[:, 1] == keys.none, own, (1 - SPREAD) * share((key[:, 1] << 20 | key[:, 2]).astype(np.uint64)) + SPREAD * own)
+        at = begins[key[:, 0]] + place * (begins[key[:, 0] + 1] - begins[key[:, 0]])
+        return np.minimum((at * shards).astype(np.int32), shards - 1), at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordTokens.load(tokenizer_path)
-        kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        kind = np.dtype("<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         df, pieces, length = np.zeros(max(encoder.tokenizer.get_vocab_size(), END + 1), np.int64), 0, 0
-        for batch in batches:
-            n, packed = [], []
+        for batch in (b.slice(a, STEP) for b in batches for a in range(0, b.num_rows, STEP)):
+            n, packed, found = [], [], []
             for ids in encoder.encode(batch.column("text").to_pylist(), END):
+                ids = ids.astype(kind)
                 n.append(len(ids))
-                packed.append(ids.astype(kind).tobytes())
-                if rest := len(ids) % window:
-                    df[np.unique(ids[-rest:])] += 1
-                    pieces, length = pieces + 1, length + rest
-            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int32()), pa.array(packed, pa.binary()), *none], names)
+                packed.append(ids.tobytes())
+                rest = len(ids) % window
+                x = np.sort(ids[len(ids) - rest :], kind="stable")
+                x = x[np.r_[True, x[1:] != x[:-1]]] if rest else x
+                df[x] += 1
+                pieces, length = pieces + (rest > 0), length + rest
+                if keys:
+                    found.append(keys.first_three(x))
+            shard, at = dealt(np.array(found, np.int64).reshape(-1, 3), batch.column("th").to_numpy().view(np.uint64)) if keys else (np.zeros(len(n), np.int32), np.zeros(len(n)))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(at), batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], names)
         term = np.flatnonzero(df)
         rows = np.r_[term, ALL, LENGTH], np.r_[df[term], pieces, length]
-        long, some = pa.nulls(len(rows[0]), pa.int64()), pa.nulls(len(rows[0]), pa.int32())
-        yield pa.RecordBatch.from_arrays([long, long, some, pa.nulls(len(rows[0]), pa.binary()), pa.array(rows[0].astype(np.int32)), pa.array(rows[1])], names)
+        empty = [pa.nulls(len(rows[0]), t) for t in (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(rows[0].astype(np.int32)), pa.array(rows[1])], names)
 
     return run
 
 
 class Keys:
-    """The terms' random order, and each document's first three terms in it; terms of a single piece are none."""
+    """The terms' random order, and each document's first three terms in it; terms that less than two pieces of the sample have are none."""
 
-    def __init__(self, statistics: Statistics, window: int):
-        self.window = window
+    def __init__(self, statistics: Statistics):
         draws = mix(np.arange(len(statistics.df), dtype=np.uint64)).astype(np.float64) / 2.0**64
         cost = np.where(statistics.df > 1, -np.log(draws + 1e-300) / np.maximum(statistics.idf, 1e-9), np.inf)
         order = np.argsort(cost, kind="stable")
-        self.rank = np.empty(len(order), np.int32)
-        self.rank[order] = np.arange(len(order))
         self.none = int((statistics.df > 1).sum())
+        self.rank = np.full(len(order) + 1, self.none, np.int64)  # the last place is for terms that the sample lacks
+        self.rank[order[: self.none]] = np.arange(self.none)
         self.weight = np.r_[statistics.df[order][: self.none].astype(np.float64), 1.0]
 
-    def of(self, n: list[int], ids: list[bytes]) -> np.ndarray:
-        key = np.full((len(n), 3), self.none, np.int64)
-        for k, (m, packed) in enumerate(zip(n, ids, strict=True)):
-            r = self.rank[_unpacked(m, packed)[m - m % self.window :]]
-            for c in range(3):
-                if not len(r) or (low := r.min()) >= self.none:
-                    break
-                key[k, c] = low
-                r = r[r > low]
-        return key
+    def first_three(self, terms: np.ndarray) -> tuple[int, int, int]:
+        r = self.rank[np.minimum(terms, len(self.rank) - 1)]
+        if len(r) > 3:
+            r = np.partition(r, 2)[:3]
+        r = np.sort(r).tolist() + [self.none] * 3
+        return r[0], r[1], r[2]
 
     def begins(self, sampled: dict[int, int]) -> np.ndarray:
         """Where the documents of each first term begin, as a share of all: nine tenths by the sample, a tenth by the terms' frequencies."""
@@ -201,47 +232,37 @@ class Keys:
         return np.r_[0.0, np.cumsum(share)]
 
 
-def _firsts(keys: Keys):
+def _firsts(keys: Keys, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(keys.of(batch.column("n").to_pylist(), batch.column("ids").to_pylist())[:, 0])], ["first"])
+            terms = (np.unique(_unpacked(n, ids)[n - n % window :]) for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([keys.first_three(x)[0] for x in terms], pa.int64())], ["first"])
 
     return run
 
 
-def _keyed(keys: Keys, begins: np.ndarray, shards: int):
-    """The tokens of a document with its shard and its place. Documents that share all their key, or have less than two terms in it, are spread by a hash."""
-    share = lambda x: mix(x).astype(np.float64) / 2.0**64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = keys.of(batch.column("n").to_pylist(), batch.column("ids").to_pylist())
-            own = share(batch.column("th").to_numpy().view(np.uint64))
-            place = np.where(key[:, 1] == keys.none, own, (1 - SPREAD) * share((key[:, 1] << 20 | key[:, 2]).astype(np.uint64)) + SPREAD * own)
-            at = begins[key[:, 0]] + place * (begins[key[:, 0] + 1] - begins[key[:, 0]])
-            shard = np.minimum((at * shards).astype(np.int32), shards - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(at), *(batch.column(c) for c in ("doc_id", "th", "n", "ids"))], ["shard", "at", "doc_id", "th", "n", "ids"])
-
-    return run
-
-
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("th"), "text")
-    tokens = materialise(texts.mapInArrow(_tokenized(tokenizer_path, window), TOKENS))
+def _statistics(tokens: DataFrame) -> Statistics:
     counts = {r["term"]: r["pieces"] for r in tokens.where("term IS NOT NULL").groupBy("term").agg(F.sum("pieces").alias("pieces")).collect()}  # the vocabulary at most
     df = np.zeros(max([END, *counts]) + 1, np.int64)
     for term, n in counts.items():
         if term >= 0:
             df[term] = n
-    statistics = Statistics(counts.get(ALL, 0), counts.get(LENGTH, 0) / max(1, counts.get(ALL, 0)), df)
-    some = tokens.where("ids IS NOT NULL").select("doc_id", "th", "n", "ids")
-    total = some.count()
-    shards, keys = max(1, -(-total // shard_rows)), Keys(statistics, window)
-    sample = some.where(F.col("th") <= hash_bound(SAMPLE // 5, total)).limit(SAMPLE).mapInArrow(_firsts(keys), "first long")
-    sampled = {r["first"]: r["count"] for r in sample.groupBy("first").count().collect()}  # the vocabulary at most
-    keyed = some.mapInArrow(_keyed(keys, keys.begins(sampled), shards), "shard int, at double, doc_id long, th long, n int, ids binary")
-    dealt = keyed.repartitionById(shards, "shard").sortWithinPartitions("shard", "at", "doc_id", "th")
+    return Statistics(counts.get(ALL, 0), counts.get(LENGTH, 0) / max(1, counts.get(ALL, 0)), df)
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("th"), "text")
+    total = docs.count()
+    shards = max(1, -(-total // shard_rows))
+    bound = int(-(2**63) + min(1.0, SAMPLE / max(total, 1)) * 2**64)
+    sample = materialise(texts.where(F.col("th") <= min(bound, 2**63 - 1)).mapInArrow(_tokenized(tokenizer_path, window, None, None, 1), TOKENS))
+    keys = Keys(_statistics(sample))
+    firsts = sample.where("ids IS NOT NULL").select("n", "ids").mapInArrow(_firsts(keys, window), "first long")
+    begins = keys.begins({r["first"]: r["count"] for r in firsts.groupBy("first").count().collect()})  # the vocabulary at most
+    tokens = materialise(texts.mapInArrow(_tokenized(tokenizer_path, window, keys, begins, shards), TOKENS), compressed=False)
+    statistics = _statistics(tokens)
+    dealt = tokens.where("ids IS NOT NULL").select("shard", "at", "doc_id", "th", "n", "ids").repartitionById(shards, "shard").sortWithinPartitions("shard", "at", "doc_id", "th")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(shard: int, part: int, ids: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
