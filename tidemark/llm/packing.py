@@ -2,7 +2,7 @@
 
 Texts are tokenized once, and dealt to shards by content: a document's key is its first term in a random order that favours rare terms (a min-hash weighted by
 inverse document frequency), then its second and third, and shards are cut from the documents in the order of their keys, a key of very many documents into several. So
-documents that share their telling terms often share a shard. The order, and how much room a first term gets, come from a sample of about SAMPLE documents; a shard may be
+documents that share their telling terms often share a shard. The order, and how much room a first term gets, come from a sample of SAMPLE to 2 * SAMPLE documents; a shard may be
 larger or smaller for that, nothing else depends on it. Each shard holds its documents' tokens in a BM25 inverted index, with
 the document frequencies and the mean length of all pieces of all documents.
 The longest unused piece seeds a window; the index returns its unused neighbours by score, and they fill the window
@@ -31,7 +31,7 @@ from tidemark.llm.tokens import WordTokens
 WINDOW = 2048
 END = 1
 MIN_CUT = 8
-SHARD_ROWS = 1536
+SHARD_ROWS = 1024
 #: A shard of very long documents, or of more rows than this share of its own, is packed in parts of about so many tokens.
 SHARD_TOKENS, SHARD_EXCESS = 6_000_000, 4
 #: The part of a first term's shards over which documents of one key are spread.
@@ -256,7 +256,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
     total = docs.count()
     shards = max(1, -(-total // shard_rows))
     bound = int(-(2**63) + min(1.0, SAMPLE / max(total, 1)) * 2**64)
-    sample = materialise(texts.where(F.col("th") <= min(bound, 2**63 - 1)).mapInArrow(_tokenized(tokenizer_path, window, None, None, 1), TOKENS))
+    some = texts.where(F.coalesce(F.xxhash64("doc_id") <= min(bound, 2**63 - 1), F.lit(True))).limit(2 * SAMPLE)
+    sample = materialise(some.mapInArrow(_tokenized(tokenizer_path, window, None, None, 1), TOKENS))
     keys = Keys(_statistics(sample))
     firsts = sample.where("ids IS NOT NULL").select("n", "ids").mapInArrow(_firsts(keys, window), "first long")
     begins = keys.begins({r["first"]: r["count"] for r in firsts.groupBy("first").count().collect()})  # the vocabulary at most
