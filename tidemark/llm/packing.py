@@ -31,7 +31,7 @@ from tidemark.llm.tokens import WordTokens
 WINDOW = 2048
 END = 1
 MIN_CUT = 8
-SHARD_ROWS = 1024
+SHARD_ROWS = 1536
 #: A shard of very long documents, or of more rows than this share of its own, is packed in parts of about so many tokens.
 SHARD_TOKENS, SHARD_EXCESS = 6_000_000, 4
 #: The part of a first term's shards over which documents of one key are spread.
@@ -65,12 +65,21 @@ class Statistics:
         return np.log(1 + (self.pieces - self.df + 0.5) / (self.df + 0.5))
 
 
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order and how often each occurs."""
+    x = np.sort(ids, kind="stable")
+    new = np.ones(len(x) + 1, bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:-1]) if len(x) else None
+    at = np.flatnonzero(new) if len(x) else np.zeros(1, np.int64)
+    return x[at[:-1]], np.diff(at)
+
+
 class InvertedIndex:
     """BM25 over the pieces of a shard: postings by term, each with its finished weight. Terms of many pieces stand in a dense table instead."""
 
     def __init__(self, pieces: list[np.ndarray], statistics: Statistics | None = None):
         size = np.array([len(p) for p in pieces], np.float64)
-        terms, counts = zip(*(np.unique(p, return_counts=True) for p in pieces), strict=True)
+        terms, counts = zip(*map(counted, pieces), strict=True)
         owner = np.repeat(np.arange(len(pieces)), [len(t) for t in terms])
         term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
         df = np.bincount(term)
@@ -84,8 +93,7 @@ class InvertedIndex:
         dense = self.column[term] >= 0
         self.table = np.zeros((len(common), len(pieces)), np.float32)
         self.table[self.column[term[dense]], owner[dense]] = weight[dense]
-        self.common = [self.column[t][self.column[t] >= 0] for t in terms]
-        self.rare = [t[self.column[t] < 0] for t in terms]
+        self.terms = terms
         order = np.argsort(term[~dense], kind="stable")
         self.owner, self.weight = owner[~dense][order], weight[~dense][order]
         self.at = np.r_[0, np.cumsum(np.where(self.column < 0, df, 0))]
@@ -93,10 +101,13 @@ class InvertedIndex:
 
     def scores(self, piece: int) -> np.ndarray:
         """BM25 of every piece of the shard for the terms of this one."""
-        begin, end = self.at[self.rare[piece]], self.at[self.rare[piece] + 1]
+        terms = self.terms[piece].astype(np.int64)
+        column = self.column[terms]
+        rare = terms[column < 0]
+        begin, end = self.at[rare], self.at[rare + 1]
         length = end - begin
         spots = np.arange(length.sum()) + np.repeat(begin - np.cumsum(length) + length, length)
-        return np.bincount(self.owner[spots], self.weight[spots], minlength=self.pieces) + self.table[self.common[piece]].sum(axis=0)
+        return np.bincount(self.owner[spots], self.weight[spots], minlength=self.pieces) + self.table[column[column >= 0]].sum(axis=0)
 
 
 def _split(score: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +198,7 @@ def _tokenized(tokenizer_path: str | None, window: int, keys: Keys | None, begin
                 n.append(len(ids))
                 packed.append(ids.tobytes())
                 rest = len(ids) % window
-                x = np.sort(ids[len(ids) - rest :], kind="stable")
-                x = x[np.r_[True, x[1:] != x[:-1]]] if rest else x
+                x, _ = counted(ids[len(ids) - rest :])
                 df[x] += 1
                 pieces, length = pieces + (rest > 0), length + rest
                 if keys:
@@ -219,7 +229,7 @@ class Keys:
         r = self.rank[np.minimum(terms, len(self.rank) - 1)]
         if len(r) > 3:
             r = np.partition(r, 2)[:3]
-        r = np.sort(r).tolist() + [self.none] * 3
+        r = sorted(r.tolist()) + [self.none] * 3
         return r[0], r[1], r[2]
 
     def begins(self, sampled: dict[int, int]) -> np.ndarray:
