@@ -9,7 +9,7 @@ from tidemark.functions.text import synthetic_code
 from tidemark.operators import records, snapshots
 from tidemark.operators.gate import diff, evaluate
 from tidemark.plans.base import query
-from tidemark.plans.decisions import NOW, gate_inputs
+from tidemark.plans.decisions import NOW, _gate_sql, gate_inputs
 from tidemark.sources import domain as d
 
 _REASONS = "CASE CAST(l_suppkey % 3 AS INTEGER) WHEN 0 THEN 'CONFLICT' WHEN 1 THEN 'LARGE_SHIFT' ELSE 'IDENTITY' END"
@@ -231,17 +231,17 @@ def shelf_first(spark, sf_dir):
     return met.select("event_id", F.when(F.col("type") == "SHELF", 1).otherwise(2).alias("pass"), F.when(open_, F.col("day")).alias("anchor"))
 
 
-@query("verdict_reviews")
+@query("verdict_reviews", f"SELECT v.event_id, v.reason, CAST(row_number() OVER (PARTITION BY v.event_id ORDER BY origin, run, ref, claim_date) - 1 AS INTEGER) AS place, origin, claim_date AS day FROM ({_gate_sql(3, 14, False, 'event_id, action, reason')}) v JOIN claims USING (event_id) WHERE action = 'FLAG' AND live", days=("day",))
 def verdict_reviews(spark, sf_dir):
-    """The review queue from real verdicts of all events: each live claim of a flagged event with its index. Compared with plain code in the tests."""
+    """The review queue from real verdicts of all events: each live claim of a flagged event with its index."""
     claims, published = gate_inputs(spark, sf_dir)
     flagged = evaluate(claims, published, NOW).where("action = 'FLAG'").select("event_id", "reason")
     entries = claims.where("live").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("origin", "seq", "day"))).alias("claims"))
     return flagged.join(entries, "event_id").select("event_id", "reason", F.posexplode("claims").alias("place", "c")).select("event_id", "reason", "place", "c.origin", "c.day")
 
 
-@query("verdict_notices")
+@query("verdict_notices", f"SELECT CASE WHEN pub_status IS NULL THEN 'created' WHEN status = 'RELEASED' AND pub_status <> 'RELEASED' THEN 'released' WHEN status <> pub_status THEN 'status_changed' END AS notice, count(*) AS n FROM ({_gate_sql(3, 14, False, '*')}) v WHERE day IS DISTINCT FROM pub_day OR status IS DISTINCT FROM pub_status GROUP BY 1")
 def verdict_notices(spark, sf_dir):
-    """Notices by kind that the diff of all events makes. Compared with plain code in the tests."""
+    """Notices by kind that the diff of all events makes."""
     claims, published = gate_inputs(spark, sf_dir)
     return diff(evaluate(claims, published, NOW), published).groupBy("notice").agg(F.count(F.lit(1)).alias("n"))
