@@ -2,6 +2,8 @@
 
 from collections import Counter, defaultdict
 
+import pytest
+
 import corpus_pipeline as pipeline
 from tests.llm.test_dedup_mixing import lower, water, words
 from tests.llm.test_near import brute
@@ -80,3 +82,19 @@ def test_contract_columns(spark, sf):
         assert set(columns.split()) <= set(rows.columns), name
         if start not in ("op3_", "op7_"):
             assert rows.count() == n, name
+
+
+@pytest.mark.parametrize("table", ["odd", "none"])
+def test_stages_on_odd_and_empty_tables(spark, sf, request, table):
+    """Nulls, repeated rows, clashing names and no rows at all go through every stage; what a stage keeps are rows it got."""
+    docs = request.getfixturevalue(table)
+    rows = Counter(docs.select("doc_id", "text").collect())
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        if k + 1 == len(pipeline.STAGES):
+            assert sum(r.length for r in out.collect() if r.start == 0) >= 0 and (out.count() > 0) == bool(rows)
+            break
+        assert out.columns == docs.columns
+        docs = materialise(out)
+        rows = Counter(docs.select("doc_id", "text").collect()) if set(docs.select("doc_id", "text").collect()) <= set(rows) else None
+        assert rows is not None
