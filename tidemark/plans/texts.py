@@ -67,7 +67,7 @@ def page_links(spark, sf_dir):
     return d.read(spark, sf_dir, "pages").select("page_id", F.size(links).cast("bigint").alias("links"), F.size(F.array_distinct(links)).cast("bigint").alias("distinct_links"))
 
 
-@query("page_tables")
+@query("page_tables", r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<table\b')) AS INTEGER) AS tables, CAST(len(regexp_extract_all(html, '(?i)<tr\b')) AS INTEGER) AS rows FROM pages")
 def page_tables(spark, sf_dir):
     grids = payloads.tables(F.col("html"))
     return d.read(spark, sf_dir, "pages").select("page_id", F.size(grids).alias("tables"), F.aggregate(grids, F.lit(0), lambda n, g: n + F.size(g)).alias("rows"))
