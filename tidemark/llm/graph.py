@@ -12,7 +12,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (its smallest id) for every id of an edge between two ids.
 
     A large star ties each node's larger neighbours to its smallest one, a small star its smaller ones: the edges stay as many, and become
-    stars around the smallest ids after about log(size) rounds. A node with many neighbours only ever has its minimum gathered; minima are a table, so
+    stars around the smallest ids after about log(size) rounds. A node with many neighbours only ever has its minimum gathered; the minima of large stars are a table, so
     that Spark may split such a node's edges in the join.
     """
     now = materialise(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -22,7 +22,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large.where("u != v"))
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x")), F.struct(F.col("v").alias("x")))).alias("n"), "m").select(F.col("n.x").alias("u"), F.col("m").alias("v"))
         now = materialise(small.where("u != v").distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

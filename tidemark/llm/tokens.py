@@ -28,7 +28,7 @@ from tidemark.llm.common import documents, with_fields
 
 #: Words that a task remembers in each of two generations: when the new one is full it becomes the old one, and what is met again
 #: moves back. This changes no result.
-MEMORY = 750_000
+MEMORY = 450_000
 #: Fixed values of the unigram tokenizer.
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
