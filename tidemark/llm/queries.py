@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact_dedup, fingerprints, jaccard, language, mixing, packing, passages, quality, tokens
+from tidemark.llm import chat, exact_dedup, fingerprints, jaccard, language, mixing, packing, passages, quality, rules, runs, tokens, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,10 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language.op8_language_id,
     "op9_passages": passages.op9_passages,
     "op10_mixing": mixing.op10_mixing,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_quality_rules": rules.op13_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": jaccard.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_chat_format": chat.SQL,
+    "op13_quality_rules": rules.SQL,
 }
