@@ -149,12 +149,12 @@ def test_identity_tiers(spark):
     ids = spark.createDataFrame([("wikipedia", "9", "s2")], "origin string, external_id string, set_id string")
     rows = [
         ("c1", "g", "tcgplayer", "Whatever Else", None, {"wikipedia": "9"}), ("c2", "g", "tcgplayer", "Other", "me-06", {}), ("c3", "g", "wizards", "DARK tide", None, {}), ("c4", "g", "wizards", "Dark Tide", "ZZ01", {}),
-        ("c5", "g", "wizards", "TBD", None, {}), ("c6", "g", "wizards", "Storm Crown", None, {}), ("c7", "g", "bandai", "The Storm Crown", None, {}), ("c8", "g", "konami", "A", "ME06", {}), ("c9", "g", "konami", "B", "ME06", {}),
+        ("c5", "g", "wizards", "TBD", None, {}), ("c6", "g", "wizards", "Storm Crown", None, {}), ("c7", "g", "bandai", "The Storm Crown", None, {}), ("c8", "g", "konami", "A", "ME08", {}), ("c9", "g", "konami", "B", "ME08", {}), ("d0", "g", "wizards", "Crystal Peak", "ME08", {}),
     ]
-    got = {r.candidate_id: (r.set_id, r.matched_by) for r in identity.merge_new(identity.resolve(spark.createDataFrame(rows, "candidate_id string, game string, origin string, name string, code string, external_ids map<string,string>"), sets, ids)).collect()}
+    got = {r.candidate_id: (r.set_id, r.matched_by) for r in identity.resolve_in_order(spark.createDataFrame(rows, "candidate_id string, game string, origin string, name string, code string, external_ids map<string,string>"), sets, ids).collect()}
     assert got["c1"] == ("s2", "id") and got["c2"] == ("s1", "code") and got["c3"] == ("s2", "name")
     assert got["c4"][1] == "name" and got["c5"][1] == "new" and got["c8"][1] == got["c9"][1] == "new"
-    assert got["c6"][0] == got["c7"][0]
+    assert got["c6"][0] == got["c7"][0] and got["d0"][1] == "new" and len({got[c][0] for c in ("c8", "c9", "d0")}) == 3
 
 
 @pytest.mark.parametrize(
@@ -261,45 +261,109 @@ def test_identity_ties_games_and_shared_codes(spark):
     assert resolved(spark, [("POP Series 2", "POP"), ("POP Series 3", "POP")], [("POP Series 1", "POP")]) == {"c00": (None, "new"), "c01": (None, "new")}
 
 
-def plain_merge(rows):
-    """New candidates one after the other: by id, by code, by the best of equal or similar names; leaders stand for their sets."""
+def plain_in_order(candidates, sets, identities):
+    """Candidates one after the other, each against all sets and ids so far, by loops alone. Names without codes in them."""
+    import hashlib
     import re
 
     from tidemark.schema import STOP_WORDS
 
-    words = lambda n: [w for w in dict.fromkeys(re.split(r"[^a-z0-9]+", n.lower())) if w]
-    made, out = [], {}
-    for i, name, code, ids in rows:
-        best = None
-        t = set(words(name)) - set(STOP_WORDS)
-        for k, (j, other, c, held) in enumerate(made):
-            u = set(words(other)) - set(STOP_WORDS)
-            numbers = lambda n: sorted(w for w in words(n) if w.isdigit())
-            dice = 2 * len(t & u) / max(1, len(t) + len(u)) if numbers(name) == numbers(other) else 0
-            if name in ("TBA", "TBD") or other in ("TBA", "TBD") or (code and c and code != c):
-                dice = 0
-            rank = (0, 0) if ids & held else (1, -1.0) if code and code == c else (2, -dice) if dice >= 0.75 else None
-            if rank and (best is None or (*rank, k) < best[0]):
-                best = ((*rank, k), j)
-        out[i] = best[1] if best else i
-        if not best:
-            made.append((i, name, code, ids))
+    words = lambda n: {w for w in re.split(r"[^a-z0-9]+", n.lower()) if w} - set(STOP_WORDS)
+    named = lambda n: n not in ("TBA", "TBD") and len(re.sub(r"[^a-z0-9]", "", n.lower())) >= 3
+
+    def dice(a, b):
+        t, u = words(a), words(b)
+        if re.sub("[^a-z0-9]", "", a.lower()) == re.sub("[^a-z0-9]", "", b.lower()):
+            return 1.0
+        if sorted(w for w in t if w.isdigit()) != sorted(w for w in u if w.isdigit()):
+            return 0
+        return 1.0 if t == u and t else 2 * len(t & u) / max(1, len(t) + len(u))
+
+    given = {}
+    for i, game, origin, name, code, ids in candidates:
+        given.setdefault((game, origin, code), set()).add(name)
+    many = {(g, c) for (g, _, c), names in given.items() if c and len(names) > 1}
+    held = [(g, n, c, s) for s, g, n, c, _, _ in sorted(sets, key=lambda s: (s[5], s[0]))]
+    pins, out = {}, {}
+    known = {(o, e): s for o, e, s in identities}
+    for i, game, origin, name, code, ids in sorted(candidates):
+        order = sorted(ids.items(), key=lambda e: (e[0] != origin, e))
+        of = [known.get(e) or pins.get((game, e)) for e in order]
+        by, found = "id", next((s for s in of if s), None)
+        clear = code and (game, code) not in many
+        owners = [s for g, _, c, s in held if g == game and c == code]
+        if not found and clear and len(owners) == 1:
+            by, found = "code", owners[0]
+        if not found and named(name):
+            able = [(-dice(name, n), k, s) for k, (g, n, c, s) in enumerate(held) if g == game and named(n) and not (code and c and code != c)]
+            best = min((x for x in able if x[0] <= -0.75), default=None)
+            by, found = "name", best and best[2]
+        if not found:
+            by, found = "new", "new-" + hashlib.sha256(f"{game}|{i}".encode()).hexdigest()[:12]
+            held.append((game, name, code if clear and not owners else None, found))
+        for e, s in zip(order, of, strict=True):
+            if not s:
+                pins[game, e] = found
+        out[i] = (found, by)
     return out
 
 
-def test_new_products_join_in_order(spark):
-    rnd = random.Random(9)
+IDENTITIES = "origin string, external_id string, set_id string"
+
+
+def in_order(spark, candidates, sets=(), identities=(), **options):
+    found = identity.resolve_in_order(spark.createDataFrame(candidates, CANDIDATES), spark.createDataFrame(list(sets), SETS), spark.createDataFrame(list(identities), IDENTITIES), **options).collect()
+    got = {r.candidate_id: (r.set_id, r.matched_by) for r in found}
+    assert len(found) == len(got)
+    return got
+
+
+@pytest.mark.parametrize("whole_game", [200_000, 0])
+@pytest.mark.parametrize("seed", [9, 10])
+def test_candidates_resolve_in_order(spark, seed, whole_game):
+    """Also where games are split into groups that share nothing. The same result as loops give, row by row."""
+    rnd = random.Random(seed)
     words = ["storm", "crown", "tide", "dark", "reign", "alpha", "beta", "2", "3", "the", "set"]
+    name = lambda: "TBA" if rnd.random() < 0.08 else " ".join(rnd.sample(words, rnd.randint(2, 5)))
+    sets = [(f"s{k}", rnd.choice("gh"), name(), rnd.choice([None, f"AB{3 * k}", "EF3"]), False, k % 7) for k in range(15)]
+    identities = [("own", str(k), f"s{k}") for k in range(5)]
     rows = []
-    for k in range(60):
-        name = "TBA" if rnd.random() < 0.08 else " ".join(rnd.sample(words, rnd.randint(2, 5)))
-        code = rnd.choice([None, None, "AB1", "CD2"]) if k % 6 == 0 else None
-        rows.append((f"c{k:02d}", name, code, {f"own={k % 40}"} if k % 5 == 0 else set()))
-    candidates = [(i, "g", f"origin{k}", n, c, {"own": next(iter(ids)).split("=")[1]} if ids else {}) for k, (i, n, c, ids) in enumerate(rows)]
-    found = identity.merge_new(identity.resolve(spark.createDataFrame(candidates, CANDIDATES), spark.createDataFrame([], SETS), spark.createDataFrame([], "origin string, external_id string, set_id string")))
-    got = {r.candidate_id: r.set_id for r in found.collect()}
-    want = plain_merge(rows)
-    same = lambda d: {(a, b) for a in d for b in d if a < b and d[a] == d[b]}
-    placeholders = {i for i, n, _, _ in rows if n == "TBA"}
-    assert len(same(want)) > 10 and not any(got[a] == got[b] for a in placeholders for b in placeholders if a < b and (a, b) not in same(want))
-    assert len(same(got) & same(want)) >= 0.9 * len(same(got) | same(want))
+    for k in range(150):
+        origin = rnd.choice(["own", "far", "mid"])
+        ids = {o: str(rnd.randrange(40)) for o in ("own", "far", "mid") if rnd.random() < 0.25}
+        rows.append((f"c{k:03d}", rnd.choice("gh"), origin, name(), rnd.choice([None] * 5 + [f"AB{k // 2}", "CD2", "EF3"]), ids))
+    want = plain_in_order(rows, sets, identities)
+    assert in_order(spark, rows, sets, identities, whole_game=whole_game) == want
+    assert {by for _, by in want.values()} >= {"id", "name", "new"}
+
+
+def test_an_id_that_came_with_a_follower_leads_to_its_set(spark):
+    row = lambda i, n, ids, code=None, origin="own": (i, "g", origin, n, code, ids)
+    got = in_order(spark, [row("c0", "Dark Tide Storm", {}), row("c1", "Dark Tide Storm Reign", {"own": "1"}), row("c2", "Another Title", {"own": "1"}), row("c3", "TBA", {"far": "1", "own": "1"}), row("c4", "Never Heard Of", {"far": "1"})])
+    assert len({s for s, _ in got.values()}) == 1 and [got[f"c{k}"][1] for k in range(5)] == ["new", "name", "id", "id", "id"]
+    # a stored set's follower pins too, the own id comes before a foreign one, and the first pin stays
+    got = in_order(spark, [row("c0", "Sun Moon Stars", {"own": "7"}), row("c1", "Other", {"far": "8"}), row("c2", "Third", {"own": "7", "far": "8"}), row("c3", "Fourth", {"own": "7", "far": "8"}, None, "far")], [("s0", "g", "Sun Moon Stars", None, False, 1)])
+    assert got["c0"] == ("s0", "name") and got["c2"] == ("s0", "id") and got["c3"][0] == got["c1"][0] != "s0"
+
+
+def test_ambiguous_and_taken_codes_make_sets_of_their_own(spark):
+    row = lambda i, n, code, origin="own": (i, "g", origin, n, code, {})
+    got = in_order(spark, [row("c0", "POP Series 1", "POP"), row("c1", "POP Series 2", "POP"), row("c2", "Something Else", "POP", "far")])
+    assert len({s for s, _ in got.values()}) == 3
+    got = in_order(spark, [row("c0", "Alpha Beta", "XY1"), row("c1", "Gamma Delta", "XY1", "far"), row("c2", "Epsilon Zeta", "XY1", "mid")])
+    assert got["c1"] == (got["c0"][0], "code") == got["c2"]
+    assert in_order(spark, []) == {}
+
+
+def test_a_long_chain_takes_no_rounds(spark):
+    """Each name shares three words with the one before: 300 links, one fold."""
+    rows = [(f"c{k:03d}", "g", "own", " ".join(f"w{chr(97 + (k + j) // 26 % 26)}{chr(97 + (k + j) % 26)}x" for j in range(4)), None, {}) for k in range(300)]
+    got = in_order(spark, rows)
+    assert got == plain_in_order(rows, [], [])
+
+
+@pytest.mark.parametrize("name", ["—", "?", "N/A", "Untitled expansion", "TBA Universes Beyond set", "", '"FLO"', "“FLO”", "'ABC'", "‘X1’", None])
+def test_placeholders(spark, name):
+    real = ['STARTER DECK -YELLOW Eustass"Captain"Kid-', '"Weird Al" Yankovic Set', "Unglued", "Unfinity", "Undercity", "Unknowns"]
+    rows = spark.createDataFrame([(n,) for n in [name, *real]], "n string").select(text.is_placeholder(F.col("n")).alias("p")).collect()
+    assert [r.p for r in rows] == [True] + [False] * len(real)

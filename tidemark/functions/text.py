@@ -61,7 +61,7 @@ def without_trailing_code(name: Column) -> Column:
 
 def is_placeholder(name: Column) -> Column:
     said = F.trim(F.coalesce(name, F.lit("")))
-    return (said == "") | said.rlike(r"(?i)^(?:tbd|tba|unknown|untitled|unannounced|unnamed|to be (?:announced|determined))\b.{0,12}$") | said.rlike(r'^"[A-Za-z0-9]{1,4}"$')
+    return said.rlike(r"(?i)^(?:[—–\-?]*|n/?a)$|^(?:tbd|tba|unknown|untitled|unannounced|unnamed|to be (?:announced|determined))\b") | said.rlike("^[\"'“‘][A-Za-z0-9]{1,4}[\"'”’]$")
 
 
 def clean_name(name: Column) -> Column:

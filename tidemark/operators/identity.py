@@ -1,16 +1,21 @@
 """Identity of products: by external id, by code, by name, else new.
 
 All tiers are joins. Names meet by equal forms (whole, without code tokens, or the part after a separator where one side leads with a code), or by the Dice
-coefficient of their words, for which names meet in their rarest words alone. What is left is resolved in the order of candidates: one that matches an
-earlier product joins its set. That runs in rounds of joins over the pairs that match; a candidate is decided when all earlier ones it matches are.
+coefficient of their words, for which names meet in their rarest words alone. `resolve` looks at what is stored alone; `resolve_in_order` takes candidates one after the other, each with
+the sets and ids that those before it left behind: joins find all that can match, a fold in order decides.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import code_in_name, is_placeholder, normal_code, normal_name, numbers, sequence_number, tokens, without_codes, without_trailing_code
+from tidemark.operators.graph import linked
 from tidemark.operators.snapshots import settled
 from tidemark.schema import CODED_HEAD, MIN_NAME, SIMILARITY_AT, TAIL
 
@@ -34,7 +39,7 @@ def code_key(name: Column, code: Column, synthetic: Column | None = None) -> Col
 
 
 def ambiguous_codes(candidates: DataFrame) -> DataFrame:
-    """game, origin, key: codes that one origin gives to several products of a game, and which so are no key for it."""
+    """game, origin, key: codes that one origin gives to several products of a game, and which so are no key in that game."""
     rows = candidates.select("game", "origin", code_key(F.col("name"), F.col("code")).alias("key"), normal_name(F.col("name")).alias("n")).where("key IS NOT NULL")
     return rows.groupBy("game", "origin", "key").agg(F.countDistinct("n").alias("names")).where("names > 1").select("game", "origin", "key")
 
@@ -50,19 +55,37 @@ def by_id(candidates: DataFrame, identities: DataFrame) -> DataFrame:
 def by_code(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """candidate_id, set_id where exactly one set of the game has the candidate's code, and the code is no ambiguous one. A set with a made-up code has the one in its name."""
     wanted = candidates.select("candidate_id", "game", "origin", code_key(F.col("name"), F.col("code")).alias("key")).where("key IS NOT NULL")
-    clear = wanted.join(ambiguous_codes(candidates), ["game", "origin", "key"], "left_anti")
+    clear = wanted.join(ambiguous_codes(candidates).select("game", "key").distinct(), ["game", "key"], "left_anti")
     known = sets.select("game", "set_id", code_key(F.col("name"), F.col("code"), F.col("synthetic")).alias("key")).where("key IS NOT NULL")
     single = known.groupBy("game", "key").agg(F.min("set_id").alias("set_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
     return clear.join(single, ["game", "key"]).select("candidate_id", "set_id")
 
 
+def _features(names: DataFrame) -> DataFrame:
+    """game, name and what its comparison needs, taken from the name once: words, numbers, place in a sequence, words without a trailing code, numbers without codes."""
+    name = F.col("name")
+    of = {"words": tokens(name), "numbers": F.array_sort(numbers(name)), "sequence": sequence_number(name), "plain": F.array_sort(tokens(without_trailing_code(name))), "bare_numbers": F.array_sort(numbers(without_codes(name)))}
+    return names.select("game", "name", name.rlike(CODED_HEAD).alias("coded"), *[c.alias(k) for k, c in of.items()])
+
+
 def _forms(names: DataFrame) -> DataFrame:
-    """game, name, key, tail, coded: the forms under which a name may equal another."""
+    """The names with their features, key, tail: the forms under which a name may equal another."""
     name = F.col("name")
-    whole = F.array(*[F.struct(k.alias("key"), F.lit(False).alias("tail")) for k in (normal_name(name), normal_name(without_codes(name)), F.concat(F.lit("="), F.array_join(F.array_sort(tokens(without_trailing_code(name))), " ")))])
+    whole = F.array(*[F.struct(k.alias("key"), F.lit(False).alias("tail")) for k in (normal_name(name), normal_name(without_codes(name)), F.concat(F.lit("="), F.array_join("plain", " ")))])
     tail = F.array(F.struct(normal_name(F.regexp_extract(name, TAIL, 1)).alias("key"), F.lit(True).alias("tail")))
-    rows = names.select("game", "name", name.rlike(CODED_HEAD).alias("coded"), F.explode(F.array_distinct(F.concat(whole, tail))).alias("f"))
-    return rows.select("game", "name", "coded", "f.key", "f.tail").where(F.length("key") >= MIN_NAME)
+    rows = names.select("game", "name", "coded", "sequence", "bare_numbers", F.explode(F.array_distinct(F.concat(whole, tail))).alias("f"))
+    return rows.select("game", "name", "coded", "sequence", "bare_numbers", "f.key", "f.tail").where(F.length("key") >= MIN_NAME)
+
+
+def _scored(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (game, x, y) whose names' words are alike enough, by the features of their names; `similarity` says the same of two columns."""
+    side = lambda name, c: known.select("game", F.col("name").alias(name), F.struct("words", "numbers", "sequence", "plain").alias(c))
+    both = pairs.join(side("x", "a"), ["game", "x"]).join(side("y", "b"), ["game", "y"])
+    veto = (F.col("a.numbers") != F.col("b.numbers")) | F.coalesce(F.col("a.sequence") != F.col("b.sequence"), F.lit(False))
+    same = (F.size("a.plain") > 0) & (F.col("a.plain") == F.col("b.plain"))
+    shared = 2.0 * F.size(F.array_intersect("a.words", "b.words")) / F.greatest(F.size("a.words") + F.size("b.words"), F.lit(1))
+    score = F.when(veto, 0.0).when(same, 1.0).otherwise(shared)
+    return both.select("game", "x", "y", score.alias("score")).where(F.col("score") >= SIMILARITY_AT)
 
 
 def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -70,25 +93,26 @@ def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Words are ordered by how few names have them. Names of Dice 0.75 or more share at least 0.6 of either one's words, so one of the first n - 0.6 n + 1 words of each is the same.
     """
+    known = settled(_features(left.unionByName(right).distinct()))
+    left, right = known.join(left, ["game", "name"], "left_semi"), known.join(right, ["game", "name"], "left_semi")
     a, b = _forms(left).alias("a"), _forms(right).alias("b")
     may = (~F.col("a.tail") & ~F.col("b.tail")) | F.col("a.coded") | F.col("b.coded")
-    veto = F.coalesce(sequence_number(F.col("a.name")) != sequence_number(F.col("b.name")), F.lit(False)) | (F.array_sort(numbers(without_codes(F.col("a.name")))) != F.array_sort(numbers(without_codes(F.col("b.name")))))
-    exact = a.join(b, F.expr("a.game = b.game AND a.key = b.key")).where(may & ((F.col("a.key") == F.col("b.key")) & (~veto | (F.col("a.tail") | F.col("b.tail"))))).select("a.game", F.col("a.name").alias("x"), F.col("b.name").alias("y"), F.lit(1.0).alias("score"))
-    words = lambda df: df.select("game", "name", tokens(F.col("name")).alias("words"))
-    both = words(left).unionByName(words(right))
-    counts = both.select("game", F.explode("words").alias("w")).groupBy("game", "w").agg(F.count(F.lit(1)).alias("df"))
+    veto = F.coalesce(F.col("a.sequence") != F.col("b.sequence"), F.lit(False)) | (F.col("a.bare_numbers") != F.col("b.bare_numbers"))
+    exact = a.join(b, F.expr("a.game = b.game AND a.key = b.key")).where(may & (~veto | F.col("a.tail") | F.col("b.tail"))).select("a.game", F.col("a.name").alias("x"), F.col("b.name").alias("y"), F.lit(1.0).alias("score"))
+    counts = known.select("game", F.explode("words").alias("w")).groupBy("game", "w").agg(F.count(F.lit(1)).alias("df"))
     share = SIMILARITY_AT / (2 - SIMILARITY_AT)
 
     def prefixes(df: DataFrame) -> DataFrame:
-        each = words(df).select("game", "name", F.size("words").alias("n"), F.explode("words").alias("w")).join(counts, ["game", "w"])
+        each = df.select("game", "name", F.size("words").alias("n"), F.explode("words").alias("w")).join(counts, ["game", "w"])
         place = F.row_number().over(Window.partitionBy("game", "name").orderBy("df", "w"))
         return each.withColumn("k", place).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1).select("game", "name", "n", "w")
 
-    p, q = prefixes(left).alias("p"), prefixes(right).alias("q")
+    # few bytes make many pairs: the number of partitions is fixed, so that Spark doesn't put them together by their size
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p, q = prefixes(left).repartition(parts, "game", "w").alias("p"), prefixes(right).alias("q")
     lengths = (F.col("p.n") >= F.col("q.n") * F.lit(share - 1e-9)) & (F.col("q.n") >= F.col("p.n") * F.lit(share - 1e-9))
-    met = p.join(q, F.expr("p.game = q.game AND p.w = q.w")).where(lengths).select("p.game", F.col("p.name").alias("x"), F.col("q.name").alias("y")).distinct()
-    fuzzy = met.withColumn("score", similarity(F.col("x"), F.col("y"))).where(F.col("score") >= SIMILARITY_AT)
-    return exact.unionByName(fuzzy).groupBy("game", "x", "y").agg(F.max("score").alias("score"))
+    met = p.join(q, F.expr("p.game = q.game AND p.w = q.w")).where(lengths).select("p.game", F.col("p.name").alias("x"), F.col("q.name").alias("y")).repartition(parts, "game", "x", "y").distinct()
+    return _scored(met, known).unionByName(exact).groupBy("game", "x", "y").agg(F.max("score").alias("score"))
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -109,7 +133,7 @@ def by_name(candidates: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def resolve(candidates: DataFrame, sets: DataFrame, identities: DataFrame) -> DataFrame:
-    """The candidates with set_id and matched_by (id, code, name or new). New products have a set of their own here; `merge_new` joins them."""
+    """The candidates with set_id and matched_by (id, code, name or new). New products have a set of their own here."""
     ids = by_id(candidates, identities).select("candidate_id", F.col("set_id").alias("s1"))
     codes = by_code(candidates, sets).select("candidate_id", F.col("set_id").alias("s2"))
     names = by_name(candidates, sets).select("candidate_id", F.col("set_id").alias("s3"))
@@ -119,40 +143,131 @@ def resolve(candidates: DataFrame, sets: DataFrame, identities: DataFrame) -> Da
     return rows.select(*candidates.columns, F.coalesce("s1", "s2", "s3", fresh).alias("set_id"), by.alias("matched_by"))
 
 
-def _matches(new: DataFrame) -> DataFrame:
-    """i, j, tier, score: nodes (game, node, name, c, ids) of which the later one, j, matches the earlier one."""
-    first = lambda rows, tier: rows.join(rows.groupBy("game", "key").agg(F.min("node").alias("i")), ["game", "key"]).where("node > i").select("i", F.col("node").alias("j"), F.lit(tier).alias("tier"), F.lit(1.0).alias("score"))
-    ids = first(new.select("game", "node", F.explode("ids").alias("key")), 0)
-    codes = first(new.where("clear").select("game", "node", F.col("c").alias("key")), 1)
-    named = _named(new).select("game", "node", "name", "c")
-    scored = name_pairs(*[named.select("game", "name").distinct()] * 2)
-    a, b = named.alias("a"), named.alias("b")
-    met = a.join(scored.alias("s"), F.expr("a.game = s.game AND a.name = s.x")).join(b, F.expr("s.game = b.game AND s.y = b.name")).where("a.node < b.node AND (a.c IS NULL OR b.c IS NULL OR a.c = b.c)")
-    names = met.select(F.col("a.node").alias("i"), F.col("b.node").alias("j"), F.lit(2).alias("tier"), F.col("s.score").alias("score"))
-    return ids.unionByName(codes).unionByName(names).groupBy("i", "j").agg(F.min(F.struct("tier", -F.col("score"))).alias("rank"))
-
-
-def merge_new(resolved: DataFrame) -> DataFrame:
-    """The resolved candidates, new ones joined with earlier new ones in order of candidate_id: by id, by code, by the best name. A set has the name and code of the candidate that
-    made it. Candidates of one name and code, if not placeholders, are one node; rounds go on until every node leads a set or follows one."""
-    new = resolved.where("matched_by = 'new'").withColumn("c", code_key(F.col("name"), F.col("code")))
-    ids = F.transform(F.map_entries("external_ids"), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    own = F.when(~is_placeholder(F.col("name")), normal_name(F.col("name"))).otherwise(F.concat(F.lit("?"), "candidate_id"))
-    alike = Window.partitionBy("game", "_own", F.coalesce("c", F.lit("")))
-    unclear = ambiguous_codes(resolved).select("game", "origin", F.col("key").alias("c"), F.lit(True).alias("_unclear"))
-    known = new.join(unclear, ["game", "origin", "c"], "left").withColumn("clear", F.col("c").isNotNull() & F.col("_unclear").isNull())
-    rows = settled(known.select("candidate_id", "game", "name", "c", "clear", ids.alias("ids"), own.alias("_own")).withColumn("node", F.min("candidate_id").over(alike)))
-    nodes = rows.groupBy("game", "node", "c").agg(F.min_by("name", "candidate_id").alias("name"), F.min("clear").alias("clear"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    edges = settled(_matches(settled(nodes)))
-    state = settled(edges.select(F.explode(F.array("i", "j")).alias("node")).distinct().withColumn("leader", F.lit(None).cast("string")))
-    while not (open_ := state.where("leader IS NULL").select("node")).isEmpty():
-        waiting = edges.join(open_.withColumnRenamed("node", "i"), "i", "left_semi").join(open_.withColumnRenamed("node", "j"), "j", "left_semi").select(F.col("j").alias("node")).distinct()
-        ready = open_.join(waiting, "node", "left_anti")
-        leaders = state.where("leader = node").select(F.col("node").alias("i"))
-        best = edges.join(leaders, "i", "left_semi").join(ready.withColumnRenamed("node", "j"), "j", "left_semi").groupBy(F.col("j").alias("node")).agg(F.min_by("i", F.struct("rank", "i")).alias("best"))
-        decided = ready.join(best, "node", "left").select("node", F.coalesce("best", "node").alias("decided"))
-        state = settled(state.join(decided, "node", "left").select("node", F.coalesce("leader", "decided").alias("leader")))
-    led = rows.join(state, "node", "left").select("candidate_id", "game", F.coalesce("leader", "node").alias("leader"))
-    made = F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("|", "game", "leader"), 256), 1, 12))
-    found = led.select("candidate_id", made.alias("_made"))
-    return resolved.join(found, "candidate_id", "left").withColumn("set_id", F.coalesce("_made", "set_id")).select(*resolved.columns)
+#: Parts of so many rows at most are folded by game; a larger game is first split into groups that share no id, code or name.
+WHOLE_GAME = 200_000
+
+_FOLDED = "part string, kind int, place bigint, id string, game string, name string, other string, score double, key string, name_key string, code string, clear boolean, real boolean, ids array<struct<key:string,set_id:string>>"
+
+
+class _Part:
+    """What a part's candidates have met so far: names that match, sets by code and name in the order of their age, and ids."""
+
+    def __init__(self) -> None:
+        self.matching: dict[str, list[tuple[float, str]]] = {}
+        self.by_code: dict[tuple, set[str]] = {}
+        self.by_name: dict[tuple, dict[str | None, tuple[int, str]]] = {}
+        self.codes: set[tuple] = set()
+        self.pins: dict[tuple, str] = {}
+        self.made = 0
+
+    def add(self, game: str, name: str | None, key: str | None, code: str | None, set_id: str) -> None:
+        self.made += 1
+        self.codes.add((game, code))
+        if key is not None:
+            self.by_code.setdefault((game, key), set()).add(set_id)
+        if name is not None:
+            self.by_name.setdefault((game, name), {}).setdefault(key, (self.made, set_id))
+
+    def named(self, game: str, name: str | None, key: str | None) -> str | None:
+        best = None
+        for score, other in self.matching.get((game, name), ()):
+            sets = self.by_name.get((game, other), {})
+            for k in sets if key is None else (key, None):
+                if k in sets and (best is None or (-score, *sets[k]) < best):
+                    best = (-score, *sets[k])
+        return best and best[2]
+
+    def take(self, row: dict) -> tuple[str, str]:
+        game, key = row["game"], row["key"]
+        held = [i["set_id"] or self.pins.get((game, i["key"])) for i in row["ids"]]
+        by, found = "id", next((s for s in held if s), None)
+        if not found and row["clear"] and len(owners := self.by_code.get((game, key), ())) == 1:
+            by, found = "code", next(iter(owners))
+        if not found and row["name"] is not None:
+            by, found = "name", self.named(game, row["name"], key)
+        if not found:
+            by, found = "new", "new-" + hashlib.sha256(f"{game}|{row['id']}".encode()).hexdigest()[:12]
+            own = row["real"] and (game, row["code"]) not in self.codes
+            self.add(game, row["name"], key if own else row["name_key"], row["code"] if own else None, found)
+        for i, s in zip(row["ids"], held, strict=True):
+            if not s:
+                self.pins[game, i["key"]] = found
+        return found, by
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by part, in it names that match, then sets by age, then candidates in order. What is held is a part's sets, ids and names, not its candidates."""
+    part, state = None, _Part()
+    for batch in batches:
+        out: list[tuple[str, str, str]] = []
+        for row in batch.to_pylist():
+            if row["part"] != part:
+                part, state = row["part"], _Part()
+            if row["kind"] == 0:
+                state.matching.setdefault((row["game"], row["name"]), []).append((row["score"], row["other"]))
+            elif row["kind"] == 1:
+                state.add(row["game"], row["name"], row["key"], row["code"], row["id"])
+            else:
+                out.append((row["id"], *state.take(row)))
+        yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in out], pa.string()) for k, c in enumerate(("candidate_id", "set_id", "matched_by"))})
+
+
+def _parted(rows: DataFrame, whole_game: int) -> DataFrame:
+    """The rows with their part: the game, or in games of more rows the group that shares ids, codes and matching names."""
+    large = rows.groupBy("game").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole_game).select("game")
+    if large.isEmpty():
+        return rows.withColumn("part", F.col("game"))
+    rows = rows.withColumn("node", F.when(F.col("kind") == 0, F.concat_ws("|", F.lit("n"), "game", "name")).otherwise(F.concat_ws("|", F.col("kind").cast("string"), "game", "id")))
+    keys = F.concat(
+        F.transform("ids", lambda i: F.concat(F.lit("i|"), i["key"])),
+        F.transform("ids", lambda i: F.concat(F.lit("s|"), i["set_id"])),
+        F.array(F.concat(F.lit("c|"), "key"), F.concat(F.lit("c|"), "name_key"), F.concat(F.lit("l|"), "code"), F.concat(F.lit("n|"), "name"), F.concat(F.lit("n|"), "other"), F.when(F.col("kind") == 1, F.concat(F.lit("s|"), "id"))),
+    )
+    members = rows.join(large, "game", "left_semi").select("node", F.explode(F.array_append(F.filter(keys, lambda k: k.isNotNull()), F.concat(F.lit("="), "node"))).alias("key"), "game")
+    labels = linked(members.select("node", F.concat_ws("|", "game", "key").alias("key")))
+    return rows.join(labels, "node", "left").withColumn("part", F.coalesce("label", "game")).drop("node", "label")
+
+
+def resolve_in_order(candidates: DataFrame, sets: DataFrame, identities: DataFrame, whole_game: int = WHOLE_GAME) -> DataFrame:
+    """The candidates with set_id and matched_by (id, code, name or new), each resolved in the order of candidate_id against what is stored and what those before it left behind.
+
+    A new product makes a set, which later ones find by its code or name. Every candidate pins its ids to the set it went to, whatever matched, unless they are pinned already; so an id that came with a
+    follower leads to the leader's set. A set keeps its maker's code if that is real, not ambiguous and not taken, else it has a made-up one and the code in its name.
+
+    The order matters, so a part is folded by one task, which streams its candidates. Those that repeat game, origin and ids are resolved by id after the first, which alone is folded. Stored ids
+    and matching names are found by joins before.
+    """
+    key, n = code_key(F.col("name"), F.col("code")), F.col("name")
+    matchable = F.when(~is_placeholder(n) & (F.length(normal_name(n)) >= MIN_NAME), n)
+    entries = F.array_sort(F.transform(F.map_entries(F.coalesce("external_ids", F.create_map().cast("map<string,string>"))), lambda e: F.struct((e["key"] != F.col("origin")).alias("foreign"), e["key"].alias("origin"), e["value"].alias("value"))))
+    rows = candidates.select("candidate_id", "game", "origin", n, "code", key.alias("key"), normal_code("code").alias("own"), entries.alias("ids"))
+    rows = rows.withColumn("class", F.when(F.size("ids") > 0, F.to_json("ids")).otherwise(F.concat(F.lit("#"), "candidate_id")))
+    first = rows.groupBy("game", "origin", "class").agg(F.min_by(F.struct("candidate_id", "name", "code", "key", "own", "ids"), "candidate_id").alias("r")).select("game", "origin", "class", "r.*")
+
+    many = ambiguous_codes(candidates).select("game", "key").distinct()
+    clear = first.join(many.withColumn("many", F.lit(True)), ["game", "key"], "left").join(many.select("game", F.col("key").alias("own"), F.lit(True).alias("own_many")), ["game", "own"], "left")
+    each = first.select("candidate_id", F.explode("ids").alias("i")).select("candidate_id", "i.*").join(identities.groupBy("origin", F.col("external_id").alias("value")).agg(F.min("set_id").alias("set_id")), ["origin", "value"], "left")
+    found = each.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("foreign", "origin", "value", "set_id"))).alias("found"))
+    no_ids = F.array().cast("array<struct<key:string,set_id:string>>")
+    ids = F.coalesce(F.transform("found", lambda e: F.struct(F.concat_ws("=", e["origin"], e["value"]).alias("key"), e["set_id"].alias("set_id"))), no_ids)
+    taken = clear.join(found, "candidate_id", "left").select(
+        F.lit(2).alias("kind"), F.lit(0).cast("long").alias("place"), F.col("candidate_id").alias("id"), "game", matchable.alias("name"), "key", code_in_name(n).alias("name_key"), "code",
+        (F.col("key").isNotNull() & F.col("many").isNull()).alias("clear"), (F.col("own").isNotNull() & F.col("own_many").isNull()).alias("real"), ids.alias("ids"),
+    )
+    known = sets.select(F.lit(1).alias("kind"), F.col("created").alias("place"), F.col("set_id").alias("id"), "game", matchable.alias("name"), code_key(n, F.col("code"), F.col("synthetic")).alias("key"), "code", no_ids.alias("ids"))
+    names = taken.select("game", "name").where("name is not null").distinct()
+    pairs = name_pairs(names, known.select("game", "name").where("name is not null").unionByName(names).distinct()).select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("place"), "game", F.col("x").alias("name"), F.col("y").alias("other"), "score", no_ids.alias("ids"))
+    together = settled(taken.unionByName(known, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True))
+    fields = [f.split(" ")[0] for f in _FOLDED.split(", ")]
+    ordered = _parted(together, whole_game).select(*fields).repartition("part").sortWithinPartitions("part", "kind", "place", "id")
+    resolved = ordered.mapInArrow(_fold, "candidate_id string, set_id string, matched_by string")
+    leaders = first.select("game", "origin", "class", "candidate_id").join(resolved, "candidate_id").select("game", "origin", "class", F.col("candidate_id").alias("_first"), "set_id", "matched_by")
+    by = F.when(F.col("candidate_id") == F.col("_first"), F.col("matched_by")).otherwise("id").alias("matched_by")
+    placed = rows.select("candidate_id", "game", "origin", "class").join(leaders, ["game", "origin", "class"]).select("candidate_id", "set_id", by)
+    return candidates.join(placed, "candidate_id")
+
+
+def outcomes(resolved: DataFrame) -> DataFrame:
+    """Per game: candidates, sets they went to, and sets that two or more origins met in."""
+    per_set = resolved.groupBy("game", "set_id").agg(F.count(F.lit(1)).alias("n"), (F.min("origin") != F.max("origin")).cast("int").alias("paired"))
+    return per_set.groupBy("game").agg(F.sum("n").alias("candidates"), F.count(F.lit(1)).alias("sets"), F.sum("paired").cast("long").alias("paired"))

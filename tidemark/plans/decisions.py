@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import derive, gate, identity
 from tidemark.operators.claims import independent
 from tidemark.plans.base import query
-from tidemark.schema import GAMES, ORIGINS
+from tidemark.schema import GAMES, ORIGINS, STOP_WORDS
 from tidemark.sources import domain as d
 
 NOW = "1998-06-01"
@@ -188,7 +188,48 @@ def identity_inputs(spark, sf_dir):
     return candidates, sets, identities
 
 
-@query("identity_resolution")
+_WORDS, _ORIGINS = ["dawn", "dusk", "tide", "reign"], ["bulbapedia", "scryfall", "tcgplayer"]
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+_RUN = f"""p AS (SELECT *, set_id // 2 AS h, CASE WHEN set_id // 2 % 5 = 0 THEN name || ' ' || lower(string_split(code, '-')[2]) || ' ' || {_WORDS}[1 + set_id // 2 % 4] ELSE name END AS said, CASE WHEN size % 3 = 0 THEN 'K' || set_id // 2 % 211 END AS own FROM product_sets),
+  w AS (SELECT *, list_sort(list_distinct(list_filter(string_split(lower(said), ' '), lambda x: x NOT IN ({_STOPS})))) AS t FROM p),
+  c AS (SELECT install_id AS game, CAST(set_id AS VARCHAR) AS cid, {_ORIGINS}[1 + h % 3] AS origin, said, t, own, list_concat(CASE WHEN h % 2 = 0 THEN [{_ORIGINS}[1 + h % 3] || '=' || set_id % 301] ELSE [] END, CASE WHEN set_id % 3 = 0 THEN [{_ORIGINS}[1 + (h + 1) % 3] || '=' || set_id * 7 % 301] ELSE [] END) AS ids FROM w WHERE set_id % 2 = 1),
+  amb AS (SELECT DISTINCT game, own FROM c WHERE own IS NOT NULL GROUP BY game, origin, own HAVING count(DISTINCT said) > 1),
+  cand AS (SELECT c.*, c.own IS NOT NULL AND amb.own IS NULL AS clear, row_number() OVER (PARTITION BY c.game ORDER BY cid) AS k FROM c LEFT JOIN amb ON amb.game = c.game AND amb.own = c.own),
+  pinned AS (SELECT map_from_entries(list((id, sid))) AS pins FROM (SELECT 'tcgplayer=' || set_id // 20 AS id, CAST(set_id AS VARCHAR) AS sid FROM p WHERE set_id % 20 = 0)),
+  stored AS (SELECT install_id AS game, list({{'place': set_id, 'sid': CAST(set_id AS VARCHAR), 't': t, 'own': own}} ORDER BY set_id) AS sets FROM w WHERE set_id % 2 = 0 GROUP BY install_id),
+  fold AS (SELECT game, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS cid, CAST(NULL AS VARCHAR) AS set_id, CAST(NULL AS VARCHAR) AS matched_by, sets, pins FROM stored, pinned
+    UNION ALL
+    SELECT game, k, cid, set_id, matched_by, CASE WHEN matched_by = 'new' THEN list_append(sets, {{'place': 1000000000 + k, 'sid': set_id, 't': t, 'own': CASE WHEN clear AND len(coded) = 0 THEN own END}}) ELSE sets END AS sets,
+      CASE WHEN len(ids) = 0 THEN pins ELSE map_concat(map(ids, list_transform(ids, lambda i: set_id)), pins) END AS pins
+    FROM (SELECT *, coalesce(by_id, by_code, by_name, made) AS set_id, CASE WHEN by_id IS NOT NULL THEN 'id' WHEN by_code IS NOT NULL THEN 'code' WHEN by_name IS NOT NULL THEN 'name' ELSE 'new' END AS matched_by
+      FROM (SELECT *, list_filter(list_transform(ids, lambda i: pins[i]), lambda x: x IS NOT NULL)[1] AS by_id, CASE WHEN clear AND len(coded) = 1 THEN coded[1].sid END AS by_code,
+          list_sort(list_filter(list_transform(sets, lambda s: {{'far': -CASE WHEN s.t = t THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(s.t, t)) / (len(s.t) + len(t)) END, 'place': s.place, 'sid': s.sid, 'open': own IS NULL OR s.own IS NULL OR own = s.own}}), lambda m: m.far <= -0.75 AND m.open))[1].sid AS by_name
+        FROM (SELECT cand.*, fold.sets, fold.pins, list_filter(fold.sets, lambda s: s.own = cand.own) AS coded, 'new-' || left(sha256({{GAMES}}[1 + cand.game] || '|' || cand.cid), 12) AS made FROM fold JOIN cand ON cand.game = fold.game AND cand.k = fold.k + 1))))""".replace("{GAMES}", str(GAMES))
+
+
+def identity_run(spark, sf_dir):
+    """Half of the sets are stored, the others come as sightings of three origins: some with an id of their own or a foreign one, some with a code, names that share words."""
+    half, of = F.expr("set_id div 2"), lambda k: d.pick(k % 3, *_ORIGINS)
+    said = F.when(half % 5 == 0, F.concat_ws(" ", "name", F.lower(F.split("code", "-")[1]), d.pick(half % 4, *_WORDS))).otherwise(F.col("name"))
+    parts = d.product_sets(spark, sf_dir).select(
+        "set_id", d.pick(F.col("install_id"), *GAMES).alias("game"), said.alias("name"), F.when(F.expr("size % 3 = 0"), F.concat(F.lit("K"), (half % 211).cast("string"))).alias("code"), of(half).alias("origin"), of(half + 1).alias("next")
+    )
+    sets = parts.where("set_id % 2 = 0").select(F.col("set_id").cast("string").alias("set_id"), "game", "name", "code", F.lit(False).alias("synthetic"), F.col("set_id").alias("created"))
+    own = F.when(half % 2 == 0, F.struct(F.col("origin").alias("key"), (F.col("set_id") % 301).cast("string").alias("value")))
+    foreign = F.when(F.col("set_id") % 3 == 0, F.struct(F.col("next").alias("key"), (F.col("set_id") * 7 % 301).cast("string").alias("value")))
+    ids = F.map_from_entries(F.filter(F.array(own, foreign), lambda e: e.isNotNull()))
+    candidates = parts.where("set_id % 2 = 1").select(F.col("set_id").cast("string").alias("candidate_id"), "game", "origin", "name", "code", ids.alias("external_ids"))
+    identities = parts.where("set_id % 20 = 0").select(F.lit("tcgplayer").alias("origin"), F.expr("set_id div 20").cast("string").alias("external_id"), F.col("set_id").cast("string").alias("set_id"))
+    return candidates, sets, identities
+
+
+@query("identity_resolution", f"WITH RECURSIVE {_RUN} SELECT cid AS candidate_id, set_id, matched_by FROM fold WHERE k > 0")
 def resolution(spark, sf_dir):
-    """Half of the sets are known, the others come as candidates."""
-    return identity.merge_new(identity.resolve(*identity_inputs(spark, sf_dir))).select("candidate_id", "set_id", "matched_by")
+    return identity.resolve_in_order(*identity_run(spark, sf_dir)).select("candidate_id", "set_id", "matched_by")
+
+
+@query("identity_outcomes", f"WITH RECURSIVE {_RUN} SELECT {GAMES}[1 + game] AS game, CAST(sum(n) AS BIGINT) AS candidates, count(*) AS sets, CAST(sum(paired) AS BIGINT) AS paired FROM (SELECT game, fold.set_id, count(*) AS n, CAST(min(origin) <> max(origin) AS INTEGER) AS paired FROM fold JOIN c USING (game, cid) GROUP BY ALL) GROUP BY game")
+def identity_outcomes(spark, sf_dir):
+    """Per game, how many candidates came, how many sets they made up, and how many of these two origins met in."""
+    return identity.outcomes(identity.resolve_in_order(*identity_run(spark, sf_dir)))

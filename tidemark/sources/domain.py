@@ -145,4 +145,7 @@ def sql(body: str) -> str:
     body = body.strip()
     if not views:
         return body
-    return f"WITH {views}, {body[5:]}" if body.startswith("WITH ") else f"WITH {views}\n{body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{views}, {body.removeprefix(head)}"
+    return f"WITH {views}\n{body}"
