@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Written to the folder that the driver and all executors share (spark.checkpoint.dir, else the warehouse) and read again: steps that repeat start from a table."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share: in spark.checkpoint.dir, else in the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    path = f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Written to a shared folder and read again: steps that repeat start from a table."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.schema import REPEAT_HOURS, STALE_HOURS
 
@@ -27,26 +28,38 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def changed_payloads(stream: DataFrame) -> DataFrame:
-    """provider, fetched_at, sha256 of payloads that differ from the provider's payload before. A to B to A are three changes,
-    so this is not a plain removal of duplicates."""
+def ingest_changes(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """provider, fetched_at, seq, sha256 of payloads that differ from the provider's payload before, from a stream (provider, fetched_at, seq, sha256). A to B to A are three changes,
+    so this is not a plain removal of duplicates.
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (last,) = state.get if state.exists else (None,)
-        rows = pd.concat(list(frames)).sort_values(["fetched_at", "sha256"])
-        before = rows["sha256"].shift(1)
-        before.iloc[0] = last
-        state.update((rows["sha256"].iloc[-1],))
-        yield rows[rows["sha256"] != before][["provider", "fetched_at", "sha256"]]
+    Takes all that is new, then ends. Each micro-batch writes its changes and the last hash of each provider under its own number, and starts from the hashes of the batch before: a batch that
+    is repeated replaces itself, and a second run with nothing new adds nothing. Within a batch payloads are ordered by time, so that a provider's payloads are sorted, not held.
+    """
+    fields = "provider string, fetched_at timestamp_ntz, seq long, sha256 string"
+    types = {f.name: f.dataType for f in stream.schema.fields}
 
-    return stream.groupBy("provider").applyInPandasWithState(step, "provider string, fetched_at timestamp, sha256 string", "sha256 string", "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, number: int) -> None:
+        last = spark.read.schema("provider string, sha256 string").parquet(f"{target}/last/batch={number - 1}") if number else spark.createDataFrame([], "provider string, sha256 string")
+        batch = batch.select(F.col("provider").cast("string").alias("provider"), "fetched_at", "seq", "sha256")
+        before = F.lag("sha256").over(Window.partitionBy("provider").orderBy("fetched_at", "seq"))
+        first = F.row_number().over(Window.partitionBy("provider").orderBy("fetched_at", "seq")) == 1
+        known = batch.withColumns({"_before": before, "_first": first}).join(last.withColumnRenamed("sha256", "_last"), "provider", "left")
+        changed = known.where(~F.col("sha256").eqNullSafe(F.when(F.col("_first"), F.col("_last")).otherwise(F.col("_before"))))
+        changed.select("provider", "fetched_at", "seq", "sha256").write.mode("overwrite").parquet(f"{target}/changes/batch={number}")
+        now = batch.groupBy("provider").agg(F.max_by("sha256", F.struct("fetched_at", "seq")).alias("sha256"))
+        now.unionByName(last.join(now, "provider", "left_anti")).write.mode("overwrite").parquet(f"{target}/last/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    schema = fields if types["fetched_at"].simpleString() == "timestamp_ntz" else fields.replace("timestamp_ntz", "timestamp")
+    return spark.read.schema(schema).parquet(f"{target}/changes/*")
 
 
 def alarms(stream: DataFrame) -> DataFrame:
     """provider, at, notice (stale, still stale, recovered), opened_at: from runs (provider, at, ok) in event time.
 
     A provider is stale when STALE_HOURS have gone since its last good run; the notice repeats every REPEAT_HOURS while it stays so, and a good
-    run closes the alarm. Each run is a clock tick for its provider, and the watermark rings where no run comes.
+    run closes the alarm. Notices carry the time at which they were due: each run is a clock tick for its provider, and the watermark rings where no run comes. `alarm_history` gives
+    the same notices from a table.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -55,10 +68,10 @@ def alarms(stream: DataFrame) -> DataFrame:
 
         def tick(at: float) -> None:
             nonlocal opened, told
-            if good is not None and at - good >= STALE_HOURS * HOUR and (told is None or at - told >= REPEAT_HOURS * HOUR):
-                opened = at if opened is None else opened
-                out.append((key[0], at, "stale" if told is None else "still stale", opened))
-                told = at
+            while good is not None and (due := good + STALE_HOURS * HOUR if told is None else told + REPEAT_HOURS * HOUR) <= at:
+                opened = due if opened is None else opened
+                out.append((key[0], due, "stale" if told is None else "still stale", opened))
+                told = due
 
         if state.hasTimedOut:
             tick(state.getCurrentWatermarkMs() / 1000)
@@ -81,23 +94,36 @@ def alarms(stream: DataFrame) -> DataFrame:
     return marked.groupBy("provider").applyInPandasWithState(step, "provider string, at timestamp, notice string, opened_at timestamp", "good double, opened double, told double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_limited(stream: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """user, at, allowed: at most `limit` allowed hits of a user in the last `seconds`; rejected hits count for nothing."""
+class _Limiter(StatefulProcessor):
+    """The times of a user's allowed hits as a list state, which a pause forgets."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values("at")
+    def __init__(self, limit: int, seconds: int, keep: int) -> None:
+        self.limit, self.seconds, self.keep = limit, seconds, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", "at double", ttlDurationMs=self.keep * 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        kept = [r[0] for r in self.kept.get()]
+        hits = pd.concat(list(rows)).sort_values("at")
         allowed = []
-        for at in rows["at"]:
+        for at in hits["at"]:
             now = at.timestamp()
-            kept = [t for t in kept if t > now - seconds]
-            allowed.append(len(kept) < limit)
+            kept = [t for t in kept if now - t < self.seconds]
+            allowed.append(len(kept) < self.limit)
             if allowed[-1]:
                 kept.append(now)
-        state.update((kept,))
-        yield rows[["user", "at"]].assign(allowed=allowed)
+        self.kept.put([(t,) for t in kept])
+        yield hits[["user", "at"]].assign(allowed=allowed)
+
+    def close(self) -> None:
+        pass
+
 
-    return stream.groupBy("user").applyInPandasWithState(step, "user long, at timestamp, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+def rate_limited(stream: DataFrame, limit: int, seconds: int, keep: int = 7 * 24 * HOUR) -> DataFrame:
+    """user, at, allowed: at most `limit` allowed hits of a user in the last `seconds`; rejected hits count for nothing. State of a user who doesn't come for `keep` seconds (of the clock, so well above any
+    delay) is dropped. Needs the RocksDB state store; `limits.rate_limited` says the same of a table."""
+    return stream.groupBy("user").transformWithStateInPandas(_Limiter(limit, seconds, keep), "user long, at timestamp, allowed boolean", "Append", "ProcessingTime")
 
 
 def windowed_counts(stream: DataFrame, width: str, late: str) -> DataFrame:
