@@ -60,15 +60,6 @@ def test_alarms_are_those_of_the_table(spark, tmp_path):
 
 
 def test_rate_limit_ignores_rejected(spark, tmp_path):
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        _rate_limit(spark, tmp_path)
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-
-
-def _rate_limit(spark, tmp_path):
     second = lambda s: T0 + timedelta(seconds=s)
     rows = [[(1, second(0)), (1, second(1)), (1, second(2))], [(1, second(59)), (1, second(61)), (2, second(61))]]
     got = run(spark, tmp_path, rows, "user long, at timestamp", lambda s: jobs.rate_limited(s, 2, 60))

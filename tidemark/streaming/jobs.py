@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.schema import REPEAT_HOURS, STALE_HOURS
 
@@ -94,36 +93,23 @@ def alarms(stream: DataFrame) -> DataFrame:
     return marked.groupBy("provider").applyInPandasWithState(step, "provider string, at timestamp, notice string, opened_at timestamp", "good double, opened double, told double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-class _Limiter(StatefulProcessor):
-    """The times of a user's allowed hits as a list state, which a pause forgets."""
+def rate_limited(stream: DataFrame, limit: int, seconds: int) -> DataFrame:
+    """user, at, allowed: at most `limit` allowed hits of a user in the last `seconds`; rejected hits count for nothing. `limits.rate_limited` says the same of a table."""
 
-    def __init__(self, limit: int, seconds: int, keep: int) -> None:
-        self.limit, self.seconds, self.keep = limit, seconds, keep
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "at double", ttlDurationMs=self.keep * 1000)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        kept = [r[0] for r in self.kept.get()]
-        hits = pd.concat(list(rows)).sort_values("at")
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values("at")
         allowed = []
-        for at in hits["at"]:
+        for at in rows["at"]:
             now = at.timestamp()
-            kept = [t for t in kept if now - t < self.seconds]
-            allowed.append(len(kept) < self.limit)
+            kept = [t for t in kept if now - t < seconds]
+            allowed.append(len(kept) < limit)
             if allowed[-1]:
                 kept.append(now)
-        self.kept.put([(t,) for t in kept])
-        yield hits[["user", "at"]].assign(allowed=allowed)
-
-    def close(self) -> None:
-        pass
-
+        state.update((kept,))
+        yield rows[["user", "at"]].assign(allowed=allowed)
 
-def rate_limited(stream: DataFrame, limit: int, seconds: int, keep: int = 7 * 24 * HOUR) -> DataFrame:
-    """user, at, allowed: at most `limit` allowed hits of a user in the last `seconds`; rejected hits count for nothing. State of a user who doesn't come for `keep` seconds (of the clock, so well above any
-    delay) is dropped. Needs the RocksDB state store; `limits.rate_limited` says the same of a table."""
-    return stream.groupBy("user").transformWithStateInPandas(_Limiter(limit, seconds, keep), "user long, at timestamp, allowed boolean", "Append", "ProcessingTime")
+    return stream.groupBy("user").applyInPandasWithState(step, "user long, at timestamp, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(stream: DataFrame, width: str, late: str) -> DataFrame:
