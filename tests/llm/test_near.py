@@ -253,6 +253,23 @@ def test_passage_whose_seeds_have_other_leaders(make, crowd):
     assert [(r.doc_id, r.first_doc_id, r.start, r.end) for r in found] == [(c, b, 50, 110)]
 
 
+@pytest.mark.parametrize("length", [45, 50, 60])
+def test_exact_passages_whose_seeds_are_all_frequent(make, length):
+    """Sixty pairs of documents share an exact passage; every slice of thirty words of it stands in ten others too, so that all short seeds are led by those."""
+    rnd = random.Random(length)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    own = lambda: [word() for _ in range(30)]
+    texts, wanted = [], set()
+    for _ in range(60):
+        passage = [word() for _ in range(length)]
+        texts += [own() + passage[at : at + 30] + own() for at in {*range(0, length - 30, 10), length - 30} for _ in range(10)]
+        wanted.add((len(texts) + 1, len(texts)))
+        texts += [own() + passage + own() for _ in range(2)]
+    found = passages.repeated_passages(make(*[" ".join(t) for t in texts])).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in found} == wanted
+    assert all(30 <= r.start <= 30 + 1 and r.end - r.start >= length - 1 for r in found)
+
+
 def test_passage_of_frequent_lines(make):
     """Ten lines are in all documents, in two documents in one order."""
     rnd = random.Random(13)
