@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import derive, gate, identity
 from tidemark.operators.claims import independent
+from tidemark.operators.snapshots import settled
 from tidemark.plans.base import query
 from tidemark.schema import GAMES, ORIGINS, STOP_WORDS
 from tidemark.sources import domain as d
@@ -173,7 +174,7 @@ def released(spark, sf_dir):
 def name_similarity(spark, sf_dir):
     from tidemark.functions.text import tokens
 
-    names = d.product_sets(spark, sf_dir).select("name").distinct().withColumn("w", F.explode(tokens(F.col("name"))))
+    names = settled(d.product_sets(spark, sf_dir).select("name").distinct().withColumn("w", F.explode(tokens(F.col("name")))))
     pairs = names.alias("p").join(names.alias("q"), F.expr("p.w = q.w AND p.name < q.name")).select(F.col("p.name").alias("a"), F.col("q.name").alias("b")).distinct()
     return pairs.select("a", "b", F.floor(identity.similarity(F.col("a"), F.col("b")) * 1e6 + 0.25).cast("bigint").alias("micro"))
 
@@ -233,3 +234,11 @@ def resolution(spark, sf_dir):
 def identity_outcomes(spark, sf_dir):
     """Per game, how many candidates came, how many sets they made up, and how many of these two origins met in."""
     return identity.outcomes(identity.resolve_in_order(*identity_run(spark, sf_dir)))
+
+
+@query("similar_names", f"WITH p AS (SELECT DISTINCT install_id AS game, name || ' ' || lower(string_split(code, '-')[2]) || ' ' || {_WORDS}[1 + set_id // 2 % 4] AS name FROM product_sets), w AS (SELECT game, name, list_distinct(list_filter(string_split(name, ' '), lambda x: x NOT IN ({_STOPS}))) AS t FROM p), m AS (SELECT a.game, a.name AS x, b.name AS y, CASE WHEN list_sort(a.t) = list_sort(b.t) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)) END AS score FROM w a JOIN w b ON a.game = b.game AND a.name < b.name) SELECT {GAMES}[1 + game] AS game, x, y, CAST(floor(score * 1e6::DOUBLE + 0.25::DOUBLE) AS BIGINT) AS micro FROM m WHERE score >= 0.75")
+def similar_names(spark, sf_dir):
+    """Pairs of names over the threshold, met in their rarest words."""
+    said = F.concat_ws(" ", "name", F.lower(F.split("code", "-")[1]), d.pick(F.expr("set_id div 2") % 4, *_WORDS))
+    names = d.product_sets(spark, sf_dir).select(d.pick(F.col("install_id"), *GAMES).alias("game"), said.alias("name")).distinct()
+    return identity.name_pairs(names, names).where("x < y").select("game", "x", "y", F.floor(F.col("score") * 1e6 + 0.25).cast("bigint").alias("micro"))

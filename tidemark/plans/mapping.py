@@ -21,14 +21,18 @@ def _sets(spark, sf_dir):
     return sets.withColumns({"fetched": F.lit(FETCHED).cast("date"), "said": F.date_format("day", "MMMM d, yyyy")})
 
 
+#: Sets in a payload: payloads are many, not long.
+_PART = F.expr("set_id div 500").alias("part")
+
+
 def _pages(rows, item, *keys):
-    """One page for each install of the items."""
-    return rows.groupBy("install_id", "fetched", *keys).agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</body></html>")).alias("html"))
+    """Pages of each install's items, so many to a page as a payload has."""
+    return rows.groupBy("install_id", "fetched", _PART, *keys).agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</body></html>")).alias("html"))
 
 
 def _body(rows, item, name):
     items = F.collect_list(item)
-    return rows.groupBy("install_id", "fetched").agg(F.to_json(F.struct(items.alias(name)) if name else items).alias("body"))
+    return rows.groupBy("install_id", "fetched", _PART).agg(F.to_json(F.struct(items.alias(name)) if name else items).alias("body"))
 
 
 _TYPES = ["expansion", "core", "token", "memorabilia", "minigame", "alchemy", "treasure_chest", "vanguard", "promo"]
@@ -78,8 +82,8 @@ def page_map_tables(spark, sf_dir):
     """A payload is a map of page keys to pages; tables are found by their headers, banners and repeated headers left out."""
     row = F.concat(F.lit("<tr><td>Set "), "set_id", F.lit("</td><td>"), "code", F.lit("</td><td>"), F.when(F.expr("set_id % 4 = 0"), F.lit("TBA")).otherwise(F.col("said")), F.lit("</td></tr>"))
     head = "<tr><th>Name</th><th>Code</th><th>Release date</th></tr>"
-    tables = _sets(spark, sf_dir).groupBy("install_id").agg(F.concat(F.lit(f"<table>{head}<tr><td colspan=3>Block</td></tr>"), F.array_join(F.collect_list(row), ""), F.lit(f"{head}</table>")).alias("html"))
-    payload = tables.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("page"), "install_id"), "html")))).alias("body"))
+    tables = _sets(spark, sf_dir).groupBy("install_id", _PART).agg(F.concat(F.lit(f"<table>{head}<tr><td colspan=3>Block</td></tr>"), F.array_join(F.collect_list(row), ""), F.lit(f"{head}</table>")).alias("html"))
+    payload = tables.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("page"), "install_id"), "html")))).alias("body"))
     pages = payload.select(F.explode(F.from_json("body", "map<string,string>")).alias("page", "html"))
     rows = payloads.table_rows(pages, "html", ["set name", "name"], ["release date"])
     return rows.select("page", "name", "kind", F.col("date_exact").alias("day"))

@@ -166,10 +166,13 @@ def verdicts_applied(spark, sf_dir):
 
 @query("run_diff_saved", "SELECT run, count(*) AS changes, count(*) AS stored FROM (SELECT l_linenumber AS run, l_orderkey FROM lineitem WHERE l_returnflag = 'N') GROUP BY run")
 def run_diff_saved(spark, sf_dir):
-    """A run's changes are one JSON list; the same run saved again has it once."""
-    changes = d.claims(spark, sf_dir).where("live").groupBy("run").agg(F.count(F.lit(1)).alias("changes"), F.to_json(F.array_sort(F.collect_list("event_id"))).alias("list"))
-    saved = snapshots.upsert(changes, changes, ["run"])
-    return saved.select("run", "changes", F.json_array_length("list").cast("bigint").alias("stored"))
+    """A run's changes are JSON lists, one for each range of events; the same run saved again has them once, and read back they name each changed event of the run."""
+    part = F.expr("event_id div 10000").alias("part")
+    live = d.claims(spark, sf_dir).where("live")
+    changes = live.groupBy("run", part).agg(F.to_json(F.array_sort(F.collect_list("event_id"))).alias("list"))
+    saved = snapshots.upsert(changes, changes, ["run", "part"]).select("run", F.explode(F.from_json("list", "array<bigint>")).alias("event_id"))
+    stored = saved.join(live.select("run", "event_id").distinct(), ["run", "event_id"], "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("stored"))
+    return live.groupBy("run").agg(F.count(F.lit(1)).alias("changes")).join(stored, "run")
 
 
 @query("sets_enriched", "SELECT set_id, CASE WHEN set_id % 2 = 0 THEN 'own.jpg' ELSE 'found' || lo || '.jpg' END AS image_url, CASE WHEN set_id % 2 = 1 THEN CASE WHEN lo IS NOT NULL THEN 'ART' END WHEN set_id % 4 = 0 THEN 'SYMBOL' WHEN lo IS NOT NULL AND set_id % 3 = 0 THEN 'ART' END AS image_kind, CASE WHEN set_id % 5 = 0 THEN 'own text' ELSE 'text ' || lo END AS description, coalesce('kind ' || hi, 'old') AS kind FROM product_sets LEFT JOIN (SELECT ref AS set_id, min(run) AS lo, max(run) AS hi FROM claims GROUP BY ref) USING (set_id)")

@@ -95,9 +95,9 @@ def rss_items(spark, sf_dir):
 
 @query("json_catalogue", "SELECT set_id AS external_id, name, code, CASE WHEN set_id % 4 <> 0 THEN DATE '2024-01-01' + CAST(set_id % 300 AS INTEGER) END AS day FROM product_sets", days=("day",))
 def json_catalogue(spark, sf_dir):
-    """One payload per install, taken apart again."""
+    """Payloads of an install, taken apart again."""
     item = F.struct(F.col("set_id").alias("groupId"), "name", F.col("code").alias("abbreviation"), F.when(F.expr("set_id % 4 <> 0"), F.expr("cast(date_add(date'2024-01-01', cast(set_id % 300 as int)) as string)")).alias("publishedOn"))
-    bodies = d.product_sets(spark, sf_dir).groupBy("install_id").agg(F.to_json(F.struct(F.collect_list(item).alias("results"))).alias("body"))
+    bodies = d.product_sets(spark, sf_dir).groupBy("install_id", F.expr("set_id div 500")).agg(F.to_json(F.struct(F.collect_list(item).alias("results"))).alias("body"))
     return payloads.catalogue(bodies, "body").select(F.col("group_id").alias("external_id"), "name", "code", "day")
 
 
