@@ -67,3 +67,15 @@ def test_empty_tables(spark):
     assert limits.unique_slugs(none, none).count() == 0
     hits = spark.createDataFrame([], "u long, k long, at timestamp, provider string, ok boolean")
     assert limits.rate_limited(hits, "u", "at", "k", 3, 60).count() == 0 and limits.alarm_history(hits, "2024-01-01").count() == 0
+
+
+def test_companions_take_their_parents_date_in_one_game(spark):
+    from tidemark.sources import mappers
+
+    rows = [(g, k, n, "", p, s, k) for g in ("magic-the-gathering", "pokemon-tcg") for k, n, p, s in [(1, "The Hobbit", "2026-05-01T00:00:00", False), (2, "the hobbit", "2026-06-01T00:00:00", False), (3, "Art Series: The Hobbit", "2026-09-09T00:00:00", True), (4, "Art Series: Unknown", "2026-09-09T00:00:00", True), (5, "The Hobbit", "2026-07-01T20:00:07.1Z", False)]]
+    groups = spark.createDataFrame(rows, "game string, group_id long, name string, code string, published string, supplemental boolean, place int").selectExpr("*", "date'2026-04-01' AS fetched")
+    day = {(r.game[:5], r.group_id): str(r.day) for r in mappers.retail_groups(groups, "fetched", "place").collect()}
+    assert day["magic", 3] == "2026-06-01" and day["pokem", 3] == "2026-09-09" and day["magic", 4] == day["pokem", 4] == "2026-09-09" and ("magic", 5) not in day
+    broken = groups.unionByName(groups.limit(1).selectExpr("'pokemon-tcg' AS game", "9L AS group_id", "'X' AS name", "'' AS code", "'someday' AS published", "false AS supplemental", "9 AS place", "fetched"))
+    assert [(r.path, r.message) for r in mappers.retail_failures(broken, "fetched").collect()] == [("pokemon-tcg.results.9.publishedOn", 'unparseable date "someday"')]
+    assert mappers.retail_groups(broken, "fetched", payload="fetched").count() == 0

@@ -77,6 +77,26 @@ def json_retail_groups(spark, sf_dir):
     return m.retail_groups(groups, "fetched")
 
 
+_DRIFT = f"WITH g AS (SELECT set_id, set_id // 500 AS part, {_SHIFTED} AS day, set_id % 8 = 3 AS crawled, set_id % 1300 = 700 AS wrong FROM product_sets)"
+
+
+def _drifted(spark, sf_dir):
+    """Groups of payloads by ranges of sets; a few dates can't be read, and some are timestamps of a crawl."""
+    said = F.when(F.expr("set_id % 1300 = 700"), F.lit("Q3 soon")).when(F.expr("set_id % 8 = 3"), F.lit("2023-01-01T20:00:07.1Z")).otherwise(F.concat(F.col("day").cast("string"), F.lit("T00:00:00")))
+    return _sets(spark, sf_dir).select(_PART, "fetched", F.lit("pokemon-tcg").alias("game"), F.col("set_id").alias("group_id"), "name", F.lit("").alias("code"), said.alias("published"), F.lit(False).alias("supplemental"))
+
+
+@query("retail_failures", f"""{_DRIFT} SELECT part, 'pokemon-tcg.results.' || set_id || '.publishedOn' AS path, 'unparseable date "Q3 soon"' AS message FROM g WHERE wrong""")
+def retail_failures(spark, sf_dir):
+    return m.retail_failures(_drifted(spark, sf_dir), "part")
+
+
+@query("retail_strict", f"{_DRIFT} SELECT set_id AS group_id, day FROM g WHERE NOT crawled AND day >= {_KEPT} AND part NOT IN (SELECT part FROM g WHERE wrong)", days=("day",))
+def retail_strict(spark, sf_dir):
+    """A payload with a date that can't be read gives nothing at all; the others give what they have."""
+    return m.retail_groups(_drifted(spark, sf_dir), "fetched", payload="part").select("group_id", "day")
+
+
 @query("page_map_tables", f"SELECT 'page' || install_id AS page, 'Set ' || set_id AS name, CASE WHEN set_id % 4 = 0 THEN 'TBD' ELSE 'EXACT' END AS kind, CASE WHEN set_id % 4 <> 0 THEN {_SHIFTED} END AS day FROM product_sets", days=("day",))
 def page_map_tables(spark, sf_dir):
     """A payload is a map of page keys to pages; tables are found by their headers, banners and repeated headers left out."""

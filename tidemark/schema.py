@@ -44,6 +44,7 @@ GAMES = ["magic-the-gathering", "pokemon-tcg", "yugioh-tcg", "one-piece-tcg", "d
 COMPANION_TYPES = ["token", "memorabilia", "minigame", "alchemy", "treasure_chest", "vanguard"]
 CARD_POOL_GAMES = ["flesh-and-blood", "digimon-card-game", "one-piece-tcg", "union-arena-tcg"]
 CARD_GENRES = ["pack", "deck"]
+PARENTED_GAME = "magic-the-gathering"
 EVENT_TABS = ["calendar", "list", "upcoming", "unconfirmed"]
 NAMESPACES = ["file", "image", "media", "category", "template", "help", "special", "talk", "user", "portal", "project", "mediawiki", "module"]
 REGION_LABELS = {"NA": "NA", "EU": "EU", "APAC": "APAC", "JP": "JP", "OTHER": "Regional"}

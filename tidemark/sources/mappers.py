@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.dates import day_of, parsed
 from tidemark.functions.text import folded_space, last_segment
-from tidemark.schema import CARD_GENRES, CARD_POOL_GAMES, CARD_POOL_NAME, COMPANION_TYPES, FORWARD_WINDOW_DAYS, NUMBERED_SET, PARENTED_NAME
+from tidemark.schema import CARD_GENRES, CARD_POOL_GAMES, CARD_POOL_NAME, COMPANION_TYPES, FORWARD_WINDOW_DAYS, NUMBERED_SET, PARENTED_GAME, PARENTED_NAME
 
 
 def in_window(day: Column, fetched: Column) -> Column:
@@ -43,14 +43,27 @@ def set_array(payloads: DataFrame, body: str, fetched: str) -> DataFrame:
     return kept.select(F.concat_ws(":", "code", "name").alias("external_id"), "name", "code", "day", F.col("set_image").alias("image_url"), F.when(F.col("set_image").isNotNull(), "ART").alias("image_kind"))
 
 
-def retail_groups(groups: DataFrame, fetched: str) -> DataFrame:
+def _retail_dates(groups: DataFrame, order: str) -> DataFrame:
+    """The groups with said (the written date, a companion series' being its parent's, in the one game that has them; of equal parents the last in order) and day."""
+    raw = groups.withColumns({"name": F.trim("name"), "published": F.nullif(F.trim("published"), F.lit("")), "code": F.nullif(F.trim("code"), F.lit(""))})
+    dated = raw.where(F.col("game") == PARENTED_GAME).where(~F.coalesce("supplemental", F.lit(False)) & F.col("published").isNotNull() & ~F.col("published").endswith("Z"))
+    parents = dated.groupBy("game", F.lower("name").alias("_parent")).agg(F.max_by("published", order).alias("_date"))
+    parent = F.nullif(F.lower(F.trim(F.regexp_extract("name", PARENTED_NAME, 1))), F.lit(""))
+    return raw.withColumn("_parent", parent).join(parents, ["game", "_parent"], "left").withColumn("said", F.coalesce("_date", "published")).withColumn("day", _iso(F.col("said")))
+
+
+def retail_failures(groups: DataFrame, payload: str, order: str = "group_id") -> DataFrame:
+    """payload, path, message: written dates that can't be read, which fail their payload whole: taken for unknown, they would blank real dates. Crawl timestamps are none."""
+    wrong = _retail_dates(groups, order).where(F.col("said").isNotNull() & ~F.col("said").endswith("Z") & F.col("day").isNull())
+    return wrong.select(payload, F.concat_ws(".", "game", F.lit("results"), F.col("group_id").cast("string"), F.lit("publishedOn")).alias("path"), F.format_string('unparseable date "%s"', "said").alias("message"))
+
+
+def retail_groups(groups: DataFrame, fetched: str, order: str = "group_id", payload: str | None = None) -> DataFrame:
     """A retailer's groups (game, group_id, name, code, published, supplemental): crawl timestamps and pools of prerelease cards are no products, a companion series
-    takes its parent's date, a numbered set is a prerelease with its shelf date a week later."""
-    raw = groups.withColumns({"name": F.trim("name"), "published": F.trim("published"), "code": F.nullif(F.trim("code"), F.lit(""))})
-    dated = raw.where(~F.coalesce("supplemental", F.lit(False)) & F.col("published").isNotNull() & ~F.col("published").endswith("Z"))
-    parents = dated.groupBy("game", F.lower("name").alias("_parent")).agg(F.max_by("published", "group_id").alias("_date"))
-    parent = F.nullif(F.lower(F.regexp_extract("name", PARENTED_NAME, 1)), F.lit(""))
-    rows = raw.withColumn("_parent", parent).join(parents, ["game", "_parent"], "left").withColumn("said", F.coalesce("_date", "published")).withColumn("day", _iso(F.col("said")))
+    takes its parent's date, a numbered set is a prerelease with its shelf date a week later. With `payload`, the column that tells payloads apart, those that have a failure give nothing."""
+    if payload:
+        groups = groups.join(retail_failures(groups, payload, order).select(payload).distinct(), payload, "left_anti")
+    rows = _retail_dates(groups, order)
     pool = F.col("game").isin(*CARD_POOL_GAMES) & F.col("name").rlike(CARD_POOL_NAME)
     kept = rows.where(~F.coalesce(F.col("said").endswith("Z"), F.lit(False)) & (F.col("name") != "") & ~pool & in_window(F.col("day"), F.col(fetched)))
     numbered = (F.col("game") == "disney-lorcana") & F.col("day").isNotNull() & F.coalesce(F.col("code").rlike(NUMBERED_SET), F.lit(False))
