@@ -79,3 +79,31 @@ def test_companions_take_their_parents_date_in_one_game(spark):
     broken = groups.unionByName(groups.limit(1).selectExpr("'pokemon-tcg' AS game", "9L AS group_id", "'X' AS name", "'' AS code", "'someday' AS published", "false AS supplemental", "9 AS place", "fetched"))
     assert [(r.path, r.message) for r in mappers.retail_failures(broken, "fetched").collect()] == [("pokemon-tcg.results.9.publishedOn", 'unparseable date "someday"')]
     assert mappers.retail_groups(broken, "fetched", payload="fetched").count() == 0
+
+
+def test_spans_around_open_cells():
+    from tidemark.sources.payloads import grid_of
+
+    one = lambda *texts: [(t, 1, 1) for t in texts]
+    assert grid_of([[("a", 2, 1), ("b", 1, 1)], one("c")]) == [["a", "b"], ["a", "c"]]
+    assert grid_of([[("a", 9, 1), *one("b")], one("c")]) == [["a", "b"], ["a", "c"]]
+    # a cell over two columns goes around one that is open between them; a row of carried cells alone stays; an empty row is none
+    assert grid_of([[*one("a"), ("b", 3, 1), *one("c")], [("w", 1, 2)], [], one("z")]) == [["a", "b", "c"], ["w", "b", "w"], ["z", "b", ""]]
+    assert grid_of([[("a", 2, 2)], [], one("x")]) == [["a", "a"], ["a", "a"], ["x", ""]]
+    assert grid_of([]) == grid_of([[], []]) == []
+
+
+def test_state_from_run_to_run(spark):
+    """Same date, another date, silence, and a return; three runs."""
+    from datetime import date
+
+    from tidemark.operators import claims
+
+    a, b = date(2026, 1, 1), date(2026, 2, 2)
+    runs = [[(1, "x", a), (2, "x", a), (3, "x", None)], [(1, "x", a), (1, "y", b), (3, "x", None)], [(1, "x", b), (2, "x", a), (2, "x", None)]]
+    schema = "event_id long, origin string, claim_date date"
+    state = claims.first_state(spark.createDataFrame([], schema))
+    for rows in runs:
+        state = claims.advanced(state, spark.createDataFrame(rows, schema))
+    got = {(r.event_id, r.origin): (r.claim_date, r.streak, r.missed) for r in state.collect()}
+    assert got == {(1, "x"): (b, 1, 0), (1, "y"): (b, 1, 1), (2, "x"): (a, 2, 0), (3, "x"): (None, 2, 1)}

@@ -69,3 +69,23 @@ def independent(spark, registry: DataFrame | None = None) -> DataFrame:
     pairs = keys.alias("a").join(keys.alias("b"), F.col("a.key") < F.col("b.key")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
     shared = up.alias("x").join(up.alias("y"), (F.col("x.ancestor") == F.col("y.ancestor")) & (F.col("x.origin") < F.col("y.origin"))).select(F.col("x.origin").alias("a"), F.col("y.origin").alias("b"))
     return pairs.join(shared, ["a", "b"], "left_anti")
+
+
+def first_state(claims: DataFrame) -> DataFrame:
+    """The state before any run: event_id, origin, claim_date, streak, missed."""
+    return claims.select("event_id", "origin", "claim_date", F.lit(0).cast("bigint").alias("streak"), F.lit(0).cast("bigint").alias("missed")).limit(0)
+
+
+def advanced(state: DataFrame, claims: DataFrame) -> DataFrame:
+    """The state after one more run, from its claims (event_id, origin, claim_date) alone. A claim that says the same again adds to its streak, another date starts anew, and an origin
+    that is silent keeps its streak and misses a run; one that speaks again has missed none."""
+    said = claims.groupBy("event_id", "origin").agg(F.max("claim_date").alias("_day"), F.lit(True).alias("_said"))
+    both = state.join(said, ["event_id", "origin"], "full")
+    again = F.col("claim_date").eqNullSafe(F.col("_day"))
+    return both.select(
+        "event_id",
+        "origin",
+        F.when(F.col("_said"), F.col("_day")).otherwise(F.col("claim_date")).alias("claim_date"),
+        F.when(F.col("_said"), F.when(again & F.col("streak").isNotNull(), F.col("streak") + 1).otherwise(1)).otherwise(F.col("streak")).cast("bigint").alias("streak"),
+        F.when(F.col("_said"), 0).otherwise(F.col("missed") + 1).cast("bigint").alias("missed"),
+    )

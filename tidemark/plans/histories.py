@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import slug
+from tidemark.operators import claims as c
 from tidemark.operators import limits
-from tidemark.operators.snapshots import scratch
+from tidemark.operators.snapshots import scratch, settled
 from tidemark.plans.base import query
 from tidemark.sources import domain as d
 from tidemark.sources import payloads
@@ -92,3 +93,19 @@ def slugs_in_order(spark, sf_dir):
     rows = sets.select("install_id", "set_id", base.alias("base"), code.alias("code"))
     stored = rows.where("set_id < 20").select("install_id", F.coalesce(F.nullif("base", F.lit("")), F.lit("set")).alias("slug"))
     return limits.unique_slugs(rows.where("set_id >= 20"), stored)
+
+
+@query(
+    "claim_state",
+    """SELECT event_id, origin, max(last) AS claim_date, CAST(coalesce(min(rn) FILTER (claim_date IS DISTINCT FROM last) - 1, count(*)) AS BIGINT) AS streak, CAST((SELECT max(run) FROM claims) - max(run) AS BIGINT) AS missed
+    FROM (SELECT *, row_number() OVER w AS rn, first_value(claim_date) OVER w AS last FROM (SELECT event_id, origin, run, max(claim_date) AS claim_date FROM claims GROUP BY ALL) WINDOW w AS (PARTITION BY event_id, origin ORDER BY run DESC)) GROUP BY event_id, origin""",
+    days=("claim_date",),
+)
+def claim_state(spark, sf_dir):
+    """Streaks and silence carried from run to run: each run reads the state before and its own claims, no history."""
+    rows = d.claims(spark, sf_dir).select("event_id", "origin", "run", "claim_date")
+    runs = sorted(r.run for r in rows.select("run").distinct().collect())
+    state = c.first_state(rows)
+    for run in runs:
+        state = settled(c.advanced(state, rows.where(F.col("run") == run)))
+    return state

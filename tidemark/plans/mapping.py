@@ -22,17 +22,17 @@ def _sets(spark, sf_dir):
 
 
 #: Sets in a payload: payloads are many, not long.
-_PART = F.expr("set_id div 500").alias("part")
+_PART = "set_id div 500 AS part"
 
 
 def _pages(rows, item, *keys):
     """Pages of each install's items, so many to a page as a payload has."""
-    return rows.groupBy("install_id", "fetched", _PART, *keys).agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</body></html>")).alias("html"))
+    return rows.groupBy("install_id", "fetched", F.expr(_PART), *keys).agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</body></html>")).alias("html"))
 
 
 def _body(rows, item, name):
     items = F.collect_list(item)
-    return rows.groupBy("install_id", "fetched", _PART).agg(F.to_json(F.struct(items.alias(name)) if name else items).alias("body"))
+    return rows.groupBy("install_id", "fetched", F.expr(_PART)).agg(F.to_json(F.struct(items.alias(name)) if name else items).alias("body"))
 
 
 _TYPES = ["expansion", "core", "token", "memorabilia", "minigame", "alchemy", "treasure_chest", "vanguard", "promo"]
@@ -77,13 +77,33 @@ def json_retail_groups(spark, sf_dir):
     return m.retail_groups(groups, "fetched")
 
 
+@query(
+    "table_cells",
+    """WITH s AS (SELECT set_id, set_id // 500 AS page, set_id % 500 AS line, set_id % 5 AS i, name, code, size, lag(code) OVER (PARTITION BY set_id // 500 ORDER BY set_id) AS above FROM product_sets)
+    SELECT page, line, col, cells[1 + col] AS cell FROM (SELECT page, line, unnest(range(4)) AS col, ['G' || set_id // 5, name, CASE i WHEN 1 THEN name WHEN 3 THEN above ELSE code END, CAST(size AS VARCHAR)] AS cells FROM s)""",
+)
+def table_cells(spark, sf_dir):
+    """Tables whose first column spans five rows (the last one says more than there are), whose second spans two columns now and then, and whose third two rows."""
+    i = F.col("set_id") % 5
+    cell = lambda text, attrs="": F.concat(F.lit(f"<td{attrs}>"), text, F.lit("</td>"))
+    group = F.concat(F.lit("G"), F.expr("set_id div 5"))
+    first = F.when(F.expr("set_id % 500 = 495"), cell(group, " rowspan='50'")).when(i == 0, cell(group, " rowspan=5")).otherwise("")
+    named = F.when(i == 1, cell(F.col("name"), " colspan=2")).otherwise(cell(F.col("name")))
+    coded = F.when(i.isin(1, 3), "").when(i == 2, cell(F.col("code"), ' rowspan="2" colspan="0"')).otherwise(cell(F.concat(F.lit("<b> "), "code", F.lit("</b>\n"))))
+    row = F.struct("set_id", F.concat(F.lit("<tr>"), first, named, coded, cell(F.col("size").cast("string")), F.lit("</tr>")).alias("tr"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["tr"]), "")
+    pages = d.product_sets(spark, sf_dir).groupBy(F.expr("set_id div 500").alias("page")).agg(F.concat(F.lit("<table><tbody>"), lines, F.lit("</tbody></table>")).alias("html"))
+    grids = pages.select("page", F.explode(payloads.tables(F.col("html"))).alias("grid")).select("page", F.posexplode("grid").alias("line", "row"))
+    return grids.select("page", F.col("line").cast("bigint").alias("line"), F.posexplode("row").alias("col", "cell")).withColumn("col", F.col("col").cast("bigint"))
+
+
 _DRIFT = f"WITH g AS (SELECT set_id, set_id // 500 AS part, {_SHIFTED} AS day, set_id % 8 = 3 AS crawled, set_id % 1300 = 700 AS wrong FROM product_sets)"
 
 
 def _drifted(spark, sf_dir):
     """Groups of payloads by ranges of sets; a few dates can't be read, and some are timestamps of a crawl."""
     said = F.when(F.expr("set_id % 1300 = 700"), F.lit("Q3 soon")).when(F.expr("set_id % 8 = 3"), F.lit("2023-01-01T20:00:07.1Z")).otherwise(F.concat(F.col("day").cast("string"), F.lit("T00:00:00")))
-    return _sets(spark, sf_dir).select(_PART, "fetched", F.lit("pokemon-tcg").alias("game"), F.col("set_id").alias("group_id"), "name", F.lit("").alias("code"), said.alias("published"), F.lit(False).alias("supplemental"))
+    return _sets(spark, sf_dir).select(F.expr(_PART), "fetched", F.lit("pokemon-tcg").alias("game"), F.col("set_id").alias("group_id"), "name", F.lit("").alias("code"), said.alias("published"), F.lit(False).alias("supplemental"))
 
 
 @query("retail_failures", f"""{_DRIFT} SELECT part, 'pokemon-tcg.results.' || set_id || '.publishedOn' AS path, 'unparseable date "Q3 soon"' AS message FROM g WHERE wrong""")
@@ -102,7 +122,7 @@ def page_map_tables(spark, sf_dir):
     """A payload is a map of page keys to pages; tables are found by their headers, banners and repeated headers left out."""
     row = F.concat(F.lit("<tr><td>Set "), "set_id", F.lit("</td><td>"), "code", F.lit("</td><td>"), F.when(F.expr("set_id % 4 = 0"), F.lit("TBA")).otherwise(F.col("said")), F.lit("</td></tr>"))
     head = "<tr><th>Name</th><th>Code</th><th>Release date</th></tr>"
-    tables = _sets(spark, sf_dir).groupBy("install_id", _PART).agg(F.concat(F.lit(f"<table>{head}<tr><td colspan=3>Block</td></tr>"), F.array_join(F.collect_list(row), ""), F.lit(f"{head}</table>")).alias("html"))
+    tables = _sets(spark, sf_dir).groupBy("install_id", F.expr(_PART)).agg(F.concat(F.lit(f"<table>{head}<tr><td colspan=3>Block</td></tr>"), F.array_join(F.collect_list(row), ""), F.lit(f"{head}</table>")).alias("html"))
     payload = tables.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("page"), "install_id"), "html")))).alias("body"))
     pages = payload.select(F.explode(F.from_json("body", "map<string,string>")).alias("page", "html"))
     rows = payloads.table_rows(pages, "html", ["set name", "name"], ["release date"])

@@ -86,8 +86,45 @@ def prerelease_week(rows: DataFrame) -> DataFrame:
     return rows.select("*", two.alias("x")).select(*rows.columns, "x.type", "x.on")
 
 
+#: Spans beyond these are slips of a page.
+MOST_COLUMNS, MOST_ROWS = 20, 100
+
+
+def _span(value: str | None, most: int) -> int:
+    said = (value or "").strip()
+    return min(max(int(said), 1), most) if said.isdigit() else 1
+
+
+def grid_of(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """The rectangle that a table's rows (text, rows, columns of each cell) fill. A fold from row to row carries the cells that are still open, by column: a row's own cells go
+    around them. Open cells end with the table, and a row without any cell is none."""
+    open_: dict[int, tuple[str, int]] = {}
+    grid: list[list[str]] = []
+
+    def carried(row: list[str]) -> None:
+        while len(row) in open_:
+            column, (text, left) = len(row), open_.pop(len(row))
+            if left > 1:
+                open_[column] = text, left - 1
+            row.append(text)
+
+    for cells in rows:
+        row: list[str] = []
+        carried(row)
+        for text, down, across in cells:
+            for _ in range(across):
+                if down > 1:
+                    open_[len(row)] = text, down - 1
+                row.append(text)
+                carried(row)
+        if row:
+            grid.append(row)
+    width = max(map(len, grid), default=0)
+    return [row + [""] * (width - len(row)) for row in grid]
+
+
 class _Tables(HTMLParser):
-    """Tables as rectangular grids of text; a cell that spans rows or columns fills all its places. Nested tables are grids of their own."""
+    """The rows of tables, cell by cell with their spans. Nested tables are tables of their own."""
 
     def __init__(self):
         super().__init__()
@@ -96,25 +133,22 @@ class _Tables(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            self.stack.append({"grid": {}, "row": -1, "cell": None})
+            self.stack.append({"rows": [], "cell": None})
         elif self.stack and tag == "tr":
-            self.stack[-1]["row"] += 1
+            self.close()
+            self.stack[-1]["rows"].append([])
         elif self.stack and tag in ("td", "th"):
             self.close()
             a, t = dict(attrs), self.stack[-1]
-            number = lambda n: max(1, min(1000, int(a.get(n) or 1))) if str(a.get(n) or "1").isdigit() else 1
-            t["row"] = max(0, t["row"])
-            t["cell"] = [[], number("rowspan"), number("colspan")]
+            if not t["rows"]:
+                t["rows"].append([])
+            t["cell"] = [[], _span(a.get("rowspan"), MOST_ROWS), _span(a.get("colspan"), MOST_COLUMNS)]
 
     def close(self):
         t = self.stack[-1]
         if t["cell"]:
             words, down, across = t["cell"]
-            column = 0
-            while (t["row"], column) in t["grid"]:
-                column += 1
-            text = " ".join("".join(words).split())
-            t["grid"].update({(t["row"] + y, column + x): text for y in range(down) for x in range(across)})
+            t["rows"][-1].append((" ".join("".join(words).split()), down, across))
             t["cell"] = None
 
     def handle_endtag(self, tag):
@@ -123,10 +157,7 @@ class _Tables(HTMLParser):
         if tag in ("td", "th", "tr", "table"):
             self.close()
         if tag == "table":
-            grid, rows = self.stack.pop()["grid"], []
-            height, width = (max((k[i] for k in grid), default=-1) + 1 for i in (0, 1))
-            rows = [[grid.get((y, x), "") for x in range(width)] for y in range(height)]
-            self.done.append(rows)
+            self.done.append(grid_of(self.stack.pop()["rows"]))
 
     def handle_data(self, data):
         if self.stack and self.stack[-1]["cell"]:
