@@ -112,10 +112,13 @@ _PARENTS = ", ".join(f"('{k}', {'NULL' if p is None else repr(p)})" for k, _, p
 
 @query(
     "independent_origins",
-    f"""WITH o(key, parent) AS (VALUES {_PARENTS}) SELECT a.key AS a, b.key AS b FROM o a JOIN o b ON a.key < b.key WHERE coalesce(a.parent, a.key) <> coalesce(b.parent, b.key)""",
+    f"""WITH o AS (SELECT * FROM (VALUES {_PARENTS}) v(key, parent) WHERE key IN (SELECT origin FROM claims)) SELECT a.key AS a, b.key AS b FROM o a JOIN o b ON a.key < b.key WHERE coalesce(a.parent, a.key) <> coalesce(b.parent, b.key)""",
 )
 def independent_origins(spark, sf_dir):
-    return independent(spark)
+    """Of the origins that claim anything, the pairs that don't copy from each other."""
+    seen = settled(d.claims(spark, sf_dir).select("origin").distinct())
+    pairs = independent(spark).join(seen.withColumnRenamed("origin", "a"), "a", "left_semi")
+    return pairs.join(seen.withColumnRenamed("origin", "b"), "b", "left_semi").select("a", "b")
 
 
 _GAME = "CASE install_id " + " ".join(f"WHEN {k} THEN '{g}'" for k, g in enumerate(GAMES)) + " END"

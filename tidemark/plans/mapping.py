@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
 from tidemark.plans.base import query
+from tidemark.schema import GAMES
+from tidemark.sources import connector
 from tidemark.sources import domain as d
 from tidemark.sources import mappers as m
 from tidemark.sources import payloads
@@ -278,28 +280,30 @@ def candidate_naming(spark, sf_dir):
     return d.product_sets(spark, sf_dir).select("set_id", name.alias("name"), own.alias("code"))
 
 
-@query("parsers_in_scope", "SELECT * FROM (VALUES ('all', 'index', 1), ('all', 'retail', 2), ('some', 'retail', 2)) v(scope, parser, games) UNION ALL SELECT 'none left', 'retail', 2")
-def parsers_in_scope(spark, sf_dir):
-    """Registered parsers by the games asked for; no games ask for all; one that is taken out is gone."""
-    def index(rows):
-        return m.set_index(rows, "text", "fetched")
-
-    def retail(rows):
-        return m.retail_groups(rows, "fetched")
-
-    index.games, retail.games = ["magic-the-gathering"], ["yugioh-tcg", "pokemon-tcg"]
-    before = payloads.parsers()
-    try:
-        for key in before:
-            payloads.unregister_parser(key)
-        payloads.register_parser("index", index)
-        payloads.register_parser("retail", retail)
-        rows = [("all", k, len(p.games)) for k, p in payloads.parsers([]).items()] + [("some", k, len(p.games)) for k, p in payloads.parsers(["pokemon-tcg"]).items()]
-        payloads.unregister_parser("index")
-        rows += [("none left", k, len(p.games)) for k, p in payloads.parsers().items()]
-    finally:
-        for key in payloads.parsers():
-            payloads.unregister_parser(key)
-        for key, parser in before.items():
-            payloads.register_parser(key, parser)
-    return spark.createDataFrame(rows, "scope string, parser string, games int")
+_REGISTRY = connector.Registry()
+for _key, _origin, _games in (("example.com", "index", ("magic-the-gathering",)), ("example.net", "retail", ("yugioh-tcg", "pokemon-tcg")), ("example.org", "wiki", ("pokemon-tcg", "one-piece-tcg"))):
+    _REGISTRY.register(connector.Provider(_key, _origin, "COMMUNITY", _games, connector.titles))
+
+
+@query("providers_in_scope", f"SELECT {GAMES}[1 + install_id] AS game, provider FROM installs JOIN (VALUES ('example.com', 'magic-the-gathering'), ('example.net', 'yugioh-tcg'), ('example.net', 'pokemon-tcg'), ('example.org', 'pokemon-tcg'), ('example.org', 'one-piece-tcg')) v(provider, covers) ON covers = {GAMES}[1 + install_id] WHERE enabled")
+def providers_in_scope(spark, sf_dir):
+    """Which providers a run asks for each installed game."""
+    games = d.installs(spark, sf_dir).where("enabled").select(d.pick(F.col("install_id"), *GAMES).alias("game"))
+    return _REGISTRY.in_scope(games, "game").select("game", "provider")
+
+
+_PROVIDER = r"array_to_string(list_reverse(list_reverse(string_split(regexp_extract(url, '^https?://([^/?#:]+)', 1), '.'))[1:2]), '.')"
+
+
+@query("provider_payloads", f"SELECT page_id, {_PROVIDER} AS provider, sha256(html) AS sha256, length(html) AS chars FROM pages")
+def provider_payloads(spark, sf_dir):
+    """Stored pages through a data source of their own, unpacked again."""
+    spark.dataSource.register(connector.StoredPages)
+    rows = spark.read.format("stored_pages").option("path", f"{sf_dir}/pages.parquet").load()
+    return rows.select("page_id", "provider", "sha256", F.length(payloads.gunzip(F.col("body"))).cast("bigint").alias("chars"))
+
+
+@query("provider_candidates", f"SELECT page_id, nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '') AS name FROM pages WHERE {_PROVIDER} = 'example.net'")
+def provider_candidates(spark, sf_dir):
+    """One provider's pages, by its own parser."""
+    return _REGISTRY.read(spark, "example.net", f"{sf_dir}/pages.parquet")

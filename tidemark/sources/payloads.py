@@ -196,20 +196,3 @@ def page_yield(rows: DataFrame, key: str) -> DataFrame:
     """Pages that gave no rows, or none with a date: drift to report."""
     per_page = rows.groupBy(key).agg(F.count("name").alias("rows"), F.count_if(F.col("kind") != "TBD").alias("dated"))
     return per_page.where("rows = 0 OR dated = 0")
-
-
-_PARSERS: dict = {}
-
-
-def register_parser(key: str, parser) -> None:
-    """parser(payload rows with `text`) -> candidate rows."""
-    _PARSERS[key] = parser
-
-
-def unregister_parser(key: str) -> None:
-    _PARSERS.pop(key, None)
-
-
-def parsers(games: list[str] | None = None) -> dict:
-    """Registered parsers, all of them or those whose `games` meet the wanted ones."""
-    return {k: p for k, p in _PARSERS.items() if not games or set(getattr(p, "games", games)) & set(games)}
