@@ -285,10 +285,11 @@ def plain_in_order(candidates, sets, identities):
     many = {(g, c) for (g, _, c), names in given.items() if c and len(names) > 1}
     held = [(g, n, c, s) for s, g, n, c, _, _ in sorted(sets, key=lambda s: (s[5], s[0]))]
     pins, out = {}, {}
-    known = {(o, e): s for o, e, s in identities}
+    home = {s[0]: s[1] for s in sets}
+    known = {(home[s], o, e): s for o, e, s in identities}
     for i, game, origin, name, code, ids in sorted(candidates):
         order = sorted(ids.items(), key=lambda e: (e[0] != origin, e))
-        of = [known.get(e) or pins.get((game, e)) for e in order]
+        of = [known.get((game, *e)) or pins.get((game, e)) for e in order]
         by, found = "id", next((s for s in of if s), None)
         clear = code and (game, code) not in many
         owners = [s for g, _, c, s in held if g == game and c == code]

@@ -107,3 +107,21 @@ def test_state_from_run_to_run(spark):
         state = claims.advanced(state, spark.createDataFrame(rows, schema))
     got = {(r.event_id, r.origin): (r.claim_date, r.streak, r.missed) for r in state.collect()}
     assert got == {(1, "x"): (b, 1, 0), (1, "y"): (b, 1, 1), (2, "x"): (a, 2, 0), (3, "x"): (None, 2, 1)}
+
+
+def test_replay_converges_and_a_retry_adds_what_is_new(spark, sf):
+    """Half of the payloads, then all, then all again: as all at once where nothing depends on the order, and the last time nothing changes."""
+    from tidemark.operators.replay import replay
+    from tidemark.plans.decisions import replay_inputs
+
+    packed, parse, stores = replay_inputs(spark, sf)
+    kinds = ("sets", "identities", "claims", "runs")
+    rows = lambda s: [sorted(map(str, getattr(s, k).collect())) for k in kinds]
+    once = replay(packed, "r", parse, stores)
+    again = replay(packed, "r", parse, once)
+    assert rows(once) == rows(again)
+    assert once.sets.count() == once.sets.select("set_id").distinct().count() and once.identities.count() == once.identities.select("origin", "external_id").distinct().count()
+    other = replay(packed.where("game = 'pokemon-tcg'"), "r", parse, stores)
+    later = replay(packed, "r", parse, other)
+    assert rows(later)[:3] == rows(once)[:3]
+    assert replay(packed.limit(0), "r2", parse, once).sets.count() == once.sets.count()

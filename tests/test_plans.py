@@ -11,7 +11,7 @@ from tidemark.plans.registry import QUERIES
 #: Python that Spark lacks a function for: gzip, HTML.
 PYTHON = {"payload_round_trip", "page_tables", "page_map_tables", "page_map_yield", "html_product_blocks", "html_labelled_rows", "html_articles", "index_and_details", "table_cells", "provider_payloads", "provider_candidates"}
 #: Folds in order, of which each step needs the one before.
-PYTHON |= {"identity_resolution", "identity_outcomes", "rate_limited"}
+PYTHON |= {"identity_resolution", "identity_outcomes", "rate_limited", "run_replayed"}
 #: Joins without keys: of tables of one row, and of the registry of a handful of origins.
 PRODUCT = {"landing_counts", "cascade_delete", "independent_origins"}
 

@@ -232,7 +232,7 @@ def resolve_in_order(candidates: DataFrame, sets: DataFrame, identities: DataFra
     """The candidates with set_id and matched_by (id, code, name or new), each resolved in the order of candidate_id against what is stored and what those before it left behind.
 
     A new product makes a set, which later ones find by its code or name. Every candidate pins its ids to the set it went to, whatever matched, unless they are pinned already; so an id that came with a
-    follower leads to the leader's set. A set keeps its maker's code if that is real, not ambiguous and not taken, else it has a made-up one and the code in its name.
+    follower leads to the leader's set. Ids hold within a game. A set keeps its maker's code if that is real, not ambiguous and not taken, else it has a made-up one and the code in its name.
 
     The order matters, so a part is folded by one task, which streams its candidates. Those that repeat game, origin and ids are resolved by id after the first, which alone is folded. Stored ids
     and matching names are found by joins before.
@@ -246,7 +246,8 @@ def resolve_in_order(candidates: DataFrame, sets: DataFrame, identities: DataFra
 
     many = ambiguous_codes(candidates).select("game", "key").distinct()
     clear = first.join(many.withColumn("many", F.lit(True)), ["game", "key"], "left").join(many.select("game", F.col("key").alias("own"), F.lit(True).alias("own_many")), ["game", "own"], "left")
-    each = first.select("candidate_id", F.explode("ids").alias("i")).select("candidate_id", "i.*").join(identities.groupBy("origin", F.col("external_id").alias("value")).agg(F.min("set_id").alias("set_id")), ["origin", "value"], "left")
+    stored = identities.join(sets.select("set_id", "game"), "set_id").groupBy("game", "origin", F.col("external_id").alias("value")).agg(F.min("set_id").alias("set_id"))
+    each = first.select("candidate_id", "game", F.explode("ids").alias("i")).select("candidate_id", "game", "i.*").join(stored, ["game", "origin", "value"], "left")
     found = each.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("foreign", "origin", "value", "set_id"))).alias("found"))
     no_ids = F.array().cast("array<struct<key:string,set_id:string>>")
     ids = F.coalesce(F.transform("found", lambda e: F.struct(F.concat_ws("=", e["origin"], e["value"]).alias("key"), e["set_id"].alias("set_id"))), no_ids)

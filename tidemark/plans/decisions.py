@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import derive, gate, identity
+from tidemark.operators import derive, gate, identity, replay
 from tidemark.operators.claims import independent
 from tidemark.operators.snapshots import settled
 from tidemark.plans.base import query
@@ -202,7 +202,7 @@ _RUN = f"""p AS (SELECT *, set_id // 2 AS h, CASE WHEN set_id // 2 % 5 = 0 THEN
   cand AS (SELECT c.*, c.own IS NOT NULL AND amb.own IS NULL AS clear, row_number() OVER (PARTITION BY c.game ORDER BY cid) AS k FROM c LEFT JOIN amb ON amb.game = c.game AND amb.own = c.own),
   pinned AS (SELECT map_from_entries(list((id, sid))) AS pins FROM (SELECT 'tcgplayer=' || set_id // 20 AS id, CAST(set_id AS VARCHAR) AS sid FROM p WHERE set_id % 20 = 0)),
   stored AS (SELECT install_id AS game, list({{'place': set_id, 'sid': CAST(set_id AS VARCHAR), 't': t, 'own': own}} ORDER BY set_id) AS sets FROM w WHERE set_id % 2 = 0 GROUP BY install_id),
-  fold AS (SELECT game, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS cid, CAST(NULL AS VARCHAR) AS set_id, CAST(NULL AS VARCHAR) AS matched_by, sets, pins FROM stored, pinned
+  fold AS (SELECT game, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS cid, CAST(NULL AS VARCHAR) AS set_id, CAST(NULL AS VARCHAR) AS matched_by, sets, CASE WHEN game = 0 THEN pins ELSE map_from_entries(list_filter(map_entries(pins), lambda e: false)) END AS pins FROM stored, pinned
     UNION ALL
     SELECT game, k, cid, set_id, matched_by, CASE WHEN matched_by = 'new' THEN list_append(sets, {{'place': 1000000000 + k, 'sid': set_id, 't': t, 'own': CASE WHEN clear AND len(coded) = 0 THEN own END}}) ELSE sets END AS sets,
       CASE WHEN len(ids) = 0 THEN pins ELSE map_concat(map(ids, list_transform(ids, lambda i: set_id)), pins) END AS pins
@@ -245,3 +245,39 @@ def similar_names(spark, sf_dir):
     said = F.concat_ws(" ", "name", F.lower(F.split("code", "-")[1]), d.pick(F.expr("set_id div 2") % 4, *_WORDS))
     names = d.product_sets(spark, sf_dir).select(d.pick(F.col("install_id"), *GAMES).alias("game"), said.alias("name")).distinct()
     return identity.name_pairs(names, names).where("x < y").select("game", "x", "y", F.floor(F.col("score") * 1e6 + 0.25).cast("bigint").alias("micro"))
+
+
+def replay_inputs(spark, sf_dir):
+    """The sightings of `identity_run` as payloads of 500 sets each, how they are parsed, and the stores before the run. A sighting without an id is known by its own, and ids are those of a game."""
+    from tidemark.sources import payloads
+
+    candidates, sets, identities = identity_run(spark, sf_dir)
+    own = F.create_map(F.col("origin"), F.concat(F.lit("c"), "candidate_id"))
+    own_game = lambda game, value: F.concat_ws(":", game, value)
+    rows = candidates.withColumn("external_ids", F.transform_values(F.when(F.size("external_ids") > 0, F.col("external_ids")).otherwise(own), lambda _, v: own_game(F.col("game"), v)))
+    identities = identities.join(sets.select("set_id", "game"), "set_id").select("origin", own_game(F.col("game"), F.col("external_id")).alias("external_id"), "set_id")
+    part = F.expr("cast(candidate_id as bigint) div 500").alias("part")
+    bodies = rows.groupBy("game", part).agg(F.to_json(F.collect_list(F.struct("candidate_id", "origin", "name", "code", "external_ids"))).alias("text"))
+    packed = payloads.pack(bodies, "text")
+    schema = "array<struct<candidate_id: string, origin: string, name: string, code: string, external_ids: map<string,string>>>"
+
+    def parse(rows):
+        items = rows.withColumn("text", payloads.gunzip(F.col("body"))).select("game", F.explode(F.from_json("text", schema)).alias("c")).select("game", "c.*")
+        day = F.expr("date_add(date'2024-01-01', cast(cast(candidate_id as bigint) % 300 as int))")
+        return items.withColumns({"type": F.lit("SHELF"), "region": F.lit("GLOBAL"), "day": day})
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    stores = replay.Stores(sets, identities, none("run string, origin string, set_id string, type string, region string, day date"), none("run string, game string, candidates long, sets long, paired long, payloads long"))
+    return settled(packed), parse, stores
+
+
+@query("run_replayed", f"WITH RECURSIVE {_RUN}, r AS (SELECT game, cid, fold.set_id, matched_by, origin FROM fold JOIN c USING (game, cid)), s AS (SELECT game, set_id, count(*) AS n, min(origin) <> max(origin) AS paired, count(DISTINCT origin) AS claims FROM r GROUP BY ALL) SELECT {GAMES}[1 + game] AS game, CAST(sum(n) AS BIGINT) AS candidates, count(*) AS sets, CAST(sum(CAST(paired AS INTEGER)) AS BIGINT) AS paired, CAST(sum(claims) AS BIGINT) AS claims, (SELECT count(*) FROM r WHERE r.game = s.game AND matched_by = 'new') AS made FROM s GROUP BY game")
+def run_replayed(spark, sf_dir):
+    """A run out of its payloads, and once more: the notes, claims and sets that are stored in the end are those of one time."""
+    packed, parse, stores = replay_inputs(spark, sf_dir)
+    before = stores.sets
+    for _ in range(2):
+        stores = replay.replay(packed, "run-1", parse, stores)
+    claims = stores.claims.join(stores.sets.select("set_id", "game"), "set_id").groupBy("game").agg(F.count(F.lit(1)).alias("claims"))
+    made = stores.sets.join(before.select("set_id"), "set_id", "left_anti").groupBy("game").agg(F.count(F.lit(1)).alias("made"))
+    return stores.runs.join(claims, "game", "left").join(made, "game", "left").select("game", "candidates", "sets", "paired", F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("made", F.lit(0)).alias("made"))
