@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from tidemark.llm import chat, fingerprints, language, packing, quality, tokens
+from tidemark.llm import chat, common, fingerprints, language, packing, quality, tokens
 
 ODD = ["", " ", "  a  b ", "<unk> x", "日本語 テキスト\U0001f600 x\n y", "▁a ▁▁b", "\t tab", "é ́x", "<|endoftext|> a<|startoftext|>b 'S it's", "ÀÉß x7²3 don't ×÷ a_b×c", "x<unk>日y", "STRASSE Straße µ ª", "a,b;c--d 12.5%"]
 
@@ -336,3 +336,19 @@ def test_other_templates_and_long_texts(spark):
     for bad in ({"footer": "\\end"}, {"footer": "aba"}, {"header": "{role}:"}):
         with pytest.raises(ValueError):
             chat.Template(**bad)
+
+
+def test_usual_words_equal_the_tokenizers():
+    encoder = tokens.WordTokens.load()
+    some = ["Abc.", "abc,", "ABC", "a.", ".", ",", "..", "don't.", "x1.", "Été.", "", " Abc,  d. ", "q" * 3000 + "."]
+    want = encoder.tokenizer.encode_batch(some, add_special_tokens=False)
+    assert [x.tolist() for x in encoder.encode(some)] == [x.ids for x in want]
+
+
+def test_lean_tasks_forget_what_other_kinds_keep():
+    seen = []
+    common.kept("some kind")["a"] = 1
+    assert list(common.lean(lambda batches: (seen.append(dict(common.kept("some kind"))) or b for b in batches), "some kind")([1, 2])) == [1, 2]
+    assert seen == [{"a": 1}] * 2
+    assert list(common.lean(lambda batches: iter(batches))([3])) == [3]
+    assert common.kept("some kind") == {}

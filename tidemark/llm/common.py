@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,3 +68,40 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. A text of one-byte characters has no other upper case, so lower() does there."""
     one_byte = F.octet_length(text) == F.char_length(text)
     return F.when(one_byte, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+_KEPT: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    """What tasks of this kind leave in a worker for those after them."""
+    return _KEPT.setdefault(kind, {})
+
+
+def forget(others_than: str | None = None) -> None:
+    for kind in [k for k in _KEPT if k != others_than]:
+        del _KEPT[kind]
+
+
+def give_back() -> None:
+    """Hand freed memory to the system, where the allocators know how."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches], keep: str | None = None) -> Callable[[Batches], Batches]:
+    """A function on batches for workers that live through many stages: it begins without what other kinds of tasks keep, and gives back what it freed at its end."""
+
+    def own(batches: Batches) -> Batches:
+        forget(keep)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own

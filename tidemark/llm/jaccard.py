@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, fresh, materialise
+from tidemark.llm.common import documents, fresh, lean, materialise
 from tidemark.llm.graph import components
 
 WORDS = 5
@@ -472,7 +472,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows: doc_id, th (a hash of the text), n_shingles, key; and the classes: cls, key, n_shingles, and doc_id and th of the row that stands for it. Numbers
     follow the order of doc_id, so the smallest number of a component has its smallest id."""
-    sizes = materialise(_rows(docs).mapInArrow(_keys, "doc_id long, th long, n_shingles long, key binary"))
+    sizes = materialise(_rows(docs).mapInArrow(lean(_keys), "doc_id long, th long, n_shingles long, key binary"))
     firsts = sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key", "n_shingles").agg(F.min(F.struct("doc_id", "th")).alias("first"))
     return sizes, materialise(firsts.orderBy("first", "key").select(F.monotonically_increasing_id().alias("cls"), "key", "n_shingles", "first.doc_id", "first.th"))
 
@@ -501,21 +501,21 @@ def _linked(docs: DataFrame, classes: DataFrame, hot: int, block: int) -> DataFr
         return _rows(docs).join(wanted.hint("merge"), ["doc_id", "th"]).select("cls", "text")
 
     shards = max(1, -(-count // SHARD_DOCS))
-    index = materialise(texts().mapInArrow(_indexed(shards, hot), INDEX))
+    index = materialise(texts().mapInArrow(lean(_indexed(shards, hot)), INDEX))
     met = index.where("shard IS NOT NULL").drop("who", "lost", "spare_left").repartitionById(shards, "shard").sortWithinPartitions("shard")
-    met = materialise(met.mapInArrow(_candidates(hot), "a long, b long, shared long, asked long, hot boolean"))
+    met = materialise(met.mapInArrow(lean(_candidates(hot)), "a long, b long, shared long, asked long, hot boolean"))
     pairs = materialise(met.where("NOT hot").groupBy("a", "b").agg(F.sum("shared").alias("n"), F.min("asked").alias("m")).where("n >= m").select("a", "b"))
     lost = met.where("hot").select("a", "shared", "asked").union(index.where("shard IS NULL AND lost IS NOT NULL").select("who", "lost", "spare_left"))
     short = lost.groupBy("a").agg(F.sum("shared").alias("lost"), F.min("asked").alias("spare")).where("lost > spare").select(F.col("a").alias("cls"))
     apart = materialise(index.where("shard IS NULL AND lost IS NULL").select(F.col("who").alias("cls")).union(short).distinct())
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(apart).distinct()
-    sets = materialise(texts(wanted).mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
+    sets = materialise(texts(wanted).mapInArrow(lean(_sets), "cls long, shingles binary").dropDuplicates(["cls"]))
     n_apart = apart.count()
     edges = pairs
     if n_apart > 1:
         fine = max(1, -(-n_apart // (SHARD_DOCS // 4)))
-        regrouped = materialise(sets.join(apart, "cls", "left_semi").mapInArrow(_regroup(fine), "shard int, sig binary, who binary, a long, b long"))
-        led = regrouped.where("shard IS NOT NULL").repartitionById(fine, "shard").sortWithinPartitions("shard").mapInArrow(_spanning, "a long, b long")
+        regrouped = materialise(sets.join(apart, "cls", "left_semi").mapInArrow(lean(_regroup(fine)), "shard int, sig binary, who binary, a long, b long"))
+        led = regrouped.where("shard IS NOT NULL").repartitionById(fine, "shard").sortWithinPartitions("shard").mapInArrow(lean(_spanning), "a long, b long")
         edges = edges.union(regrouped.where("shard IS NULL").select("a", "b")).union(led)
     groups = components(edges).select(F.col("id").alias("cls"), F.col("component").alias("group"))
     return _verify(groups, sets, classes, block).select(F.col("id").alias("cls"), "component")
@@ -531,7 +531,7 @@ def _verify(groups: DataFrame, sets: DataFrame, classes: DataFrame, block: int)
 
     def links(cells: DataFrame) -> DataFrame:
         work = cells.join(sets.hint("merge"), "cls").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "cls")
-        return materialise(work.mapInArrow(_verified, "a long, b long"))
+        return materialise(work.mapInArrow(lean(_verified), "a long, b long"))
 
     twice = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(part(0, F.col("blocks")), F.col("blocks") + part(1, F.col("blocks")))))
     first = links(dealt.select("cls", F.col("group").alias("component"), twice.alias("i"), F.lit(0).alias("j"), F.col("cls").alias("label")))

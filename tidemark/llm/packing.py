@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, materialise
+from tidemark.llm.common import documents, lean, materialise
 from tidemark.llm.jaccard import mix
 from tidemark.llm.tokens import WordTokens
 
@@ -267,11 +267,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
     shards = max(1, -(-total // shard_rows))
     bound = int(-(2**63) + min(1.0, SAMPLE / max(total, 1)) * 2**64)
     some = texts.where(F.coalesce(F.xxhash64("doc_id") <= min(bound, 2**63 - 1), F.lit(True))).limit(2 * SAMPLE)
-    sample = materialise(some.mapInArrow(_tokenized(tokenizer_path, window, None, None, 1), TOKENS))
+    sample = materialise(some.mapInArrow(lean(_tokenized(tokenizer_path, window, None, None, 1), WordTokens.KEPT), TOKENS))
     keys = Keys(_statistics(sample))
-    firsts = sample.where("ids IS NOT NULL").select("n", "ids").mapInArrow(_firsts(keys, window), "first long")
+    firsts = sample.where("ids IS NOT NULL").select("n", "ids").mapInArrow(lean(_firsts(keys, window), WordTokens.KEPT), "first long")
     begins = keys.begins({r["first"]: r["count"] for r in firsts.groupBy("first").count().collect()})  # the vocabulary at most
-    tokens = materialise(texts.mapInArrow(_tokenized(tokenizer_path, window, keys, begins, shards), TOKENS), compressed=False)
+    tokens = materialise(texts.mapInArrow(lean(_tokenized(tokenizer_path, window, keys, begins, shards), WordTokens.KEPT), TOKENS), compressed=False)
     statistics = _statistics(tokens)
     dealt = tokens.where("ids IS NOT NULL").select("shard", "at", "doc_id", "th", "n", "ids").repartitionById(shards, "shard").sortWithinPartitions("shard", "at", "doc_id", "th")
 
@@ -297,7 +297,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         if ids:
             yield flush(shard, part, ids, tokens)
 
-    return dealt.mapInArrow(packed, SCHEMA)
+    return dealt.mapInArrow(lean(packed), SCHEMA)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

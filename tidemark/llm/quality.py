@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import documents, fold_mod, fresh, hash_bound, table, with_fields
+from tidemark.llm.common import documents, fold_mod, fresh, hash_bound, lean, table, with_fields
 
 #: At most so many labelled rows are used for training, those first in a seeded order.
 MAX_TRAINING_ROWS = 20_000
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAININ
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_mod("doc_id", HELD_OUT_FOLDS) != 0))
     below = F.xxhash64("doc_id") <= hash_bound(max_training_rows, usable.count())
     sample = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(below).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_training_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").mapInArrow(_features, "doc_id long, quality int, x array<float>").orderBy("doc_id", "quality").limit(max_training_rows).toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").mapInArrow(lean(_features), "doc_id long, quality int, x array<float>").orderBy("doc_id", "quality").limit(max_training_rows).toArrow()
     if not rows.num_rows:
         return train(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))
     return train(np.array(rows["x"].to_pylist(), np.float32), rows["quality"].to_numpy().astype(np.float64))
@@ -168,7 +168,7 @@ def score(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, names: tu
             p = trees.score(statistics_of(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(lean(scored), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.llm.common import documents, with_fields
+from tidemark.llm.common import documents, kept, with_fields
 
 #: Words that a task remembers in each of two generations: when the new one is full it becomes the old one, and what is met again
 #: moves back. This changes no result.
@@ -72,13 +72,15 @@ class Memory(dict):
 
 
 class WordTokens:
-    _loaded: dict[str, WordTokens] = {}
+    #: Under this name a worker keeps tokenizers, and the words they know.
+    KEPT = "words"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.known = Memory(self._word)
 
     @classmethod
@@ -87,13 +89,20 @@ class WordTokens:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        loaded = kept(cls.KEPT)
+        if path not in loaded:
+            loaded[path] = cls(path)
+        return loaded[path]
 
     def _word(self, word: str) -> bytes:
         """The ids of one word, as bytes. A plain word's parts go to the model itself, since for them the tokenizer's normaliser only
-        lower-cases, and its splitter cuts runs of letters, single digits and runs of signs; any other word goes through the tokenizer."""
+        lower-cases, and its splitter cuts runs of letters, single digits and runs of signs; any other word goes through the tokenizer. The most usual
+        words, ASCII letters with a full stop or comma or none, are told without patterns."""
+        if word.isascii():
+            if word.isalpha():
+                return self._model(word) if word.islower() else self.known[word.lower()]
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return self.known[word[:-1].lower()] + self.known[word[-1]]
         if not _PLAIN.fullmatch(word) or "<|" in word:
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         low = word.lower()
@@ -103,7 +112,10 @@ class WordTokens:
         if parts != [word]:
             return b"".join([self.known[part] for part in parts])
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return self._model(shown)
+
+    def _model(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def encode(self, texts: list[str | None], end: int | None = None) -> Iterator[np.ndarray]:
         """The ids of each text, then `end`. Words are split at blanks and line feeds alone, both white space to the tokenizer."""
