@@ -144,10 +144,3 @@ def color_index(text: Column, palette: int) -> Column:
 
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-
-
-def looks_abusive(text: Column, words_: list[str]) -> Column:
-    """Whether a text holds a listed word, with look-alike characters, repeats and spaced-out letters folded."""
-    plain = F.regexp_replace(F.translate(F.lower(text), "013457@$!", "oieastasi"), r"[^a-z ]", "")
-    plain = F.regexp_replace(plain, r"(?<=\b[a-z]) (?=[a-z]\b)", "")
-    return F.coalesce(F.regexp_replace(plain, r"(.)\1{2,}", "$1$1").rlike(r"\b(?:" + "|".join(words_) + r")\b"), F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import moderation
 from tidemark.functions import text as t
 from tidemark.operators.delivery import ics_feed, json_ld
 from tidemark.plans.base import query
@@ -111,7 +112,31 @@ def json_ld_rows(spark, sf_dir):
     return json_ld(d.release_events(spark, sf_dir).join(d.product_sets(spark, sf_dir), "set_id"))
 
 
-@query("comments_flagged")
+_NTH = "(conv_id * 7 + turn) % {n}"
+_TERMS, _INNOCENT = (f"""list_value({', '.join(f"'{w}'" for w in x)})""" for x in (moderation.TERMS, moderation.INNOCENT))
+
+
+@query(
+    "comments_flagged",
+    rf"""WITH comments AS (
+        SELECT conv_id, turn, coalesce(text, '') AS text, conv_id % 7 AS kind, {_TERMS}[1 + {_NTH.format(n=len(moderation.TERMS))}] AS term, {_INNOCENT}[1 + {_NTH.format(n=len(moderation.INNOCENT))}] AS word
+        FROM conversations WHERE role = 'user'
+    ), disguised AS (
+        SELECT conv_id, turn, text || ' ' || CASE kind WHEN 0 THEN term WHEN 1 THEN regexp_replace(term, '(.)', '\1 ', 'g') WHEN 2 THEN translate(term, 'aeios', '@31о$') WHEN 3 THEN regexp_replace(upper(term), '([AEIOU])', '\1\1\1', 'g') || '!'
+            WHEN 4 THEN word || 's' WHEN 5 THEN '4 5 5 ' || substr(term, 1, 1) || '-' || substr(term, 2, 1) ELSE '' END AS text FROM comments
+    ), letters AS (SELECT conv_id, turn, regexp_replace(' ' || regexp_replace(translate(text, '{moderation.LETTERS[0]}', '{moderation.LETTERS[1]}'), '[\t\n\r]', ' ', 'g') || ' ', ' [^a-z@]+ ', ' ', 'g') AS x FROM disguised
+    ), words AS (SELECT conv_id, turn, regexp_replace(translate(regexp_replace(x, '!([a-z])', 'i\1', 'g'), '{moderation.SIGNS[0]}', '{moderation.SIGNS[1]}'), '[^a-z]+', ' ', 'g') AS x FROM letters
+    ), normal AS (SELECT conv_id, turn, trim(regexp_replace(replace(regexp_replace(x, '\b([a-z])\b', '<\1>', 'g'), '> <', ''), '[<>]', '', 'g')) AS normal FROM words
+    ), found AS (SELECT *, list_filter(string_split(normal, ' '), lambda w: regexp_matches(regexp_replace(w, '{moderation.innocent_pattern()}', '.', 'g'), '{moderation.pattern()}')) AS hits FROM normal)
+    SELECT conv_id, turn, normal, len(hits) > 0 AS flagged, array_to_string(hits, ' ') AS words FROM found""",
+)
 def comments_flagged(spark, sf_dir):
+    """Users' turns, to which disguised terms, innocent words and numbers are added by the number of the conversation."""
     rows = d.read(spark, sf_dir, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", t.looks_abusive(F.col("text"), ["trash", "worthless", "disgusting"]).alias("flagged"))
+    term, word = (F.element_at(F.array(*map(F.lit, x)), (1 + F.expr(_NTH.format(n=len(x)))).cast("int")) for x in (moderation.TERMS, moderation.INNOCENT))
+    kinds = [term, F.regexp_replace(term, "(.)", "$1 "), F.translate(term, "aeios", "@31о$"), F.concat(F.regexp_replace(F.upper(term), "([AEIOU])", "$1$1$1"), F.lit("!"))]
+    kinds += [F.concat(word, F.lit("s")), F.concat(F.lit("4 5 5 "), F.substring(term, 1, 1), F.lit("-"), F.substring(term, 2, 1))]
+    added = F.coalesce(*[F.when(F.expr(f"conv_id % 7 = {k}"), x) for k, x in enumerate(kinds)], F.lit(""))
+    normal = rows.select("conv_id", "turn", moderation.normalised(F.concat_ws(" ", F.coalesce("text", F.lit("")), added)).alias("normal"))
+    found = normal.withColumn("hits", moderation.flagged_words(F.col("normal")))
+    return found.select("conv_id", "turn", "normal", (F.size("hits") > 0).alias("flagged"), F.array_join("hits", " ").alias("words"))
