@@ -87,3 +87,17 @@ def month_grid(rows: DataFrame, low: str, high: str) -> DataFrame:
 def top_by(rows: DataFrame, partition: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+
+
+def recipients(followed: DataFrame, subscribers: DataFrame, loved: DataFrame) -> DataFrame:
+    """How many users hear of each event: subscribers (install_id, user_id) of the installs that it is followed by (event_id, install_id), and those who loved it (event_id, user_id), each once.
+
+    Events followed by the same installs have the same subscribers, so these are counted once for each such list of installs; pairs of events and subscribers are never made.
+    """
+    lists = followed.where("install_id IS NOT NULL").groupBy("event_id").agg(F.array_sort(F.collect_set("install_id")).alias("installs"))
+    each = lists.select("installs").distinct().select("installs", F.explode("installs").alias("install_id"))
+    counted = each.join(subscribers, "install_id").select("installs", "user_id").distinct().groupBy("installs").agg(F.count(F.lit(1)).alias("n"))
+    told = lists.join(counted, "installs").select("event_id", "n")
+    heard = loved.distinct().alias("l").join(followed.alias("f"), "event_id").join(subscribers.alias("s"), F.expr("f.install_id = s.install_id AND l.user_id <=> s.user_id")).select("event_id", "l.user_id").distinct()
+    more = loved.distinct().alias("l").join(heard.alias("h"), F.expr("l.event_id = h.event_id AND l.user_id <=> h.user_id"), "left_anti").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    return told.unionByName(more).groupBy("event_id").agg(F.sum("n").alias("recipients"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import is_past, overlaps, primary, wording
-from tidemark.operators.calendar import CalendarFilter, calendar, for_viewer, month_grid, ordered, star, top_by, without_superseded
+from tidemark.operators.calendar import CalendarFilter, calendar, for_viewer, month_grid, ordered, recipients, star, top_by, without_superseded
 from tidemark.plans.base import query
 from tidemark.sources import domain as d
 
@@ -213,10 +213,10 @@ def all_reminders(spark, sf_dir):
       UNION SELECT event_id, user_id FROM release_events JOIN (SELECT target_id AS event_id, user_id FROM reactions WHERE emoji = 'love') USING (event_id) WHERE updated_on = DATE '1999-02-03') GROUP BY event_id""",
 )
 def fan_out(spark, sf_dir):
-    changes = d.release_events(spark, sf_dir).where(F.col("updated_on") == F.lit("1999-02-03").cast("date"))
-    by_install = changes.join(d.product_sets(spark, sf_dir), "set_id").join(d.subscriptions(spark, sf_dir).where("alerts"), "install_id").select("event_id", "user_id")
-    by_event = changes.join(d.reactions(spark, sf_dir).where("emoji = 'love'").select(F.col("target_id").alias("event_id"), "user_id"), "event_id").select("event_id", "user_id")
-    return by_install.union(by_event).distinct().groupBy("event_id").agg(F.count(F.lit(1)).alias("recipients"))
+    changes = d.release_events(spark, sf_dir).where(F.col("updated_on") == F.lit("1999-02-03").cast("date")).select("event_id", "set_id")
+    followed = changes.join(d.product_sets(spark, sf_dir).select("set_id", "install_id"), "set_id").select("event_id", "install_id")
+    loved = changes.join(d.reactions(spark, sf_dir).where("emoji = 'love'").select(F.col("target_id").alias("event_id"), "user_id"), "event_id").select("event_id", "user_id")
+    return recipients(followed, d.subscriptions(spark, sf_dir).where("alerts").select("install_id", "user_id"), loved)
 
 
 @query(
