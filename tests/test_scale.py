@@ -1,6 +1,11 @@
 """Steps that must not grow faster than their input, and results that must not hang on how Spark deals rows out."""
 
-from tidemark.operators import calendar
+from datetime import date
+from itertools import permutations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import calendar, claims, gate
 
 
 def test_recipients_are_counted_once_without_pairs_of_events_and_subscribers(spark):
@@ -15,3 +20,31 @@ def test_recipients_are_counted_once_without_pairs_of_events_and_subscribers(spa
     assert {r.event_id: r.recipients for r in rows.collect()} == want
     joins = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "installs" in joins and joins.count("collect_set") >= 1
+
+
+def _product(factors):
+    out = 1.0
+    for f in factors:
+        out *= f
+    return 1 - out
+
+
+#: Weights of a COMMUNITY, an OFFICIAL and another COMMUNITY claim, whose product hangs on the order.
+WEIGHTS = [("COMMUNITY", 1.0), ("OFFICIAL", 1 - 0.07), ("COMMUNITY", 0.99)]
+
+
+def _orders():
+    rate = {"COMMUNITY": 0.45, "OFFICIAL": 1.0}
+    want = {}
+    for k, order in enumerate(permutations(range(3))):
+        want[k] = order, _product(1 - WEIGHTS[i][1] * rate[WEIGHTS[i][0]] for i in order)
+    assert len({c for _, c in want.values()}) > 1
+    return want
+
+
+def test_noisy_or_multiplies_in_the_order_of_the_table(spark):
+    want = _orders()
+    rows = [(e, order.index(i), *WEIGHTS[i]) for e, (order, _) in want.items() for i in (2, 0, 1)]
+    df = spark.createDataFrame(rows, "event_id int, place long, tier string, weight double").repartition(5)
+    got = df.groupBy("event_id").agg(claims.noisy_or(F.col("tier"), F.col("weight"), F.col("place")).alias("c")).collect()
+    assert {r.event_id: r.c for r in got} == {e: c for e, (_, c) in want.items()}

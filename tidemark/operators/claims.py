@@ -13,9 +13,13 @@ def tier_weight(tier: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for k, v in TIER_WEIGHT.items() for x in (k, v)]), tier)
 
 
-def noisy_or(tier: Column, weight: Column) -> Column:
-    """One less the product of what each claim leaves open; a sum of logarithms would lose a weight of one."""
-    return 1 - F.product(1 - clamp01(weight * tier_weight(tier)))
+def noisy_or(tier: Column, weight: Column, place: Column | None = None) -> Column:
+    """One less the product of what each claim leaves open; a sum of logarithms would lose a weight of one. With `place`, factors are multiplied in that order:
+    the last bit of a product of doubles hangs on it, and with it a value that is rounded at a boundary."""
+    open_ = 1 - clamp01(weight * tier_weight(tier))
+    if place is None:
+        return 1 - F.product(open_)
+    return 1 - F.aggregate(F.array_sort(F.collect_list(F.struct(place.alias("place"), open_.alias("open")))), F.lit(1.0), lambda p, c: p * c["open"])
 
 
 def streaks(rows: DataFrame, keys: list[str], latest_first: list[Column], value: str) -> DataFrame:

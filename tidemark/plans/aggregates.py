@@ -161,7 +161,7 @@ def latest_silent(spark, sf_dir):
       FROM claims GROUP BY event_id)""",
 )
 def confidence(spark, sf_dir):
-    scored = d.claims(spark, sf_dir).groupBy("event_id").agg(F.max(F.col("tier") == "OFFICIAL").alias("official"), noisy_or(F.col("tier"), F.col("weight")).alias("c"))
+    scored = d.placed_claims(spark, sf_dir).groupBy("event_id").agg(F.max(F.col("tier") == "OFFICIAL").alias("official"), noisy_or(F.col("tier"), F.col("weight"), F.col("place")).alias("c"))
     status = F.when(F.col("official") | (F.col("c") >= 0.6), "CONFIRMED").when(F.col("c") >= 0.3, "ANNOUNCED").otherwise("RUMORED")
     return scored.select("event_id", F.floor(F.col("c") * 1e6 + 0.25).cast("bigint").alias("micro"), status.alias("status"))
 

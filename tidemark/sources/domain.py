@@ -5,7 +5,7 @@ Each view is a function of (spark, folder); SQL[name] says the same for an engin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schema import ORIGINS
@@ -62,10 +62,10 @@ def release_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _claims(lineitem: DataFrame, *more: Column) -> DataFrame:
     names, tiers = [o[0] for o in ORIGINS], [o[1] for o in ORIGINS]
     at = F.col("l_suppkey") % len(ORIGINS)
-    return read(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         F.col("l_orderkey").alias("event_id"),
         F.col("l_linenumber").alias("run"),
         pick(at, *names).alias("origin"),
@@ -75,9 +75,19 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "N").alias("live"),
         (F.col("l_quantity") % 10).cast("int").alias("runs"),
         F.col("l_partkey").alias("ref"),
+        *more,
     )
 
 
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _claims(read(spark, sf_dir, "lineitem"))
+
+
+def placed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims with their place in the table, in which order an engine that reads it row by row multiplies weights."""
+    return _claims(read(spark, sf_dir, "lineitem"), F.struct("_metadata.file_name", "_metadata.row_index").alias("place"))
+
+
 def provider_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for x in ("view", "OK", "click", "OK", "signup", "NOT_MODIFIED", "purchase", "DEGRADED", "error", "FAILED")])
     return read(spark, sf_dir, "events").select(
