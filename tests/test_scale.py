@@ -48,3 +48,13 @@ def test_noisy_or_multiplies_in_the_order_of_the_table(spark):
     df = spark.createDataFrame(rows, "event_id int, place long, tier string, weight double").repartition(5)
     got = df.groupBy("event_id").agg(claims.noisy_or(F.col("tier"), F.col("weight"), F.col("place")).alias("c")).collect()
     assert {r.event_id: r.c for r in got} == {e: c for e, (_, c) in want.items()}
+
+
+def test_the_gate_multiplies_in_the_order_of_the_table(spark):
+    want = _orders()
+    names = ["wikipedia", "bandai", "scryfall"]
+    rows = [((f"{order.index(i)}", order.index(i)), e, names[i], WEIGHTS[i][0], "EXACT", date(2026, 6, 1), True, 1, WEIGHTS[i][1], date(2026, 6, 1), i) for e, (order, _) in want.items() for i in (2, 0, 1)]
+    df = spark.createDataFrame(rows, "place struct<file: string, row: long>, event_id int, origin string, tier string, kind string, day date, live boolean, runs int, weight double, last_seen date, seq long").repartition(5)
+    published = spark.createDataFrame([(e, None, None, None, None, None) for e in [*want, 99]], "event_id int, pub_kind string, pub_day date, pub_end date, pub_status string, expected array<date>")
+    got = {r.event_id: r.confidence for r in gate.evaluate(df, published, "2026-05-20").collect()}
+    assert got == {e: c for e, (_, c) in want.items()} | {99: 0.0}

@@ -44,15 +44,17 @@ def _sql_map(values: dict[str, str]) -> str:
 def evaluate(claims: DataFrame, published: DataFrame, now: str, origins: list[tuple] = ORIGINS, agreement: int = AGREEMENT_DAYS, shift: int = LARGE_SHIFT_DAYS) -> DataFrame:
     """Verdicts: event_id, action, rule, reason, day, kind, status, confidence, gap, supporting (origins), contradicted (origins).
 
-    claims: event_id, origin, tier, kind, day, live, runs, weight, last_seen, seq (which orders claims of one origin).
+    claims: event_id, origin, tier, kind, day, live, runs, weight, last_seen, seq (which orders claims of one origin), and maybe
+    place: the order in which weights are multiplied, else by origin and seq; the last bit of a product of doubles hangs on it.
     published: event_id, pub_kind, pub_day, pub_end, pub_status, expected (array of days, or null); one row per event with claims or without.
     """
     lineage = _sql_map({k: "array(" + ", ".join(f"'{x}'" for x in v) + ")" for k, v in lineages(origins).items()})
     rank, weight = _sql_map({k: str(v) for k, v in TIER_RANK.items()}), _sql_map({k: f"{v}D" for k, v in TIER_WEIGHT.items()})
+    placed = "place" in claims.columns
     near = lambda a, b: f"abs(datediff({a}, {b})) <= {agreement}"
-    entry = F.struct("origin", "seq", "tier", "kind", "day", "live", "runs", "weight", "last_seen", F.expr(f"{rank}[tier]").alias("rank"), F.expr(f"{lineage}[origin]").alias("lineage"), F.expr(f"greatest(0D, least(1D, weight * {weight}[tier]))").alias("w"))
+    entry = F.struct("origin", "seq", "tier", "kind", "day", "live", "runs", "weight", "last_seen", F.expr(f"{rank}[tier]").alias("rank"), F.expr(f"{lineage}[origin]").alias("lineage"), F.expr(f"greatest(0D, least(1D, weight * {weight}[tier]))").alias("w"), *([F.expr("if(true, place, null)").alias("place")] if placed else []))
     gathered = claims.groupBy("event_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    rows = published.join(gathered, "event_id", "left").withColumn("all", F.coalesce("all", F.expr("filter(array(named_struct('origin', '', 'seq', 0L, 'tier', '', 'kind', '', 'day', date'2000-01-01', 'live', false, 'runs', 0, 'weight', 0D, 'last_seen', date'2000-01-01', 'rank', 0, 'lineage', array(''), 'w', 0D)), x -> false)").cast(gathered.schema["all"].dataType)))
+    rows = published.join(gathered, "event_id", "left").withColumn("all", F.coalesce("all", F.expr(f"filter(array(named_struct('origin', '', 'seq', 0L, 'tier', '', 'kind', '', 'day', date'2000-01-01', 'live', false, 'runs', 0, 'weight', 0D, 'last_seen', date'2000-01-01', 'rank', 0, 'lineage', array(''), 'w', 0D{", 'place', null" if placed else ""})), x -> false)").cast(gathered.schema["all"].dataType)))
     step = lambda df, **c: df.withColumns({k: F.expr(v) for k, v in c.items()})
     rows = step(rows, dated="filter(all, c -> c.live and c.day is not null)", n_live="size(filter(all, c -> c.live))")
     rows = step(rows, eligible="filter(dated, c -> c.tier <> 'SPECULATIVE')")
@@ -80,7 +82,8 @@ def evaluate(claims: DataFrame, published: DataFrame, now: str, origins: list[tu
     )
     rows = step(rows, settled="if(action = 'PUBLISH', best.day, pub_day)")
     rows = step(rows, for_it=f"filter(all, c -> settled is null or c.day is null or {near('c.day', 'settled')})")
-    rows = step(rows, confidence=f"greatest(0D, least(1D, (1D - aggregate(for_it, 1D, (acc, c) -> acc * (1D - c.w))) * power({CONTRADICTION_FACTOR}D, size(all) - size(for_it))))")
+    factors = "array_sort(transform(for_it, c -> named_struct('place', c.place, 'w', c.w)))" if placed else "for_it"
+    rows = step(rows, confidence=f"greatest(0D, least(1D, (1D - aggregate({factors}, 1D, (acc, c) -> acc * (1D - c.w))) * power({CONTRADICTION_FACTOR}D, size(all) - size(for_it))))")
     scored = f"case when exists(for_it, c -> c.tier = 'OFFICIAL') or confidence >= {CONFIRMED_AT} then 'CONFIRMED' when confidence >= {ANNOUNCED_AT} then 'ANNOUNCED' else 'RUMORED' end"
     rows = step(rows, scored=scored)
     rows = step(

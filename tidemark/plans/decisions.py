@@ -15,8 +15,8 @@ NOW = "1998-06-01"
 
 
 def gate_inputs(spark, sf_dir, schedule: bool = False):
-    claims = d.claims(spark, sf_dir).select(
-        "event_id", "origin", "tier", F.lit("EXACT").alias("kind"), F.col("claim_date").alias("day"), "live", "runs", "weight", F.col("claim_date").alias("last_seen"), (F.col("run").cast("bigint") * 1_000_000_000 + F.col("ref")).alias("seq")
+    claims = d.placed_claims(spark, sf_dir).select(
+        "place", "event_id", "origin", "tier", F.lit("EXACT").alias("kind"), F.col("claim_date").alias("day"), "live", "runs", "weight", F.col("claim_date").alias("last_seen"), (F.col("run").cast("bigint") * 1_000_000_000 + F.col("ref")).alias("seq")
     )
     known = F.col("event_id") % 3 != 0
     window = F.col("kind") == "WINDOW"
