@@ -29,12 +29,12 @@ def _product(factors):
     return 1 - out
 
 
-#: Weights of a COMMUNITY, an OFFICIAL and another COMMUNITY claim, whose product hangs on the order.
-WEIGHTS = [("COMMUNITY", 1.0), ("OFFICIAL", 1 - 0.07), ("COMMUNITY", 0.99)]
+#: Weights of three claims whose product hangs on the order.
+WEIGHTS = [("RETAILER", 0.95), ("COMMUNITY", 0.9), ("OFFICIAL", 0.95)]
 
 
 def _orders():
-    rate = {"COMMUNITY": 0.45, "OFFICIAL": 1.0}
+    rate = {"RETAILER": 0.7, "COMMUNITY": 0.45, "OFFICIAL": 1.0}
     want = {}
     for k, order in enumerate(permutations(range(3))):
         want[k] = order, _product(1 - WEIGHTS[i][1] * rate[WEIGHTS[i][0]] for i in order)
@@ -52,7 +52,7 @@ def test_noisy_or_multiplies_in_the_order_of_the_table(spark):
 
 def test_the_gate_multiplies_in_the_order_of_the_table(spark):
     want = _orders()
-    names = ["wikipedia", "bandai", "scryfall"]
+    names = ["tcgplayer", "wikipedia", "bandai"]
     rows = [((f"{order.index(i)}", order.index(i)), e, names[i], WEIGHTS[i][0], "EXACT", date(2026, 6, 1), True, 1, WEIGHTS[i][1], date(2026, 6, 1), i) for e, (order, _) in want.items() for i in (2, 0, 1)]
     df = spark.createDataFrame(rows, "place struct<file: string, row: long>, event_id int, origin string, tier string, kind string, day date, live boolean, runs int, weight double, last_seen date, seq long").repartition(5)
     published = spark.createDataFrame([(e, None, None, None, None, None) for e in [*want, 99]], "event_id int, pub_kind string, pub_day date, pub_end date, pub_status string, expected array<date>")
