@@ -6,6 +6,7 @@ from itertools import permutations
 from pyspark.sql import functions as F
 
 from tidemark.operators import calendar, claims, gate
+from tidemark.sources import mappers, payloads
 
 
 def test_recipients_are_counted_once_without_pairs_of_events_and_subscribers(spark):
@@ -58,3 +59,16 @@ def test_the_gate_multiplies_in_the_order_of_the_table(spark):
     published = spark.createDataFrame([(e, None, None, None, None, None) for e in [*want, 99]], "event_id int, pub_kind string, pub_day date, pub_end date, pub_status string, expected array<date>")
     got = {r.event_id: r.confidence for r in gate.evaluate(df, published, "2026-05-20").collect()}
     assert got == {e: c for e, (_, c) in want.items()} | {99: 0.0}
+
+
+def test_payloads_are_taken_apart_as_a_stream(spark):
+    """Values, several to a row and none; the steps are streams and no functions of whole batches."""
+    rows = spark.range(100).coalesce(1).select("id", F.concat(F.lit("x"), F.col("id").cast("string")).alias("text"))
+    sizes = payloads.streamed(rows, "text", "n", "int", len)
+    assert {r.id: r.n for r in sizes.collect()} == {k: 1 + len(str(k)) for k in range(100)}
+    each = payloads.streamed(rows, "text", "c", "string", list, many=True)
+    assert sorted((r.id, r.c) for r in each.collect()) == sorted((k, c) for k in range(100) for c in f"x{k}")
+    plan = mappers.blocks(rows, "text", ".row", [".name"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "PythonUDF" not in plan
+    for out in (payloads.pack(rows, "text"), payloads.unpacked(payloads.pack(rows, "text"))):
+        assert "PythonUDF" not in out._jdf.queryExecution().optimizedPlan().toString()

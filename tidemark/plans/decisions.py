@@ -262,7 +262,7 @@ def replay_inputs(spark, sf_dir):
     schema = "array<struct<candidate_id: string, origin: string, name: string, code: string, external_ids: map<string,string>>>"
 
     def parse(rows):
-        items = rows.withColumn("text", payloads.gunzip(F.col("body"))).select("game", F.explode(F.from_json("text", schema)).alias("c")).select("game", "c.*")
+        items = payloads.unpacked(rows.select("game", "body")).select("game", F.explode(F.from_json("text", schema)).alias("c")).select("game", "c.*")
         day = F.expr("date_add(date'2024-01-01', cast(cast(candidate_id as bigint) % 300 as int))")
         return items.withColumns({"type": F.lit("SHELF"), "region": F.lit("GLOBAL"), "day": day})
 

@@ -28,8 +28,10 @@ _PART = "set_id div 500 AS part"
 
 
 def _pages(rows, item, *keys):
-    """Pages of each install's items, so many to a page as a payload has."""
-    return rows.groupBy("install_id", "fetched", F.expr(_PART), *keys).agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</body></html>")).alias("html"))
+    """Pages of each install's items, so many to a page as a payload has. The number of partitions is fixed: short rows make long pages."""
+    keys = ["install_id", "fetched", F.expr(_PART), *keys]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).groupBy(*keys).agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</body></html>")).alias("html"))
 
 
 def _body(rows, item, name):
@@ -300,7 +302,7 @@ def provider_payloads(spark, sf_dir):
     """Stored pages through a data source of their own, unpacked again."""
     spark.dataSource.register(connector.StoredPages)
     rows = spark.read.format("stored_pages").option("path", f"{sf_dir}/pages.parquet").load()
-    return rows.select("page_id", "provider", "sha256", F.length(payloads.gunzip(F.col("body"))).cast("bigint").alias("chars"))
+    return payloads.unpacked(rows.select("page_id", "provider", "sha256", "body")).select("page_id", "provider", "sha256", F.length("text").cast("bigint").alias("chars"))
 
 
 @query("provider_candidates", f"SELECT page_id, nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '') AS name FROM pages WHERE {_PROVIDER} = 'example.net'")

@@ -82,8 +82,8 @@ def payload_hash_skip(spark, sf_dir):
 
 @query("payload_round_trip", "SELECT page_id, sha256(html) AS sha256, length(html) AS chars FROM pages")
 def payload_round_trip(spark, sf_dir):
-    packed = payloads.pack(d.read(spark, sf_dir, "pages"), "html")
-    return packed.withColumn("text", payloads.gunzip(F.col("body"))).select("page_id", "sha256", F.length("text").cast("bigint").alias("chars"))
+    packed = payloads.pack(d.read(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    return payloads.unpacked(packed.select("page_id", "sha256", "body")).select("page_id", "sha256", F.length("text").cast("bigint").alias("chars"))
 
 
 @query("rss_items", "SELECT doc_id, 'T' || doc_id AS title, 'https://news.example/' || source || '/' || doc_id AS link, CASE WHEN doc_id % 3 = 0 THEN '2024-05-01' ELSE '2024-06-02' END AS published FROM documents", days=("published",))

@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.dates import day_of, parsed
 from tidemark.functions.text import folded_space, last_segment
+from tidemark.sources.payloads import streamed
 from tidemark.schema import CARD_GENRES, CARD_POOL_GAMES, CARD_POOL_NAME, COMPANION_TYPES, FORWARD_WINDOW_DAYS, NUMBERED_SET, PARENTED_GAME, PARENTED_NAME
 
 
@@ -121,21 +120,20 @@ class _Blocks(HTMLParser):
             text.append(data)
 
 
-def blocks(html: Column, block: str, fields: list[str]) -> Column:
-    """array of (attrs, texts) for the blocks of a page. Spark has no HTML parser."""
+_BLOCK = "struct<attrs: map<string, string>, texts: map<string, array<string>>>"
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("texts", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])))
-    def found(pages: pd.Series) -> pd.Series:
-        def one(page: str | None) -> list[dict]:
-            parser = _Blocks(block, fields)
-            parser.feed(page or "")
-            for tag in reversed(list(parser.stack)):
-                parser.handle_endtag(tag)
-            return parser.done
 
-        return pages.map(one)
+def blocks(pages: DataFrame, html: str, block: str, fields: list[str]) -> DataFrame:
+    """The pages' other columns and `b`, a struct of attrs and texts, for each block of a page. Spark has no HTML parser."""
 
-    return found(html)
+    def found(page: str | None) -> list[dict]:
+        parser = _Blocks(block, fields)
+        parser.feed(page or "")
+        for tag in reversed(list(parser.stack)):
+            parser.handle_endtag(tag)
+        return [{k: list(v.items()) for k, v in b.items()} for b in parser.done]
+
+    return streamed(pages, html, "b", _BLOCK, found, many=True)
 
 
 def _text(field: str) -> Column:
@@ -147,7 +145,7 @@ BRACKETED = r"\[([^\]]{1,16})\]\s*$"
 
 def product_blocks(pages: DataFrame, html: str, fetched: str) -> DataFrame:
     """Product blocks with title, date and perhaps a number of their own. What has no code is an accessory; a block that a carousel repeats counts once."""
-    rows = pages.select(fetched, F.explode(blocks(F.col(html), ".product", [".title", ".date", ".number"])).alias("b"))
+    rows = blocks(pages.select(fetched, html), html, ".product", [".title", ".date", ".number"])
     number = F.nullif(F.regexp_extract(_text(".number"), r"\[([^\]]{1,16})\]", 1), F.lit(""))
     title = _text(".title")
     rows = rows.withColumns({"title": title, "code": F.trim(F.coalesce(number, F.nullif(F.regexp_extract(title, BRACKETED, 1), F.lit("")))), "said": F.regexp_replace(_text(".date"), r",(\S)", ", $1"), "slug": last_segment(F.concat(F.lit("https://x"), F.col("b.attrs")["href"]))})
@@ -158,7 +156,7 @@ def product_blocks(pages: DataFrame, html: str, fetched: str) -> DataFrame:
 
 def labelled_rows(pages: DataFrame, html: str, fetched: str) -> DataFrame:
     """Rows whose date has the label of a release. The written text counts, not a machine-readable attribute, which would make a month a day."""
-    rows = pages.select(fetched, F.explode(blocks(F.col(html), ".row", [".name", ".head", "time"])).alias("b"))
+    rows = blocks(pages.select(fetched, html), html, ".row", [".name", ".head", "time"])
     rows = rows.where((F.lower(_text(".head")) == "release date") & _text("time").isNotNull()).select(fetched, _text(".name").alias("title"), _text("time").alias("said"))
     rows = rows.withColumn("code", F.trim(F.nullif(F.regexp_extract("title", BRACKETED, 1), F.lit("")))).where("code IS NOT NULL").withColumn("name", F.trim(F.regexp_replace("title", BRACKETED, "")))
     dated = parsed(rows, F.col("said")).where("kind <> 'TBD'").withColumn("day", F.coalesce("date_exact", "window_start"))
@@ -167,7 +165,7 @@ def labelled_rows(pages: DataFrame, html: str, fetched: str) -> DataFrame:
 
 def article_rows(pages: DataFrame, html: str, fetched: str, prefix: str) -> DataFrame:
     """Articles of card genres with a release date and perhaps a prerelease date: a row for each known day."""
-    rows = pages.select(fetched, F.explode(blocks(F.col(html), "article", [".genre", ".product-name", "dt", "dd"])).alias("b"))
+    rows = blocks(pages.select(fetched, html), html, "article", [".genre", ".product-name", "dt", "dd"])
     genre = F.regexp_extract(_text(".genre@class"), r"genre-(\w+)", 1)
     labels = F.transform(F.coalesce(F.col("b.texts")["dt"], F.array()), lambda x: F.lower(x))
     value = lambda pattern: F.try_element_at(F.transform(F.filter(F.arrays_zip(labels.alias("dt"), F.coalesce(F.col("b.texts")["dd"], F.array()).alias("dd")), lambda p: p["dt"].rlike(pattern)), lambda p: p["dd"]), F.lit(1))
@@ -188,7 +186,7 @@ def path_key(href: Column) -> Column:
 
 def announced(index: DataFrame, html: str, tags: list[str]) -> DataFrame:
     """Rows of an index page with one of the tags: key of the detail page, the second line of the title if there are two, and the date's text."""
-    rows = index.select(F.explode(blocks(F.col(html), ".item", [".line", ".when"])).alias("b"))
+    rows = blocks(index.select(html), html, ".item", [".line", ".when"])
     own = F.transform(F.split(F.coalesce(F.col("b.attrs")["data-tags"], F.lit("")), ","), lambda t: F.lower(F.trim(t)))
     lines = F.filter(F.coalesce(F.col("b.texts")[".line"], F.array()), lambda x: x != "")
     name = F.coalesce(F.try_element_at(lines, F.lit(2)), F.try_element_at(lines, F.lit(1)))

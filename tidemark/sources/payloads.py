@@ -3,37 +3,67 @@
 from __future__ import annotations
 
 import gzip
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.dates import parsed
 
 
-@F.pandas_udf(T.BinaryType())
-def gzipped(text: pd.Series) -> pd.Series:
+#: Payloads that a task holds taken apart at a time: a batch of Spark's is many, and pages are long.
+STEP = 16
+
+
+def streamed(rows: DataFrame, column: str, out: str, schema: str, each: Callable[[str | bytes | None], object], many: bool = False) -> DataFrame:
+    """The rows without `column` and with `out`, of a type: what `each` makes of the column's value; with `many`, a row for each element of the list it makes.
+
+    A few payloads at a time are taken apart and handed on, so a task's memory doesn't grow with the number of payloads or of what is in them.
+    """
+    kept = [f for f in rows.schema.fields if f.name not in (column, out)]
+    types = T.StructType([*kept, T.StructField(out, T.DataType.fromDDL(schema))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_schema(types).field(out).type
+        for batch in (b.slice(k, STEP) for b in batches for k in range(0, b.num_rows, STEP)):
+            made = [each(v) for v in batch.column(column).to_pylist()]
+            others = pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept], [f.name for f in kept]) if kept else None
+            if many:
+                times = [len(m) for m in made]
+                made = [x for m in made for x in m]
+                at = pa.array(np.repeat(np.arange(len(times)), times))
+                others = others and others.take(at)
+            yield pa.RecordBatch.from_arrays([*(others.columns if others else []), pa.array(made, kind)], types.fieldNames())
+
+    return rows.select(*[f.name for f in kept], column).mapInArrow(run, types)
+
+
+def gzipped(text: str | None) -> bytes | None:
     """Spark has no gzip function."""
-    return text.map(lambda t: None if t is None else gzip.compress(t.encode(), mtime=0))
+    return None if text is None else gzip.compress(text.encode(), mtime=0)
 
 
-@F.pandas_udf(T.StringType())
-def gunzip(body: pd.Series) -> pd.Series:
+def gunzip(body: bytes | None) -> str | None:
     """The text of a gzipped body; null where it is none, so that one bad payload makes a row and not a failure."""
+    try:
+        return None if body is None else gzip.decompress(body).decode()
+    except (OSError, EOFError, UnicodeDecodeError):
+        return None
 
-    def text(b: bytes | None) -> str | None:
-        try:
-            return None if b is None else gzip.decompress(b).decode()
-        except (OSError, EOFError, UnicodeDecodeError):
-            return None
 
-    return body.map(text)
+def unpacked(payloads: DataFrame) -> DataFrame:
+    """The payloads with `text` instead of `body`."""
+    return streamed(payloads, "body", "text", "string", gunzip)
 
 
 def pack(rows: DataFrame, column: str) -> DataFrame:
-    return rows.withColumn("sha256", F.sha2(column, 256)).withColumn("body", gzipped(F.col(column))).withColumn("body_length", F.octet_length("body")).drop(column)
+    return streamed(rows.withColumn("sha256", F.sha2(column, 256)), column, "body", "binary", gzipped).withColumn("body_length", F.octet_length("body"))
 
 
 def changed(payloads: DataFrame, known: DataFrame) -> DataFrame:
@@ -43,7 +73,7 @@ def changed(payloads: DataFrame, known: DataFrame) -> DataFrame:
 
 def decode(payloads: DataFrame) -> DataFrame:
     """Payloads with `text`, and `error` where the body is no gzip or no JSON."""
-    rows = payloads.withColumn("text", gunzip(F.col("body")))
+    rows = streamed(payloads.withColumn("_body", F.col("body")), "_body", "text", "string", gunzip)
     error = F.when(F.col("body").isNotNull() & F.col("text").isNull(), "body.gunzip").when(F.col("text").isNotNull() & F.expr("try_parse_json(text)").isNull(), "body.json")
     return rows.withColumn("error", error)
 
