@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -85,24 +86,29 @@ class _Reader(DataSourceReader):
         pieces = ds.dataset(self.path, format="parquet").get_fragments()
         return [_Group(f.path, g.id) for f in pieces for g in f.row_groups] or [_Group("", 0)]
 
-    def read(self, partition: _Group) -> Iterator[tuple]:
+    def read(self, partition: _Group) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         if not partition.file:
             return
         system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+        kinds = pa.schema([("page_id", pa.int64()), ("provider", pa.string()), ("url", pa.string()), ("body", pa.binary()), ("sha256", pa.string())])
         with system.open_input_file(partition.file) as file:
-            for batch in pq.ParquetFile(file).iter_batches(256, row_groups=[partition.group], columns=["page_id", "url", "html"]):
+            # a row group is read piece by piece, not a column at once
+            for batch in pq.ParquetFile(file, buffer_size=1 << 20, pre_buffer=False).iter_batches(256, row_groups=[partition.group], columns=["page_id", "url", "html"]):
+                rows = []
                 for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     provider = ".".join((urlsplit(url or "").hostname or "").split(".")[-2:])
                     if self.provider in (None, provider):
                         raw = (html or "").encode("utf-8", "surrogatepass")
-                        yield page, provider, url, gzip.compress(raw, 1, mtime=0), hashlib.sha256(raw).hexdigest()
+                        rows.append((page, provider, url, gzip.compress(raw, 1, mtime=0), hashlib.sha256(raw).hexdigest()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
 
 
 def titles(payloads: DataFrame) -> DataFrame:
     """page_id, name: what a page calls itself, for providers without a mapper of their own."""
-    from tidemark.sources.payloads import gunzip
+    from tidemark.sources.payloads import unpacked
 
-    return payloads.select("page_id", F.nullif(F.regexp_extract(gunzip(F.col("body")), "(?is)<title>(.*?)</title>", 1), F.lit("")).alias("name"))
+    return unpacked(payloads.select("page_id", "body")).select("page_id", F.nullif(F.regexp_extract("text", "(?is)<title>(.*?)</title>", 1), F.lit("")).alias("name"))
