@@ -133,7 +133,9 @@ def run_streaks(spark, sf_dir):
     FROM (SELECT event_id, origin, run, max(claim_date) AS claim_date FROM claims GROUP BY ALL) WINDOW w AS (PARTITION BY event_id, origin ORDER BY run DESC)) GROUP BY event_id, origin""",
 )
 def claim_streaks(spark, sf_dir):
-    per_run = d.claims(spark, sf_dir).groupBy("event_id", "origin", "run").agg(F.max("claim_date").alias("claim_date"))
+    # one shuffle serves both steps; its partitions stay small, since Spark doesn't put those of a fixed number together
+    rows = d.claims(spark, sf_dir).select("event_id", "origin", "run", "claim_date").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id", "origin")
+    per_run = rows.groupBy("event_id", "origin", "run").agg(F.max("claim_date").alias("claim_date"))
     return streaks(per_run, ["event_id", "origin"], [F.col("run").desc()], "claim_date")
 
 
