@@ -5,7 +5,8 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import calendar, claims, gate
+from tidemark.operators import calendar, claims, gate, identity
+from tidemark.plans.registry import QUERIES
 from tidemark.sources import mappers, payloads
 
 
@@ -72,3 +73,16 @@ def test_payloads_are_taken_apart_as_a_stream(spark):
     assert "MapInArrow" in plan and "PythonUDF" not in plan
     for out in (payloads.pack(rows, "text"), payloads.unpacked(payloads.pack(rows, "text"))):
         assert "PythonUDF" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claim_streaks_shuffle_once(spark, sf):
+    text = QUERIES["claim_streaks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_names_meet_sets_by_classes_and_not_by_candidates(spark):
+    """Candidates that share a name and a code are matched once; each still gets the set, a repeated id the best of its rows, and a missing code vetoes nothing."""
+    sets = spark.createDataFrame([("s1", "g", "Dark Tide Storm", "AB1", False, 2), ("s2", "g", "Dark Tide Storm", None, False, 1), ("s3", "g", "Dark Tide Storm", "CD2", False, 0)], "set_id string, game string, name string, code string, synthetic boolean, created long")
+    rows = [(f"a{k}", "g", "Dark Tide Storm", "AB1") for k in range(5)] + [(f"n{k}", "g", "Dark Tide Storm", None) for k in range(5)] + [("a0", "g", "Dark Tide Storm", None), ("x", "g", "Dark Tide Storm", "EF3"), ("y", "h", "Dark Tide Storm", None)]
+    got = {r.candidate_id: (r.set_id, r.score) for r in identity.by_name(spark.createDataFrame(rows, "candidate_id string, game string, name string, code string"), sets).collect()}
+    assert got == {"a0": ("s3", 1.0), **{f"a{k}": ("s2", 1.0) for k in range(1, 5)}, **{f"n{k}": ("s3", 1.0) for k in range(5)}, "x": ("s2", 1.0)}

@@ -126,10 +126,16 @@ def by_name(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     b = _named(sets).withColumn("c", code_key(F.col("name"), F.col("code"), F.col("synthetic"))).groupBy("game", "name", "c").agg(F.min(F.struct("created", "set_id")).alias("first"))
     # Names repeat: each pair of different spellings is scored once, then candidates and sets join it.
     scored = name_pairs(a.select("game", "name").distinct(), b.select("game", "name").distinct())
-    met = a.alias("a").join(scored.alias("s"), F.expr("a.game = s.game AND a.name = s.x")).join(b.alias("b"), F.expr("s.game = b.game AND s.y = b.name"))
+    # So do candidates' names with their codes: the best set is found once for each such class, and candidates join that.
+    classes = a.select("game", "name", "c").distinct().alias("a")
+    met = classes.join(scored.alias("s"), F.expr("a.game = s.game AND a.name = s.x")).join(b.alias("b"), F.expr("s.game = b.game AND s.y = b.name"))
     no_veto = F.col("a.c").isNull() | F.col("b.c").isNull() | (F.col("a.c") == F.col("b.c"))
-    best = met.where(no_veto).groupBy("a.candidate_id").agg(F.min(F.struct(-F.col("s.score"), "b.first")).alias("m"))
-    return best.select("candidate_id", F.col("m.first.set_id").alias("set_id"), (-F.col("m")["col1"]).alias("score"))
+    best = met.where(no_veto).groupBy("a.game", "a.name", "a.c").agg(F.min(F.struct(-F.col("s.score"), "b.first")).alias("m"))
+    # short rows: the number of partitions is fixed, so that Spark doesn't put them together by their size
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = a.select("candidate_id", "game", "name", "c").alias("a").join(best.alias("m"), F.expr("a.game = m.game AND a.name = m.name AND a.c <=> m.c"))
+    own = rows.select("candidate_id", "m.m").repartition(parts, "candidate_id").groupBy("candidate_id").agg(F.min("m").alias("m"))
+    return own.select("candidate_id", F.col("m.first.set_id").alias("set_id"), (-F.col("m")["col1"]).alias("score"))
 
 
 def resolve(candidates: DataFrame, sets: DataFrame, identities: DataFrame) -> DataFrame:
