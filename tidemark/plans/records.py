@@ -238,6 +238,7 @@ def shelf_first(spark, sf_dir):
 def verdict_reviews(spark, sf_dir):
     """The review queue from real verdicts of all events: each live claim of a flagged event with its index."""
     claims, published = gate_inputs(spark, sf_dir)
+    claims = claims.drop("place")  # no weight counts here
     flagged = evaluate(claims, published, NOW).where("action = 'FLAG'").select("event_id", "reason")
     entries = claims.where("live").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("origin", "seq", "day"))).alias("claims"))
     return flagged.join(entries, "event_id").select("event_id", "reason", F.posexplode("claims").alias("place", "c")).select("event_id", "reason", "place", "c.origin", "c.day")
