@@ -100,6 +100,17 @@ def test_neighbours_share_shards(spark, make):
     assert found / 500 > 0.4  # a twentieth by chance
 
 
+def test_shards_are_cut_by_the_counts_of_all_documents(make):
+    """Six thousand documents of six words: with shards of 100 rows, all shards have documents and none has many more than others."""
+    rnd = random.Random(4)
+    words = [f"{a}{b}{c}" for a in "bcdfgklmnprstvz" for b in "aeiou" for c in "bdgklmnprst"]
+    texts = [" ".join(rnd.sample(words, 6)) for _ in range(6000)]
+    rows = packing.pack_documents(make(*texts), shard_rows=100).collect()
+    shard = {r.doc_id: r.sequence_id >> 40 for r in rows}
+    sizes = sorted(Counter(shard.values()).values())
+    assert len(sizes) == 60 and sizes[0] >= 50, sizes
+
+
 def test_neighbours_are_by_bm25():
     rnd = np.random.default_rng(2)
     pieces = [np.concatenate([rnd.integers(100 * k, 100 * k + 40, 50) for _ in range(2)]).astype(np.uint32) for k in (0, 1, 2, 0, 1, 2)]

@@ -2,8 +2,7 @@
 
 Texts are tokenized once, and dealt to shards by content: a document's key is its first term in a random order that favours rare terms (a min-hash weighted by
 inverse document frequency), then its second and third, and shards are cut from the documents in the order of their keys, a key of very many documents into several. So
-documents that share their telling terms often share a shard. The order, and how much room a first term gets, come from a sample of SAMPLE to 2 * SAMPLE documents; a shard may be
-larger or smaller for that, nothing else depends on it. Each shard holds its documents' tokens in a BM25 inverted index, with
+documents that share their telling terms often share a shard. The order, and how much room a first term gets, are counted over all documents: the ids are written once and read again for that. Each shard holds its documents' tokens in a BM25 inverted index, with
 the document frequencies and the mean length of all pieces of all documents.
 The longest unused piece seeds a window; the index returns its unused neighbours by score, and they fill the window
 greedily, whole if they fit. When none fits, the best neighbour is cut to fill the window exactly, and its rest stays
@@ -36,7 +35,6 @@ SHARD_ROWS = 1536
 SHARD_TOKENS, SHARD_EXCESS = 6_000_000, 4
 #: The part of a first term's shards over which documents of one key are spread.
 SPREAD = 0.3
-SAMPLE = 2_000
 #: Neighbours that are sorted before the others.
 BEST = 64
 #: Rows that a task holds as Python objects at a time.
@@ -166,7 +164,7 @@ def pack(lengths: list[int], tokens: list[np.ndarray], window: int = WINDOW, sta
     return out
 
 
-TOKENS = "shard int, at double, doc_id long, th long, n int, ids binary, term int, pieces long"
+TOKENS = "doc_id long, th long, n int, ids binary, term int, pieces long"
 #: Rows of the terms' counts that hold the number of pieces and of their tokens.
 ALL, LENGTH = -1, -2
 
@@ -175,78 +173,93 @@ def _unpacked(n: int, ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
-def _tokenized(tokenizer_path: str | None, window: int, keys: Keys | None, begins: np.ndarray | None, shards: int):
-    """Each document's ids, with its shard and place there if keys are given, and at a task's end in how many of its pieces each term is. Documents that share all
-    their key, or have less than two terms in it, are spread by a hash."""
+def _tokenized(tokenizer_path: str | None, window: int):
+    """Each document's ids, and at a task's end in how many of its pieces each term is."""
     names = [x.split()[0] for x in TOKENS.split(", ")]
-    share = lambda x: mix(x).astype(np.float64) / 2.0**64
-
-    def dealt(key: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = share(th)
-        place = np.where(key[:, 1] == keys.none, own, (1 - SPREAD) * share((key[:, 1] << 20 | key[:, 2]).astype(np.uint64)) + SPREAD * own)
-        at = begins[key[:, 0]] + place * (begins[key[:, 0] + 1] - begins[key[:, 0]])
-        return np.minimum((at * shards).astype(np.int32), shards - 1), at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordTokens.load(tokenizer_path)
         kind = np.dtype("<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         df, pieces, length = np.zeros(max(encoder.tokenizer.get_vocab_size(), END + 1), np.int64), 0, 0
         for batch in (b.slice(a, STEP) for b in batches for a in range(0, b.num_rows, STEP)):
-            n, packed, found = [], [], []
+            n, packed = [], []
             for ids in encoder.encode(batch.column("text").to_pylist(), END):
                 ids = ids.astype(kind)
                 n.append(len(ids))
                 packed.append(ids.tobytes())
                 rest = len(ids) % window
-                x, _ = counted(ids[len(ids) - rest :])
-                df[x] += 1
+                df[counted(ids[len(ids) - rest :])[0]] += 1
                 pieces, length = pieces + (rest > 0), length + rest
-                if keys:
-                    found.append(keys.first_three(x))
-            shard, at = dealt(np.array(found, np.int64).reshape(-1, 3), batch.column("th").to_numpy().view(np.uint64)) if keys else (np.zeros(len(n), np.int32), np.zeros(len(n)))
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(at), batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], names)
         term = np.flatnonzero(df)
         rows = np.r_[term, ALL, LENGTH], np.r_[df[term], pieces, length]
-        empty = [pa.nulls(len(rows[0]), t) for t in (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+        empty = [pa.nulls(len(rows[0]), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*empty, pa.array(rows[0].astype(np.int32)), pa.array(rows[1])], names)
 
     return run
 
 
 class Keys:
-    """The terms' random order, and each document's first three terms in it; terms that less than two pieces of the sample have are none."""
+    """The terms' random order, and each document's first three terms in it; terms that less than two pieces have are none."""
 
     def __init__(self, statistics: Statistics):
         draws = mix(np.arange(len(statistics.df), dtype=np.uint64)).astype(np.float64) / 2.0**64
         cost = np.where(statistics.df > 1, -np.log(draws + 1e-300) / np.maximum(statistics.idf, 1e-9), np.inf)
         order = np.argsort(cost, kind="stable")
         self.none = int((statistics.df > 1).sum())
-        self.rank = np.full(len(order) + 1, self.none, np.int64)  # the last place is for terms that the sample lacks
+        self.rank = np.full(len(order) + 1, self.none, np.int64)  # the last place is for terms that no piece has
         self.rank[order[: self.none]] = np.arange(self.none)
-        self.weight = np.r_[statistics.df[order][: self.none].astype(np.float64), 1.0]
 
-    def first_three(self, terms: np.ndarray) -> tuple[int, int, int]:
-        r = self.rank[np.minimum(terms, len(self.rank) - 1)]
-        if len(r) > 3:
-            r = np.partition(r, 2)[:3]
-        r = sorted(r.tolist()) + [self.none] * 3
-        return r[0], r[1], r[2]
+    def first_three(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """A row of three for each piece."""
+        out = np.full((len(pieces), 3), self.none, np.int64)
+        size = np.array([len(p) for p in pieces], np.int64)
+        some = np.flatnonzero(size)
+        if len(some):
+            r = self.rank[np.minimum(np.concatenate(pieces), len(self.rank) - 1)]
+            begin = np.cumsum(size[some]) - size[some]
+            for k in range(3):
+                out[some, k] = least = np.minimum.reduceat(r, begin)
+                r[r == np.repeat(least, size[some])] = self.none
+        return out
+
+    def begins(self, firsts: np.ndarray) -> np.ndarray:
+        """Where the documents of each first term begin, as a share of all."""
+        return np.r_[0.0, np.cumsum(firsts / max(1, firsts.sum()))]
 
-    def begins(self, sampled: dict[int, int]) -> np.ndarray:
-        """Where the documents of each first term begin, as a share of all: nine tenths by the sample, a tenth by the terms' frequencies."""
-        share = self.weight / self.weight.sum()
-        if sampled:
-            seen = np.zeros(len(share))
-            seen[list(sampled)] = list(sampled.values())
-            share = 0.1 * share + 0.9 * seen / seen.sum()
-        return np.r_[0.0, np.cumsum(share)]
+
+def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in (b.slice(a, STEP) for b in batches for a in range(0, b.num_rows, STEP)):
+        yield batch, [_unpacked(n, ids)[n - n % window :] for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True)]
 
 
 def _firsts(keys: Keys, window: int):
+    """How many of a task's documents have each first term."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms = (np.unique(_unpacked(n, ids)[n - n % window :]) for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([keys.first_three(x)[0] for x in terms], pa.int64())], ["first"])
+        counts = np.zeros(keys.none + 1, np.int64)
+        for _, pieces in _pieces(batches, window):
+            counts += np.bincount(keys.first_three(pieces)[:, 0], minlength=keys.none + 1)
+        first = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(counts[first])], ["first", "docs"])
+
+    return run
+
+
+DEALT = "shard int, at double, doc_id long, th long, n int, ids binary"
+
+
+def _dealt(keys: Keys, begins: np.ndarray, window: int, shards: int):
+    """The documents with their shard and place there. Those that share all their key, or have less than two terms in it, are spread by a hash."""
+    share = lambda x: mix(x).astype(np.float64) / 2.0**64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, pieces in _pieces(batches, window):
+            key, own = keys.first_three(pieces), share(batch.column("th").to_numpy().view(np.uint64))
+            place = np.where(key[:, 1] == keys.none, own, (1 - SPREAD) * share((key[:, 1] << 20 | key[:, 2]).astype(np.uint64)) + SPREAD * own)
+            at = begins[key[:, 0]] + place * (begins[key[:, 0] + 1] - begins[key[:, 0]])
+            shard = np.minimum((at * shards).astype(np.int32), shards - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(at), *[batch.column(c) for c in ("doc_id", "th", "n", "ids")]], ["shard", "at", "doc_id", "th", "n", "ids"])
 
     return run
 
@@ -263,17 +276,16 @@ def _statistics(tokens: DataFrame) -> Statistics:
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("th"), "text")
-    total = docs.count()
-    shards = max(1, -(-total // shard_rows))
-    bound = int(-(2**63) + min(1.0, SAMPLE / max(total, 1)) * 2**64)
-    some = texts.where(F.coalesce(F.xxhash64("doc_id") <= min(bound, 2**63 - 1), F.lit(True))).limit(2 * SAMPLE)
-    sample = materialise(some.mapInArrow(lean(_tokenized(tokenizer_path, window, None, None, 1), WordTokens.KEPT), TOKENS))
-    keys = Keys(_statistics(sample))
-    firsts = sample.where("ids IS NOT NULL").select("n", "ids").mapInArrow(lean(_firsts(keys, window), WordTokens.KEPT), "first long")
-    begins = keys.begins({r["first"]: r["count"] for r in firsts.groupBy("first").count().collect()})  # the vocabulary at most
-    tokens = materialise(texts.mapInArrow(lean(_tokenized(tokenizer_path, window, keys, begins, shards), WordTokens.KEPT), TOKENS), compressed=False)
+    shards = max(1, -(-docs.count() // shard_rows))
+    tokens = materialise(texts.mapInArrow(lean(_tokenized(tokenizer_path, window), WordTokens.KEPT), TOKENS), compressed=False)
     statistics = _statistics(tokens)
-    dealt = tokens.where("ids IS NOT NULL").select("shard", "at", "doc_id", "th", "n", "ids").repartitionById(shards, "shard").sortWithinPartitions("shard", "at", "doc_id", "th")
+    keys = Keys(statistics)
+    ids = tokens.where("ids IS NOT NULL").select("doc_id", "th", "n", "ids")
+    counts = ids.mapInArrow(lean(_firsts(keys, window)), "first long, docs long").groupBy("first").agg(F.sum("docs").alias("docs")).collect()  # the vocabulary at most
+    firsts = np.zeros(keys.none + 1, np.int64)
+    for r in counts:
+        firsts[r["first"]] = r["docs"]
+    dealt = ids.mapInArrow(lean(_dealt(keys, keys.begins(firsts), window, shards)), DEALT).repartitionById(shards, "shard").sortWithinPartitions("shard", "at", "doc_id", "th")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(shard: int, part: int, ids: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
