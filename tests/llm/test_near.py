@@ -270,6 +270,25 @@ def test_exact_passages_whose_seeds_are_all_frequent(make, length):
     assert all(30 <= r.start <= 30 + 1 and r.end - r.start >= length - 1 for r in found)
 
 
+@pytest.mark.parametrize("block", [8192, 5])
+def test_changed_passages_whose_seeds_are_all_frequent(make, monkeypatch, block):
+    """Twenty pairs of documents share a passage of which the second has every twelfth word changed; every slice of thirty words of both stands in ten others too, so that all seeds of the pair are led by those."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rnd = random.Random(77)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    own = lambda: [word() for _ in range(30)]
+    texts, wanted = [], set()
+    for _ in range(20):
+        passage = [word() for _ in range(60)]
+        copy = [word() if k % 12 == 6 else w for k, w in enumerate(passage)]
+        texts += [own() + p[at : at + 30] + own() for p in (passage, copy) for at in (0, 10, 20, 30) for _ in range(10)]
+        wanted.add((len(texts) + 1, len(texts)))
+        texts += [own() + p + own() for p in (passage, copy)]
+    found = passages.repeated_passages(make(*[" ".join(t) for t in texts])).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in found} == wanted
+    assert all(abs(r.start - 30) <= 1 and abs(r.end - 90) <= 1 for r in found)
+
+
 def test_passage_of_frequent_lines(make):
     """Ten lines are in all documents, in two documents in one order."""
     rnd = random.Random(13)

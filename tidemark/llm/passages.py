@@ -3,7 +3,8 @@
 Seeds are the words of SEED in a window of K words, one word left free, and whole windows of MIN_WORDS words; of the first every second one by its
 hash, of the others too, and those in which all short seeds are frequent in the task's group of documents. Seeds with one hash meet in a shard, where up to PAIRS occurrences are all paired up. More of them meet in the document that leads the seed, first within
 a task's group of documents and then among these leaders, so a frequent seed makes as many anchors as it has occurrences. Windows of MIN_WORDS
-words keep such stars whole: what meets in one is a passage. The anchors of a pair of documents are chained in order of both positions, by a Fenwick tree
+words keep such stars whole: what meets in one is a passage. What a star alone would lose is found by a second path: an occurrence of a frequent short seed that
+lies in no passage found so far meets all other occurrences of its seed, in blocks, by the words beside it (`_crossed`), and what can be in a passage with it is aligned too. The anchors of a pair of documents are chained in order of both positions, by a Fenwick tree
 over the second position that holds the best score so far, gap costs included. Chains of two anchors or more are aligned on the words
 themselves: equal diagonals word by word, small gaps by edit distance, ends by extension. An alignment of MIN_WORDS or
 more with a share of equal words of MIN_IDENTITY or more is a passage; of one with too few equal words, the stretches that have enough are.
@@ -37,6 +38,14 @@ MARGIN = 60
 #: A seed of up to so many occurrences pairs them all.
 PAIRS = 8
 GAP_COST = 0.2
+#: Words that a passage of MIN_WORDS may differ in, and words that it has beside a seed in it. Of these, one side has half or more; and all lie within FAR words of the other text's seed.
+DIFFER = MIN_WORDS - round(MIN_WORDS * MIN_IDENTITY)
+BESIDE = MIN_WORDS - K
+FAR = BESIDE + DIFFER
+#: Occurrences of a frequent seed are compared in blocks of at most about so many.
+BLOCK = 8192
+#: Occurrences, or copies of them for their cells, in a bucket.
+CELL_ROWS = 100_000
 SHARD_DOCS = 6144
 #: Documents and words that a task seeds together, and chains of a document that are cut out together.
 CHUNK_DOCS, CHUNK_WORDS, CUTS = 4096, 2_000_000, 256
@@ -136,12 +145,27 @@ def _unseen(hot: np.ndarray, h: np.ndarray, at: np.ndarray, slot: np.ndarray, re
     return np.flatnonzero(before[begin + MIN_WORDS - K + 1] == before[begin])
 
 
-SEEDED = f"shard int, ids binary, counts binary, sig binary, at binary, {ANCHORS}"
+#: Occurrences of frequent short seeds: the seed (shard and sig), the document, the position.
+FREQUENT = "seed binary, who binary, place binary"
+SEEDED = f"shard int, ids binary, counts binary, sig binary, at binary, led binary, {ANCHORS}, {FREQUENT}"
+
+
+def _empty(types: str, n: int) -> list[pa.Array]:
+    return [pa.nulls(n, pa.int32() if t.endswith(" int") else pa.binary()) for t in types.split(", ")]
+
+
+def _seed_keys(shard: np.ndarray | int, sig: np.ndarray) -> np.ndarray:
+    return (np.asarray(shard, np.int64) << 32) | sig.astype(np.uint32).astype(np.int64)
+
+
+def _frequent_rows(seed: np.ndarray, who: np.ndarray, at: np.ndarray) -> Iterator[list[pa.Array]]:
+    for k in range(0, len(seed), 100_000):
+        yield [pa.array([v[k : k + 100_000].astype(t).tobytes()], pa.binary()) for v, t in ((seed, np.int64), (who, np.int64), (at, np.int32))]
 
 
 def _seeded(shards: int):
-    """Seeds by shard: ids (the documents), counts (their seeds), sig, at. And, dealt to shards in turn, anchors of seeds that are frequent in
-    the task's group of documents; of those the leader's occurrences alone go on to the shard."""
+    """Seeds by shard: ids (the documents), counts (their seeds), sig, at, led (the short seeds that lead others of the task's group). And, dealt to shards in turn, anchors of seeds that are frequent in
+    the task's group of documents; of those the leader's occurrences alone go on to the shard, the others to the second path."""
     names = [x.split()[0] for x in SEEDED.split(", ")]
 
     def frequent(h: np.ndarray) -> np.ndarray:
@@ -153,6 +177,7 @@ def _seeded(shards: int):
         slot, rest_slot = (np.repeat(np.arange(len(ids)), [len(f[k]) for f in found]) for k in (0, 2))
         lengths = np.array([f[4] for f in found], np.int64)
         h, at, rest, rest_at = (np.concatenate([f[k] for f in found]) for k in range(4))
+        led = np.zeros(0, np.uint64)
         hot = frequent(h)
         if len(hot) and len(more := _unseen(hot, h, at, slot, rest_at, rest_slot, lengths)):
             h, at, slot = np.r_[h, rest[more]], np.r_[at, rest_at[more]], np.r_[slot, rest_slot[more]]
@@ -164,7 +189,13 @@ def _seeded(shards: int):
             many = many[np.lexsort((at[many], ids[slot[many]], h[many]))]
             x, y, follows = _ties(h[many], ids[slot[many]])
             anchors = _packed_anchors(h[many], ids[slot[many]], at[many], x, y, shards)
-            yield pa.RecordBatch.from_arrays([anchors[0], *[pa.nulls(len(anchors[0]), pa.binary())] * 4, *anchors], names)
+            n = len(anchors[0])
+            yield pa.RecordBatch.from_arrays([anchors[0], *[pa.nulls(n, pa.binary())] * 5, *anchors, *_empty(FREQUENT, n)], names)
+            led = hot[(hot & np.uint64(1)) == 0]
+            short = np.sort(many[follows & ((h[many] & np.uint64(1)) == 0)])
+            for k, row in enumerate(_frequent_rows(_seed_keys(shard_of(h[short], shards), h[short]), ids[slot[short]], at[short])):
+                turn = pa.array([(int(ids[0]) + k) % shards], pa.int32())
+                yield pa.RecordBatch.from_arrays([turn, *[pa.nulls(1, pa.binary())] * 5, turn, *_empty(ANCHORS, 1)[1:], *row], names)
             stays = np.ones(len(h), bool)
             stays[many[follows]] = False
             h, slot, at = h[stays], slot[stays], at[stays]
@@ -175,9 +206,13 @@ def _seeded(shards: int):
         each = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (slot[1:] != slot[:-1])])
         first = np.searchsorted(each, begin)
         small = at.astype(np.uint16 if at.max() < 1 << 16 else np.uint32)
-        n = len(begin)
-        none = [pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), blobs(ids[slot[each]], first), blobs(np.diff(np.r_[each, len(h)]).astype(np.uint32), first), blobs(h.astype(np.uint32), begin), blobs(small, begin), *none], names)
+        none = _empty(f"{ANCHORS}, {FREQUENT}", len(begin))
+        of = shard_of(led, shards)
+        led = led[np.argsort(of, kind="stable")].astype(np.uint32)
+        stops = np.searchsorted(np.sort(of), shard[begin])
+        stops = np.r_[stops, len(led)]
+        leads = pa.array([led[x:y].tobytes() or None for x, y in zip(stops[:-1], stops[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), blobs(ids[slot[each]], first), blobs(np.diff(np.r_[each, len(h)]).astype(np.uint32), first), blobs(h.astype(np.uint32), begin), blobs(small, begin), leads, *none], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, ids, found, held = Words(), [], [], 0
@@ -198,8 +233,8 @@ def _seeded(shards: int):
 
 
 def _anchors(shards: int):
-    """The anchors of a shard's seeds, and those that come with them."""
-    names = [x.split()[0] for x in ANCHORS.split(", ")]
+    """The anchors of a shard's seeds, and those that come with them. And the occurrences of seeds that are frequent here or in a task's group."""
+    names = [x.split()[0] for x in f"{ANCHORS}, {FREQUENT}".split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, lambda r: r["shard"]):
@@ -211,12 +246,14 @@ def _anchors(shards: int):
     def meet(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
+        shard = rows[0]["shard"]
+        led = np.unique(np.concatenate([np.frombuffer(r["led"] or b"", np.uint32) for r in rows]))
         sig = np.concatenate([np.frombuffer(r["sig"], np.uint32) for r in rows])
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         begin = starts_of(sig)
         width = np.diff(np.r_[begin, len(sig)])
-        several = np.repeat(width > 1, width)
+        several = np.repeat((width > 1) | np.isin(sig[begin], led), width)
         sig, some = sig[several], order[several]
         del order
         who = np.concatenate([np.repeat(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.uint32)) for r in rows])[some]
@@ -226,7 +263,13 @@ def _anchors(shards: int):
         sig, who, at = sig[order], who[order], at[order]
         x, y, _ = _ties(sig, who)
         for k in range(0, len(x), 1_000_000):
-            yield pa.RecordBatch.from_arrays(_packed_anchors(sig, who, at, x[k : k + 1_000_000], y[k : k + 1_000_000], shards), names)
+            anchors = _packed_anchors(sig, who, at, x[k : k + 1_000_000], y[k : k + 1_000_000], shards)
+            yield pa.RecordBatch.from_arrays([*anchors, *_empty(FREQUENT, len(anchors[0]))], names)
+        begin = starts_of(sig)
+        width = np.diff(np.r_[begin, len(sig)])
+        hot = np.flatnonzero(np.repeat((width > PAIRS) | np.isin(sig[begin], led), width) & ((sig & np.uint32(1)) == 0))
+        for row in _frequent_rows(_seed_keys(shard, sig[hot]), who[hot], at[hot]):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *_empty(ANCHORS, 1)[1:], *row], names)
 
     return run
 
@@ -281,11 +324,36 @@ def _thin(pair: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sort(order[head | np.r_[True, np.diff(step) != 0] | np.r_[head[1:], True]])
 
 
+CHAINS = "a long, b long, nth int, anchors binary"
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, nth and anchors (2 rows of starts) of the chains of two anchors or more."""
-    names, types = ["a", "b", "nth", "anchors"], (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    rows: list[tuple] = []
+    """The chains of two anchors or more, and the occurrences of frequent seeds as they come."""
+    none, kept = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())], [x.split()[0] for x in FREQUENT.split(", ")]
+    names = [*[x.split()[0] for x in CHAINS.split(", ")], *kept]
+
+    def anchors() -> Iterator[pa.RecordBatch]:
+        for found in _grouped(batches, lambda r: r["bucket"]):
+            for r in found:
+                if r["seed"] is not None:
+                    yield pa.RecordBatch.from_arrays([*none, *[pa.array([r[c]], pa.binary()) for c in kept]], names)
+            for made in _chained([r for r in found if r["seed"] is None], 2):
+                yield pa.RecordBatch.from_arrays([*made.columns, *_empty(FREQUENT, made.num_rows)], names)
+
+    return anchors()
+
+
+def _single_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chains of one anchor or more."""
     for found in _grouped(batches, lambda r: r["bucket"]):
+        yield from _chained(found, 1)
+
+
+def _chained(found: list[dict], least: int) -> Iterator[pa.RecordBatch]:
+    """a, b, nth and anchors (2 rows of starts) of the chains of `least` anchors or more."""
+    names, types = [x.split()[0] for x in CHAINS.split(", ")], (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    rows: list[tuple] = []
+    if found:
         a, b, x, y = (np.concatenate([np.frombuffer(r[c], t) for r in found]) for c, t in (("a", np.int64), ("b", np.int64), ("at_a", np.int32), ("at_b", np.int32)))
         found.clear()
         order = np.lexsort((y, x, b, a))
@@ -294,16 +362,16 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = new | np.r_[True, (np.diff(x) != 0) | (np.diff(y) != 0)]
         a, b, x, y, new = a[once], b[once], x[once], y[once], new[once]
         pair = np.cumsum(new) - 1
-        several = np.bincount(pair)[pair] > 1
+        several = np.bincount(pair)[pair] >= least
         a, b, x, y, pair = a[several], b[several], x[several], y[several], pair[several]
         if not len(a):
-            continue
+            return
         keep = _thin(pair, x, y)
         begin = starts_of(pair[keep])
         a, b, x, y = a[keep][begin].tolist(), b[keep][begin].tolist(), x[keep].tolist(), y[keep].tolist()
         for i, j, low, high in zip(a, b, begin.tolist(), [*begin[1:].tolist(), len(keep)], strict=True):
             for nth, links in enumerate(chain(x[low:high], y[low:high])):
-                if len(links) > 1:
+                if len(links) >= least:
                     rows.append((i, j, nth, np.array([[x[low + m] for m in links], [y[low + m] for m in links]], np.int32).tobytes()))
             if len(rows) > 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -312,6 +380,167 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
+def _beside(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each occurrence the FAR words after it and the FAR words before it, nearest first, as bytes from 1; 0 where the text has ended. A word that comes again is another one, so that what is shared counts as often as both have it."""
+    small = (words >> np.uint64(56)).astype(np.int16) % 255 + 1
+    small = np.r_[np.zeros(FAR, np.int16), small, np.zeros(FAR, np.int16)]
+    step = np.arange(FAR)
+    sides = []
+    for side in (small[FAR + at[:, None] + K + step], small[FAR + at[:, None] - 1 - step]):
+        times = np.stack([(side[:, :k] == side[:, k, None]).sum(axis=1) for k in range(FAR)], axis=1)
+        sides.append(np.where(side > 0, (side + 101 * times) % 255 + 1, 0).astype(np.uint8))
+    return np.concatenate(sides, axis=1)
+
+
+def _steps(seed: np.ndarray, at: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """How far before each occurrence the same seed stands in the text, up to K, else 0. Two occurrences of one step lie on the diagonal of those before them, which meet for them."""
+    order = np.lexsort((at, asks, seed))
+    far = np.diff(at[order])
+    same = (seed[order][1:] == seed[order][:-1]) & (asks[order][1:] == asks[order][:-1]) & (far > 0) & (far <= K)
+    out = np.zeros(len(at), np.uint8)
+    out[order[1:]] = np.where(same, far, 0)
+    return out
+
+
+CROSSED = "bucket int, cell binary, who binary, place binary, role binary, beside binary"
+
+
+def _dealt(buckets: int):
+    """The frequent seeds' occurrences with the words beside them, by bucket of their cells: a cell is a seed and two of its blocks. An occurrence asks (role 1) in the cells of its block's row and
+    answers (role 2) in those of its column; a seed of one block has one cell. The role's higher bits hold the step."""
+    names = [x.split()[0] for x in CROSSED.split(", ")]
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        seed, cls, at, asks, blocks, beside, steps = (np.concatenate([h[k] for h in held]) for k in range(7))
+        own = (mix(cls.astype(np.uint64), 6) % blocks.astype(np.uint64)).astype(np.int64)
+        parts = []
+        one = np.flatnonzero(blocks == 1)
+        parts.append((one, own[one], own[one], 2 + asks[one]))
+        for role, some in ((1, np.flatnonzero((blocks > 1) & asks)), (2, np.flatnonzero(blocks > 1))):
+            times = blocks[some]
+            each = np.repeat(some, times)
+            other = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+            parts.append((each, own[each] if role == 1 else other, other if role == 1 else own[each], np.full(len(each), role)))
+        row, i, j, role = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        cell = mix(mix(mix(seed[row].astype(np.uint64), 7) ^ i.astype(np.uint64), 8) ^ j.astype(np.uint64), 9)
+        bucket = shard_of(cell, buckets)
+        order = np.argsort(bucket, kind="stable")
+        begin = starts_of(bucket[order])
+        row = row[order]
+        sides = pa.array([beside[row[x:y]].tobytes() for x, y in zip(begin, np.r_[begin[1:], len(row)], strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order][begin].astype(np.int32)), blobs(cell[order], begin), blobs(cls[row], begin), blobs(at[row].astype(np.int32), begin), blobs((role[order] + 4 * steps[row]).astype(np.uint8), begin), sides], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, held, size = Words(), [], 0
+        for batch in batches:
+            spots, texts = batch.column("spots"), batch.column("text")
+            for k, cls in enumerate(batch.column("cls").to_pylist()):
+                flat = spots[k].values
+                seed, at, blocks = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("seed", "at", "blocks"))
+                asks = flat.field("open").to_numpy(zero_copy_only=False).astype(bool)
+                held.append((seed, np.full(len(seed), cls, np.int64), at, asks, blocks, _beside(make.of(texts[k].as_py()), at), _steps(seed, at, asks)))
+                size += int(np.where(blocks > 1, 2 * blocks, 1).sum())
+                if size >= 500_000:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _bits(beside: np.ndarray) -> np.ndarray:
+    """The bytes of each row as a set of 128 bits."""
+    bits = np.zeros((2, len(beside)), np.uint64)
+    for v in beside.T:
+        bit = np.where(v > 0, np.uint64(1) << (v & np.uint8(63)).astype(np.uint64), np.uint64(0))
+        high = (v & 64) > 0
+        bits[0] |= np.where(high, np.uint64(0), bit)
+        bits[1] |= np.where(high, bit, np.uint64(0))
+    return bits
+
+
+def _missing(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many of the nearest 0, 1, ... BESIDE words of each row of one side are not among the other's, DIFFER words further at most. Where a text has ended, too many."""
+    gone = np.zeros((len(own), BESIDE + 1), np.int16)
+    for k in range(BESIDE):
+        gone[:, k + 1] = np.where(own[:, k] == 0, DIFFER + 1, ~(other[:, : k + 1 + DIFFER] == own[:, k, None]).any(axis=1))
+    return np.cumsum(gone, axis=1, dtype=np.int16)
+
+
+def _alike(asking: np.ndarray, answering: np.ndarray, steps: tuple[np.ndarray, np.ndarray], both: bool, step: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the two whose words beside them allow a passage: of some BESIDE words around the seed all but DIFFER stand beside the other's. All are compared: first the nearer half of a side, then three quarters, as sets
+    of bits, which lose nothing, then all by their bytes. With `both`, what answers begins with what asks, and two that ask meet once."""
+    quarter, half, most = BESIDE // 4 + 1, BESIDE // 2, 3 * BESIDE // 4 + 1
+    # the other side of a half has a quarter's words at least, or the side itself has three quarters
+    assert half + quarter <= most and BESIDE - most + 1 >= quarter
+    sides = []
+    for low in (0, FAR):
+        a = {n: _bits(asking[:, low : low + n]) for n in (quarter, half, most)}
+        for n, bits in a.items():
+            bits[:, asking[:, low + n - 1] == 0] = ~np.uint64(0)  # too few words on this side
+        sides.append((a, ~_bits(answering[:, low : low + half + DIFFER]), ~_bits(answering[:, low : low + FAR])))
+    for first in range(0, len(asking), rows := max(1, step // max(1, len(answering)))):
+        skip = first if both else 0
+        may = np.zeros((len(asking[first : first + rows]), len(answering) - skip), bool)
+        for a, lacks, _ in sides:
+            few = np.bitwise_count(a[half][0, first : first + rows, None] & lacks[0, skip:])
+            few += np.bitwise_count(a[half][1, first : first + rows, None] & lacks[1, skip:])
+            may |= few <= DIFFER
+        own = steps[0][first : first + rows, None]
+        may &= (own == 0) | (own != steps[1][skip:])
+        x, y = np.nonzero(may)
+        x, y = x + first, y + skip
+        miss = [{n: np.bitwise_count(bits[:, x] & lacks[:, y]).sum(axis=0) for n, bits in a.items()} for a, _, lacks in sides]
+        right, left = miss
+        fits = (right[most] <= DIFFER) | (left[most] <= DIFFER) | (right[half] + left[quarter] <= DIFFER) | (left[half] + right[quarter] <= DIFFER)
+        x, y = x[fits], y[fits]
+        for k in range(0, len(x), 20_000):
+            p, q = x[k : k + 20_000], y[k : k + 20_000]
+            right, left = (_missing(asking[p, low : low + FAR], answering[q, low : low + FAR]) for low in (0, FAR))
+            fits = (right + left[:, ::-1]).min(axis=1) <= DIFFER
+            yield p[fits], q[fits]
+
+
+def _crossed(shards: int):
+    """Anchors between the occurrences that ask and those that answer in a cell, where the words beside them are alike."""
+    names = [x.split()[0] for x in ANCHORS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, lambda r: r["bucket"]):
+            cell, who, at, role, beside = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("cell", np.uint64), ("who", np.int64), ("place", np.int32), ("role", np.uint8), ("beside", np.uint8)))
+            rows.clear()
+            beside, role, steps = beside.reshape(-1, 2 * FAR), role & 3, role >> 2
+            order = np.argsort(cell, kind="stable")
+            begin = starts_of(cell[order])
+            left, right = [], []
+            for low, high in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+                mine = order[low:high]
+                both = bool((role[mine] == 3).any())
+                mine = mine[np.argsort(-(role[mine] & 1).astype(np.int8), kind="stable")]
+                asking, answering = mine[role[mine] & 1 > 0], mine[role[mine] & 2 > 0]
+                if not len(asking) or not len(answering):
+                    continue
+                for x, y in _alike(beside[asking], beside[answering], (steps[asking], steps[answering]), both):
+                    x, y = asking[x], answering[y]
+                    other = who[x] != who[y]
+                    left.append(x[other])
+                    right.append(y[other])
+            if left and len(x := np.concatenate(left)):
+                y = np.concatenate(right)
+                for k in range(0, len(x), 1_000_000):
+                    yield pa.RecordBatch.from_arrays(_packed_anchors(np.zeros(len(who), np.uint64), who, at.astype(np.int64), x[k : k + 1_000_000], y[k : k + 1_000_000], shards), names)
+
+    return run
+
+
+def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each occurrence of a frequent seed."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], t)) for c, t in (("seed", np.int64), ("who", np.int64), ("place", np.int32))], ["seed", "cls", "at"])
+
+
 SLICES = "a long, b long, nth int, side int, doc_id long, low int, words binary, anchors binary"
 
 
@@ -419,15 +648,15 @@ def stretches(x: np.ndarray, y: np.ndarray, anchors: np.ndarray) -> list[tuple[i
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages of the chains whose two sides come one after the other. Rows that repeat make the sides come more than once: the first ones count."""
-    names = ["doc_id", "start", "end", "first_doc_id", "first_start", "first_end", "words", "identity"]
-    types = [*[pa.int64()] * 7, pa.float64()]
+    names = ["doc_id", "start", "end", "first_doc_id", "first_start", "first_end", "words", "identity", "a", "b"]
+    types = [*[pa.int64()] * 7, pa.float64(), pa.int64(), pa.int64()]
     rows: list[tuple] = []
     for sides in _grouped(batches, lambda r: (r["a"], r["b"], r["nth"])):
         one, two = sides[0], next(r for r in sides if r["side"])
         anchors = np.frombuffer(one["anchors"], np.int32).reshape(2, -1) - np.array([[one["low"]], [two["low"]]], np.int32)
         for x0, x1, y0, y1, length, equal in stretches(np.frombuffer(one["words"], np.uint32), np.frombuffer(two["words"], np.uint32), anchors):
             if min(x1 - x0, y1 - y0) >= MIN_WORDS and equal >= MIN_IDENTITY * length:
-                rows.append((two["doc_id"], y0 + two["low"], y1 + two["low"], one["doc_id"], x0 + one["low"], x1 + one["low"], length, equal / length))
+                rows.append((two["doc_id"], y0 + two["low"], y1 + two["low"], one["doc_id"], x0 + one["low"], x1 + one["low"], length, equal / length, one["a"], one["b"]))
         if len(rows) > 4000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
             rows = []
@@ -447,19 +676,41 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         return _rows(docs).join(of.select("cls", "doc_id", "th").hint("merge"), ["doc_id", "th"]).select("cls", "text")
 
     seeded = texts(classes).mapInArrow(_seeded(shards), SEEDED)
-    anchors = seeded.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_anchors(shards), ANCHORS)
+    anchors = seeded.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_anchors(shards), f"{ANCHORS}, {FREQUENT}")
     pairs = anchors.repartitionById(shards, "bucket").sortWithinPartitions("bucket")
-    chains = materialise(pairs.mapInArrow(_chains, "a long, b long, nth int, anchors binary"))
-
-    asked = chains.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cls"), F.lit(1).alias("side")))).alias("s"), "a", "b", "nth", "anchors")
-    asked = asked.select("s.cls", "s.side", "a", "b", "nth", "anchors")
-    busy = materialise(asked.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / F.lit(CUTS)).alias("parts")).where("parts > 1"))
-    dealt = asked.join(busy, "cls", "left").withColumn("part", F.pmod(F.xxhash64("a", "b", "nth"), F.coalesce("parts", F.lit(1))))
-    wanted = dealt.groupBy("cls", "part").agg(F.collect_list(F.struct("a", "b", "nth", "side", "anchors")).alias("wanted"))
-    wanted = wanted.join(classes.select("cls", "doc_id", "th"), "cls").select("doc_id", "th", "wanted")
-    sides = _rows(docs).join(wanted.hint("merge"), ["doc_id", "th"]).select("doc_id", "text", "wanted").mapInArrow(_slices, SLICES)
-    found = sides.repartition("a", "b", "nth").sortWithinPartitions("a", "b", "nth", "side")
-    passages = found.mapInArrow(_aligned, "doc_id long, start long, end long, first_doc_id long, first_start long, first_end long, words long, identity double").distinct()
+    chains = materialise(pairs.mapInArrow(_chains, f"{CHAINS}, {FREQUENT}"))
+
+    def aligned(chains: DataFrame) -> DataFrame:
+        asked = chains.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cls"), F.lit(1).alias("side")))).alias("s"), "a", "b", "nth", "anchors")
+        asked = asked.select("s.cls", "s.side", "a", "b", "nth", "anchors")
+        busy = materialise(asked.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / F.lit(CUTS)).alias("parts")).where("parts > 1"))
+        dealt = asked.join(busy, "cls", "left").withColumn("part", F.pmod(F.xxhash64("a", "b", "nth"), F.coalesce("parts", F.lit(1))))
+        wanted = dealt.groupBy("cls", "part").agg(F.collect_list(F.struct("a", "b", "nth", "side", "anchors")).alias("wanted"))
+        wanted = wanted.join(classes.select("cls", "doc_id", "th"), "cls").select("doc_id", "th", "wanted")
+        sides = _rows(docs).join(wanted.hint("merge"), ["doc_id", "th"]).select("doc_id", "text", "wanted").mapInArrow(_slices, SLICES)
+        found = sides.repartition("a", "b", "nth").sortWithinPartitions("a", "b", "nth", "side")
+        types = "doc_id long, start long, end long, first_doc_id long, first_start long, first_end long, words long, identity double, a long, b long"
+        return materialise(found.mapInArrow(_aligned, types).distinct())
+
+    passages = aligned(chains.where("anchors IS NOT NULL").select("a", "b", "nth", "anchors"))
+    # The second path: what stars of frequent seeds have left open.
+    covers = passages.select(F.explode(F.array(F.struct(F.col("b").alias("cls"), "start", "end"), F.struct(F.col("a").alias("cls"), F.col("first_start").alias("start"), F.col("first_end").alias("end")))).alias("c"))
+    covers = covers.groupBy("c.cls").agg(F.collect_set(F.struct("c.start", "c.end")).alias("covers"))
+    spots = chains.where("seed IS NOT NULL").select("seed", "who", "place").mapInArrow(_spots, "seed long, cls long, at int")
+    lies_in = F.exists("covers", lambda c: (c["start"] <= F.col("at")) & (F.col("at") + K <= c["end"]))
+    spots = materialise(spots.join(covers, "cls", "left").select("seed", "cls", "at", (~F.coalesce(lies_in, F.lit(False))).alias("open")))
+    open_seeds = spots.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("any")).where("any AND n > 1").select("seed", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"), "n")
+    open_seeds = materialise(open_seeds)
+    total = open_seeds.agg(F.sum(F.expr("CASE WHEN blocks > 1 THEN 2 * n * blocks ELSE n END"))).first()[0]
+    if total:
+        buckets = -(-int(total) // CELL_ROWS)
+        of = spots.join(open_seeds.select("seed", "blocks"), "seed").groupBy("cls").agg(F.collect_list(F.struct("seed", "at", "blocks", "open")).alias("spots"))
+        of = of.join(classes.select("cls", "doc_id", "th"), "cls")
+        beside = _rows(docs).join(of.hint("merge"), ["doc_id", "th"]).select("cls", "text", "spots").mapInArrow(_dealt(buckets), CROSSED)
+        crossed = beside.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_crossed(shards), ANCHORS)
+        pairs = crossed.repartitionById(shards, "bucket").sortWithinPartitions("bucket")
+        passages = passages.unionByName(aligned(materialise(pairs.mapInArrow(_single_chains, CHAINS))))
+    passages = passages.drop("a", "b").distinct()
     zero = F.lit(0).cast("long")
     several = classes.where("rows > 1")
     words = F.size(F.filter(F.split("text", WORD_GAP), lambda w: w != "")).cast("long")
