@@ -344,34 +344,35 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _single_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chains of one anchor or more."""
+    """The chains of two anchors or more, and of one that can be a passage by itself."""
     for found in _grouped(batches, lambda r: r["bucket"]):
         yield from _chained(found, 1)
 
 
 def _chained(found: list[dict], least: int) -> Iterator[pa.RecordBatch]:
-    """a, b, nth and anchors (2 rows of starts) of the chains of `least` anchors or more."""
+    """a, b, nth and anchors (2 rows of starts) of the chains of `least` anchors or more. A chain of one anchor must be one that can be a passage alone."""
     names, types = [x.split()[0] for x in CHAINS.split(", ")], (pa.int64(), pa.int64(), pa.int32(), pa.binary())
     rows: list[tuple] = []
     if found:
         a, b, x, y = (np.concatenate([np.frombuffer(r[c], t) for r in found]) for c, t in (("a", np.int64), ("b", np.int64), ("at_a", np.int32), ("at_b", np.int32)))
+        alone = np.concatenate([np.full(len(r["a"]) // 8, r.get("alone") == b"1") for r in found])
         found.clear()
         order = np.lexsort((y, x, b, a))
-        a, b, x, y = a[order], b[order], x[order], y[order]
+        a, b, x, y, alone = a[order], b[order], x[order], y[order], alone[order]
         new = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)]
         once = new | np.r_[True, (np.diff(x) != 0) | (np.diff(y) != 0)]
-        a, b, x, y, new = a[once], b[once], x[once], y[once], new[once]
+        a, b, x, y, alone, new = a[once], b[once], x[once], y[once], alone[once], new[once]
         pair = np.cumsum(new) - 1
-        several = np.bincount(pair)[pair] >= least
-        a, b, x, y, pair = a[several], b[several], x[several], y[several], pair[several]
+        several = (np.bincount(pair)[pair] >= max(2, least)) | ((least == 1) & alone)
+        a, b, x, y, alone, pair = a[several], b[several], x[several], y[several], alone[several], pair[several]
         if not len(a):
             return
         keep = _thin(pair, x, y)
         begin = starts_of(pair[keep])
-        a, b, x, y = a[keep][begin].tolist(), b[keep][begin].tolist(), x[keep].tolist(), y[keep].tolist()
+        a, b, x, y, alone = a[keep][begin].tolist(), b[keep][begin].tolist(), x[keep].tolist(), y[keep].tolist(), alone[keep].tolist()
         for i, j, low, high in zip(a, b, begin.tolist(), [*begin[1:].tolist(), len(keep)], strict=True):
             for nth, links in enumerate(chain(x[low:high], y[low:high])):
-                if len(links) >= least:
+                if len(links) >= least and (len(links) > 1 or alone[low + links[0]]):
                     rows.append((i, j, nth, np.array([[x[low + m] for m in links], [y[low + m] for m in links]], np.int32).tobytes()))
             if len(rows) > 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -381,15 +382,19 @@ def _chained(found: list[dict], least: int) -> Iterator[pa.RecordBatch]:
 
 
 def _beside(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each occurrence the FAR words after it and the FAR words before it, nearest first, as bytes from 1; 0 where the text has ended. A word that comes again is another one, so that what is shared counts as often as both have it."""
-    small = (words >> np.uint64(56)).astype(np.int16) % 255 + 1
-    small = np.r_[np.zeros(FAR, np.int16), small, np.zeros(FAR, np.int16)]
+    """Of each occurrence the FAR words after it and the FAR words before it, nearest first, as bytes from 1; 0 where the text has ended."""
+    none = np.zeros(FAR, np.uint8)
+    small = np.r_[none, ((words >> np.uint64(56)) % np.uint64(255) + np.uint64(1)).astype(np.uint8), none]
     step = np.arange(FAR)
-    sides = []
-    for side in (small[FAR + at[:, None] + K + step], small[FAR + at[:, None] - 1 - step]):
-        times = np.stack([(side[:, :k] == side[:, k, None]).sum(axis=1) for k in range(FAR)], axis=1)
-        sides.append(np.where(side > 0, (side + 101 * times) % 255 + 1, 0).astype(np.uint8))
-    return np.concatenate(sides, axis=1)
+    return np.concatenate([small[FAR + at[:, None] + K + step], small[FAR + at[:, None] - 1 - step]], axis=1)
+
+
+def _counted(side: np.ndarray) -> np.ndarray:
+    """The bytes of one side, a row for each distance. A word that comes again is another one, so that what is shared counts as often as both have it."""
+    times = np.zeros(side.shape, np.int16)
+    for k in range(1, len(side)):
+        times[k:] += side[k:] == side[:-k]
+    return np.where(side > 0, (side + 101 * times) % 255 + 1, 0).astype(np.uint8)
 
 
 def _steps(seed: np.ndarray, at: np.ndarray, asks: np.ndarray) -> np.ndarray:
@@ -449,87 +454,142 @@ def _dealt(buckets: int):
     return run
 
 
-def _bits(beside: np.ndarray) -> np.ndarray:
-    """The bytes of each row as a set of 128 bits."""
-    bits = np.zeros((2, len(beside)), np.uint64)
-    for v in beside.T:
+def _sets(side: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]:
+    """The nearest bytes of one side, so many each, as sets of 128 bits."""
+    bits, out = np.zeros((2, side.shape[1]), np.uint64), {}
+    for k, v in enumerate(side):
         bit = np.where(v > 0, np.uint64(1) << (v & np.uint8(63)).astype(np.uint64), np.uint64(0))
         high = (v & 64) > 0
         bits[0] |= np.where(high, np.uint64(0), bit)
         bits[1] |= np.where(high, bit, np.uint64(0))
-    return bits
+        if k + 1 in widths:
+            out[k + 1] = bits.copy()
+    return out
 
 
 def _missing(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """How many of the nearest 0, 1, ... BESIDE words of each row of one side are not among the other's, DIFFER words further at most. Where a text has ended, too many."""
-    gone = np.zeros((len(own), BESIDE + 1), np.int16)
+    """How many of the nearest 0, 1, ... BESIDE words of one side are not among the other's, DIFFER words further at most; a row for each distance. Where a text has ended, too many."""
+    gone = np.zeros((BESIDE + 1, own.shape[1]), np.int16)
     for k in range(BESIDE):
-        gone[:, k + 1] = np.where(own[:, k] == 0, DIFFER + 1, ~(other[:, : k + 1 + DIFFER] == own[:, k, None]).any(axis=1))
-    return np.cumsum(gone, axis=1, dtype=np.int16)
+        gone[k + 1] = np.where(own[k] == 0, DIFFER + 1, ~(other[: k + 1 + DIFFER] == own[k]).any(axis=0))
+    return np.cumsum(gone, axis=0, dtype=np.int16)
+
+
+def _reach(own: np.ndarray, other: np.ndarray, start: int) -> np.ndarray:
+    """How far `_extend` goes at most from `start` equal words, by the bytes of one side; where it goes on beyond them, MIN_WORDS."""
+    total = 2 * start + np.cumsum(np.where((own == other) & (own > 0), 2, -3).astype(np.int16), axis=1, dtype=np.int16)
+    ended = np.maximum.accumulate(np.maximum(total, 2 * start), axis=1) - total > 16
+    total[np.maximum.accumulate(ended, axis=1)] = -1
+    steps = np.where(total.max(axis=1) > 2 * start, start + 1 + total.argmax(axis=1), start)
+    return np.where(ended.any(axis=1), steps, MIN_WORDS)
 
 
-def _alike(asking: np.ndarray, answering: np.ndarray, steps: tuple[np.ndarray, np.ndarray], both: bool, step: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of the two whose words beside them allow a passage: of some BESIDE words around the seed all but DIFFER stand beside the other's. All are compared: first the nearer half of a side, then three quarters, as sets
-    of bits, which lose nothing, then all by their bytes. With `both`, what answers begins with what asks, and two that ask meet once."""
-    quarter, half, most = BESIDE // 4 + 1, BESIDE // 2, 3 * BESIDE // 4 + 1
+class _Beside:
+    """The words beside a bucket's occurrences. Compared are the nearer half of a side, then three quarters, as sets of bits, which lose nothing, then all by their bytes."""
+
+    QUARTER, HALF, MOST = BESIDE // 4 + 1, BESIDE // 2, 3 * BESIDE // 4 + 1
     # the other side of a half has a quarter's words at least, or the side itself has three quarters
-    assert half + quarter <= most and BESIDE - most + 1 >= quarter
-    sides = []
-    for low in (0, FAR):
-        a = {n: _bits(asking[:, low : low + n]) for n in (quarter, half, most)}
-        for n, bits in a.items():
-            bits[:, asking[:, low + n - 1] == 0] = ~np.uint64(0)  # too few words on this side
-        sides.append((a, ~_bits(answering[:, low : low + half + DIFFER]), ~_bits(answering[:, low : low + FAR])))
-    for first in range(0, len(asking), rows := max(1, step // max(1, len(answering)))):
-        skip = first if both else 0
-        may = np.zeros((len(asking[first : first + rows]), len(answering) - skip), bool)
-        for a, lacks, _ in sides:
-            few = np.bitwise_count(a[half][0, first : first + rows, None] & lacks[0, skip:])
-            few += np.bitwise_count(a[half][1, first : first + rows, None] & lacks[1, skip:])
-            may |= few <= DIFFER
-        own = steps[0][first : first + rows, None]
-        may &= (own == 0) | (own != steps[1][skip:])
-        x, y = np.nonzero(may)
-        x, y = x + first, y + skip
-        miss = [{n: np.bitwise_count(bits[:, x] & lacks[:, y]).sum(axis=0) for n, bits in a.items()} for a, _, lacks in sides]
-        right, left = miss
-        fits = (right[most] <= DIFFER) | (left[most] <= DIFFER) | (right[half] + left[quarter] <= DIFFER) | (left[half] + right[quarter] <= DIFFER)
-        x, y = x[fits], y[fits]
+    assert HALF + QUARTER <= MOST and BESIDE - MOST + 1 >= QUARTER
+
+    def __init__(self, beside: np.ndarray):
+        self.plain, self.counted = beside, np.empty_like(beside)
+        widths, wide = (self.QUARTER, self.HALF, self.MOST), self.HALF + DIFFER
+        self.has, self.lacks, self.near_lacks = np.empty((len(beside), 2, 3, 2), np.uint64), np.empty((len(beside), 2, 1, 2), np.uint64), []
+        for k in (0, 1):
+            side = _counted(np.ascontiguousarray(beside[:, k * FAR : (k + 1) * FAR].T))
+            self.counted[:, k * FAR : (k + 1) * FAR] = side.T
+            sets = _sets(side, [*widths, wide, FAR])
+            for j, n in enumerate(widths):
+                self.has[:, k, j] = np.where(side[n - 1] == 0, ~np.uint64(0), sets[n]).T  # all, where there are too few words on this side
+            self.lacks[:, k, 0] = ~sets[FAR].T
+            self.near_lacks.append(~sets[wide])
+
+    def near(self, asking: np.ndarray, answering: np.ndarray, step: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in `asking` and in `answering` of rows whose nearer halves of a side allow a passage. Two that ask meet twice, as what one lacks of the other is not what the other lacks of it."""
+        sides = [(self.has[asking, k, 1], self.near_lacks[k][:, answering]) for k in (0, 1)]
+        n = len(answering)
+        rows = min(len(asking), max(1, step // n))
+        bits, few, more, may, hit = (np.empty((rows, n), t) for t in (np.uint64, np.uint8, np.uint8, bool, bool))
+        for first in range(0, len(asking), rows):
+            part = slice(0, min(rows, len(asking) - first))
+            for (own, lacks), out in zip(sides, (may, hit), strict=True):
+                for word, count in ((0, few), (1, more)):
+                    np.bitwise_and(own[first : first + rows, word, None], lacks[word], out=bits[part])
+                    np.bitwise_count(bits[part], out=count[part])
+                np.add(few[part], more[part], out=few[part])
+                np.less_equal(few[part], DIFFER, out=out[part])
+            found = np.flatnonzero(may[part] | hit[part])
+            x = found // n
+            yield x + first, found - x * n
+
+    def alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of rows the words beside them allow a passage: of some BESIDE words around the seed all but DIFFER stand beside the other's."""
+        out, step = [np.zeros(0, np.int64)], 8192
+        for k in range(0, len(x), step):
+            lost = np.bitwise_count(self.has[x[k : k + step]] & self.lacks[y[k : k + step]])
+            lost = lost[..., 0] + lost[..., 1]
+            quarter, half, most = (lost[:, :, j] for j in range(3))
+            out.append(k + np.flatnonzero((np.minimum(most[:, 0], most[:, 1]) <= DIFFER) | (np.minimum(half[:, 0] + quarter[:, 1], half[:, 1] + quarter[:, 0]) <= DIFFER)))
+        some, out = np.concatenate(out), [np.zeros(0, np.int64)]
+        for k in range(0, len(some), step):
+            p = some[k : k + step]
+            own, other = (np.ascontiguousarray(self.counted[v[p]].T) for v in (x, y))
+            right, left = (_missing(own[low : low + FAR], other[low : low + FAR]) for low in (0, FAR))
+            out.append(p[(right + left[::-1]).min(axis=0) <= DIFFER])
+        return np.concatenate(out)
+
+    def alone(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of rows can be a passage by their own diagonal, as a chain of one anchor is aligned."""
+        out = []
         for k in range(0, len(x), 20_000):
-            p, q = x[k : k + 20_000], y[k : k + 20_000]
-            right, left = (_missing(asking[p, low : low + FAR], answering[q, low : low + FAR]) for low in (0, FAR))
-            fits = (right + left[:, ::-1]).min(axis=1) <= DIFFER
-            yield p[fits], q[fits]
+            p, q = self.plain[x[k : k + 20_000]], self.plain[y[k : k + 20_000]]
+            out.append(_reach(p[:, :FAR], q[:, :FAR], K) + _reach(p[:, FAR:], q[:, FAR:], 0) >= MIN_WORDS)
+        return np.concatenate(out)
+
+
+#: Anchors of the second path say whether a chain of the anchor alone can be a passage.
+SINGLE = f"{ANCHORS}, alone binary"
 
 
 def _crossed(shards: int):
-    """Anchors between the occurrences that ask and those that answer in a cell, where the words beside them are alike."""
-    names = [x.split()[0] for x in ANCHORS.split(", ")]
+    """Anchors between the occurrences that ask and those that answer in a cell, in two documents, where the words beside them are alike."""
+    names = [x.split()[0] for x in SINGLE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, lambda r: r["bucket"]):
             cell, who, at, role, beside = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("cell", np.uint64), ("who", np.int64), ("place", np.int32), ("role", np.uint8), ("beside", np.uint8)))
             rows.clear()
-            beside, role, steps = beside.reshape(-1, 2 * FAR), role & 3, role >> 2
+            beside, role, steps = _Beside(beside.reshape(-1, 2 * FAR)), role & 3, role >> 2
             order = np.argsort(cell, kind="stable")
             begin = starts_of(cell[order])
-            left, right = [], []
+            held, size = [], 0
             for low, high in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
                 mine = order[low:high]
-                both = bool((role[mine] == 3).any())
-                mine = mine[np.argsort(-(role[mine] & 1).astype(np.int8), kind="stable")]
                 asking, answering = mine[role[mine] & 1 > 0], mine[role[mine] & 2 > 0]
                 if not len(asking) or not len(answering):
                     continue
-                for x, y in _alike(beside[asking], beside[answering], (steps[asking], steps[answering]), both):
+                for x, y in beside.near(asking, answering):
                     x, y = asking[x], answering[y]
-                    other = who[x] != who[y]
-                    left.append(x[other])
-                    right.append(y[other])
-            if left and len(x := np.concatenate(left)):
-                y = np.concatenate(right)
-                for k in range(0, len(x), 1_000_000):
-                    yield pa.RecordBatch.from_arrays(_packed_anchors(np.zeros(len(who), np.uint64), who, at.astype(np.int64), x[k : k + 1_000_000], y[k : k + 1_000_000], shards), names)
+                    other = (who[x] != who[y]) & ((steps[x] == 0) | (steps[x] != steps[y]))
+                    held.append((x[other], y[other]))
+                    size += len(held[-1][0])
+                    if size >= 200_000:
+                        yield from anchors(beside, who, at, held)
+                        held, size = [], 0
+            if size:
+                yield from anchors(beside, who, at, held)
+
+    def anchors(beside: _Beside, who: np.ndarray, at: np.ndarray, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        x, y = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        fits = beside.alike(x, y)
+        x, y = x[fits], y[fits]
+        if len(x):
+            alone = beside.alone(x, y)
+            for flag in (False, True):
+                some = np.flatnonzero(alone == flag)
+                if len(some):
+                    made = _packed_anchors(np.zeros(len(who), np.uint64), who, at.astype(np.int64), x[some], y[some], shards)
+                    yield pa.RecordBatch.from_arrays([*made, pa.array([b"1" if flag else b"0"] * len(made[0]), pa.binary())], names)
 
     return run
 
@@ -699,7 +759,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spots = chains.where("seed IS NOT NULL").select("seed", "who", "place").mapInArrow(_spots, "seed long, cls long, at int")
     lies_in = F.exists("covers", lambda c: (c["start"] <= F.col("at")) & (F.col("at") + K <= c["end"]))
     spots = materialise(spots.join(covers, "cls", "left").select("seed", "cls", "at", (~F.coalesce(lies_in, F.lit(False))).alias("open")))
-    open_seeds = spots.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("any")).where("any AND n > 1").select("seed", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"), "n")
+    open_seeds = spots.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("any"), (F.min("cls") != F.max("cls")).alias("several")).where("any AND several").select("seed", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"), "n")
     open_seeds = materialise(open_seeds)
     total = open_seeds.agg(F.sum(F.expr("CASE WHEN blocks > 1 THEN 2 * n * blocks ELSE n END"))).first()[0]
     if total:
@@ -707,7 +767,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         of = spots.join(open_seeds.select("seed", "blocks"), "seed").groupBy("cls").agg(F.collect_list(F.struct("seed", "at", "blocks", "open")).alias("spots"))
         of = of.join(classes.select("cls", "doc_id", "th"), "cls")
         beside = _rows(docs).join(of.hint("merge"), ["doc_id", "th"]).select("cls", "text", "spots").mapInArrow(_dealt(buckets), CROSSED)
-        crossed = beside.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_crossed(shards), ANCHORS)
+        crossed = beside.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_crossed(shards), SINGLE)
         pairs = crossed.repartitionById(shards, "bucket").sortWithinPartitions("bucket")
         passages = passages.unionByName(aligned(materialise(pairs.mapInArrow(_single_chains, CHAINS))))
     passages = passages.drop("a", "b").distinct()
