@@ -289,6 +289,39 @@ def test_changed_passages_whose_seeds_are_all_frequent(make, monkeypatch, block)
     assert all(abs(r.start - 30) <= 1 and abs(r.end - 90) <= 1 for r in found)
 
 
+def test_words_beside_a_seed_allow_a_passage_or_not():
+    """No passage that a lone anchor is aligned to is lost by the words beside it; few anchors that can be none are left. Sides that end and words that repeat included."""
+    rnd, k, far = random.Random(41), passages.K, passages.FAR
+    vocabulary = np.array([rnd.getrandbits(64) for _ in range(40)], np.uint64)
+    beside, pairs = [], []
+    for changed in (0.0, 0.1, 0.15, 0.2, 0.3, 0.6) * 40:
+        x = vocabulary[[rnd.randrange(40) for _ in range(rnd.choice((60, 90, 160)))]]
+        y = np.array([rnd.getrandbits(64) if rnd.random() < changed else w for w in x.tolist()], np.uint64)
+        at = rnd.randrange(len(x) - k + 1)
+        y[at : at + k] = x[at : at + k]
+        beside += [passages._beside(w, np.array([at])) for w in (x, y)]
+        found = passages.stretches(x[max(0, at - 60) : at + k + 60].astype(np.uint32), y[max(0, at - 60) : at + k + 60].astype(np.uint32), np.full((2, 1), min(at, 60)))
+        pairs.append(any(min(r[1] - r[0], r[3] - r[2]) >= passages.MIN_WORDS and r[5] >= passages.MIN_IDENTITY * r[4] for r in found))
+    sides = passages._Beside(np.concatenate(beside))
+    x, y, whole = np.arange(0, len(beside), 2), np.arange(1, len(beside), 2), np.array(pairs)
+    alone = sides.alone(x, y)
+    assert whole.sum() > 60 and alone[whole].all() and 0 < (alone & ~whole).sum() < (~whole).sum() / 2
+    assert np.array_equal(sides.alone(y, x), alone)
+    near = {(int(p), int(q)) for i, j in sides.near(x, y, 64) for p, q in zip(x[i], y[j], strict=True)}
+    alike = set(x[sides.alike(x, y)].tolist())
+    for p, q in zip(x.tolist(), y.tolist(), strict=True):
+        (right, left), ends = ((np.r_[0, np.cumsum(same)] for same in (sides.plain[p] != sides.plain[q]).reshape(2, far)), (sides.plain[p].reshape(2, far) > 0).sum(axis=1))
+        if any(right[r] + left[passages.BESIDE - r] <= passages.DIFFER for r in range(passages.BESIDE + 1) if r <= ends[0] and passages.BESIDE - r <= ends[1]):
+            assert (p, q) in near and p in alike
+
+
+def test_chains_of_lone_anchors():
+    """A chain of one anchor goes on only if its diagonal can be a passage; longer ones always do."""
+    row = lambda b, at, alone: {"bucket": 0, "a": np.array([1] * len(at)).tobytes(), "b": np.array([b] * len(at)).tobytes(), "at_a": np.array(at, np.int32).tobytes(), "at_b": np.array(at, np.int32).tobytes(), "alone": alone}
+    made = [r for batch in passages._chained([row(2, [5], b"0"), row(3, [5], b"1"), row(4, [5, 14], b"0"), row(5, [5, 500], b"0"), row(6, [5], b"0"), row(6, [500], b"1")], 1) for r in batch.to_pylist()]
+    assert [(r["b"], np.frombuffer(r["anchors"], np.int32).reshape(2, -1)[0].tolist()) for r in made] == [(3, [5]), (4, [5, 14]), (6, [500])]
+
+
 def test_passage_of_frequent_lines(make):
     """Ten lines are in all documents, in two documents in one order."""
     rnd = random.Random(13)

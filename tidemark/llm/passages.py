@@ -485,19 +485,18 @@ def _reach(own: np.ndarray, other: np.ndarray, start: int) -> np.ndarray:
 
 
 class _Beside:
-    """The words beside a bucket's occurrences. Compared are the nearer half of a side, then three quarters, as sets of bits, which lose nothing, then all by their bytes."""
+    """The words beside a bucket's occurrences. Compared are the nearer half of a side, then three quarters, as sets of bits, which lose nothing, then all by their bytes. The sets count words that repeat; the bytes, held to DIFFER words of their place, don't, as one that comes again may be equal where the first is changed."""
 
     QUARTER, HALF, MOST = BESIDE // 4 + 1, BESIDE // 2, 3 * BESIDE // 4 + 1
     # the other side of a half has a quarter's words at least, or the side itself has three quarters
     assert HALF + QUARTER <= MOST and BESIDE - MOST + 1 >= QUARTER
 
     def __init__(self, beside: np.ndarray):
-        self.plain, self.counted = beside, np.empty_like(beside)
+        self.plain = beside
         widths, wide = (self.QUARTER, self.HALF, self.MOST), self.HALF + DIFFER
         self.has, self.lacks, self.near_lacks = np.empty((len(beside), 2, 3, 2), np.uint64), np.empty((len(beside), 2, 1, 2), np.uint64), []
         for k in (0, 1):
             side = _counted(np.ascontiguousarray(beside[:, k * FAR : (k + 1) * FAR].T))
-            self.counted[:, k * FAR : (k + 1) * FAR] = side.T
             sets = _sets(side, [*widths, wide, FAR])
             for j, n in enumerate(widths):
                 self.has[:, k, j] = np.where(side[n - 1] == 0, ~np.uint64(0), sets[n]).T  # all, where there are too few words on this side
@@ -523,7 +522,7 @@ class _Beside:
             yield x + first, found - x * n
 
     def alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Which pairs of rows the words beside them allow a passage: of some BESIDE words around the seed all but DIFFER stand beside the other's."""
+        """Which pairs of rows the words beside them allow a passage: of some BESIDE words around the seed all but DIFFER stand beside the other's, or the diagonal goes on where these differ more."""
         out, step = [np.zeros(0, np.int64)], 8192
         for k in range(0, len(x), step):
             lost = np.bitwise_count(self.has[x[k : k + step]] & self.lacks[y[k : k + step]])
@@ -533,14 +532,14 @@ class _Beside:
         some, out = np.concatenate(out), [np.zeros(0, np.int64)]
         for k in range(0, len(some), step):
             p = some[k : k + step]
-            own, other = (np.ascontiguousarray(self.counted[v[p]].T) for v in (x, y))
+            own, other = (np.ascontiguousarray(self.plain[v[p]].T) for v in (x, y))
             right, left = (_missing(own[low : low + FAR], other[low : low + FAR]) for low in (0, FAR))
-            out.append(p[(right + left[::-1]).min(axis=0) <= DIFFER])
+            out.append(p[((right + left[::-1]).min(axis=0) <= DIFFER) | self.alone(x[p], y[p])])
         return np.concatenate(out)
 
     def alone(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Which pairs of rows can be a passage by their own diagonal, as a chain of one anchor is aligned."""
-        out = []
+        out = [np.zeros(0, bool)]
         for k in range(0, len(x), 20_000):
             p, q = self.plain[x[k : k + 20_000]], self.plain[y[k : k + 20_000]]
             out.append(_reach(p[:, :FAR], q[:, :FAR], K) + _reach(p[:, FAR:], q[:, FAR:], 0) >= MIN_WORDS)
