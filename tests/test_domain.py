@@ -319,6 +319,16 @@ def in_order(spark, candidates, sets=(), identities=(), **options):
     return got
 
 
+def test_stored_sets_that_repeat_are_folded_twice_at_most(spark, monkeypatch):
+    """A game of many equal sets is one part, however many they are: a code of several owners is none, a name leads to the oldest."""
+    monkeypatch.setattr(identity, "linked", lambda members: pytest.fail("the game was split"))
+    sets = [(f"s{k:02}", "g", "storm crown", "AB1", False, 90 - k) for k in range(40)] + [("t1", "g", "dark reign", "CD2", False, 5), ("t1", "g", "dark reign", "CD2", False, 9)]
+    candidates = [("c1", "g", "own", "other words", "AB1", {}), ("c2", "g", "own", "storm crown", None, {}), ("c3", "g", "own", "something else", "CD2", {}), ("c4", "g", "own", "pinned", None, {"own": "1"})]
+    got = in_order(spark, candidates, sets, [("own", "1", "s20")], whole_game=20)
+    assert got == plain_in_order(candidates, [x for x in sets if x[5] != 9], [("own", "1", "s20")])
+    assert (got["c2"], got["c3"], got["c4"]) == (("s39", "name"), ("t1", "code"), ("s20", "id")) and got["c1"][1] == "new"
+
+
 @pytest.mark.parametrize("whole_game", [200_000, 0])
 @pytest.mark.parametrize("seed", [9, 10])
 def test_candidates_resolve_in_order(spark, seed, whole_game):

@@ -234,13 +234,21 @@ def _parted(rows: DataFrame, whole_game: int) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("part", F.coalesce("label", "game")).drop("node", "label")
 
 
+def _representatives(known: DataFrame) -> DataFrame:
+    """Of stored sets that are equal in game, name, key and code the oldest, and one other: a code counts if it has one owner, and a name leads to its oldest set, so more of them change nothing."""
+    alike = known.groupBy("kind", "game", "name", "key", "code").agg(F.min(F.struct("place", "id")).alias("first"), F.max("place").alias("last"), F.min("id").alias("low"), F.max("id").alias("high"))
+    other = F.when(F.col("low") != F.col("high"), F.struct(F.col("last").alias("place"), F.when(F.col("high") != F.col("first.id"), F.col("high")).otherwise(F.col("low")).alias("id")))
+    both = alike.select("kind", "game", "name", "key", "code", F.explode(F.filter(F.array("first", other), lambda r: r.isNotNull())).alias("r"))
+    return both.select("kind", "r.place", "r.id", "game", "name", "key", "code")
+
+
 def resolve_in_order(candidates: DataFrame, sets: DataFrame, identities: DataFrame, whole_game: int = WHOLE_GAME) -> DataFrame:
     """The candidates with set_id and matched_by (id, code, name or new), each resolved in the order of candidate_id against what is stored and what those before it left behind.
 
     A new product makes a set, which later ones find by its code or name. Every candidate pins its ids to the set it went to, whatever matched, unless they are pinned already; so an id that came with a
     follower leads to the leader's set. Ids hold within a game. A set keeps its maker's code if that is real, not ambiguous and not taken, else it has a made-up one and the code in its name.
 
-    The order matters, so a part is folded by one task, which streams its candidates. Those that repeat game, origin and ids are resolved by id after the first, which alone is folded. Stored ids
+    The order matters, so a part is folded by one task, which streams its candidates. Those that repeat game, origin and ids are resolved by id after the first, which alone is folded, and of equal stored sets two are. Stored ids
     and matching names are found by joins before.
     """
     key, n = code_key(F.col("name"), F.col("code")), F.col("name")
@@ -261,7 +269,8 @@ def resolve_in_order(candidates: DataFrame, sets: DataFrame, identities: DataFra
         F.lit(2).alias("kind"), F.lit(0).cast("long").alias("place"), F.col("candidate_id").alias("id"), "game", matchable.alias("name"), "key", code_in_name(n).alias("name_key"), "code",
         (F.col("key").isNotNull() & F.col("many").isNull()).alias("clear"), (F.col("own").isNotNull() & F.col("own_many").isNull()).alias("real"), ids.alias("ids"),
     )
-    known = sets.select(F.lit(1).alias("kind"), F.col("created").alias("place"), F.col("set_id").alias("id"), "game", matchable.alias("name"), code_key(n, F.col("code"), F.col("synthetic")).alias("key"), "code", no_ids.alias("ids"))
+    known = sets.select(F.lit(1).alias("kind"), F.col("created").alias("place"), F.col("set_id").alias("id"), "game", matchable.alias("name"), code_key(n, F.col("code"), F.col("synthetic")).alias("key"), "code")
+    known = settled(_representatives(known)).withColumn("ids", no_ids)
     names = taken.select("game", "name").where("name is not null").distinct()
     pairs = name_pairs(names, known.select("game", "name").where("name is not null").unionByName(names).distinct()).select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("place"), "game", F.col("x").alias("name"), F.col("y").alias("other"), "score", no_ids.alias("ids"))
     together = settled(taken.unionByName(known, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True))
