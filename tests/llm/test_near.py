@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import jaccard, passages
@@ -289,6 +290,54 @@ def test_changed_passages_whose_seeds_are_all_frequent(make, monkeypatch, block)
     assert all(abs(r.start - 30) <= 1 and abs(r.end - 90) <= 1 for r in found)
 
 
+def test_long_runs_of_words_make_rows_by_their_length(make):
+    """Runs of a word, or of three in turn, in twelve documents, one of them ten times as long as the others: all their words are in passages, and rows grow with the runs' lengths, not with the product of runs."""
+    texts, covered = [], []
+    for n, turn in enumerate((["la"], ["so", "fa", "re"], ["mi"], ["do"], ["ti"])):
+        for k, length in enumerate([*range(60, 93, 3), 630]):
+            texts.append([f"a{n}x{k}y{j}" for j in range(20)] + turn * (length // len(turn)) + [f"b{n}x{k}y{j}" for j in range(20)])
+            covered.append(np.zeros(len(texts[-1]), bool))
+    found = passages.repeated_passages(make(*[" ".join(t) for t in texts])).collect()
+    for r in found:
+        covered[r.doc_id][r.start : r.end] = True
+        covered[r.first_doc_id][r.first_start : r.first_end] = True
+    assert all(c.sum() == len(c) - 40 and not c[:20].any() and not c[-20:].any() for c in covered)
+    assert len(found) <= sum(len(t) for t in texts) / passages.MIN_WORDS
+
+
+def test_pieces_of_a_run_cover_it():
+    """Laid against another run, longer or shorter, the pieces of a run leave nothing out, and each is a passage."""
+    rnd, least, k, margin = random.Random(42), passages.MIN_WORDS, passages.K, passages.MARGIN
+    names = ["cls", "low", "high", "step", "other", "other_low", "other_high"]
+    for n in range(400):
+        step = rnd.randint(1, passages.PERIOD)
+        (low, high), (begin, end) = ((x, x + -(-(least - k + rnd.choice((0, rnd.randrange(30), rnd.randrange(600)))) // step) * step) for x in (rnd.randrange(50), rnd.randrange(50)))
+        row = dict(zip(names, (n % 2 * 2, low, high, step, 1, begin, end), strict=True))
+        made = [r for batch in passages._tiles(iter([pa.RecordBatch.from_pylist([row])])) for r in batch.to_pylist()]
+        covered = np.zeros(high + k, bool)
+        for r in made:
+            at = np.frombuffer(r["anchors"], np.int32).tolist()
+            mine, its = at if r["a"] == row["cls"] else at[::-1]
+            assert low <= mine <= high and begin <= its <= end and (mine - low) % step == (its - begin) % step == 0
+            left, right = min(mine - low, its - begin, margin), min(high - mine, end - its, margin)
+            assert left + k + right >= least
+            covered[mine - left : mine + k + right] = True
+        assert covered[low:].all() and len({(r["a"], r["b"], r["nth"]) for r in made}) == len(made) <= 3 + (high - low) / 30
+
+
+def test_copies_in_a_run_answer_once_and_ask_in_turn():
+    """Occurrences in the middle of a run look alike; those near its ends, and lines that come again further off, stay themselves."""
+    words = np.r_[np.arange(1, 101), np.full(400, 7), np.arange(200, 301), np.arange(200, 301)].astype(np.uint64) << np.uint64(56)
+    at = np.r_[100:494, 530, 631]
+    seed = np.r_[np.zeros(394, np.int64), 1, 1]
+    steps = passages._steps(seed, at, np.ones(len(at), bool))
+    answers, asks = passages._copies(words, seed, at, passages._beside(words, at), steps)
+    inside = at[(at >= 100 + passages.FAR) & (at <= 493 - passages.FAR)]
+    assert answers.sum() == len(at) - len(inside) + 1 and answers[[0, -3, -2, -1]].all()
+    asking = at[asks]
+    assert asks[(at < inside[0]) | (at > inside[-1])].all() and len(asking) < len(at) - len(inside) / 2 and np.diff(asking[:-2]).max() <= passages.BESIDE
+
+
 def test_words_beside_a_seed_allow_a_passage_or_not():
     """No passage that a lone anchor is aligned to is lost by the words beside it; few anchors that can be none are left. Sides that end and words that repeat included."""
     rnd, k, far = random.Random(41), passages.K, passages.FAR

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD_GAP, documents, materialise
@@ -32,6 +32,7 @@ from tidemark.llm.jaccard import _distinct, _grouped, _rows, blobs, mix, shard_o
 #: The words of a seed in its window. One in five words may differ all along a passage, and some seeds of it are still equal.
 SEED = (0, 1, 2, 3, 5, 6)
 K = SEED[-1] + 1
+FREE = next(k for k in range(K) if k not in SEED)
 #: Passages of 50 words count also where edits at their ends shorten the alignment a little.
 MIN_WORDS, MIN_IDENTITY = 45, 0.8
 MARGIN = 60
@@ -42,6 +43,8 @@ GAP_COST = 0.2
 DIFFER = MIN_WORDS - round(MIN_WORDS * MIN_IDENTITY)
 BESIDE = MIN_WORDS - K
 FAR = BESIDE + DIFFER
+#: Up to this distance an occurrence of a seed tells all words between it and the next: text that repeats them is one text, however long.
+PERIOD = 4
 #: Occurrences of a frequent seed are compared in blocks of at most about so many.
 BLOCK = 8192
 #: Occurrences, or copies of them for their cells, in a bucket.
@@ -407,6 +410,22 @@ def _steps(seed: np.ndarray, at: np.ndarray, asks: np.ndarray) -> np.ndarray:
     return out
 
 
+def _copies(words: np.ndarray, seed: np.ndarray, at: np.ndarray, beside: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a document's occurrences those that answer and those that may ask. Where a window inside a run has the same FAR words on both sides again, it is a copy: the first one answers for all. Of the copies that lie
+    within BESIDE positions the first and the last ask, whose passages, MIN_WORDS or more, cover what lies between."""
+    text = np.concatenate([beside, np.zeros((len(at), -2 * FAR % 8), np.uint8)], axis=1).view(np.uint64)
+    key = mix(seed.astype(np.uint64), 10) ^ words[at + FREE]
+    for k in range(text.shape[1]):
+        key = mix(key ^ text[:, k], 11)
+    order = np.lexsort((at, key))
+    new = np.r_[True, key[order][1:] != key[order][:-1]] | (steps[order] == 0) | (steps[order] > PERIOD)
+    part = new | np.r_[True, np.diff(at[order] // BESIDE) != 0]
+    answers, asks = (np.zeros(len(at), bool) for _ in range(2))
+    answers[order[new]] = True
+    asks[order[part | np.r_[part[1:], True]]] = True
+    return answers, asks
+
+
 CROSSED = "bucket int, cell binary, who binary, place binary, role binary, beside binary"
 
 
@@ -416,12 +435,12 @@ def _dealt(buckets: int):
     names = [x.split()[0] for x in CROSSED.split(", ")]
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        seed, cls, at, asks, blocks, beside, steps = (np.concatenate([h[k] for h in held]) for k in range(7))
+        seed, cls, at, asks, answers, blocks, beside, steps = (np.concatenate([h[k] for h in held]) for k in range(8))
         own = (mix(cls.astype(np.uint64), 6) % blocks.astype(np.uint64)).astype(np.int64)
         parts = []
         one = np.flatnonzero(blocks == 1)
-        parts.append((one, own[one], own[one], 2 + asks[one]))
-        for role, some in ((1, np.flatnonzero((blocks > 1) & asks)), (2, np.flatnonzero(blocks > 1))):
+        parts.append((one, own[one], own[one], asks[one] + 2 * answers[one]))
+        for role, some in ((1, np.flatnonzero((blocks > 1) & asks)), (2, np.flatnonzero((blocks > 1) & answers))):
             times = blocks[some]
             each = np.repeat(some, times)
             other = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
@@ -442,9 +461,14 @@ def _dealt(buckets: int):
             for k, cls in enumerate(batch.column("cls").to_pylist()):
                 flat = spots[k].values
                 seed, at, blocks = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("seed", "at", "blocks"))
-                asks = flat.field("open").to_numpy(zero_copy_only=False).astype(bool)
-                held.append((seed, np.full(len(seed), cls, np.int64), at, asks, blocks, _beside(make.of(texts[k].as_py()), at), _steps(seed, at, asks)))
-                size += int(np.where(blocks > 1, 2 * blocks, 1).sum())
+                is_open = flat.field("open").to_numpy(zero_copy_only=False).astype(bool)
+                words = make.of(texts[k].as_py())
+                beside, steps = _beside(words, at), _steps(seed, at, is_open)
+                answers, asks = _copies(words, seed, at, beside, steps)
+                asks &= is_open
+                some = np.flatnonzero(answers | asks)
+                held.append(tuple(v[some] for v in (seed, np.full(len(seed), cls, np.int64), at, asks, answers, blocks, beside, steps)))
+                size += int(np.where(blocks > 1, 2 * blocks, 1)[some].sum())
                 if size >= 500_000:
                     yield flush(held)
                     held, size = [], 0
@@ -455,13 +479,12 @@ def _dealt(buckets: int):
 
 
 def _sets(side: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]:
-    """The nearest bytes of one side, so many each, as sets of 128 bits."""
-    bits, out = np.zeros((2, side.shape[1]), np.uint64), {}
+    """The nearest bytes of one side, so many each, as sets of 256 bits."""
+    bits, out = np.zeros((4, side.shape[1]), np.uint64), {}
     for k, v in enumerate(side):
         bit = np.where(v > 0, np.uint64(1) << (v & np.uint8(63)).astype(np.uint64), np.uint64(0))
-        high = (v & 64) > 0
-        bits[0] |= np.where(high, np.uint64(0), bit)
-        bits[1] |= np.where(high, bit, np.uint64(0))
+        for word in range(4):
+            bits[word] |= np.where(v >> 6 == word, bit, np.uint64(0))
         if k + 1 in widths:
             out[k + 1] = bits.copy()
     return out
@@ -485,33 +508,51 @@ def _reach(own: np.ndarray, other: np.ndarray, start: int) -> np.ndarray:
 
 
 class _Beside:
-    """The words beside a bucket's occurrences. Compared are the nearer half of a side, then three quarters, as sets of bits, which lose nothing, then all by their bytes. The sets count words that repeat; the bytes, held to DIFFER words of their place, don't, as one that comes again may be equal where the first is changed."""
+    """The words beside a bucket's occurrences. Compared are the nearer half of a side (or three quarters, if the other side is too short for the rest), then a quarter, half and three quarters of both, as sets of bits, which lose nothing, then all by their bytes. The sets count words that repeat; the bytes, held to DIFFER words of their place, don't, as one that comes again may be equal where the first is changed."""
 
     QUARTER, HALF, MOST = BESIDE // 4 + 1, BESIDE // 2, 3 * BESIDE // 4 + 1
     # the other side of a half has a quarter's words at least, or the side itself has three quarters
     assert HALF + QUARTER <= MOST and BESIDE - MOST + 1 >= QUARTER
+    #: Of the words beside a seed so many are equal at their places at least, if its own diagonal can be a passage: an equal word adds 1 to the score of a side, which is above 0, and another takes 1.5.
+    EQUAL = 3 * BESIDE // 5
 
     def __init__(self, beside: np.ndarray):
         self.plain = beside
-        widths, wide = (self.QUARTER, self.HALF, self.MOST), self.HALF + DIFFER
-        self.has, self.lacks, self.near_lacks = np.empty((len(beside), 2, 3, 2), np.uint64), np.empty((len(beside), 2, 1, 2), np.uint64), []
+        n, widths = len(beside), (self.QUARTER, self.HALF, self.MOST)
+        self.has, self.lacks, self.far_lacks, self.short = np.empty((n, 2, 3, 4), np.uint64), np.empty((n, 2, 3, 4), np.uint64), np.empty((n, 2, 1, 2), np.uint64), []
         for k in (0, 1):
             side = _counted(np.ascontiguousarray(beside[:, k * FAR : (k + 1) * FAR].T))
-            sets = _sets(side, [*widths, wide, FAR])
-            for j, n in enumerate(widths):
-                self.has[:, k, j] = np.where(side[n - 1] == 0, ~np.uint64(0), sets[n]).T  # all, where there are too few words on this side
-            self.lacks[:, k, 0] = ~sets[FAR].T
-            self.near_lacks.append(~sets[wide])
+            sets = _sets(side, [*widths, *(w + DIFFER for w in widths), FAR])
+            for j, w in enumerate(widths):
+                self.has[:, k, j] = np.where(side[w - 1] == 0, ~np.uint64(0), sets[w]).T  # all, where there are too few words on this side
+                self.lacks[:, k, j] = ~sets[w + DIFFER].T
+            self.far_lacks[:, k, 0] = ~self._folded(sets[FAR].T)
+            self.short.append(side[self.QUARTER - 1] == 0)
+        self.has_folded = self._folded(self.has)
+        self.near_lacks = [[np.ascontiguousarray(~self._folded(~self.lacks[:, k, j]).T) for j in range(3)] for k in (0, 1)]
+
+    @staticmethod
+    def _folded(sets: np.ndarray) -> np.ndarray:
+        """Sets of 128 bits."""
+        return sets[..., :2] | sets[..., 2:]
 
     def near(self, asking: np.ndarray, answering: np.ndarray, step: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places in `asking` and in `answering` of rows whose nearer halves of a side allow a passage. Two that ask meet twice, as what one lacks of the other is not what the other lacks of it."""
-        sides = [(self.has[asking, k, 1], self.near_lacks[k][:, answering]) for k in (0, 1)]
+        """Places in `asking` and in `answering` of rows whose nearer words of a side allow a passage. Two that ask meet twice, as what one lacks of the other is not what the other lacks of it."""
+        short = [s[asking] for s in self.short]
+        for some, tests in ((~short[0] & ~short[1], ((0, 1), (1, 1))), (short[0] & ~short[1], ((1, 2),)), (short[1] & ~short[0], ((0, 2),))):
+            some = np.flatnonzero(some)
+            if len(some):
+                for x, y in self._near(asking[some], answering, tests, step):
+                    yield some[x], y
+
+    def _near(self, asking: np.ndarray, answering: np.ndarray, tests: tuple, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        sides = [(self.has_folded[asking, k, j], self.near_lacks[k][j][:, answering]) for k, j in tests]
         n = len(answering)
         rows = min(len(asking), max(1, step // n))
-        bits, few, more, may, hit = (np.empty((rows, n), t) for t in (np.uint64, np.uint8, np.uint8, bool, bool))
+        bits, few, more, may, hit = (np.zeros((rows, n), t) for t in (np.uint64, np.uint8, np.uint8, bool, bool))
         for first in range(0, len(asking), rows):
             part = slice(0, min(rows, len(asking) - first))
-            for (own, lacks), out in zip(sides, (may, hit), strict=True):
+            for (own, lacks), out in zip(sides, (may, hit), strict=False):
                 for word, count in ((0, few), (1, more)):
                     np.bitwise_and(own[first : first + rows, word, None], lacks[word], out=bits[part])
                     np.bitwise_count(bits[part], out=count[part])
@@ -521,20 +562,30 @@ class _Beside:
             x = found // n
             yield x + first, found - x * n
 
+    @staticmethod
+    def _allow(lost: np.ndarray) -> np.ndarray:
+        """By the words of a quarter, half and three quarters of both sides that are not beside the other."""
+        quarter, half, most = (lost[:, :, j] for j in range(3))
+        return (np.minimum(most[:, 0], most[:, 1]) <= DIFFER) | (np.minimum(half[:, 0] + quarter[:, 1], half[:, 1] + quarter[:, 0]) <= DIFFER)
+
     def alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Which pairs of rows the words beside them allow a passage: of some BESIDE words around the seed all but DIFFER stand beside the other's, or the diagonal goes on where these differ more."""
         out, step = [np.zeros(0, np.int64)], 8192
         for k in range(0, len(x), step):
-            lost = np.bitwise_count(self.has[x[k : k + step]] & self.lacks[y[k : k + step]])
-            lost = lost[..., 0] + lost[..., 1]
-            quarter, half, most = (lost[:, :, j] for j in range(3))
-            out.append(k + np.flatnonzero((np.minimum(most[:, 0], most[:, 1]) <= DIFFER) | (np.minimum(half[:, 0] + quarter[:, 1], half[:, 1] + quarter[:, 0]) <= DIFFER)))
+            lost = np.bitwise_count(self.has_folded[x[k : k + step]] & self.far_lacks[y[k : k + step]])
+            out.append(k + np.flatnonzero(self._allow(lost[..., 0] + lost[..., 1])))
         some, out = np.concatenate(out), [np.zeros(0, np.int64)]
         for k in range(0, len(some), step):
             p = some[k : k + step]
-            own, other = (np.ascontiguousarray(self.plain[v[p]].T) for v in (x, y))
+            fits = self._allow(np.bitwise_count(self.has[x[p]] & self.lacks[y[p]]).sum(axis=3, dtype=np.uint8))
+            q = np.flatnonzero(fits)
+            own, other = (np.ascontiguousarray(self.plain[v[p[q]]].T) for v in (x, y))
             right, left = (_missing(own[low : low + FAR], other[low : low + FAR]) for low in (0, FAR))
-            out.append(p[((right + left[::-1]).min(axis=0) <= DIFFER) | self.alone(x[p], y[p])])
+            fits[q] = (right + left[::-1]).min(axis=0) <= DIFFER
+            own, other = self.plain[x[p]], self.plain[y[p]]
+            q = np.flatnonzero(~fits & (((own == other) & (own > 0)).sum(axis=1, dtype=np.uint8) >= self.EQUAL))
+            fits[q] = self.alone(x[p[q]], y[p[q]])
+            out.append(p[fits])
         return np.concatenate(out)
 
     def alone(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -600,6 +651,56 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], t)) for c, t in (("seed", np.int64), ("who", np.int64), ("place", np.int32))], ["seed", "cls", "at"])
 
 
+def _open_seeds(spots: DataFrame) -> DataFrame:
+    """Seeds that have an open occurrence and stand in several documents."""
+    counted = spots.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("any"), (F.min("cls") != F.max("cls")).alias("several"))
+    return counted.where("any AND several").select("seed", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"), "n")
+
+
+def _without_long_runs(spots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The occurrences of open seeds (seed, cls, at, open), those in long runs no longer open, and chains that make passages of these runs.
+
+    A run is a stretch in which a seed comes again after one to PERIOD words each time. All runs of a seed and distance are one text, of different lengths: each one of MIN_WORDS or more is laid against the longest,
+    which is laid against the longest of another document, piece by piece. So rows grow with the length of runs, not with their lengths times the documents that have them."""
+    spots = spots.join(_open_seeds(spots).select("seed"), "seed", "left_semi")
+    w = Window.partitionBy("seed", "cls").orderBy("at")
+    steps = spots.withColumn("step", F.col("at") - F.lag("at").over(w)).withColumn("before", F.lag("step").over(w))
+    begins = F.when((F.col("step") <= PERIOD) & (F.col("step") > 0) & (F.coalesce("before", F.lit(99)) > PERIOD), 0).when((F.col("step") == F.col("before")) & (F.col("step") <= PERIOD), 0).otherwise(1)
+    numbered = steps.withColumn("run", F.sum(begins).over(w))
+    runs = numbered.groupBy("seed", "cls", "run").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("open"))
+    runs = runs.where(F.col("high") - F.col("low") + K >= MIN_WORDS).select("seed", "cls", "low", "high", "open", ((F.col("high") - F.col("low")) / (F.col("n") - 1)).cast("int").alias("step"))
+    runs = materialise(runs)
+    longest = F.max(F.struct((F.col("high") - F.col("low")).alias("span"), "cls", "low", "high"))
+    first = runs.groupBy("seed", "step").agg(longest.alias("first"))
+    others = runs.join(first, ["seed", "step"]).where("cls <> first.cls").groupBy("seed", "step").agg(F.max("first").alias("first"), longest.alias("second"))
+    runs = runs.join(others, ["seed", "step"]).withColumn("other", F.when(F.expr("cls = first.cls"), F.col("second")).otherwise(F.col("first")))
+    runs = materialise(runs.select("seed", "cls", "low", "high", "open", "step", F.col("other.cls").alias("other"), F.col("other.low").alias("other_low"), F.col("other.high").alias("other_high")))
+    inside = runs.groupBy("seed", "cls").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    lies_in = F.exists("runs", lambda r: (r["low"] <= F.col("at")) & (F.col("at") <= r["high"]))
+    spots = spots.join(inside, ["seed", "cls"], "left").select("seed", "cls", "at", (F.col("open") & ~F.coalesce(lies_in, F.lit(False))).alias("open"))
+    return materialise(spots), materialise(runs.where("open").mapInArrow(_tiles, CHAINS))
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains of one anchor that lay the other run against a run, piece by piece; their numbers are below those of other chains."""
+    names, types = [x.split()[0] for x in CHAINS.split(", ")], (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            step, low, high, begin, end = r["step"], r["low"], r["high"], r["other_low"], r["other_high"]
+            left = min((end - begin) // 2, MARGIN) // step * step
+            right = min(end - begin - left, MARGIN)
+            every = max(step, (left + right) // step * step)
+            spots = [(at, begin + left) for at in range(low + left, high + 1, every) if left + min(right, high - at) + K >= MIN_WORDS]
+            if not spots or spots[-1][0] + right < high:
+                spots.append((high, end))
+            for mine, its in spots:
+                pair, at = ((r["cls"], r["other"]), (mine, its)) if r["cls"] < r["other"] else ((r["other"], r["cls"]), (its, mine))
+                rows.append((*pair, -2 * mine - 1 - (r["cls"] < r["other"]), np.array([[at[0]], [at[1]]], np.int32).tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
 SLICES = "a long, b long, nth int, side int, doc_id long, low int, words binary, anchors binary"
 
 
@@ -758,8 +859,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spots = chains.where("seed IS NOT NULL").select("seed", "who", "place").mapInArrow(_spots, "seed long, cls long, at int")
     lies_in = F.exists("covers", lambda c: (c["start"] <= F.col("at")) & (F.col("at") + K <= c["end"]))
     spots = materialise(spots.join(covers, "cls", "left").select("seed", "cls", "at", (~F.coalesce(lies_in, F.lit(False))).alias("open")))
-    open_seeds = spots.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("any"), (F.min("cls") != F.max("cls")).alias("several")).where("any AND several").select("seed", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"), "n")
-    open_seeds = materialise(open_seeds)
+    spots, tiles = _without_long_runs(spots)
+    passages = passages.unionByName(aligned(tiles))
+    open_seeds = materialise(_open_seeds(spots))
     total = open_seeds.agg(F.sum(F.expr("CASE WHEN blocks > 1 THEN 2 * n * blocks ELSE n END"))).first()[0]
     if total:
         buckets = -(-int(total) // CELL_ROWS)
