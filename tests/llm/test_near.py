@@ -290,6 +290,18 @@ def test_changed_passages_whose_seeds_are_all_frequent(make, monkeypatch, block)
     assert all(abs(r.start - 30) <= 1 and abs(r.end - 90) <= 1 for r in found)
 
 
+def test_hashes_of_words_are_remembered_and_right(monkeypatch):
+    """Whatever shares a slot, in texts cut into pieces or not; A-Z alone is lower-cased, and ASCII blanks alone part words."""
+    monkeypatch.setattr(passages.Words, "SLOTS", 3)
+    monkeypatch.setattr(passages.Words, "PIECE", 50)
+    rnd, make = random.Random(43), passages.Words()
+    texts = [None, "", " ", "\n\t a", "a", " A\x0bB\x0c\u00c9 x \ud800 y\r\n", "x" * 300 + " y", "\u2003 q\u00a0r\x1cs"]
+    texts += ["".join(rnd.choice("abAB \n\u00c9") for _ in range(rnd.randrange(200))) for _ in range(200)]
+    for text in texts * 2:
+        want = [passages.xxhash.xxh3_64_intdigest(w) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
+        assert make.of(text).tolist() == want
+
+
 def test_long_runs_of_words_make_rows_by_their_length(make):
     """Runs of a word, or of three in turn, in twelve documents, one of them ten times as long as the others: all their words are in passages, and rows grow with the runs' lengths, not with the product of runs."""
     texts, covered = [], []

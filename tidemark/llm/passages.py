@@ -18,6 +18,7 @@ their own, and with the same text are one; repeats inside one document are not r
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,22 +56,59 @@ CHUNK_DOCS, CHUNK_WORDS, CUTS = 4096, 2_000_000, 256
 _ODD = np.array([xxhash.xxh3_64_intdigest(bytes([k, 9])) | 1 for k in range(len(SEED))], np.uint64)
 _BASE = np.uint64(xxhash.xxh3_64_intdigest(b"passages") | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_GAP = re.compile(rb"\s")
+
+
+_BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([k, 13])) for k in range(256)], np.uint64)
 
 
 class Words:
+    """Hashes of words, which are remembered: a word is known again by the sum of its bytes' values times powers of a base, taken for all words of a text at once."""
+
+    SLOTS, PIECE = 20, 1 << 20
+
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.keys, self.hashes = (np.zeros(1 << self.SLOTS, np.uint64) for _ in range(2))
+        self._grow(1 << 16)
+
+    def _grow(self, n: int) -> None:
+        self.powers, self.inverse = (np.cumprod(np.full(n, x)) for x in (_BASE, _INVERSE))
 
     def of(self, text: str | None) -> np.ndarray:
         """The words' hashes, lower-cased in A-Z."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(self.known) > 400_000:
-            self.known.clear()
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        raw = (text or "").encode("utf-8", "surrogatepass").lower()
+        if len(raw) <= self.PIECE:
+            return self._of(raw)
+        found, low = [], 0
+        while low < len(raw):
+            gap = _GAP.search(raw, low + self.PIECE)
+            high = gap.start() if gap else len(raw)
+            found.append(self._of(raw[low:high]))
+            low = high
+        return np.concatenate(found)
+
+    def _of(self, raw: bytes) -> np.ndarray:
+        data = np.frombuffer(raw, np.uint8)
+        if len(data) > len(self.powers):
+            self._grow(2 * len(data))
+        blank = np.ones(len(data) + 2, bool)
+        blank[1:-1] = (data == 32) | (data - np.uint8(9) < 5)
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        begin, end = edges[::2], edges[1::2]
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * self.powers[: len(data)], out=total[1:])
+        key = (total[end] - total[begin]) * self.inverse[begin]
+        slot = (key * _BASE >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        out = self.hashes[slot]
+        new = np.flatnonzero(self.keys[slot] != key)
+        if len(new):
+            _, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            once = new[first]
+            made = np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(begin[once].tolist(), end[once].tolist(), strict=True)], np.uint64)
+            out[new] = made[which]
+            _, one = np.unique(slot[once], return_index=True)  # words that share a slot: one stays
+            self.keys[slot[once[one]]], self.hashes[slot[once[one]]] = key[once[one]], made[one]
+        return out
 
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -413,6 +451,8 @@ def _steps(seed: np.ndarray, at: np.ndarray, asks: np.ndarray) -> np.ndarray:
 def _copies(words: np.ndarray, seed: np.ndarray, at: np.ndarray, beside: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a document's occurrences those that answer and those that may ask. Where a window inside a run has the same FAR words on both sides again, it is a copy: the first one answers for all. Of the copies that lie
     within BESIDE positions the first and the last ask, whose passages, MIN_WORDS or more, cover what lies between."""
+    if not ((steps > 0) & (steps <= PERIOD)).any():
+        return np.ones(len(at), bool), np.ones(len(at), bool)
     text = np.concatenate([beside, np.zeros((len(at), -2 * FAR % 8), np.uint8)], axis=1).view(np.uint64)
     key = mix(seed.astype(np.uint64), 10) ^ words[at + FREE]
     for k in range(text.shape[1]):
@@ -710,13 +750,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
     names = [x.split()[0] for x in SLICES.split(", ")]
     for batch in batches:
-        for i, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            words = make.of(text).astype(np.uint32)
+        for i, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
+            words = make.of(text.as_py()).astype(np.uint32)
             rows = []
-            for w in wanted:
-                starts = np.frombuffer(w["anchors"], np.int32).reshape(2, -1)[w["side"]]
-                low = max(0, int(starts[0]) - MARGIN)
-                rows.append((w["a"], w["b"], w["nth"], w["side"], i, low, words[low : int(starts[-1]) + K + MARGIN].tobytes(), w["anchors"] if w["side"] == 0 else None))
+            for a, b, nth, side, anchors in zip(*(wanted.values.field(c).to_pylist() for c in ("a", "b", "nth", "side", "anchors")), strict=True):
+                starts = np.frombuffer(anchors, np.int32)
+                first, last = (0, len(starts) // 2 - 1) if side == 0 else (len(starts) // 2, -1)
+                low = max(0, int(starts[first]) - MARGIN)
+                rows.append((a, b, nth, side, i, low, words[low : int(starts[last]) + K + MARGIN].tobytes(), anchors if side == 0 else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
